@@ -361,3 +361,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     label = written(named.join(least, "component").select("cls", "component_id"), "labels")
     out = table.select("doc_id", "n", "cls").join(label, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest doc_id stays, with all its columns.
+
+    Documents without words and rows with a null doc_id stay; of rows that share a kept doc_id, one stays."""
+    named = jaccard_components(docs, k, percent)
+    kept = written(named.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    out = docs.join(kept.filter("_rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    out = out.unionByName(docs.filter("doc_id is null"))
+    again = kept.filter("_rows > 1").select("doc_id")
+    return out if again.isEmpty() else out.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
