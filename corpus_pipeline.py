@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import quality
+from factloom.llm import packing, pii, quality, simjoin
 from factloom.llm._shared import table, written
 
 
@@ -13,7 +14,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
 
 
-STAGES = [("quality", quality_stage)]
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group whose five-word shingles overlap by 0.8 or more."""
+    return simjoin.one_of_each(docs, k=5, percent=80)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts."""
+    return pii.masked(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts' tokens into sequences; a row for each piece."""
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", quality_stage), ("near copies", near_copies_stage), ("pii", pii_stage), ("packing", packing_stage)]
 
 #: Floating-point log ratios and tokenizer ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -22,5 +38,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
