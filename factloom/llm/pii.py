@@ -76,11 +76,12 @@ def plain(text: str) -> list[Span]:
 
 
 #: Look-alikes of Cyrillic and Greek letters, and typographic signs, as ASCII.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονρ", "aeopcyxijsdhlqwABEKMHOPCTXIJSABEZHIKMNOPTYXaovp", strict=True)) | {"‐": "-", "‑": "-", "‒": "-", "–": "-", "．": ".", "。": ".", "․": ".", "﹒": ".", "﹫": "@", " ": " ", " ": " ", " ": " "}
+LOOK_ALIKE = dict(zip("аеорсухіјѕԁһӏԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονρ", "aeopcyxijsdhlqwABEKMHOPCTXIJSABEZHIKMNOPTYXaovp", strict=True))
+SIGNS = dict(zip("\u2010\u2011\u2012\u2013\uff0e\u3002\u2024\ufe52\ufe6b\u00a0\u2007\u202f", "----....@   ", strict=True))
 #: Full-width forms are ASCII moved by a fixed distance.
-HOMOGLYPHS |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+HOMOGLYPHS = LOOK_ALIKE | SIGNS | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 #: Characters without width, and the digits' names.
-NO_WIDTH = "­​‌‍‎‏⁠﻿"
+NO_WIDTH = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _ODD = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + NO_WIDTH + "]")
