@@ -39,7 +39,8 @@ from factloom.llm.components import components
 COLD = 16
 #: Cells of the sketch.
 CELLS = 128
-#: A hot key that is not compared pair by pair costs this much in the allocation; subsets of up to two tokens too.
+#: Members of a block where what is left of a hot subset is compared.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -318,23 +319,47 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(even(x), even(y)).alias("a"), F.greatest(even(x), even(y)).alias("b")]
 
 
-def _with_hubs(hot: DataFrame) -> DataFrame:
-    """Each hot subset's members against the member with the most hot subsets: the original of a group of near copies has them all."""
+def _hubs(hot: DataFrame) -> DataFrame:
+    """(sig, hub): of each hot subset the member with the most hot subsets; the original of a group of near copies has them all."""
     mass = hot.groupBy("member").agg(F.count("*").alias("mass"))
-    hubs = hot.join(mass, "member").groupBy("sig").agg(F.max(F.struct("mass", "member")).alias("top")).select("sig", F.col("top.member").alias("hub"))
+    return hot.join(mass, "member").groupBy("sig").agg(F.max(F.struct("mass", "member")).alias("top")).select("sig", F.col("top.member").alias("hub"))
+
+
+def _with_hubs(hot: DataFrame, hubs: DataFrame) -> DataFrame:
     return hot.join(hubs, "sig").select(*_ordered("member", "hub")).filter("a <> b")
 
 
-def _rest(hot: DataFrame, stuck: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of stuck members of one hot subset that are not yet connected."""
-    known = hot.join(stuck, "member", "left_semi").withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
-    known = known.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "member", F.coalesce("component", "cls").alias("c"))
-    mixed = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("sig")
-    open_ = written(known.join(mixed, "sig", "left_semi"), "open")
-    main = open_.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "c")).alias("top")).select("sig", F.col("top.c").alias("main"))
-    minor = open_.join(main, "sig").filter("c <> main").select("sig", F.col("member").alias("x"), F.col("c").alias("cx"), "main")
-    other = open_.select("sig", F.col("member").alias("y"), F.col("c").alias("cy"))
-    return minor.join(other, "sig").filter("cx <> cy and (cy = main or x < y) and (x & y & 1) = 0").select(*_ordered("x", "y")).filter("a <> b").distinct()
+def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Pairs of stuck members of one hot subset that are not yet connected and whose sketches allow a link.
+
+    Subsets with one hub share most members, so members meet by hub. They are dealt into blocks of about BLOCK, and each
+    pair of blocks is compared in a task of its own; nothing larger than two blocks is held."""
+    met = hot.join(stuck, "member", "left_semi").join(hubs, "sig").select("hub", "member").distinct().withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
+    known = met.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).select("hub", "member", "cls", "c")
+    size = known.groupBy("hub").agg(F.count("*").alias("n_members"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    sketches = table.join(known.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    rows = known.join(size, "hub").join(sketches, "cls").withColumn("blocks", F.ceil(F.col("n_members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rows.select("hub", "member", "c", "n", "sketch", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+    def compare(group: pa.Table) -> pa.Table:
+        member, c, n, block = (group.column(x).to_numpy() for x in ("member", "c", "n", "block"))
+        cells = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        right = np.flatnonzero(block == j)
+        left, right_member = [], []
+        for x in np.flatnonzero(block == i).tolist():
+            y = right[(c[right] != c[x]) & ((member[right] & member[x] & 1) == 0)]
+            if i == j:
+                y = y[y > x]
+            y = y[percent * np.maximum(n[y], n[x]) <= 100 * np.minimum(n[y], n[x])]
+            y = y[np.abs(cells[y] - cells[x]).sum(axis=1) * (100 + percent) <= (100 - percent) * (n[y] + n[x])]
+            left += [member[x]] * len(y)
+            right_member += member[y].tolist()
+        return pa.table({"x": pa.array(left, pa.int64()), "y": pa.array(right_member, pa.int64())})
+
+    near = dealt.groupBy("hub", "i", "j").applyInArrow(compare, "x long, y long")
+    return near.select(*_ordered("x", "y")).filter("a <> b").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -344,7 +369,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     table = written(signatures(docs, k, percent), "signatures")
     found = written(_bucketed(_entries(table)), "buckets")
     hot = found.filter("b is null").select("sig", F.col("a").alias("member"))
-    pairs = written(_near(found.filter("b is not null").select("a", "b").union(_with_hubs(hot)).distinct(), table, percent), "pairs")
+    hubs = _hubs(hot)
+    pairs = written(_near(found.filter("b is not null").select("a", "b").union(_with_hubs(hot, hubs)).distinct(), table, percent), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(hot.select(F.col("member").bitwiseAND(F.lit(-2)))).distinct()
     sets = written(_sets_of(asked, table, docs, k), "sets")
     links = written(_verified(pairs, sets, percent), "links")
@@ -352,8 +378,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         more, stuck = _escapes(hot, sets, percent)
         more = _near(more.distinct().join(pairs, ["a", "b"], "left_anti"), table, percent)
         links = written(links.union(_verified(more, sets, percent)), "links")
-        rest = _rest(hot, written(stuck, "stuck"), components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        links = links.union(written(_verified(_near(rest, table, percent), sets, percent), "links"))
+        nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rest = written(_rest(hot, written(hubs, "hubs"), written(stuck, "stuck"), nodes, table, percent), "rest")
+        links = links.union(written(_verified(rest, sets, percent), "links"))
     nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = table.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
