@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import packing, pii, quality, secrets, sharding, simjoin
+from factloom.llm import packing, pii, quality, secrets, sharding, simjoin, unigram, warc
 from factloom.llm._shared import table
 
 
@@ -27,6 +27,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_pii": op5_pii,
+    "op6_warc_index": op6_warc_index,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -8,7 +8,8 @@ spelled in byte pieces. Where two paths score alike, the last piece that begins
 
 Decoding joins the pieces' bytes, turns markers into spaces, drops the first and replaces broken UTF-8.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; texts are not normalised; ids outside the
+Defined cases: null and empty texts have no ids and decode to the empty text; texts are not normalised, but a text's own marker reads as a
+space; ids outside the
 model and control pieces decode to nothing; repeated rows are each worked on.
 """
 
@@ -54,7 +55,7 @@ def _double_array(entries: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np
     base, check, ends = [0] * size, [0] * size, [-1] * size
     keys = sorted(entries)
     todo = [(1, 0, len(keys), 0)]  # node, its keys, their common length
-    check[1], free, roomy = 1, 2, 2
+    check[1], free, roomy, top = -1, 2, 2, 2  # the root has no parent
     while todo:
         node, lo, hi, depth = todo.pop()
         if len(keys[lo]) == depth:
@@ -71,7 +72,7 @@ def _double_array(entries: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np
             free += 1
         at, tries = max(1, (free if len(groups) == 1 else roomy) - groups[0][0]), 0
         while True:
-            if at + 512 > len(check):
+            if max(at, top) + 512 > len(check):
                 more = len(check)
                 base += [0] * more
                 check += [0] * more
@@ -80,13 +81,14 @@ def _double_array(entries: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np
                 break
             at += 1
             tries += 1
-            if tries > 64:  # too dense here for nodes of several children
-                roomy = at + groups[0][0]
+            if tries == 64:  # too dense here for nodes of several children
+                at = roomy = top
         base[node] = at
         for c, a, b in groups:
             check[at + c] = node
+            top = max(top, at + c + 1)
             todo.append((at + c, a, b, depth + 1))
-    return np.array(base, np.int32), np.array(check, np.int32), np.array(ends, np.int32)
+    return tuple(np.array(x[: top + 256], np.int32) for x in (base, check, ends))
 
 
 def load(path: str) -> Model:
@@ -239,6 +241,7 @@ class Codec:
         if len(self.memo) > MEMO:
             self._reset()
         # a space that follows a space or begins a text belongs to the next chunk
+        texts = [t and t.replace(MARKER, " ") for t in texts]
         split = [[] if not t else t.split(" ") if "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
         chunks = [[f" {w}" for w in s] if s is not None else _CHUNKS.findall(f" {t}") for s, t in zip(split, texts, strict=True)]
         fresh = {c for x in chunks for c in x if c not in self.memo}
