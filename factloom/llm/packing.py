@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._shared import small_batches
+
 #: Tokens that are packed at a time.
 BLOCK = 1 << 21
 #: Sequences of a step group.
 GROUP = 32
-#: Pre-tokens that a task remembers.
-MEMO = 400_000
+#: Pre-tokens that a Python worker remembers.
+MEMO = 1_000_000
 _TASK_BITS = 36
 #: A space beside other white space may join it in one pre-token.
 _ODD_SPACE = re.compile(r"\s (?:\s|$)")
@@ -90,6 +92,16 @@ class Encoder:
         return np.concatenate((np.array(self._direct([head])[0], np.uint32), body)) if head else body
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """This worker's encoder; it outlives tasks, and so does what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class _Pool:
     """Rests of documents by length: (row, start, length), shortest and longest first."""
 
@@ -146,8 +158,7 @@ def plan(lengths: list[int], pool: _Pool, rows: list[int], tiers: tuple[int, ...
             pool.add(row, whole, n - whole)
     for tier, below in zip(tiers, (*tiers[1:], 0), strict=True):
         # windows of this tier, as long as one of its own rests is there to begin with
-        while pool.total >= tier and pool.lengths and pool.lengths[-1] > below:
-            own = pool.at_most(tier)
+        while pool.total >= tier and (own := pool.at_most(tier) or 0) > below:
             first = pool.take(own)
             rest = _fill(pool, tier - own) if own < tier else []
             out.append((tier, [first, *rest]))
@@ -162,10 +173,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, n_tiers: int = 4,
     sequence_id, offset, tier (the sequence's length) and step_group.
 
     tokenizer: path of a byte-level tokenizer's file, on every executor."""
+    small_batches(docs.sparkSession)
     tiers = tuple(window >> i for i in range(n_tiers))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pool, held, tokens, row = Encoder(tokenizer), _Pool(), {}, 0, 0
+        encoder, pool, held, tokens, row = _encoder(tokenizer), _Pool(), {}, 0, 0
         sequence = TaskContext.get().partitionId() << _TASK_BITS
         group = sequence
         waiting: list[int] = []
