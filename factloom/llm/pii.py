@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm._shared import small_batches
+
 Span = tuple[str, int, int]
 #: Fixed values of the contract: the kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -185,6 +187,7 @@ def _arrow(lists: list[list[Span]]) -> pa.Array:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs with base_spans and more_spans, arrays of (kind, start, end) in code points, ends exclusive."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("base_spans", "more_spans").withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("base_spans", SPANS), T.StructField("more_spans", SPANS)])
 
@@ -198,6 +201,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span of text replaced by its kind in angle brackets, and n_chars, where there is one, counted anew."""
+    small_batches(docs.sparkSession)
     docs = docs.withColumn("text", F.col("text").cast("string"))
 
     def mask(text: str | None) -> str | None:
@@ -227,5 +231,6 @@ def digest(docs: DataFrame) -> DataFrame:
     out = with_spans(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.concat("base_spans", "more_spans")
-    ordered = F.flatten(F.array(*[F.array_sort(F.filter(every, lambda s, k=k: s["kind"] == k)) for k in KINDS]))
+    of_kind = lambda kind: F.array_sort(F.filter(every, lambda s: s["kind"] == kind))
+    ordered = F.flatten(F.array(*map(of_kind, KINDS)))
     return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(ordered).alias("spans"))
