@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the contracts: what separates words, as a character class of Java's and Python's patterns.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a batch of texts that goes to Python.
+BATCH = 512
 
 
 def scratch(spark: SparkSession) -> str:
@@ -34,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on Python workers get BATCH rows at a time at most: with whole texts in a row, Spark's 10,000 are too many."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._hashing import mix, runs, shingle_sets, word_hashes
-from factloom.llm._shared import written
+from factloom.llm._shared import small_batches, written
 from factloom.llm.components import components
 
 #: Subsets held by at most so many classes give all their pairs.
@@ -139,7 +139,7 @@ def _entries(table: DataFrame) -> DataFrame:
                 if c not in seen:
                     seen.add(c)
                     fresh[i] = True
-            if len(seen) > 1_000_000:  # bounds memory; later copies are merged after the shuffle
+            if len(seen) > 200_000:  # bounds memory; later copies are merged after the shuffle
                 seen.clear()
             rows = rows.filter(pa.array(fresh))
             for name, flag in (("own", 0), ("prev", 1)):
@@ -366,6 +366,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """docs (doc_id, text) -> doc_id, n_shingles, component_id; a row for each row of docs.
 
     k: words of a shingle; two documents link when 100 * common >= percent * union."""
+    small_batches(docs.sparkSession)
     table = written(signatures(docs, k, percent), "signatures")
     found = written(_bucketed(_entries(table)), "buckets")
     hot = found.filter("b is null").select("sig", F.col("a").alias("member"))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm._shared import small_batches
+
 MARKER = "▁"
 #: What an unknown character costs beyond the least score (SentencePiece's own value).
 UNKNOWN = 10.0
@@ -273,6 +275,7 @@ class Codec:
 
 def _mapped(df: DataFrame, path: str, work, fields: list[T.StructField]) -> DataFrame:
     """df with the columns that work(codec, rows) gives."""
+    small_batches(df.sparkSession)
     names = [f.name for f in fields]
     df = df.drop(*names)
     schema = T.StructType([*df.schema.fields, *fields])

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm._shared import scratch_path, written
+from factloom.llm._shared import scratch_path, small_batches, written
 
 #: Lines of an index block.
 BLOCK = 512
@@ -95,6 +95,7 @@ def _typed(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html); returns the directory of the index."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     key = F.udf(surt, "string", useArrow=True)
