@@ -385,7 +385,7 @@ def op_f28_json_columns(spark, sf_dir):
 
 
 @registered("""WITH s AS (SELECT o_custkey % 200 AS f, o_orderkey AS k, o_orderstatus AS r, o_totalprice > 200000 AS a, length(o_orderpriority) AS n FROM orders WHERE o_orderkey % 3 = 0),
-m AS (SELECT l_orderkey AS k, min(l_partkey) AS line, min_by(CASE WHEN l_linenumber < 4 THEN 'struct' ELSE 'fn' END, l_partkey) AS kind, min_by(l_linestatus, l_partkey) AS r, count(*) AS n FROM lineitem WHERE l_orderkey % 6 = 0 GROUP BY 1),
+m AS (SELECT k, CASE WHEN x.n < 4 THEN 'struct' ELSE 'fn' END AS kind, x.s AS r, n FROM (SELECT l_orderkey AS k, min({'p': l_partkey, 'n': l_linenumber, 's': l_linestatus}) AS x, count(*) AS n FROM lineitem WHERE l_orderkey % 6 = 0 GROUP BY 1)),
 c AS (SELECT s.f, m.k IS NOT NULL AS found, coalesce(m.kind = 'struct', FALSE) AS kind_ok, coalesce(s.n % 4 + 1 = m.n, FALSE) AS p, m.k IS NOT NULL AND s.r = m.r AS r, m.k IS NOT NULL AND NOT s.a AS a FROM s LEFT JOIN m ON m.k = s.k),
 g AS (SELECT 'file/' || f AS file, count(*) AS n_symbols, sum(found::INT)::DOUBLE / count(*) AS names, sum((kind_ok::INT + p::INT + r::INT + a::INT) / 4.0::DOUBLE) / count(*) AS st, sum((NOT found OR NOT kind_ok)::INT) AS errors FROM c GROUP BY 1)
 SELECT file, n_symbols, round((names * 0.6::DOUBLE + st * 0.4::DOUBLE) * 10000) / 10000 AS similarity, CAST(errors AS BIGINT) AS errors, names * 0.6::DOUBLE + st * 0.4::DOUBLE >= 0.85 AND errors = 0 AS passed FROM g""")
@@ -393,8 +393,8 @@ def op_a23_verification(spark, sf_dir):
     o = R.read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
     file = F.concat(F.lit("file/"), F.col("o_custkey") % 200)
     spec = o.select(file.alias("file"), F.concat(F.lit("get_Order_"), "o_orderkey").alias("target_name"), F.lit("interface").alias("kind"), (F.length("o_orderpriority") % 4 + 1).cast("long").alias("n_params"), F.col("o_orderstatus").alias("return_type"), (F.col("o_totalprice") > 200000).alias("is_async"))
-    first = R.read(spark, sf_dir, "lineitem").filter("l_orderkey % 6 = 0").groupBy("l_orderkey").agg(F.min("l_partkey").alias("line"), F.min_by(F.struct("l_linenumber", "l_linestatus"), "l_partkey").alias("x"), F.count("*").alias("n_params"))
-    made = first.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(file.alias("file"), F.concat(F.lit("getOrder"), "l_orderkey").alias("name"), F.when(F.col("x.l_linenumber") < 4, "struct").otherwise("fn").alias("kind"), "n_params", F.col("x.l_linestatus").alias("return_type"), F.lit(False).alias("is_async"), "line")
+    first = R.read(spark, sf_dir, "lineitem").filter("l_orderkey % 6 = 0").groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_linenumber", "l_linestatus")).alias("x"), F.count("*").alias("n_params"))
+    made = first.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(file.alias("file"), F.concat(F.lit("getOrder"), "l_orderkey").alias("name"), F.when(F.col("x.l_linenumber") < 4, "struct").otherwise("fn").alias("kind"), "n_params", F.col("x.l_linestatus").alias("return_type"), F.lit(False).alias("is_async"), F.col("x.l_partkey").alias("line"))
     out = tasks.verdicts(tasks.verification(spec, made))
     return out.withColumn("similarity", F.round(F.col("similarity") * 10000) / 10000)
 
