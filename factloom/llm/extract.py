@@ -165,7 +165,7 @@ def expression(group: Group, parents: int = 1) -> str:
 
 def _walk(page: str, root: Group, learn: bool) -> list[tuple[Group, str]]:
     """Reads a page along a wrapper, which with learn takes it in; gives the groups and texts of its blocks in order."""
-    stack: list[tuple[str, Group, dict[str, int], list[str]]] = [("", root, {}, [])]
+    stack: list[tuple[str, Group, dict[str, int]]] = [("", root, {})]
     blocks: list[tuple[Group, str]] = []
     held: list[str] = []
     held_group = root
@@ -178,17 +178,19 @@ def _walk(page: str, root: Group, learn: bool) -> list[tuple[Group, str]]:
             if text:
                 blocks.append((held_group, text))
 
+    def count(group: Group, seen: dict[str, int]) -> None:
+        for sign, n in seen.items():
+            g = group.groups.get(sign)
+            if learn and g is not None:
+                g.parents += 1
+                g.most = max(g.most, n)
+
     def pop() -> None:
         nonlocal dropped
-        tag, group, seen, _ = stack.pop()
+        tag, group, seen = stack.pop()
         if tag in BLOCK:
             flush()
-        if learn:
-            for sign, n in seen.items():
-                g = group.groups.get(sign)
-                if g is not None:
-                    g.parents += 1
-                    g.most = max(g.most, n)
+        count(group, seen)
         if dropped > len(stack):
             dropped = 0
 
@@ -217,13 +219,13 @@ def _walk(page: str, root: Group, learn: bool) -> list[tuple[Group, str]]:
             sign, mark = _kind(what, attributes)
             top = stack[-1]
             if what not in BLOCK and not mark or len(stack) > DEPTH:
-                stack.append((what, top[1], {}, []))  # inline elements belong to their block's text
+                stack.append((what, top[1], {}))  # inline elements belong to their block's text
                 continue
             group = _child(top[1], sign, mark)
             if learn:
                 group.times += 1
                 top[2][sign] = top[2].get(sign, 0) + 1
-            stack.append((what, group, {}, []))
+            stack.append((what, group, {}))
             if mark == "drop" and what in RAW and not dropped:
                 dropped = len(stack)
         else:
@@ -238,6 +240,7 @@ def _walk(page: str, root: Group, learn: bool) -> list[tuple[Group, str]]:
     while len(stack) > 1:
         pop()
     flush()
+    count(root, stack[0][2])
     if learn:
         for group, text in blocks:
             group.text(zlib.crc32(text.encode("utf-8", "replace")), len(text))

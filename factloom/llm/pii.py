@@ -100,6 +100,8 @@ _MAIL = re.compile(
     rf"(?:{_AT}|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:{_DOT}|\x20dot\x20|\.)[A-Za-z0-9-]+){{1,5}}(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
+#: Ends of domains that a bare "dot" may stand before.
+_ENDS = frozenset("com org net edu gov mil int info biz io co dev app me tv ai eu us uk ca au nz de fr es it nl be ch se no fi dk pl pt br mx ar jp cn kr in ru".split())
 _MAIL_PART = re.compile(rf"({_AT}|\x20at\x20|\x20?@\x20?)|({_DOT}|\x20dot\x20)", re.IGNORECASE)
 _HINT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20", re.IGNORECASE)
 _DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\x20dot\x20|\.)[0-9]{{1,3}}){{3}}(?![0-9.])", re.IGNORECASE)
@@ -149,8 +151,9 @@ def _normal(text: str) -> _Tape | None:
         edits = []
         for m in _MAIL.finditer(tape.text):
             parts = [(m.start() + p.start(), m.start() + p.end(), "@" if p[1] else ".") for p in _MAIL_PART.finditer(m[0])]
-            bare = re.search(r"\x20at\x20", m[0], re.IGNORECASE)
-            if not bare or any(new == "." for _, _, new in parts):  # a bare "at" needs a spelled dot beside it
+            bare = re.search(r"\x20(?:at|dot)\x20", m[0], re.IGNORECASE)
+            last = re.search(r"[A-Za-z0-9-]*$", m[0])[0].lower()
+            if not bare or last in _ENDS and any(new == "." for _, _, new in parts):  # prose has bare words too
                 edits += parts
         taken = [(a, b) for a, b, _ in edits]
         for m in _DOTTED.finditer(tape.text):
