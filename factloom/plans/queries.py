@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import levels, naming, texts
-from factloom.operators import align, boundaries, compat, diff, graph, scoring, tasks
+from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, scoring, tasks
 from factloom.plans import relations as R
+from factloom.sources import trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -421,3 +422,43 @@ def op_j17_match_by_name(spark, sf_dir):
     source = c.select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".ts")).alias("file"), F.concat(F.lit("getSeg"), seg).alias("name")).distinct()
     target = c.filter("c_nationkey % 2 = 0 and c_custkey % 2 = 0").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("ordinal")).select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".rs")).alias("file"), F.concat(F.lit("get_seg_"), F.lower("c_mktsegment")).alias("name"), "ordinal")
     return align.match_by_name(source, target)
+
+
+@registered(f"WITH {R.SOURCES} SELECT f.path AS module, CASE WHEN p % 2 = 0 THEN 'f' ELSE 'c' END || p AS name, CASE WHEN p % 2 = 0 THEN 'function' ELSE 'variable' END AS kind, p % 2 = 0 AS is_public, p % 2 = 0 AS is_async, CASE WHEN p % 2 = 0 THEN 'a: string' ELSE '' END AS params, CAST(6 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS INTEGER) AS line FROM files f JOIN shipped USING (s)")
+def op_p2_symbols(spark, sf_dir):
+    return extract_facts.symbols(R.source_files(spark, sf_dir)).select("module", "name", "kind", "is_public", "is_async", "params", "line")
+
+
+@registered(f"WITH {R.SOURCES} SELECT module, specifier, FALSE AS is_external FROM imported UNION SELECT path, '@scope/pkg' || (s % 5) || '/lib', TRUE FROM files")
+def op_p7_source_imports(spark, sf_dir):
+    return extract_facts.imports(R.source_files(spark, sf_dir))
+
+
+@registered(f"WITH {R.SOURCES} SELECT path AS module, '@scope/pkg' || (s % 5) AS package FROM files")
+def op_d2_module_packages(spark, sf_dir):
+    return extract_facts.module_packages(extract_facts.imports(R.source_files(spark, sf_dir)))
+
+
+@registered(f"WITH {R.SOURCES} SELECT module, specifier, target FROM imported WHERE i < 2 AND target <> module AND target IN (SELECT path FROM files)")
+def op_j1_resolved_imports(spark, sf_dir):
+    files = R.source_files(spark, sf_dir)
+    return extract_facts.resolved(extract_facts.imports(files), files)
+
+
+@registered(f"WITH {R.SOURCES} SELECT module, 'g' || i AS local_name, 'f' || i AS exported_name, specifier FROM imported UNION ALL SELECT module, 'helper' || i, 'helper' || i, specifier FROM imported UNION ALL SELECT path, 'pkg', 'default', '@scope/pkg' || (s % 5) || '/lib' FROM files")
+def op_p9_bindings(spark, sf_dir):
+    return extract_facts.bindings(R.source_files(spark, sf_dir))
+
+
+@registered(f"WITH {R.SOURCES}, uses AS (SELECT path AS module, 7 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS line FROM files f JOIN shipped USING (s) WHERE p % 2 = 0) SELECT target || ':f' || i AS target_symbol, module || ':g' || i AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CASE WHEN i = 0 THEN 'Call' ELSE 'New' END AS kind FROM imported JOIN uses USING (module) WHERE i < 2 AND target <> module AND target IN (SELECT path FROM files)")
+def op_p12_references(spark, sf_dir):
+    files = R.source_files(spark, sf_dir)
+    targets = extract_facts.resolved(extract_facts.imports(files), files)
+    return extract_facts.references(files, extract_facts.bindings(files), targets).select("target_symbol", "source_symbol", "file", "line", "kind")
+
+
+@registered("WITH o AS (SELECT conv_id || '/' || turn AS path, text FROM conversations), n AS (SELECT conv_id || '/' || (turn - 1) AS path, text FROM conversations), b AS (SELECT coalesce(o.path, n.path) AS path, o.text AS o, n.text AS n FROM o FULL JOIN n ON o.path = n.path WHERE o.text IS DISTINCT FROM n.text), lo AS (SELECT path, line, count(*) AS k FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM o) GROUP BY 1, 2), ln AS (SELECT path, line, count(*) AS k FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM n) GROUP BY 1, 2), c AS (SELECT coalesce(lo.path, ln.path) AS path, CAST(sum(greatest(coalesce(ln.k, 0) - coalesce(lo.k, 0), 0)) AS BIGINT) AS added, CAST(sum(greatest(coalesce(lo.k, 0) - coalesce(ln.k, 0), 0)) AS BIGINT) AS removed FROM lo FULL JOIN ln ON lo.path = ln.path AND lo.line = ln.line GROUP BY 1) SELECT path, CASE WHEN o IS NULL THEN 'A' WHEN n IS NULL THEN 'D' ELSE 'M' END AS status, added, removed FROM b JOIN c USING (path)")
+def op_s12_changed_files(spark, sf_dir):
+    c = R.read(spark, sf_dir, "conversations")
+    path = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+    return trees.changed_files(c.select(path(F.col("turn")).alias("path"), F.col("text").alias("source")), c.select(path(F.col("turn") - 1).alias("path"), F.col("text").alias("source")))

@@ -126,3 +126,22 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TASKS = """tasks AS (SELECT 'user/' || user_id AS module, user_id % 3 AS layer, count(*) AS in_degree FROM events GROUP BY 1, 2),
 task_events AS (SELECT 'user/' || user_id AS module, event_id AS at, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN CASE WHEN value > 100 THEN 'verified' ELSE 'done' END WHEN 'error' THEN 'failed' ELSE 'in_progress' END AS status FROM events)"""
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script files written from the tables: one for each supplier, which imports three others and a package, and declares
+    a symbol for each remainder of the parts it ships."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_partkey") % 50).alias("p")).groupBy("s_suppkey").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    other = lambda i: ((F.col("s_suppkey") * 7 + i) % 10 + 1).cast("string")
+    imported = [F.concat(F.lit(f"import {{ f{i} as g{i}, helper{i} }} from './"), F.when(F.lit(i == 2), "../lib/").otherwise(""), F.lit("s"), other(i), F.lit("';")) for i in range(3)]
+    external = F.concat(F.lit("import pkg from '@scope/pkg"), F.col("s_suppkey") % 5, F.lit("/lib';"))
+    declared = lambda x: F.when(x % 2 == 0, F.concat(F.lit("export async function f"), x, F.lit("(a: string) {\n  return g0(a) + new g1('helper0'); // helper1()\n}"))).otherwise(F.concat(F.lit("const c"), x, F.lit(" = 1;")))
+    text = F.concat_ws("\n", F.lit("/* import { no } from './s1'; */"), *imported, external, F.transform("ps", declared))
+    return s.join(p, "s_suppkey").select(F.concat(F.lit("src/s"), "s_suppkey", F.lit(".ts")).alias("path"), text.alias("source"), F.lit("typescript").alias("language"))
+
+
+SOURCES = """shipped AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 50 AS p FROM lineitem),
+files AS (SELECT DISTINCT s, 'src/s' || s || '.ts' AS path FROM shipped JOIN supplier ON s_suppkey = s),
+three AS (SELECT unnest([0, 1, 2]) AS i),
+imported AS (SELECT s, path AS module, i, CASE WHEN i = 2 THEN './../lib/s' ELSE './s' END || ((s * 7 + i) % 10 + 1) AS specifier, 'src/s' || ((s * 7 + i) % 10 + 1) || '.ts' AS target FROM files, three)"""
