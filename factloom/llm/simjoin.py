@@ -2,17 +2,18 @@
 
 A document is its set of distinct k-word shingles (64-bit hashes). Documents with equal sets form a class; classes are
 joined, copies never are. Sizes fall into bands, so that a set links only within its band or with the next. In a band,
-two linked sets differ in at most H tokens; tokens are dealt by hash into m = H + 1 segments, so
+two linked sets differ in at most H tokens; tokens are dealt by hash into H + 1 segments and some spare ones, so
 
 * two linked sets agree on the subset of at least one segment (index of segment subsets), and
-* for any allocation v of 0, 1 or 2 to the segments that sums to H + 1, some segment with v = 1 agrees or some with
+* for any allocation v of 0, 1 or 2 to the segments that sums to H + 1 or more, some segment with v = 1 agrees or some with
   v = 2 differs by at most one token (one-deletion neighbourhoods).
 
 First every class is indexed with v = 1 throughout. Subsets of at most COLD classes give their pairs. A subset held by
-more classes (a passage that many documents share, a large group of near copies) is hot: its classes are compared with
-its best connected class only, and then, on the classes with hot subsets alone, the allocation is chosen by cost: hot
-subsets get v = 0, the cheapest others v = 2. Classes that can't do without hot subsets are compared within them, but
-only where they aren't yet connected. No pair is lost and no candidate is dropped by a cap.
+more classes (a passage that many documents share, a large group of near copies) is hot. Classes with no more hot
+subsets than spare segments do without them. Others are compared with the best connected class of each hot subset, its
+hub, and where a hub has many, the allocation is chosen by cost: hot subsets get v = 0, the cheapest others v = 2.
+Classes of small hubs, and those that can't do without hot subsets, are compared by sketch in blocks, but only where
+they aren't yet connected. No pair is lost and no candidate is dropped by a cap.
 
 Candidates are held against a sketch of token counts (its L1 distance never exceeds that of the sets), and those left
 are verified on the full sets. Components come from linked pairs alone.
@@ -41,6 +42,8 @@ COLD = 16
 CELLS = 128
 #: Members of a block where what is left of a hot subset is compared.
 BLOCK = 256
+#: Ids of documents, 8 bytes each, that are broadcast at most.
+BROADCAST_IDS = 250_000
 _U = np.uint64
 
 
@@ -57,6 +60,17 @@ def band_distance(starts: np.ndarray, band: np.ndarray, percent: int) -> np.ndar
     return (100 - percent) * (starts[band + 1] - 1) // percent
 
 
+def spare(distance: np.ndarray) -> np.ndarray:
+    """Segments beyond distance + 1: two linked sets agree on so many more, so as many hot ones can be done without."""
+    return np.where(distance > 0, 1 + distance // 8, 0)
+
+
+def _counts(starts: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each band the number of segments and of spare ones. Where linked sets are equal, there are none: they are one class."""
+    distance = np.where(band >= 0, band_distance(starts, np.maximum(band, 0), percent), 0)
+    return np.where(distance > 0, distance + 1 + spare(distance), 0), spare(distance)
+
+
 def _segments(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: its segment's place in the concatenated segments of all owners, and its share of the subset's hash.
 
@@ -97,58 +111,69 @@ def _class_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, cls (hash of the set), n (its size), own and prev (subset hashes in its band and the one before), sketch."""
+    """doc_id, cls (hash of the set), n (its size), spare_own and spare_prev (in its band and the one before), sketch."""
     starts = band_starts(percent)
 
-    def batch(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, tokens, sizes in _sets(rows.column("text"), k):
-            with np.errstate(over="ignore"):
-                owner = np.repeat(np.arange(hi - lo), sizes)
-                band = np.searchsorted(starts, sizes, side="right") - 1
-                cols = {"doc_id": rows.column("doc_id").slice(lo, hi - lo), "cls": pa.array(_class_ids(tokens, sizes)), "n": pa.array(sizes)}
-                for name, b in (("own", band), ("prev", band - 1)):
-                    m = np.where(b >= 0, band_distance(starts, np.maximum(b, 0), percent) + 1, 0)
-                    m[sizes == 0] = 0
-                    use = (m > 0)[owner]
-                    place, share, salt = _segments(tokens[use], owner[use], b, m)
-                    cols[name] = _lists(_subset_hashes(place, share, salt).view(np.int64), m)
-                cell = owner * CELLS + (mix(tokens + _U(0xE7037ED1A0B428DB)) >> _U(57)).astype(np.int64)
-                counts = np.minimum(np.bincount(cell, minlength=(hi - lo) * CELLS), 65535).astype("<u2").tobytes()
-                width = 2 * CELLS
-                cols["sketch"] = pa.array([counts[i * width : (i + 1) * width] for i in range(hi - lo)], pa.binary())
-            yield pa.RecordBatch.from_pydict(cols)
-
-    def all_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
-            yield from batch(rows)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(all_batches, "doc_id long, cls long, n long, own array<long>, prev array<long>, sketch binary")
-
-
-def _entries(table: DataFrame) -> DataFrame:
+            for lo, hi, tokens, sizes in _sets(rows.column("text"), k):
+                with np.errstate(over="ignore"):
+                    owner = np.repeat(np.arange(hi - lo), sizes)
+                    band = np.searchsorted(starts, sizes, side="right") - 1
+                    cell = owner * CELLS + (mix(tokens + _U(0xE7037ED1A0B428DB)) >> _U(57)).astype(np.int64)
+                    counts = np.minimum(np.bincount(cell, minlength=(hi - lo) * CELLS), 65535).astype("<u2").tobytes()
+                    width = 2 * CELLS
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": rows.column("doc_id").slice(lo, hi - lo),
+                        "cls": pa.array(_class_ids(tokens, sizes)),
+                        "n": pa.array(sizes),
+                        "spare_own": pa.array(_counts(starts, band, percent)[1]),
+                        "spare_prev": pa.array(_counts(starts, band - 1, percent)[1]),
+                        "sketch": pa.array([counts[i * width : (i + 1) * width] for i in range(hi - lo)], pa.binary()),
+                    })
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, cls long, n long, spare_own long, spare_prev long, sketch binary")
+
+
+def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(sig, member): a row for each subset; member is the class, its last bit set in the scheme of the band before.
 
     A class repeated within a task gives its rows once: copies are merged before the shuffle."""
+    starts = band_starts(percent)
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows in it:
-            cls = rows.column("cls").to_numpy()
-            fresh = np.zeros(len(cls), bool)
-            for i, c in enumerate(cls.tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh[i] = True
+            for _, _, tokens, sizes in _sets(rows.column("text"), k):
+                with np.errstate(over="ignore"):
+                    cls = _class_ids(tokens, sizes)
+                    fresh = np.zeros(len(cls), bool)
+                    for i, c in enumerate(cls.tolist()):
+                        if c not in seen and sizes[i]:
+                            seen.add(c)
+                            fresh[i] = True
+                    owner = np.repeat(np.arange(len(sizes)), sizes)
+                    band = np.searchsorted(starts, sizes, side="right") - 1
+                    for b, flag in ((band, 0), (band - 1, 1)):
+                        m = _counts(starts, b, percent)[0]
+                        m[~fresh] = 0
+                        use = (m > 0)[owner]
+                        place, share, salt = _segments(tokens[use], owner[use], b, m)
+                        sig = _subset_hashes(place, share, salt).view(np.int64)
+                        yield pa.RecordBatch.from_pydict({"sig": pa.array(sig), "member": pa.array(np.repeat(cls | flag, m))})
             if len(seen) > 200_000:  # bounds memory; later copies are merged after the shuffle
                 seen.clear()
-            rows = rows.filter(pa.array(fresh))
-            for name, flag in (("own", 0), ("prev", 1)):
-                lists = rows.column(name)
-                sizes = np.diff(lists.offsets.to_numpy())
-                member = np.repeat(rows.column("cls").to_numpy() | flag, sizes)
-                yield pa.RecordBatch.from_pydict({"sig": lists.flatten(), "member": pa.array(member)})
 
-    return table.select("cls", "own", "prev").mapInArrow(emit, "sig long, member long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "sig long, member long")
+
+
+def _hot_members(found: DataFrame, table: DataFrame) -> DataFrame:
+    """(sig, member) of the hot subsets, of members that have more of them than spare segments: others are found without."""
+    hot = found.filter("b is null").select("sig", F.col("a").alias("member"))
+    many = hot.groupBy("member").agg(F.count("*").alias("k")).withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
+    spares = table.select("cls", "spare_own", "spare_prev").join(many.select("cls").distinct(), "cls", "left_semi").distinct()
+    kept = many.join(spares, "cls").filter("k > if(member & 1 = 0, spare_own, spare_prev)").select("member")
+    return hot.join(kept, "member", "left_semi")
 
 
 def _bucketed(entries: DataFrame) -> DataFrame:
@@ -229,7 +254,10 @@ def _near(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
 def _sets_of(classes: DataFrame, table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(cls, tokens) of the given classes, from the text of one row of each."""
     one = table.filter("doc_id is not null").select("cls", "doc_id").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+    one = written(one, "representatives")
+    wanted = one.select("doc_id").distinct()
+    # a checked size: few ids are broadcast, and no text is shuffled; many meet the texts in a shuffle
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted) if one.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
@@ -273,7 +301,7 @@ def _neighbourhoods(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 member, marked = row["member"], np.array(row["hot"], np.int64).view(_U)
                 band = np.searchsorted(starts, len(tokens), side="right") - 1 - (member & 1)
                 with np.errstate(over="ignore"):
-                    m = band_distance(starts, np.array([band]), percent) + 1
+                    m, spares = _counts(starts, np.array([band]), percent)
                     place, share, salt = _segments(tokens, np.zeros(len(tokens), np.int64), np.array([band]), m)
                     total = np.zeros(len(salt), _U)
                     np.add.at(total, place, share)
@@ -281,7 +309,7 @@ def _neighbourhoods(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     less = mix(total[place] - share + salt[place])
                 is_hot = np.isin(whole, marked)
                 size = np.bincount(place, minlength=len(salt))
-                short = int(is_hot.sum())  # what the segments with v = 0 lack is made up by as many with v = 2
+                short = max(0, int(is_hot.sum()) - int(spares[0]))  # what hot segments, with v = 0, lack is made up by as many with v = 2
                 cost = np.where(size <= 2, 1 << 40, size)
                 cost[is_hot] = 1 << 50
                 order = np.argsort(cost, kind="stable")
@@ -325,6 +353,10 @@ def _hubs(hot: DataFrame) -> DataFrame:
     return hot.join(mass, "member").groupBy("sig").agg(F.max(F.struct("mass", "member")).alias("top")).select("sig", F.col("top.member").alias("hub"))
 
 
+def _large(by_hub: DataFrame) -> DataFrame:
+    return by_hub.groupBy("hub").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("hub")
+
+
 def _with_hubs(hot: DataFrame, hubs: DataFrame) -> DataFrame:
     return hot.join(hubs, "sig").select(*_ordered("member", "hub")).filter("a <> b")
 
@@ -332,9 +364,12 @@ def _with_hubs(hot: DataFrame, hubs: DataFrame) -> DataFrame:
 def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """Pairs of stuck members of one hot subset that are not yet connected and whose sketches allow a link.
 
-    Subsets with one hub share most members, so members meet by hub. They are dealt into blocks of about BLOCK, and each
-    pair of blocks is compared in a task of its own; nothing larger than two blocks is held."""
-    met = hot.join(stuck, "member", "left_semi").join(hubs, "sig").select("hub", "member").distinct().withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
+    Of hubs with few members, all are compared. Subsets with one hub share most members, so members meet by hub. They
+    are dealt into blocks of about BLOCK, and each pair of blocks is compared in a task of its own; nothing larger than
+    two blocks is held."""
+    by_hub = hot.join(hubs, "sig").select("hub", "member").distinct()
+    met = by_hub.join(_large(by_hub), "hub", "left_anti").unionByName(by_hub.join(_large(by_hub), "hub", "left_semi").join(stuck, "member", "left_semi"))
+    met = met.withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
     known = met.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).select("hub", "member", "cls", "c")
     size = known.groupBy("hub").agg(F.count("*").alias("n_members"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
     sketches = table.join(known.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -368,19 +403,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     k: words of a shingle; two documents link when 100 * common >= percent * union."""
     small_batches(docs.sparkSession)
     table = written(signatures(docs, k, percent), "signatures")
-    found = written(_bucketed(_entries(table)), "buckets")
-    hot = found.filter("b is null").select("sig", F.col("a").alias("member"))
-    hubs = _hubs(hot)
+    found = written(_bucketed(_entries(docs, k, percent)), "buckets")
+    hot = written(_hot_members(found, table), "hot")
+    hubs = written(_hubs(hot), "hubs")
     pairs = written(_near(found.filter("b is not null").select("a", "b").union(_with_hubs(hot, hubs)).distinct(), table, percent), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(hot.select(F.col("member").bitwiseAND(F.lit(-2)))).distinct()
     sets = written(_sets_of(asked, table, docs, k), "sets")
     links = written(_verified(pairs, sets, percent), "links")
     if not hot.isEmpty():
-        more, stuck = _escapes(hot, sets, percent)
+        by_hub = hot.join(hubs, "sig").select("hub", "member").distinct()
+        crowded = by_hub.join(_large(by_hub), "hub", "left_semi").select("member").distinct()
+        more, stuck = _escapes(hot.join(crowded, "member", "left_semi"), sets, percent)
         more = _near(more.distinct().join(pairs, ["a", "b"], "left_anti"), table, percent)
         links = written(links.union(_verified(more, sets, percent)), "links")
         nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rest = written(_rest(hot, written(hubs, "hubs"), written(stuck, "stuck"), nodes, table, percent), "rest")
+        rest = written(_rest(hot, hubs, written(stuck, "stuck"), nodes, table, percent), "rest")
         links = links.union(written(_verified(rest, sets, percent), "links"))
     nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = table.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
