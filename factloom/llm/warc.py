@@ -6,7 +6,7 @@ lines. A sparse directory, one row for each block, holds the first key and the p
 searches the directory, reads the block, binary-searches that, and then reads the range of each record.
 
 Of records with equal payloads the one with the largest page_id is a response and the others revisit it. Digests alone
-are grouped; payloads are shuffled once, by key.
+are grouped; what they tell is sorted in front of the payloads, which are shuffled once, by key.
 
 The files lie in the shared folder and are reached through pyarrow's file systems, so any executor reads them. Their
 names hold the task's attempt, and only the directory rows of tasks that succeed are kept, so lost executors and
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm._shared import scratch_path, small_batches, written
@@ -75,22 +75,16 @@ def parse(record: bytes) -> dict[str, str | bytes | int | None]:
     return fields | {"payload": payload if fields["WARC-Type"] == "response" else None, "size": size}
 
 
-def _typed(pages: DataFrame) -> DataFrame:
-    """pages with payload, digest (hex), kind and of (the page that a revisit refers to)."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    digests = rows.select("page_id", F.sha1("payload").alias("digest")).groupBy("page_id", "digest").agg(F.count("*").alias("copies"))
-    top = digests.groupBy("digest").agg(F.max("page_id").alias("top"))
-    known = digests.join(top, "digest").select("page_id", "digest", "top", "copies")
-    out = rows.withColumn("digest", F.sha1("payload"))
-    # page_id and digest name a row but for repeated ones, of which one is the response
-    joined = out.join(known.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "top", "copies"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
-    once = joined.filter("copies = 1").withColumn("nth", F.lit(1))
-    again = joined.filter("copies > 1")
-    again = again.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
-    both = once.unionByName(again) if not again.isEmpty() else once
-    response = F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1)
-    return both.select("page_id", "url", "payload", F.when(response, "response").otherwise("revisit").alias("kind"), F.when(~response, F.col("top")).alias("of"))
+def _flags(rows: DataFrame) -> DataFrame:
+    """url, page_id, digest of rows, with response (whether it has the payload) and of (the page that it revisits else).
+
+    Of equal payloads the row with the largest page_id, and of its rows that with the smallest url, is the response."""
+    known = rows.select("url", "page_id", F.sha1("payload").alias("digest")).distinct()
+    first = known.groupBy("digest", "page_id").agg(F.min("url").alias("url"))
+    best = first.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("best"))
+    out = known.join(best, "digest")
+    response = F.col("page_id").eqNullSafe(F.col("best.page_id")) & (F.col("url") == F.col("best.url"))
+    return out.select("url", "page_id", "digest", response.alias("response"), F.col("best.page_id").alias("of"))
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -99,9 +93,14 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     key = F.udf(surt, "string", useArrow=True)
-    typed = _typed(pages).withColumn("key", key("url"))
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    # what is known of a record sorts before its payload, so one shuffle brings both to where they are written
+    known = _flags(rows).select("url", "page_id", "digest", "response", "of", F.lit(None).cast("binary").alias("payload"))
+    bodies = rows.select("url", "page_id", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("boolean").alias("response"), F.lit(None).cast("long").alias("of"), "payload")
+    both = known.unionByName(bodies).withColumn("key", key("url"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = typed.repartitionByRange(n, F.col("key"), F.col("page_id")).sortWithinPartitions("key", "page_id")
+    ordered = both.repartitionByRange(n, F.col("key"), F.col("page_id")).sortWithinPartitions("key", "page_id", F.col("payload").isNotNull())
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,6 +111,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         archive = index = None
         at = written_index = 0
         lines: list[tuple[str, int | None, str]] = []
+        here, told = None, {}  # of the current key and page: what is known by url and digest
         rows_out: list[tuple] = []
 
         def close_block() -> None:
@@ -126,10 +126,18 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             if archive is None and len(rows):
                 archive, index = (where.open_output_stream(f"{name}{end}", compression=None) for end in (".warc.gz", ".idx.gz"))
             for row in rows.to_pylist():
+                if (row["key"], row["page_id"]) != here:
+                    here, told = (row["key"], row["page_id"]), {}
+                if row["payload"] is None:
+                    told[row["url"], row["digest"]] = row["response"], row["of"]
+                    continue
                 payload = bytes(row["payload"])
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                url = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-                data = gzip.compress(_record(row["kind"], url, row["page_id"], payload, digest, row["of"]), LEVEL, mtime=0)
+                sha1 = hashlib.sha1(payload)
+                response, of = told[row["url"], sha1.hexdigest()]
+                told[row["url"], sha1.hexdigest()] = False, of  # a repeated row revisits
+                url = row["url"].replace("\r", "%0D").replace("\n", "%0A")
+                digest = base64.b32encode(sha1.digest()).decode()
+                data = gzip.compress(_record("response" if response else "revisit", url, row["page_id"], payload, digest, of), LEVEL, mtime=0)
                 archive.write(data)
                 place = json.dumps({"key": row["key"], "page": row["page_id"], "file": f"{name}.warc.gz", "offset": at, "length": len(data)})
                 lines.append((row["key"], row["page_id"], place))
@@ -146,7 +154,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         kinds = [pa.string() if "string" in f else pa.int64() for f in _DIRECTORY.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    made = ordered.select("key", "page_id", "url", "payload", "kind", "of").mapInArrow(emit, _DIRECTORY)
+    made = ordered.mapInArrow(emit, _DIRECTORY)
     return written(made, "directory").withColumn("folder", F.lit(folder))
 
 
