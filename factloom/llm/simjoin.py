@@ -42,6 +42,8 @@ COLD = 16
 CELLS = 128
 #: Members of a block where what is left of a hot subset is compared.
 BLOCK = 256
+#: Tokens, 8 bytes each, that a task of the verification holds, or twice as many.
+GROUP_TOKENS = 1 << 20
 #: Ids of documents, 8 bytes each, that are broadcast at most.
 BROADCAST_IDS = 250_000
 _U = np.uint64
@@ -271,19 +273,37 @@ def _sets_of(classes: DataFrame, table: DataFrame, docs: DataFrame, k: int) -> D
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in it:
-            (fa, oa), (fb, ob) = ((c.flatten().to_numpy(), c.offsets.to_numpy()) for c in (rows.column("ta"), rows.column("tb")))
-            oa, ob = oa - oa[0], ob - ob[0]
-            ok = []
-            for i in range(len(oa) - 1):
-                x, y = fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
+    """The pairs whose sets link.
+
+    A set is sent once to where its candidates meet, not once for each pair: candidates that hang together form a group,
+    small groups share tasks, and one of more than GROUP_TOKENS tokens is dealt into blocks, whose pairs are tasks."""
+    nodes = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    weighed = written(nodes.join(sets.select(F.col("cls").alias("node"), F.size("tokens").alias("n")), "node"), "weighed")
+    total = weighed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-total // GROUP_TOKENS))
+    blocks = weighed.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
+    placed = weighed.join(blocks, "component").select(
+        "node",
+        F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("group"),
+        F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.lit(-1).cast("long")).alias("block"),
+    )
+    side = lambda x: placed.select(F.col("node").alias(x), F.col("group"), F.col("block").alias(f"block_{x}"))
+    keyed = written(pairs.join(side("a"), "a").join(side("b").drop("group"), "b").select("group", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b"), "keyed")
+    there = [F.col(x).alias(f"{x}_") for x in ("group", "i", "j")]
+    sent = keyed.select(*there, F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+
+    def test(asked: pa.Table, known: pa.Table) -> pa.Table:
+        tokens = known.column("tokens").combine_chunks()
+        flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - (tokens.offsets[0].as_py() if len(tokens) else 0)
+        place = {c: i for i, c in enumerate(known.column("cls").to_pylist())}
+        ok = []
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
+            x, y = (flat[at[place[c]] : at[place[c] + 1]] for c in (a, b))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(100 * common >= percent * (len(x) + len(y) - common))
+        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return keyed.groupBy("group", "i", "j").cogroup(sent.groupBy("group_", "i_", "j_")).applyInArrow(test, "a long, b long")
 
 
 def _neighbourhoods(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
