@@ -41,12 +41,13 @@ class Encoder:
     """Token ids of texts. Byte-level pre-tokens begin at every space that follows another character, so the ids of a
     text are those of its words with the space before them, which are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._reset()
@@ -79,7 +80,7 @@ class Encoder:
         head, *words = text.split(" ")
         if not words or _ODD_SPACE.search(text):
             return np.array(self._direct([text])[0], np.uint32)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self._reset()
         fresh = [w for w in dict.fromkeys(words) if w not in self.memo]
         if fresh:
@@ -95,10 +96,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, most: int) -> Encoder:
     """This worker's encoder; it outlives tasks, and so does what it remembers."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]
 
 
@@ -168,16 +170,17 @@ def plan(lengths: list[int], pool: _Pool, rows: list[int], tiers: tuple[int, ...
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, n_tiers: int = 4, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, n_tiers: int = 4, end_id: int = 0, memo: int = MEMO) -> DataFrame:
     """docs (doc_id, text) -> a row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, tier (the sequence's length) and step_group.
 
-    tokenizer: path of a byte-level tokenizer's file, on every executor."""
+    tokenizer: path of a byte-level tokenizer's file, on every executor. memo: pre-tokens that a Python worker remembers,
+    about 200 bytes each; fewer take more time, and change nothing else."""
     small_batches(docs.sparkSession)
     tiers = tuple(window >> i for i in range(n_tiers))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pool, held, tokens, row = _encoder(tokenizer), _Pool(), {}, 0, 0
+        encoder, pool, held, tokens, row = _encoder(tokenizer, memo), _Pool(), {}, 0, 0
         sequence = TaskContext.get().partitionId() << _TASK_BITS
         group = sequence
         waiting: list[int] = []
