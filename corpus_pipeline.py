@@ -25,8 +25,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts' tokens into sequences; a row for each piece."""
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    """Packs the texts' tokens into sequences; a row for each piece. Executors are full of the stages before: workers remember less."""
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=150_000))
 
 
 STAGES = [("quality", quality_stage), ("near copies", near_copies_stage), ("pii", pii_stage), ("packing", packing_stage)]
