@@ -8,9 +8,9 @@ that of all: each task folds its own pages, partial wrappers of a host are merge
 no task ever holds a host's pages.
 
 A wrapper's groups are then told apart: menus, headers, footers, sidebars, notices, adverts, forms and comments by tag,
-role and class, the article by its own, and on hosts that mark none the group with most of the varying text, without
-texts that stay the same on all pages. Each page is read along its host's wrapper, and the text of its article groups
-is kept.
+role and class, the article by its own, and for pages that mark none the group with most of the host's varying text
+outside marked groups, without texts that stay the same on all pages. Each page is read along its host's wrapper, and
+the text of its article groups is kept.
 
 Defined cases: a null or empty html gives an empty text; a null or odd url belongs to the host ""; unclosed elements end
 with their parent; repeated rows are each read; an empty table gives no rows.
@@ -163,8 +163,10 @@ def expression(group: Group, parents: int = 1) -> str:
     return "".join(out)
 
 
-def _walk(page: str, root: Group, learn: bool) -> list[tuple[Group, str]]:
-    """Reads a page along a wrapper, which with learn takes it in; gives the groups and texts of its blocks in order."""
+def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> list[tuple[Group, str]]:
+    """Reads a page along a wrapper, which with learn takes it in; gives the groups and texts of its blocks in order.
+
+    met takes the identities of the groups that the page has."""
     stack: list[tuple[str, Group, dict[str, int]]] = [("", root, {})]
     blocks: list[tuple[Group, str]] = []
     held: list[str] = []
@@ -225,6 +227,8 @@ def _walk(page: str, root: Group, learn: bool) -> list[tuple[Group, str]]:
             if learn:
                 group.times += 1
                 top[2][sign] = top[2].get(sign, 0) + 1
+            if met is not None:
+                met.add(id(group))
             stack.append((what, group, {}))
             if mark == "drop" and what in RAW and not dropped:
                 dropped = len(stack)
@@ -256,15 +260,15 @@ def learn(pages: list[str | None], into: Group | None = None) -> Group:
     return root
 
 
-def articles(root: Group) -> set[int]:
-    """The groups (by identity) whose own text belongs to the article."""
+def articles(root: Group) -> tuple[set[int], set[int]]:
+    """The groups (by identity) whose own text belongs to the article: on pages with a marked group, and on those without."""
     marked: set[int] = set()
 
     def inside(g: Group, out: set[int], constants: bool) -> None:
         if constants or g.same in (None, -1) or root.times < SAME_PAGES:
             out.add(id(g))
         for sub in g.groups.values():
-            if sub.mark != "drop":
+            if sub.mark != "drop" and (constants or sub.mark != "article"):
                 inside(sub, out, constants)
 
     def find(g: Group) -> None:
@@ -275,21 +279,20 @@ def articles(root: Group) -> set[int]:
                 find(sub)
 
     find(root)
-    if marked:
-        return marked
+    inferred: set[int] = set()
 
     def varying(g: Group) -> int:
         own = g.chars if g.same == -1 or root.times < SAME_PAGES else 0
-        return own + sum(varying(s) for s in g.groups.values() if s.mark != "drop")
+        return own + sum(varying(s) for s in g.groups.values() if not s.mark)
 
     best, total = root, varying(root)
     while True:  # down to the smallest group that still has most of the varying text
-        subs = [s for s in best.groups.values() if s.mark != "drop" and varying(s) * 10 >= total * 9]
+        subs = [s for s in best.groups.values() if not s.mark and varying(s) * 10 >= total * 9]
         if not subs or not subs[0].groups:
             break
         best = subs[0]
-    inside(best, marked, False)
-    return marked
+    inside(best, inferred, False)
+    return marked, inferred
 
 
 def _is_header(parent: Group, group: Group) -> bool:
@@ -297,8 +300,13 @@ def _is_header(parent: Group, group: Group) -> bool:
     return any(g is group and sign.split(".")[0].split("@")[0] == "header" for sign, g in parent.groups.items())
 
 
-def main_text(page: str | None, root: Group, kept: set[int]) -> str:
-    return " ".join(text for group, text in _walk(page or "", root, False) if id(group) in kept)
+def main_text(page: str | None, root: Group, kept: tuple[set[int], set[int]]) -> str:
+    """The text of a page's marked groups; of a page that has none, that of the groups inferred from the host."""
+    met: set[int] = set()
+    blocks = _walk(page or "", root, False, met)
+    marked, inferred = kept
+    chosen = inferred if met.isdisjoint(marked) else marked
+    return " ".join(text for group, text in blocks if id(group) in chosen)
 
 
 def _host(url) -> F.Column:
@@ -349,7 +357,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Group, set[int]]] = {}
+        held: dict[str, tuple[Group, tuple[set[int], set[int]]]] = {}
         for batch in it:
             texts = []
             for host, page, wrapper in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), strict=True):

@@ -413,3 +413,16 @@ def test_wrappers_merge_to_that_of_all_pages():
     parts.merge(extract.learn(pages[2:]))
     assert parts.to_json() == whole.to_json()
     assert extract.expression(whole, whole.times) == "<body><ul>(<li>text</li>)+</ul>(<p>text</p>)?<div>#PCDATA</div></body>"
+
+
+def read_all(pages):
+    root = extract.learn(pages)
+    kept = extract.articles(root)
+    return [extract.main_text(p, root, kept) for p in pages]
+
+
+def test_pages_without_marks_on_a_host_with_marked_ones():
+    marked = [f"<body><article><p>Marked {i}</p></article></body>" for i in range(4)]
+    plain = [f"<body><div class=x><p>Plain text number {i}</p></div></body>" for i in range(4)]
+    empty = "<body><article></article><div class=x><p>Beside</p></div></body>"
+    assert read_all([*marked, *plain, empty]) == [f"Marked {i}" for i in range(4)] + [f"Plain text number {i}" for i in range(4)] + [""]
