@@ -18,6 +18,7 @@ with their parent; repeated rows are each read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -84,25 +85,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, str]:
-    """What an element stands by, and "drop", "article" or ""."""
-    if not attributes.strip(" /"):
-        return tag, "drop" if tag in DROPPED else "article" if tag in ("article", "main") else ""
-    a = {x[0].lower(): x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)}
-    name = f"{a.get('class', '')} {a.get('id', '')}".strip()
-    sign = f"{tag}.{re.sub(r'[0-9]+', '#', name)[:60]}" if name else tag
-    role = a.get("role", "").lower()
+def _mark(tag: str, name: str, role: str, a: dict[str, str]) -> str:
     if tag in DROPPED or role in ROLES or "hidden" in a.get("aria-hidden", ""):
-        return sign, "drop"
+        return "drop"
     if tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "") == "articleBody":
-        return f"{sign}@{role}", "article"
+        return "article"
     if name and tag not in ("html", "body"):
         words = set(_PARTS.findall(_CAMEL.sub(" ", name).lower()))
         if words & WORDS:
-            return sign, "drop"
+            return "drop"
         if words & ARTICLE_WORDS and tag in ("div", "section"):
-            return sign, "article"
-    return sign, "drop" if role in ROLES else ""
+            return "article"
+    return ""
+
+
+def _kind(tag: str, attributes: str) -> tuple[str, str]:
+    """What an element stands by, and "drop", "article" or "". Elements of different marks stand by different signs."""
+    if not attributes.strip(" /"):
+        return tag, "drop" if tag in DROPPED else "article" if tag in ("article", "main") else ""
+    a = {x[0].lower(): x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)}
+    name = f"{a.get('class', '')} {a.get('id', '')}".strip()
+    role = a.get("role", "").lower()
+    mark = _mark(tag, name, role, a)
+    blotted = re.sub(r"[0-9]+", "#", name)
+    if len(blotted) > 60:  # the rest stands by its hash
+        blotted = f"{blotted[:60]}~{hashlib.blake2s(blotted.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+    sign = f"{tag}.{blotted}" if name else tag
+    return f"{sign}@{mark}" if mark else sign, mark
 
 
 class Group:

@@ -426,3 +426,11 @@ def test_pages_without_marks_on_a_host_with_marked_ones():
     plain = [f"<body><div class=x><p>Plain text number {i}</p></div></body>" for i in range(4)]
     empty = "<body><article></article><div class=x><p>Beside</p></div></body>"
     assert read_all([*marked, *plain, empty]) == [f"Marked {i}" for i in range(4)] + [f"Plain text number {i}" for i in range(4)] + [""]
+
+
+def test_elements_of_different_marks_share_no_group():
+    utility = "flex items-center justify-between px-four py-two text-small leading-loose "
+    for drop, keep in (("role=banner", ""), ("aria-hidden=hidden", ""), (f"class='{utility}sidebar'", f"class='{utility}prose'")):
+        menu, text = (lambda i, a=drop: f"<div {a}>Menu {i}</div>"), (lambda i, a=keep: f"<div {a}>Text {i}</div>")
+        assert read_all([f"<body>{menu(i)}{text(i)}</body>" for i in range(4)]) == [f"Text {i}" for i in range(4)]
+        assert read_all([f"<body>{text(i)}{menu(i)}</body>" for i in range(4)]) == [f"Text {i}" for i in range(4)]
