@@ -8,9 +8,9 @@ that of all: each task folds its own pages, partial wrappers of a host are merge
 no task ever holds a host's pages.
 
 A wrapper's groups are then told apart: menus, headers, footers, sidebars, notices, adverts, forms and comments by tag,
-role and class, the article by its own, and for pages that mark none the group with most of the host's varying text
-outside marked groups, without texts that stay the same on all pages. Each page is read along its host's wrapper, and
-the text of its article groups is kept.
+role and class, the article by its own. For pages that mark none it is all the rest but the page's own header (one
+directly in the body) and texts that are the same on all pages that have them, if SAME_PAGES distinct pages or more do
+(a page of such texts alone keeps them). Each page is read along its host's wrapper, and the text of its article groups is kept.
 
 Defined cases: a null or empty html gives an empty text; a null or odd url belongs to the host ""; unclosed elements end
 with their parent; repeated rows are each read; an empty table gives no rows.
@@ -37,7 +37,7 @@ SALTS = 16
 HOSTS = 256
 #: Wrappers are broadcast up to so many bytes, and joined beyond.
 BROADCAST_BYTES = 8 << 20
-#: Pages from which a text that never changes is the host's own.
+#: Distinct pages from which a text that never changes is the host's own.
 SAME_PAGES = 3
 #: Groups of one parent beyond which further kinds share one, so that a wrapper stays small on odd hosts.
 KINDS = 256
@@ -117,35 +117,41 @@ def _kind(tag: str, attributes: str) -> tuple[str, str]:
 class Group:
     """An element of a wrapper: how often and in how many parents it stands, its own text and its groups in order."""
 
-    __slots__ = ("mark", "times", "parents", "most", "same", "chars", "groups")
+    __slots__ = ("mark", "times", "parents", "most", "same", "chars", "pages", "groups")
 
     def __init__(self, mark: str = "") -> None:
         self.mark, self.times, self.parents, self.most = mark, 0, 0, 0
         self.same: int | None = None  # checksum of its text, -1 where texts differ
         self.chars = 0
+        self.pages: list[int] = []  # while its text is the same: the SAME_PAGES smallest digests of pages that have it
         self.groups: dict[str, Group] = {}
 
-    def text(self, checksum: int, chars: int) -> None:
+    def text(self, checksum: int, chars: int, pages: list[int]) -> None:
         self.same = checksum if self.same is None or self.same == checksum else -1
         self.chars += chars
+        self.pages = [] if self.same == -1 else sorted({*self.pages, *pages})[:SAME_PAGES]
+
+    def constant(self) -> bool:
+        """The host's own text: the same on SAME_PAGES distinct pages or more, and on no page another."""
+        return self.same not in (None, -1) and len(self.pages) >= SAME_PAGES
 
     def merge(self, other: Group) -> None:
         self.times += other.times
         self.parents += other.parents
         self.most = max(self.most, other.most)
         if other.same is not None:
-            self.text(other.same, other.chars)
+            self.text(other.same, other.chars, other.pages)
         for sign, theirs in other.groups.items():
             _child(self, sign, theirs.mark).merge(theirs)
 
     def to_json(self) -> list:
-        return [self.mark, self.times, self.parents, self.most, self.same, self.chars, {k: v.to_json() for k, v in self.groups.items()}]
+        return [self.mark, self.times, self.parents, self.most, self.same, self.chars, self.pages, {k: v.to_json() for k, v in self.groups.items()}]
 
     @classmethod
     def from_json(cls, x: list) -> Group:
         out = cls(x[0])
-        out.times, out.parents, out.most, out.same, out.chars = x[1:6]
-        out.groups = {k: cls.from_json(v) for k, v in x[6].items()}
+        out.times, out.parents, out.most, out.same, out.chars, out.pages = x[1:7]
+        out.groups = {k: cls.from_json(v) for k, v in x[7].items()}
         return out
 
 
@@ -255,8 +261,9 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
     flush()
     count(root, stack[0][2])
     if learn:
+        digest = [int.from_bytes(hashlib.blake2s(page.encode("utf-8", "replace"), digest_size=6).digest())]
         for group, text in blocks:
-            group.text(zlib.crc32(text.encode("utf-8", "replace")), len(text))
+            group.text(zlib.crc32(text.encode("utf-8", "replace")), len(text), digest)
     return blocks
 
 
@@ -269,53 +276,56 @@ def learn(pages: list[str | None], into: Group | None = None) -> Group:
     return root
 
 
-def articles(root: Group) -> tuple[set[int], set[int]]:
-    """The groups (by identity) whose own text belongs to the article: on pages with a marked group, and on those without."""
+def articles(root: Group) -> tuple[set[int], set[int], set[int]]:
+    """The groups (by identity) whose own text belongs to the article: on pages with a marked group, on those without, and
+    on those without where that leaves no text."""
     marked: set[int] = set()
 
-    def inside(g: Group, out: set[int], constants: bool) -> None:
-        if constants or g.same in (None, -1) or root.times < SAME_PAGES:
-            out.add(id(g))
+    def inside(g: Group) -> None:
+        marked.add(id(g))
         for sub in g.groups.values():
-            if sub.mark != "drop" and (constants or sub.mark != "article"):
-                inside(sub, out, constants)
+            if sub.mark != "drop":
+                inside(sub)
 
     def find(g: Group) -> None:
         for sub in g.groups.values():
             if sub.mark == "article":
-                inside(sub, marked, True)
+                inside(sub)
             elif sub.mark != "drop" and not _is_header(g, sub):
                 find(sub)
 
     find(root)
     inferred: set[int] = set()
+    unmarked: set[int] = set()
+
+    def infer(g: Group, top: bool) -> None:
+        unmarked.add(id(g))
+        if not g.constant():
+            inferred.add(id(g))
+        for sub in g.groups.values():
+            if not sub.mark and not (top and _is_header(g, sub)):
+                infer(sub, top and _tag(g, sub) in ("html", "body"))
+
+    infer(root, True)
+    return marked, inferred, unmarked
 
-    def varying(g: Group) -> int:
-        own = g.chars if g.same == -1 or root.times < SAME_PAGES else 0
-        return own + sum(varying(s) for s in g.groups.values() if not s.mark)
 
-    best, total = root, varying(root)
-    while True:  # down to the smallest group that still has most of the varying text
-        subs = [s for s in best.groups.values() if not s.mark and varying(s) * 10 >= total * 9]
-        if not subs or not subs[0].groups:
-            break
-        best = subs[0]
-    inside(best, inferred, False)
-    return marked, inferred
+def _tag(parent: Group, group: Group) -> str:
+    return next((re.split(r"[.@]", sign)[0] for sign, g in parent.groups.items() if g is group), "")
 
 
 def _is_header(parent: Group, group: Group) -> bool:
     """A page's own header; one within an article belongs to it."""
-    return any(g is group and sign.split(".")[0].split("@")[0] == "header" for sign, g in parent.groups.items())
+    return _tag(parent, group) == "header"
 
 
-def main_text(page: str | None, root: Group, kept: tuple[set[int], set[int]]) -> str:
+def main_text(page: str | None, root: Group, kept: tuple[set[int], set[int], set[int]]) -> str:
     """The text of a page's marked groups; of a page that has none, that of the groups inferred from the host."""
     met: set[int] = set()
     blocks = _walk(page or "", root, False, met)
-    marked, inferred = kept
-    chosen = inferred if met.isdisjoint(marked) else marked
-    return " ".join(text for group, text in blocks if id(group) in chosen)
+    marked, inferred, unmarked = kept
+    text = lambda chosen: " ".join(text for group, text in blocks if id(group) in chosen)
+    return text(inferred) or text(unmarked) if met.isdisjoint(marked) else text(marked)
 
 
 def _host(url) -> F.Column:
@@ -366,7 +376,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Group, tuple[set[int], set[int]]]] = {}
+        held: dict[str, tuple[Group, tuple[set[int], set[int], set[int]]]] = {}
         for batch in it:
             texts = []
             for host, page, wrapper in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), strict=True):

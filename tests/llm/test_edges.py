@@ -434,3 +434,14 @@ def test_elements_of_different_marks_share_no_group():
         menu, text = (lambda i, a=drop: f"<div {a}>Menu {i}</div>"), (lambda i, a=keep: f"<div {a}>Text {i}</div>")
         assert read_all([f"<body>{menu(i)}{text(i)}</body>" for i in range(4)]) == [f"Text {i}" for i in range(4)]
         assert read_all([f"<body>{text(i)}{menu(i)}</body>" for i in range(4)]) == [f"Text {i}" for i in range(4)]
+
+
+def test_text_beside_the_longest_and_copies_of_pages_stay():
+    page = "<body><div class=menu>Menu</div><div><h3>Imprint</h3><h1>Title {0}</h1><p>lead {0}</p><div><p>{1}</p><p>{1}</p></div></div></body>"
+    body = [" ".join([f"long body {i}"] * 40) for i in range(4)]
+    assert read_all([page.format(i, b) for i, b in enumerate(body)]) == [f"Title {i} lead {i} {b} {b}" for i, b in enumerate(body)]
+    for n in (1, 2, 3, 50):
+        assert read_all(["<body><div><p>The one text</p></div></body>"] * n) == ["The one text"] * n
+    assert read_all([f"<body><nav>{i}</nav><p>Copied text</p></body>" for i in range(4)]) == ["Copied text"] * 4
+    own = "<body><header>Site {0}</header><div><header><h1>Title {0}</h1></header><p>text {0}</p></div></body>"
+    assert read_all([own.format(i) for i in range(4)]) == [f"Title {i} text {i}" for i in range(4)]
