@@ -23,7 +23,7 @@ import html as html_lib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +49,20 @@ RAW = frozenset("script style template noscript iframe textarea title xmp noembe
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: An open <p> ends where one of these begins.
 ENDS_P = BLOCK - frozenset("br body html head button caption td th tr tbody thead tfoot legend option".split())
+CODE = frozenset(("pre", "code"))
+#: An open element of these kinds ends where one of the tag begins, unless one of the others is open within it.
+_LIST, _CELL, _ROWS = frozenset("ul ol menu dir table".split()), frozenset("td th".split()), frozenset("tbody thead tfoot".split())
+ENDS = {
+    "li": (frozenset(("li",)), _LIST),
+    "dt": (frozenset("dt dd".split()), frozenset("dl table".split())),
+    "dd": (frozenset("dt dd".split()), frozenset("dl table".split())),
+    "td": (_CELL, _ROWS | {"tr", "table"}),
+    "th": (_CELL, _ROWS | {"tr", "table"}),
+    "tr": (frozenset(("tr",)), _ROWS | {"table"}),
+    "tbody": (_ROWS, frozenset(("table",))),
+    "thead": (_ROWS, frozenset(("table",))),
+    "tfoot": (_ROWS, frozenset(("table",))),
+}
 DROPPED = frozenset("nav footer aside form script style template noscript iframe textarea title head button select option svg canvas object audio video map dialog menu xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset("nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidenav rail footer header masthead topbar banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup login social share sharing sharebar related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager popup modal overlay widget widgets toolbar skip copyright legal disclaimer outbrain taboola".split())
@@ -178,22 +192,21 @@ def expression(group: Group, parents: int = 1) -> str:
     return "".join(out)
 
 
-def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> list[tuple[Group, str]]:
-    """Reads a page along a wrapper, which with learn takes it in; gives the groups and texts of its blocks in order.
+def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> list[list[tuple[Group, str]]]:
+    """Reads a page along a wrapper, which with learn takes it in; gives its blocks in order, each as its groups and their texts.
 
     met takes the identities of the groups that the page has."""
-    stack: list[tuple[str, Group, dict[str, int]]] = [("", root, {})]
-    blocks: list[tuple[Group, str]] = []
-    held: list[str] = []
-    held_group = root
+    # of each open element: tag, group, signs of its children, and the mark that holds in it
+    stack: list[tuple[str, Group, dict[str, int], str]] = [("", root, {}, "")]
+    blocks: list[list[tuple[Group, str]]] = []
+    held: list[tuple[Group, str]] = []
     dropped = 0  # depth at which an element without text began
+    code = 0  # open <pre> and <code>: what stands in them by class is highlighting
 
     def flush() -> None:
         if held:
-            text = " ".join(html_lib.unescape("".join(held)).split())
+            blocks.append(held.copy())
             held.clear()
-            if text:
-                blocks.append((held_group, text))
 
     def count(group: Group, seen: dict[str, int]) -> None:
         for sign, n in seen.items():
@@ -203,20 +216,24 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
                 g.most = max(g.most, n)
 
     def pop() -> None:
-        nonlocal dropped
-        tag, group, seen = stack.pop()
+        nonlocal dropped, code
+        tag, group, seen, _ = stack.pop()
         if tag in BLOCK:
             flush()
+        if tag in CODE:
+            code -= 1
         count(group, seen)
         if dropped > len(stack):
             dropped = 0
 
+    def end(i: int) -> None:
+        while len(stack) > i:
+            pop()
+
     for kind, what, attributes in tokens(page):
         if kind == "text":
             if not dropped:
-                if not held:
-                    held_group = stack[-1][1]
-                held.append(what)
+                held.append((stack[-1][1], what))
             continue
         if kind == "open":
             if what in BLOCK:
@@ -228,45 +245,57 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
                 while i and stack[i][0] not in BLOCK:
                     i -= 1
                 if stack[i][0] == "p":
-                    while len(stack) > i:
-                        pop()
-            if what == "li" and stack[-1][0] in ("li", "p"):
-                while len(stack) > 1 and stack[-1][0] in ("li", "p"):
-                    pop()
+                    end(i)
+            if what in ENDS:  # ends an open one of its kind, through what is open in it
+                kinds, bounds = ENDS[what]
+                i = len(stack) - 1
+                while i and stack[i][0] not in kinds and stack[i][0] not in bounds:
+                    i -= 1
+                if stack[i][0] in kinds:
+                    end(i)
             sign, mark = _kind(what, attributes)
-            top = stack[-1]
-            if what not in BLOCK and not mark or len(stack) > DEPTH:
-                stack.append((what, top[1], {}))  # inline elements belong to their block's text
-                continue
-            group = _child(top[1], sign, mark)
-            if learn:
-                group.times += 1
-                top[2][sign] = top[2].get(sign, 0) + 1
-            if met is not None:
-                met.add(id(group))
-            stack.append((what, group, {}))
-            if mark == "drop" and what in RAW and not dropped:
+            _, above, seen, holds = stack[-1]
+            inline = what not in BLOCK and (not mark or code and what not in DROPPED)
+            # beyond DEPTH only a change of mark makes a group: from none to article to drop
+            if inline or len(stack) > DEPTH and (not mark or holds in ("drop", mark)):
+                stack.append((what, above, {}, holds))  # belongs to its block's text
+            else:
+                group = _child(above, sign, mark)
+                if learn:
+                    group.times += 1
+                    seen[sign] = seen.get(sign, 0) + 1
+                if met is not None:
+                    met.add(id(group))
+                stack.append((what, group, {}, "drop" if holds == "drop" else mark or holds))
+            if what in CODE:
+                code += 1
+            if what in RAW and what in DROPPED and not dropped:
                 dropped = len(stack)
         else:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == what:
-                    while len(stack) > i:
-                        pop()
+                    end(i)
                     break
             else:
                 if what in BLOCK:
                     flush()
-    while len(stack) > 1:
-        pop()
+    end(1)
     flush()
     count(root, stack[0][2])
     if learn:
         digest = [int.from_bytes(hashlib.blake2s(page.encode("utf-8", "replace"), digest_size=6).digest())]
-        for group, text in blocks:
-            group.text(zlib.crc32(text.encode("utf-8", "replace")), len(text), digest)
+        for block in blocks:
+            for group in {id(g): g for g, _ in block}.values():
+                text = _joined(x for g, x in block if g is group)
+                if text:
+                    group.text(zlib.crc32(text.encode("utf-8", "replace")), len(text), digest)
     return blocks
 
 
+def _joined(texts: Iterable[str]) -> str:
+    return " ".join(html_lib.unescape("".join(texts)).split())
+
+
 def learn(pages: list[str | None], into: Group | None = None) -> Group:
     """The wrapper of these pages, or of these and those before."""
     root = into or Group()
@@ -324,7 +353,7 @@ def main_text(page: str | None, root: Group, kept: tuple[set[int], set[int], set
     met: set[int] = set()
     blocks = _walk(page or "", root, False, met)
     marked, inferred, unmarked = kept
-    text = lambda chosen: " ".join(text for group, text in blocks if id(group) in chosen)
+    text = lambda chosen: " ".join(filter(None, (_joined(x for g, x in block if id(g) in chosen) for block in blocks)))
     return text(inferred) or text(unmarked) if met.isdisjoint(marked) else text(marked)
 
 

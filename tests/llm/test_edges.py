@@ -445,3 +445,20 @@ def test_text_beside_the_longest_and_copies_of_pages_stay():
     assert read_all([f"<body><nav>{i}</nav><p>Copied text</p></body>" for i in range(4)]) == ["Copied text"] * 4
     own = "<body><header>Site {0}</header><div><header><h1>Title {0}</h1></header><p>text {0}</p></div></body>"
     assert read_all([own.format(i) for i in range(4)]) == [f"Title {i} text {i}" for i in range(4)]
+
+
+def test_text_around_marked_inline_elements_and_deep_marks():
+    ad = "<span class=ad>Buy</span>"
+    pages = [f"<body><article><p>{ad} real {i}</p><p>text {i} {ad}</p><pre><span class=hljs-comment># x</span> code {i}</pre></article></body>" for i in range(4)]
+    assert read_all(pages) == [f"real {i} text {i} # x code {i}" for i in range(4)]
+    assert read_all([f"<body><p>{ad} real {i}</p><p>text {i} {ad}</p></body>" for i in range(4)]) == [f"real {i} text {i}" for i in range(4)]
+    deep = f"<body>{'<div>' * 100}<nav>Menu {{0}}</nav><article><p>Deep {{0}}<div class=comments>rude</div></article>{'</div>' * 100}</body>"
+    assert read_all([deep.format(i) for i in range(4)]) == [f"Deep {i}" for i in range(4)]
+    cells = "".join(f"<tr><td>a{i}<td>b{i}" for i in range(99))
+    table = f"<body><article><table>{cells}</table><dl>{'<dt>t<dd>d' * 99}</dl><nav>Menu</nav><p>end {{0}}</p></article></body>"
+    want = " ".join(f"a{i} b{i}" for i in range(99)) + " t d" * 99
+    assert read_all([table.format(i) for i in range(4)]) == [f"{want} end {i}" for i in range(4)]
+    nested = f"<body>{'<article><nav>' * 3000}x{'</nav></article>' * 3000}<article>y{{0}}</article></body>"
+    assert read_all([nested.format(i) for i in range(4)]) == [f"y{i}" for i in range(4)]
+    wrapper = extract.learn([table.format(0)]).groups["body"].groups["article"].groups
+    assert list(wrapper["table"].groups) == ["tr"] and list(wrapper["table"].groups["tr"].groups) == ["td"]
