@@ -1,16 +1,17 @@
-"""Main text of web pages by wrappers inferred from pages of one host.
+"""Main text of web pages by wrappers inferred from pages of one host, and by rules on marks.
 
-A page's token stream is folded into nested groups: an element stands by its tag and classes, digits blotted out.
-Aligning the streams of a host resolves their mismatches: what some parents lack becomes an optional group, what a
-parent has again becomes a repeated group, and texts that differ become slots. The result is a union-free regular
-expression for the host, its wrapper. Wrappers hold counts alone, so those of any two sets of a host's pages merge into
-that of all: each task folds its own pages, partial wrappers of a host are merged in SALTS parts and then to one, and
-no task ever holds a host's pages.
+A page's token stream is folded into nested groups: an element stands by its tag, its classes, digits blotted out, and
+its mark. Folding the pages of a host finds what some parents lack (optional groups), what a parent has again (repeated
+groups) and texts that differ (slots). Streams are not aligned: groups of a parent meet by what they stand by, and only
+their first order is kept; optional and repeated groups show in expression() and decide nothing. Wrappers hold counts
+alone, so those of any two sets of a host's pages merge into that of all: each task folds its own pages, partial
+wrappers of a host are merged in SALTS parts and then to one, and no task ever holds a host's pages.
 
-A wrapper's groups are then told apart: menus, headers, footers, sidebars, notices, adverts, forms and comments by tag,
-role and class, the article by its own. For pages that mark none it is all the rest but the page's own header (one
-directly in the body) and texts that are the same on all pages that have them, if SAME_PAGES distinct pages or more do
-(a page of such texts alone keeps them). Each page is read along its host's wrapper, and the text of its article groups is kept.
+What a page keeps is decided so. Rules: menus, footers, sidebars, forms and the like are dropped by tag and role; on
+pages with a marked article (tag, role or class) its groups are kept. Wrapper: class words that tell boilerplate are
+hints, overruled where the group has most of the text on most of the host's pages that have it. On pages that mark no
+article it is all the rest but the page's own header (one directly in the body) and texts that are the same on all pages
+that have them, if SAME_PAGES distinct pages or more do (a page of such texts alone keeps them).
 
 Defined cases: a null or empty html gives an empty text; a null or odd url belongs to the host ""; unclosed elements end
 with their parent; repeated rows are each read; an empty table gives no rows.
@@ -23,6 +24,7 @@ import html as html_lib
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -107,14 +109,14 @@ def _mark(tag: str, name: str, role: str, a: dict[str, str]) -> str:
     if name and tag not in ("html", "body"):
         words = set(_PARTS.findall(_CAMEL.sub(" ", name).lower()))
         if words & WORDS:
-            return "drop"
+            return "hint"
         if words & ARTICLE_WORDS and tag in ("div", "section"):
             return "article"
     return ""
 
 
 def _kind(tag: str, attributes: str) -> tuple[str, str]:
-    """What an element stands by, and "drop", "article" or "". Elements of different marks stand by different signs."""
+    """What an element stands by, and "drop", "hint" (to drop, by its words alone), "article" or "". Elements of different marks stand by different signs."""
     if not attributes.strip(" /"):
         return tag, "drop" if tag in DROPPED else "article" if tag in ("article", "main") else ""
     a = {x[0].lower(): x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)}
@@ -131,13 +133,14 @@ def _kind(tag: str, attributes: str) -> tuple[str, str]:
 class Group:
     """An element of a wrapper: how often and in how many parents it stands, its own text and its groups in order."""
 
-    __slots__ = ("mark", "times", "parents", "most", "same", "chars", "pages", "groups")
+    __slots__ = ("mark", "times", "parents", "most", "same", "chars", "pages", "held", "leads", "groups")
 
     def __init__(self, mark: str = "") -> None:
         self.mark, self.times, self.parents, self.most = mark, 0, 0, 0
         self.same: int | None = None  # checksum of its text, -1 where texts differ
         self.chars = 0
         self.pages: list[int] = []  # while its text is the same: the SAME_PAGES smallest digests of pages that have it
+        self.held, self.leads = 0, 0  # of a hint: pages that have it, and those most of whose text is in it
         self.groups: dict[str, Group] = {}
 
     def text(self, checksum: int, chars: int, pages: list[int]) -> None:
@@ -149,9 +152,15 @@ class Group:
         """The host's own text: the same on SAME_PAGES distinct pages or more, and on no page another."""
         return self.same not in (None, -1) and len(self.pages) >= SAME_PAGES
 
+    def dropped(self) -> bool:
+        """By mark; a hint is overruled where the group has most of the text on most pages that have it."""
+        return self.mark == "drop" or self.mark == "hint" and self.leads * 2 <= self.held
+
     def merge(self, other: Group) -> None:
         self.times += other.times
         self.parents += other.parents
+        self.held += other.held
+        self.leads += other.leads
         self.most = max(self.most, other.most)
         if other.same is not None:
             self.text(other.same, other.chars, other.pages)
@@ -159,13 +168,13 @@ class Group:
             _child(self, sign, theirs.mark).merge(theirs)
 
     def to_json(self) -> list:
-        return [self.mark, self.times, self.parents, self.most, self.same, self.chars, self.pages, {k: v.to_json() for k, v in self.groups.items()}]
+        return [self.mark, self.times, self.parents, self.most, self.same, self.chars, self.pages, self.held, self.leads, {k: v.to_json() for k, v in self.groups.items()}]
 
     @classmethod
     def from_json(cls, x: list) -> Group:
         out = cls(x[0])
-        out.times, out.parents, out.most, out.same, out.chars, out.pages = x[1:7]
-        out.groups = {k: cls.from_json(v) for k, v in x[7].items()}
+        out.times, out.parents, out.most, out.same, out.chars, out.pages, out.held, out.leads = x[1:9]
+        out.groups = {k: cls.from_json(v) for k, v in x[9].items()}
         return out
 
 
@@ -196,8 +205,9 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
     """Reads a page along a wrapper, which with learn takes it in; gives its blocks in order, each as its groups and their texts.
 
     met takes the identities of the groups that the page has."""
-    # of each open element: tag, group, signs of its children, and the mark that holds in it
-    stack: list[tuple[str, Group, dict[str, int], str]] = [("", root, {}, "")]
+    # of each open element: tag, group, signs of its children, and the marks that hold in it
+    stack: list[tuple[str, Group, dict[str, int], tuple[str, ...]]] = [("", root, {}, ())]
+    hints: dict[int, tuple[Group, ...] | None] = {id(root): ()}  # by group, the hints it is in; None in dropped ones
     blocks: list[list[tuple[Group, str]]] = []
     held: list[tuple[Group, str]] = []
     dropped = 0  # depth at which an element without text began
@@ -256,8 +266,8 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
             sign, mark = _kind(what, attributes)
             _, above, seen, holds = stack[-1]
             inline = what not in BLOCK and (not mark or code and what not in DROPPED)
-            # beyond DEPTH only a change of mark makes a group: from none to article to drop
-            if inline or len(stack) > DEPTH and (not mark or holds in ("drop", mark)):
+            # beyond DEPTH only a mark that doesn't hold yet makes a group
+            if inline or len(stack) > DEPTH and (not mark or mark in holds or "drop" in holds):
                 stack.append((what, above, {}, holds))  # belongs to its block's text
             else:
                 group = _child(above, sign, mark)
@@ -266,7 +276,11 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
                     seen[sign] = seen.get(sign, 0) + 1
                 if met is not None:
                     met.add(id(group))
-                stack.append((what, group, {}, "drop" if holds == "drop" else mark or holds))
+                outer = hints[id(above)]
+                hints[id(group)] = None if outer is None or mark == "drop" else (*outer, group) if mark == "hint" else outer
+                if mark and "drop" not in holds:
+                    holds = (*holds, mark) if len(stack) > DEPTH else (mark,)
+                stack.append((what, group, {}, holds))
             if what in CODE:
                 code += 1
             if what in RAW and what in DROPPED and not dropped:
@@ -284,11 +298,19 @@ def _walk(page: str, root: Group, learn: bool, met: set[int] | None = None) -> l
     count(root, stack[0][2])
     if learn:
         digest = [int.from_bytes(hashlib.blake2s(page.encode("utf-8", "replace"), digest_size=6).digest())]
+        total, led = 0, Counter()
         for block in blocks:
             for group in {id(g): g for g, _ in block}.values():
                 text = _joined(x for g, x in block if g is group)
                 if text:
                     group.text(zlib.crc32(text.encode("utf-8", "replace")), len(text), digest)
+                    if (within := hints[id(group)]) is not None:
+                        total += len(text)
+                        for g in within:
+                            led[g] += len(text)
+        for g in {g for within in hints.values() for g in within or ()}:
+            g.held += 1
+            g.leads += led[g] * 2 > total
     return blocks
 
 
@@ -313,29 +335,30 @@ def articles(root: Group) -> tuple[set[int], set[int], set[int]]:
     def inside(g: Group) -> None:
         marked.add(id(g))
         for sub in g.groups.values():
-            if sub.mark != "drop":
+            if not sub.dropped():
                 inside(sub)
 
     def find(g: Group) -> None:
         for sub in g.groups.values():
             if sub.mark == "article":
                 inside(sub)
-            elif sub.mark != "drop" and not _is_header(g, sub):
+            elif not sub.dropped() and not _is_header(g, sub):
                 find(sub)
 
     find(root)
     inferred: set[int] = set()
     unmarked: set[int] = set()
 
-    def infer(g: Group, top: bool) -> None:
-        unmarked.add(id(g))
+    def infer(g: Group, top: bool, hinted: bool) -> None:
+        if not hinted:
+            unmarked.add(id(g))
         if not g.constant():
             inferred.add(id(g))
         for sub in g.groups.values():
-            if not sub.mark and not (top and _is_header(g, sub)):
-                infer(sub, top and _tag(g, sub) in ("html", "body"))
+            if sub.mark != "article" and not sub.dropped() and not (top and _is_header(g, sub)):
+                infer(sub, top and _tag(g, sub) in ("html", "body"), hinted or sub.mark == "hint")
 
-    infer(root, True)
+    infer(root, True, False)
     return marked, inferred, unmarked
 
 

@@ -462,3 +462,13 @@ def test_text_around_marked_inline_elements_and_deep_marks():
     assert read_all([nested.format(i) for i in range(4)]) == [f"y{i}" for i in range(4)]
     wrapper = extract.learn([table.format(0)]).groups["body"].groups["article"].groups
     assert list(wrapper["table"].groups) == ["tr"] and list(wrapper["table"].groups["tr"].groups) == ["td"]
+
+
+def test_words_are_hints_that_the_host_overrules():
+    page = "<body><div class='content has-sidebar'><p>Main text of page {0}</p><div class=sidebar>Side {0}</div></div><div class=related>More {0}</div></body>"
+    assert read_all([page.format(i) for i in range(4)]) == [f"Main text of page {i}" for i in range(4)]
+    other = "<body><article>Another template {0}</article><div class=comments>rude {0}</div></body>"
+    pages = [other.format(i) for i in range(9)] + [page.format(i) for i in range(3)]
+    assert read_all(pages) == [f"Another template {i}" for i in range(9)] + [f"Main text of page {i}" for i in range(3)]
+    inner = "<body><div class=has-sidebar><article>An article {0}</article></div></body>"
+    assert read_all([inner.format(i) for i in range(4)]) == [f"An article {i}" for i in range(4)]
