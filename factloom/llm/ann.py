@@ -2,13 +2,15 @@
 
 Centroids, a random rotation and the number of lists to probe are fitted on a bounded sample (SAMPLE vectors, those of
 the smallest hashed ids); every vector is indexed. A query probes the lists whose centroids have the largest inner
-product with it, as many as hold SHARE of the sample's true neighbours. The sample's own k best are candidates of each
-query too, and give it a floor: the k-th best of all can't be under it.
+product with it, as many as hold SHARE of the sample's true neighbours. Members of the sample in the probed lists give
+the query a floor: the k-th best of those lists can't be under it. The sample gives no rows; all come from the scan of
+the probed lists.
 
 Within a probed list the rotated vectors are read in blocks of BLOCK_DIMS dimensions. After d of D dimensions a partial
 product p of a pair whose full product is t has, under a random rotation, mean t d / D and a known deviation; a
 candidate is abandoned when p lies Z deviations under what the floor (or the k-th best found so far) asks. Survivors are
-scored in double precision on the original vectors.
+scored in double precision on the original vectors. The test can abandon a true one; a query left with fewer than k rows
+is scanned again without a floor.
 
 Lists are split by hash into parts of LIST_PART vectors, and the queries of a list into parts of QUERY_PART, so that no
 task holds more than one of each, however large a list grows.
@@ -39,6 +41,8 @@ LIST_PART = 8192
 QUERY_PART = 2048
 BLOCK_DIMS = 16
 Z = 3.5
+#: The floor of a query that has none.
+NO_FLOOR = -1e300
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,7 @@ class Index:
     probes: int
     sample_ids: np.ndarray
     sample: np.ndarray
+    sample_lists: np.ndarray
 
 
 def _vectors(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +69,6 @@ def _vectors(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.
     return x[ok], rows[ok]
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, best first, ties to smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
-
-
 def fit(vectors: DataFrame, k: int) -> Index | None:
     """The index of vectors (vec_id, embedding); None where no vector takes part."""
     n = vectors.count()
@@ -102,7 +102,7 @@ def fit(vectors: DataFrame, k: int) -> Index | None:
     at = np.sort(np.take_along_axis(depth, of[best], axis=1).ravel()) if best.size else np.zeros(1, int)
     probes = int(at[min(len(at) - 1, int(SHARE * len(at)))]) + 1
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
-    return Index(c, rotation, probes, ids, x)
+    return Index(c, rotation, probes, ids, x, of)
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -147,6 +147,9 @@ def _scan(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, x_ids: np.ndarray
         score = np.einsum("ij,ij->i", q[rows][a], x[b])
         order = np.lexsort((x_ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
+        first = np.ones(len(a), bool)  # rows alike are one candidate
+        first[1:] = (np.diff(a) != 0) | (np.diff(x_ids[b]) != 0) | (np.diff(score) != 0)
+        a, b, score = a[first], b[first], score[first]
         nth = np.arange(len(a)) - np.searchsorted(a, a)
         keep = nth < k
         out[0].extend(q_ids[rows][a[keep]].tolist())
@@ -184,34 +187,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 rows = all_rows.slice(lo, 512)
                 q, at = _vectors(rows.column("embedding"), ix.sample.shape[1])
                 ids = rows.column("vec_id").take(pa.array(at)).to_numpy()
-                inside = q @ ix.sample.T
-                inside[ids[:, None] == ix.sample_ids[None, :]] = -np.inf
-                floor, top = [], []
-                for i, s in enumerate(inside):
-                    least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    own = np.flatnonzero((s >= least - 1e-9 * abs(least) if np.isfinite(least) else True) & np.isfinite(s))
-                    score = np.einsum("j,ij->i", q[i], ix.sample[own])
-                    best = _top(score, ix.sample_ids[own], k)
-                    floor.append(score[best[-1]] if len(best) == k else -1e300)
-                    top.append([{"vec_id": int(v), "score": float(x)} for v, x in zip(ix.sample_ids[own[best]], score[best], strict=True)])
                 lists = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
+                probed = np.zeros((len(q), len(ix.centroids)), bool)
+                np.put_along_axis(probed, lists, True, axis=1)
+                inside = q @ ix.sample.T
+                inside[(ids[:, None] == ix.sample_ids[None, :]) | ~probed[:, ix.sample_lists]] = -np.inf
+                floor = np.partition(inside, -k, axis=1)[:, -k] if inside.shape[1] >= k else np.full(len(q), -np.inf)
+                floor = np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), NO_FLOOR)
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array(ids, pa.int64()),
                     "floor": pa.array(floor, pa.float64()),
                     "vector": _as_bytes(q),
                     "lists": pa.array(lists.tolist(), pa.list_(pa.int64())),
-                    "top": pa.array(top, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))),
                 })
 
     listed = written(vectors.mapInArrow(to_list, "list long, vec_id long, vector binary"), "lists")
-    asking = written(queries.mapInArrow(to_queries, "query_id long, floor double, vector binary, lists array<long>, top array<struct<vec_id: long, score: double>>"), "queries")
-    probed = asking.select("query_id", "floor", "vector", F.explode("lists").alias("list"))
+    asking = written(queries.mapInArrow(to_queries, "query_id long, floor double, vector binary, lists array<long>"), "queries")
+    exploded = lambda asked: asked.select("query_id", "floor", "vector", F.explode("lists").alias("list"))
+    probed = exploded(asking)
     # how many parts each list and its queries make: a row for each list, MOST_LISTS at most
     parts = listed.groupBy("list").agg(F.ceil(F.count("*") / LIST_PART).alias("xs"))
     asked = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_PART).alias("qs"))
     size = F.broadcast(written(parts.join(asked, "list"), "parts"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = probed.join(size, "list").withColumn("qp", F.pmod(F.xxhash64("query_id"), "qs")).withColumn("xp", every("xs")).select("list", "xp", "qp", "query_id", "floor", "vector")
     right = listed.join(size, "list").withColumn("xp", F.pmod(F.xxhash64("vec_id", F.lit(1)), "xs")).withColumn("qp", every("qs")).select("list", "xp", "qp", "vec_id", "vector")
 
     def scan(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -221,7 +219,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     keys = ("list", "xp", "qp")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
-    near = near.unionByName(asking.select("query_id", F.explode("top").alias("t")).select("query_id", "t.vec_id", "t.score")).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def nearest(probed: DataFrame, name: str) -> DataFrame:
+        left = probed.join(size, "list").withColumn("qp", F.pmod(F.xxhash64("query_id"), "qs")).withColumn("xp", every("xs")).select("list", "xp", "qp", "query_id", "floor", "vector")
+        near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double").distinct()
+        return written(near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), name)
+
+    found = nearest(probed, "near")
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    short = written(asking.filter(F.col("floor") > NO_FLOOR).join(full, "query_id", "left_anti").withColumn("floor", F.lit(NO_FLOOR)), "short")
+    if short.isEmpty():
+        return found
+    again = nearest(exploded(short), "again")
+    return found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)

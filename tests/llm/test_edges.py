@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -472,3 +473,33 @@ def test_words_are_hints_that_the_host_overrules():
     assert read_all(pages) == [f"Another template {i}" for i in range(9)] + [f"Main text of page {i}" for i in range(3)]
     inner = "<body><div class=has-sidebar><article>An article {0}</article></div></body>"
     assert read_all([inner.format(i) for i in range(4)]) == [f"An article {i}" for i in range(4)]
+
+
+def test_all_neighbours_come_from_the_probed_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 100)
+    fit = ann.fit
+    made = []
+
+    def one_probe(*a):
+        made.append(dataclasses.replace(fit(*a), probes=1))
+        return made[0]
+
+    monkeypatch.setattr(ann, "fit", one_probe)
+    x = np.random.default_rng(5).standard_normal((1000, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scan = ann._scan
+
+    def lossy(ids, q, floor, *rest):
+        found = scan(ids, q, floor, *rest)
+        return tuple(c[1:] for c in found) if (floor > -1e300).any() else found
+
+    for once in (scan, lossy):  # what the second abandons is found without a floor
+        monkeypatch.setattr(ann, "_scan", once)
+        made.clear()
+        got = ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect()
+        of = ann._nearest(x, made[0].centroids)
+        for q in range(0, 1000, 20):
+            s = x @ x[q]
+            s[(of != np.argmax(made[0].centroids @ x[q])) | (np.arange(1000) == q)] = -np.inf
+            want = [i for i in np.argsort(-s)[:20] if np.isfinite(s[i])]
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
