@@ -102,3 +102,13 @@ def test_uncut_counts_a_missing_layer_as_zero(spark):
     layers = spark.createDataFrame([("a", 2), ("b", 1)], "id string, layer int")
     got = sorted((r["consumer"], r["provider"], r["kind"], r["direction"]) for r in boundaries.uncut(refs, layers).collect())
     assert got == [("a", "b", "Access", "L2->L1"), ("a", "new", "Call", "L2->L0")]
+
+
+def test_queue_is_numbered_in_parts(spark):
+    rows = [(f"m{i * 37 % 500:03}", i % 3 if i % 50 else None, i % 7 if i % 41 else None) for i in range(500)]
+    modules = spark.createDataFrame(rows, "module string, layer int, in_degree int")
+    queue = tasks.queue(modules)
+    assert "SinglePartition" not in queue._jdf.queryExecution().executedPlan().toString()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is None, -(r[2] or 0), r[0]))
+    assert [(r["task"], r["module"]) for r in sorted(queue.collect(), key=lambda r: r["task"])] == [(i + 1, r[0]) for i, r in enumerate(want)]
+    assert tasks.queue(modules.filter("false")).collect() == []
