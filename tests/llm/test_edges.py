@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -15,7 +17,7 @@ from factloom.llm import ann, extract, packing, pii, quality, secrets, sharding,
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LONG = "a long text of many words, " * 3000
-TEXTS = [None, "", " \n\t ", "word", "two words", LONG, "x" * 20000, "the same text again and again", "the same text again and again", "émigré 日本語 😀 text", "a  b   c \n d "]
+TEXTS = [None, "", " \n\t ", "word", "two words", LONG, "x" * 20000, "the same text again and again", "the same text again and again", "émigré 日本語 😀 text", "a  b   c \n d ", "a <|endoftext|> b"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kind string, start long, kept boolean, cls long, shard int, spans string"
 
 
@@ -138,7 +140,6 @@ def test_masking_keeps_columns(spark):
 def test_packing(spark):
     got = packing.digest(packing.pack(docs(spark).repartition(2), BPE)).collect()
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     want = sorted((i if i is not None else -1, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in [*enumerate(TEXTS), (3, "word"), (None, "no id here")])
     starts = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["doc_tokens"]) for r in got if r["start"] == 0)
     assert starts == want
@@ -176,10 +177,18 @@ def test_packing_of_random_lengths_covers_each_token_once():
             assert at == n
 
 
-def test_remembered_words_give_the_tokenizers_ids():
-    e = packing.Encoder(BPE)
-    for text in ["a b", " a", "a  b", "a   b ", "x \n y", "don't  stop\n\n now ", "é 日本 <|endoftext|> 😀", " ", "  ", "\n a"]:
-        assert e.encode(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+def test_both_ways_of_encoding_give_the_tokenizers_ids():
+    plain, e = Tokenizer.from_file(BPE), packing.Encoder(BPE)
+    assert e.fast is not None
+    texts = ["a b", " a", "a  b", "a   b ", "x \n y", "don't  stop\n\n now ", "I'LL we'll 'tis 12'345", "é 日本 <|endoftext|> 😀", " ", "  ", "\n a", "", "a <|endoftext|> b", "<|endoftext|>", "a\u00a0 \u3000 b", "a\u2003 b", "x\x85 \x1c y"]
+    rng = np.random.default_rng(5)
+    alphabet = [*"abcXYZ019 '.,-#%", "\n", "\t", "é", "ß", "Ж", "щ", "Ω", "ё", "²", "½", "×", "ª", "ҁ", "ʰ", "中", "\u00ad", "ǅ", "\x0b", "ͅ", "Ԧ"]
+    texts += ["".join(rng.choice(alphabet[: 36 * (i % 2) or 22], 40)) for i in range(3000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(pa.array(texts))] == want
+    assert [x.tolist() for x in e.encode(pa.array([None, "a"]))] == [[], plain.encode("a").ids]
+    common = pc.match_substring_regex(pa.array(texts), packing._COMMON).to_pylist()
+    assert 100 < sum(common) < len(texts)
 
 
 def brute_join(rows, k, percent):
