@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows of a batch of texts that goes to Python.
 BATCH = 512
+BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -37,9 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From here on Python workers get BATCH rows at a time at most: with whole texts in a row, Spark's 10,000 are too many."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """From here on Python workers get BATCH rows or about BATCH_BYTES bytes at a time: with whole texts in a row, Spark's 10,000 are too many.
+
+    Spark reads these settings when a plan runs, so they stay lowered for the session; they change no result."""
+    for name, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

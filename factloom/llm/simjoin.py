@@ -169,12 +169,17 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "sig long, member long")
 
 
-def _hot_members(found: DataFrame, table: DataFrame) -> DataFrame:
+def _classes(table: DataFrame) -> DataFrame:
+    """A row for each set that isn't empty: cls, n, spare_own, spare_prev, sketch, and first, the smallest doc_id that has it."""
+    same = [F.first(c).alias(c) for c in ("n", "spare_own", "spare_prev", "sketch")]
+    return table.filter("n > 0").groupBy("cls").agg(*same, F.min("doc_id").alias("first"))
+
+
+def _hot_members(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(sig, member) of the hot subsets, of members that have more of them than spare segments: others are found without."""
     hot = found.filter("b is null").select("sig", F.col("a").alias("member"))
     many = hot.groupBy("member").agg(F.count("*").alias("k")).withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
-    spares = table.select("cls", "spare_own", "spare_prev").join(many.select("cls").distinct(), "cls", "left_semi").distinct()
-    kept = many.join(spares, "cls").filter("k > if(member & 1 = 0, spare_own, spare_prev)").select("member")
+    kept = many.join(classes.select("cls", "spare_own", "spare_prev"), "cls").filter("k > if(member & 1 = 0, spare_own, spare_prev)").select("member")
     return hot.join(kept, "member", "left_semi")
 
 
@@ -231,11 +236,9 @@ def _bucketed(entries: DataFrame) -> DataFrame:
     return entries.repartition("sig").sortWithinPartitions("sig", "member").mapInArrow(stream, "sig long, a long, b long")
 
 
-def _near(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow a link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    found = table.select("cls", "n", "sketch").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    side = lambda x: found.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
@@ -253,9 +256,9 @@ def _near(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(test, "a long, b long")
 
 
-def _sets_of(classes: DataFrame, table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(cls, tokens) of the given classes, from the text of one row of each."""
-    one = table.filter("doc_id is not null").select("cls", "doc_id").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+def _sets_of(asked: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens) of the classes asked for, from the text of one row of each."""
+    one = classes.filter("first is not null").select("cls", F.col("first").alias("doc_id")).join(asked, "cls", "left_semi")
     one = written(one, "representatives")
     wanted = one.select("doc_id").distinct()
     # a checked size: few ids are broadcast, and no text is shuffled; many meet the texts in a shuffle
@@ -281,8 +284,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     weighed = written(nodes.join(sets.select(F.col("cls").alias("node"), F.size("tokens").alias("n")), "node"), "weighed")
     total = weighed.agg(F.sum("n").alias("n")).first()["n"] or 0
     tasks = max(1, -(-total // GROUP_TOKENS))
-    blocks = weighed.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
-    placed = weighed.join(blocks, "component").select(
+    large = written(weighed.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks")).filter("blocks > 1"), "large")
+    placed = weighed.join(large, "component", "left").select(
         "node",
         F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("group"),
         F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.lit(-1).cast("long")).alias("block"),
@@ -316,9 +319,8 @@ def _neighbourhoods(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
-            for row in rows.to_pylist():
-                tokens = np.array(row["tokens"], np.int64).view(_U)
-                member, marked = row["member"], np.array(row["hot"], np.int64).view(_U)
+            for member, hot_sigs, own in zip(rows.column("member").to_pylist(), rows.column("hot"), rows.column("tokens"), strict=True):
+                tokens, marked = (x.values.to_numpy().view(_U) for x in (own, hot_sigs))
                 band = np.searchsorted(starts, len(tokens), side="right") - 1 - (member & 1)
                 with np.errstate(over="ignore"):
                     m, spares = _counts(starts, np.array([band]), percent)
@@ -381,7 +383,7 @@ def _with_hubs(hot: DataFrame, hubs: DataFrame) -> DataFrame:
     return hot.join(hubs, "sig").select(*_ordered("member", "hub")).filter("a <> b")
 
 
-def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of stuck members of one hot subset that are not yet connected and whose sketches allow a link.
 
     Of hubs with few members, all are compared. Subsets with one hub share most members, so members meet by hub. They
@@ -392,8 +394,7 @@ def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, t
     met = met.withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
     known = met.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).select("hub", "member", "cls", "c")
     size = known.groupBy("hub").agg(F.count("*").alias("n_members"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    sketches = table.join(known.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    rows = known.join(size, "hub").join(sketches, "cls").withColumn("blocks", F.ceil(F.col("n_members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
+    rows = known.join(size, "hub").join(classes.select("cls", "n", "sketch"), "cls").withColumn("blocks", F.ceil(F.col("n_members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rows.select("hub", "member", "c", "n", "sketch", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
@@ -423,25 +424,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     k: words of a shingle; two documents link when 100 * common >= percent * union."""
     small_batches(docs.sparkSession)
     table = written(signatures(docs, k, percent), "signatures")
+    classes = written(_classes(table), "classes")
     found = written(_bucketed(_entries(docs, k, percent)), "buckets")
-    hot = written(_hot_members(found, table), "hot")
+    hot = written(_hot_members(found, classes), "hot")
     hubs = written(_hubs(hot), "hubs")
-    pairs = written(_near(found.filter("b is not null").select("a", "b").union(_with_hubs(hot, hubs)).distinct(), table, percent), "pairs")
+    pairs = written(_near(found.filter("b is not null").select("a", "b").union(_with_hubs(hot, hubs)).distinct(), classes, percent), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(hot.select(F.col("member").bitwiseAND(F.lit(-2)))).distinct()
-    sets = written(_sets_of(asked, table, docs, k), "sets")
+    sets = written(_sets_of(asked, classes, docs, k), "sets")
     links = written(_verified(pairs, sets, percent), "links")
     if not hot.isEmpty():
         by_hub = hot.join(hubs, "sig").select("hub", "member").distinct()
         crowded = by_hub.join(_large(by_hub), "hub", "left_semi").select("member").distinct()
         more, stuck = _escapes(hot.join(crowded, "member", "left_semi"), sets, percent)
-        more = _near(more.distinct().join(pairs, ["a", "b"], "left_anti"), table, percent)
+        more = _near(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, percent)
         links = written(links.union(_verified(more, sets, percent)), "links")
         nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rest = written(_rest(hot, hubs, written(stuck, "stuck"), nodes, table, percent), "rest")
+        rest = written(_rest(hot, hubs, written(stuck, "stuck"), nodes, classes, percent), "rest")
         links = links.union(written(_verified(rest, sets, percent), "links"))
     nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = table.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.select("cls", "first").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     label = written(named.join(least, "component").select("cls", "component_id"), "labels")
     out = table.select("doc_id", "n", "cls").join(label, "cls", "left")
