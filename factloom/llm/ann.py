@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by inner product: lists of vectors, scanned a block of dimensions at a time.
 
-Centroids, a random rotation and the number of lists to probe are fitted on a bounded sample (SAMPLE vectors, those of
-the smallest hashed ids); every vector is indexed. A query probes the lists whose centroids have the largest inner
+Centroids, a random rotation and the number of lists to probe are fitted on a bounded sample (SAMPLE vectors at most, those
+of the smallest hashed ids); every vector is indexed. A query probes the lists whose centroids have the largest inner
 product with it, as many as hold SHARE of the sample's true neighbours. Members of the sample in the probed lists give
 the query a floor: the k-th best of those lists can't be under it. The sample gives no rows; all come from the scan of
 the probed lists.
 
 Within a probed list the rotated vectors are read in blocks of BLOCK_DIMS dimensions. After d of D dimensions a partial
 product p of a pair whose full product is t has, under a random rotation, mean t d / D and a known deviation; a
-candidate is abandoned when p lies Z deviations under what the floor (or the k-th best found so far) asks. Survivors are
-scored in double precision on the original vectors. The test can abandon a true one; a query left with fewer than k rows
+candidate is abandoned when p lies Z deviations under what the floor asks. Survivors are scored in
+double precision on the original vectors. The test can abandon a true one; a query left with fewer than k rows
 is scanned again without a floor.
 
+There are as many lists as the root of the number of vectors (fewer while lists would hold under LIST_SIZE), so what a
+query reads grows with that root, up to a quarter of the sample; past that lists grow.
+
 Lists are split by hash into parts of LIST_PART vectors, and the queries of a list into parts of QUERY_PART, so that no
 task holds more than one of each, however large a list grows.
 
@@ -22,6 +25,7 @@ candidates than k give fewer rows; an empty table gives none.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +37,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm._shared import written
 
-SAMPLE = 16_384
+#: Vectors that the index is fitted on, at most and where there are few lists.
+SAMPLE, LEAST_SAMPLE = 65_536, 16_384
 SHARE = 0.97
 LIST_SIZE = 512
-MOST_LISTS = 1024
 LIST_PART = 8192
 QUERY_PART = 2048
 BLOCK_DIMS = 16
@@ -57,14 +61,14 @@ class Index:
 
 def _vectors(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The vectors that take part, in double precision, and their rows."""
-    lists = column.to_pylist() if column.null_count or not len(column) else None
     flat, sizes = column.flatten(), np.diff(column.offsets.to_numpy())
-    if lists is None and not flat.null_count and len(set(sizes.tolist())) == 1 and (dims is None or sizes[0] == dims):
+    if len(column) and not column.null_count and not flat.null_count and sizes.min() == sizes.max() == (sizes[0] if dims is None else dims) > 0:
         x, rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1), np.arange(len(column))
     else:
         lists = column.to_pylist()
-        rows = np.array([i for i, v in enumerate(lists) if v and None not in v and (dims is None or len(v) == dims)], np.int64)
-        x = np.array([lists[i] for i in rows], np.float64).reshape(len(rows), -1)
+        dims = dims or Counter(len(v) for v in lists if v).most_common(1)[0][0] if any(lists) else dims or 0
+        rows = np.array([i for i, v in enumerate(lists) if v and len(v) == dims and None not in v], np.int64)
+        x = np.array([lists[i] for i in rows], np.float64).reshape(len(rows), dims)
     ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
     return x[ok], rows[ok]
 
@@ -72,7 +76,8 @@ def _vectors(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.
 def fit(vectors: DataFrame, k: int) -> Index | None:
     """The index of vectors (vec_id, embedding); None where no vector takes part."""
     n = vectors.count()
-    found = vectors.filter("embedding is not null and vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    lists_n = max(1, min(n // LIST_SIZE, math.isqrt(n), SAMPLE // 4))
+    found = vectors.filter("embedding is not null and vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, max(LEAST_SAMPLE, 16 * lists_n))).collect()
     lists = [(r["vec_id"], r["embedding"]) for r in found if None not in r["embedding"]]
     dims = Counter(len(v) for _, v in lists if v).most_common(1)
     if not dims:
@@ -84,7 +89,7 @@ def fit(vectors: DataFrame, k: int) -> Index | None:
     if not len(x):
         return None
     rng = np.random.default_rng(0)
-    lists_n = int(min(MOST_LISTS, max(1, n // LIST_SIZE), len(x)))
+    lists_n = min(lists_n, len(x))
     c = x[rng.permutation(len(x))[:lists_n]].copy()
     for _ in range(8):
         of = _nearest(x, c)
@@ -173,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     index = fit(vectors, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(index)  # SAMPLE and MOST_LISTS vectors at most
+    shared = spark.sparkContext.broadcast(index)  # SAMPLE vectors and a quarter as many centroids at most
 
     def to_list(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
@@ -205,7 +210,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asking = written(queries.mapInArrow(to_queries, "query_id long, floor double, vector binary, lists array<long>"), "queries")
     exploded = lambda asked: asked.select("query_id", "floor", "vector", F.explode("lists").alias("list"))
     probed = exploded(asking)
-    # how many parts each list and its queries make: a row for each list, MOST_LISTS at most
+    # how many parts each list and its queries make: a row for each list, SAMPLE / 4 at most
     parts = listed.groupBy("list").agg(F.ceil(F.count("*") / LIST_PART).alias("xs"))
     asked = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_PART).alias("qs"))
     size = F.broadcast(written(parts.join(asked, "list"), "parts"))

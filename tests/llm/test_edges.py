@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -512,3 +513,37 @@ def test_all_neighbours_come_from_the_probed_lists(spark, monkeypatch):
             s[(of != np.argmax(made[0].centroids @ x[q])) | (np.arange(1000) == q)] = -np.inf
             want = [i for i in np.argsort(-s)[:20] if np.isfinite(s[i])]
             assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+@pytest.mark.parametrize("kind", ["plain", "clustered", "uneven"])
+def test_recall_of_the_scan(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "SAMPLE", 1000)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((6000, 32))
+    if kind == "clustered":
+        x = x * 0.3 + rng.standard_normal((40, 32))[rng.integers(0, 40, 6000)]
+    if kind == "uneven":
+        x *= rng.lognormal(0, 0.7, (6000, 1))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert len(got) == 300 * 20
+    assert sum(len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / 6000 >= 0.9
+
+
+def test_search_with_batches_of_unusable_vectors_and_clashing_columns(spark, tmp_path):
+    kind = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("list", pa.int64()), ("score", pa.string()), ("rank", pa.int32())])
+    parts = [[[1.0, 2.0], [2.0, 1.0], [3.0, 3.0]], [None, None], [[], []], [None, [], [None, 1.0]], [[0.0, 0.0], [1.0, 2.0, 3.0]]]
+    for i, vectors in enumerate(parts):
+        n = len(vectors)
+        pq.write_table(pa.table([[10 * i + j for j in range(n)], vectors, [0] * n, ["x"] * n, [1] * n], schema=kind), tmp_path / f"{i}.parquet")
+    read = spark.read.parquet(str(tmp_path)).repartition(5, "list", "vec_id")
+    for df in (spark.read.parquet(str(tmp_path)), read):
+        assert [(r["query_id"], r["vec_id"]) for r in ann.search(df, df, 1).orderBy("query_id").collect()] == [(0, 2), (1, 2), (2, 0)]
+    assert [len(x) for x in ann._vectors(pa.array([None, None], pa.list_(pa.float64())), 4)] == [0, 0]
+    assert ann._vectors(pa.array([[], []], pa.list_(pa.float64())), 4)[0].shape == (0, 4)
