@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from factloom.llm import ann, extract, packing, pii, quality, secrets, sharding, simjoin, unigram, warc
@@ -547,3 +548,52 @@ def test_search_with_batches_of_unusable_vectors_and_clashing_columns(spark, tmp
         assert [(r["query_id"], r["vec_id"]) for r in ann.search(df, df, 1).orderBy("query_id").collect()] == [(0, 2), (1, 2), (2, 0)]
     assert [len(x) for x in ann._vectors(pa.array([None, None], pa.list_(pa.float64())), 4)] == [0, 0]
     assert ann._vectors(pa.array([[], []], pa.list_(pa.float64())), 4)[0].shape == (0, 4)
+
+
+def test_quality_ratios_and_verdicts_against_a_plain_computation(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 97)
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["ab", "Ab", "c,", "d#", "longer-word", "é"], rng.integers(0, 60), p=[0.3, 0.1, 0.2, 0.1, 0.2, 0.1] if i % 3 else [0.1, 0.1, 0.1, 0.5, 0.1, 0.1]))) for i in range(60)] + [(60, "one"), (61, ""), (62, None)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 50, 2)] + [(4, 1, 0), (None, 1, 0), (999, 1, 0)]
+
+    def h(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little"), seed)
+        return seed
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    cells = {}
+    for i, t in rows:
+        w = [h(x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        cells[i] = [signed(x) % 97 for x in w] + [signed(h(a, b)) % 97 for a, b in zip(w, w[1:])]
+    raw, trusted = np.zeros(97), np.zeros(97)
+    for i, _ in rows:
+        np.add.at(raw, cells[i], 1)
+        if i in {d for d, q, _ in labels if q == 1}:
+            np.add.at(trusted, cells[i], 1)
+    seen = raw > 0
+    p = raw[seen] / raw.sum()
+    want = np.zeros(97)
+    want[seen] = np.log((trusted[seen] + 97 * p) / (trusted.sum() + 97) / p)
+    label_rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert np.allclose(quality.log_ratios(docs(spark, rows), label_rows), want, atol=1e-3)
+    got = {r["doc_id"]: r for r in quality.judged(docs(spark, rows), label_rows, -0.05).collect()}
+    rejected = 0
+    for i, t in rows:
+        score = want[cells[i]].mean() if cells[i] else None
+        assert (got[i]["score"] is None) == (score is None)
+        if score is not None:
+            assert abs(got[i]["score"] - score) < 2e-3
+            if abs(score + 0.05) > 2e-3:
+                assert got[i]["kept"] == (not got[i]["base_failed"] and score >= -0.05)
+                rejected += not got[i]["base_failed"] and score < -0.05
+    assert rejected
+
+
+def test_quality_keeps_columns_named_like_its_own(spark):
+    text = "some words that are all unlike each other so that no rule of the base finds any fault in this text here"
+    names = ["doc_id", "text", "score", "kept", "n_words", "_words", "_hashes", "_row", "a.b"]
+    df = spark.createDataFrame([(1, text, "s", "k", "n", "w", "h", "r", "d"), (2, "short", "s", "k", "n", "w", "h", "r", "d")], names)
+    out = quality.kept_rows(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.columns == names and [tuple(r) for r in out.collect()] == [(1, text, "s", "k", "n", "w", "h", "r", "d")]

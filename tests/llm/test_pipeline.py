@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import pii, quality, simjoin
@@ -61,3 +62,12 @@ def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).collect() == []
+
+
+def test_stages_keep_columns_named_like_their_results(spark, folder):
+    more = {c: F.lit(f"own {c}") for c in ("score", "kept", "n_words", "_words", "cls", "component_id", "base_spans", "n_shingles")}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns(more)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    assert docs.count() == 32 and docs.select(*more).distinct().collect() == [tuple(f"own {c}" for c in more)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
