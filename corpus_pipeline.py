@@ -11,7 +11,7 @@ from factloom.llm._shared import table, written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
