@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,16 +88,32 @@ def test_secrets(spark):
     assert secrets.digest(docs(spark, [])).collect() == []
 
 
-def test_ledger_scans_only_what_is_new(spark):
-    first = docs(spark, [(1, SECRETS[0]), (2, SECRETS[0]), (3, SECRETS[3])])
-    findings, pairs = secrets.scan(first)
-    assert pairs.select("blob").distinct().count() == 2
-    assert findings.count() == 2
-    ledger = spark.createDataFrame(pairs.collect(), pairs.schema)
-    assert secrets.unseen(first, ledger, secrets.RULES).count() == 0
-    newer = tuple(secrets.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.group, r.least, r.base) for r in secrets.RULES)
-    again = secrets.unseen(docs(spark, [(1, SECRETS[0]), (4, SECRETS[2])]), ledger, newer).collect()
-    assert sorted(len(r["todo"]) for r in again) == [1, len(newer)]
+def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
+    scanned, seen = secrets.scanned, []
+
+    def watched(blobs, rules):
+        seen.append(sorted(len(r["todo"]) for r in blobs.collect()))
+        return scanned(blobs, rules)
+
+    monkeypatch.setattr(secrets, "scanned", watched)
+    ledger = f"file://{tmp_path}/ledger"
+    first, more = [(1, SECRETS[0]), (2, SECRETS[0]), (3, SECRETS[3])], [(1, SECRETS[0]), (4, SECRETS[2]), (5, SECRETS[4])]
+    every = len(secrets.RULES)
+    rows = lambda df: {r["doc_id"]: r for r in df.collect()}
+    alone = rows(secrets.digest(docs(spark, first + more[1:])))
+    seen.clear()
+    got = rows(secrets.digest(docs(spark, first), ledger=ledger))
+    assert seen == [[every] * 2] and got == {i: alone[i] for i, _ in first}
+    got = rows(secrets.digest(docs(spark, more), ledger=ledger))  # an old text's findings are still told
+    assert seen[1:] == [[every] * 2] and got == {i: alone[i] for i, _ in more}
+    assert rows(secrets.digest(docs(spark, first + more[1:]), ledger=ledger)) == alone
+    assert seen[2:] == [[]]
+    newer = tuple(dataclasses.replace(r, version=r.version + (r.kind == "hex")) for r in secrets.RULES)
+    assert rows(secrets.digest(docs(spark, first), newer, ledger)) == {i: alone[i] for i, _ in first}
+    assert seen[3:] == [[1, 1]]
+    # a scan that was broken off before its pairs were written is done again, and its findings don't count
+    spark.createDataFrame([("b", "hex", 1, 0, 9)], "blob string, kind string, version int, start long, end long").write.parquet(f"{ledger}/findings/run=broken")
+    assert secrets.findings(spark, ledger).filter("blob = 'b'").count() == 0
 
 
 PII = ["a@b.co x.y+z@sub.mail.org @no a@b", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8", "4539 1488 0343 6467 and 4539148803436468", "+1 (555) 123-4567 +12", "0" * 5000 + ".1.1.1"]
@@ -113,6 +130,22 @@ def test_pii(spark):
     assert pii.digest(docs(spark, [])).collect() == []
 
 
+def test_addresses_as_the_pattern_finds_them():
+    rng = np.random.default_rng(9)
+    pattern = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for i in range(3000):
+        text = "".join(rng.choice([*"0123..... x", "255", "256", "0007", "1.2.3.4"], 30))
+        want = [("ip", m.start(), m.end()) for m in pattern.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert list(pii._ips(text, 0)) == want, text
+
+
+def test_a_million_digits_take_one_walk():
+    for text in ("7" * 1_000_000, "1.1." * 250_000 + "x", "1 1-" * 250_000, "+1 " * 300_000, "one two " * 100_000):
+        began = time.process_time()
+        pii.find(text)
+        assert time.process_time() - began < 20, text[:8]
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "part"),
     [
