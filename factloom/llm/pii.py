@@ -26,8 +26,8 @@ Span = tuple[str, int, int]
 #: Fixed values of the contract: the kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_RUN = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
@@ -56,6 +56,20 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, end))
 
 
+def _ips(text: str, at: int) -> Iterator[Span]:
+    """As the pattern finds them: four runs of digits with a full stop between, each run walked once. A match in the midst
+    of a run can't be: the leftmost begins with the run."""
+    chain: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text, at):
+        if chain and not (m.start() == chain[-1][1] + 1 and text[chain[-1][1]] == "."):
+            chain.clear()
+        chain.append(m.span())
+        if len(chain) == 4:
+            if all(e - s <= 3 or not text[s : e - 3].strip("0") for s, e in chain) and all(int(text[max(s, e - 3) : e]) <= 255 for s, e in chain):
+                yield "ip", chain[0][0], chain[3][1]
+            chain.clear()  # those that fail are used up too
+
+
 def plain(text: str) -> list[Span]:
     """The contract's identifiers, by kind as listed and then by start."""
     out = list(_emails(text)) if "@" in text else []
@@ -63,9 +77,7 @@ def plain(text: str) -> list[Span]:
     if not first:
         return out
     since = first.start()
-    for m in _IP.finditer(text, since):
-        if all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in m[0].split(".")):
-            out.append(("ip", m.start(), m.end()))
+    out += _ips(text, since)
     for m in _CARD.finditer(text, since):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and _luhn(digits):
