@@ -2,8 +2,10 @@
 
 Records are range-partitioned by their reversed-host URL keys and written in that order, each a gzip member. Beside its
 archive every task writes its part of the index: sorted lines of key, page and place, in compressed blocks of BLOCK
-lines. A sparse directory, one row for each block, holds the first key and the place of the block. A lookup binary-
-searches the directory, reads the block, binary-searches that, and then reads the range of each record.
+lines. A sparse directory, one row for each block, holds the first and last key and the place of the block; it is a
+sorted Parquet table of small row groups. A lookup deals the keys by range, so that a task reads only the row groups of
+the directory that its keys fall into, binary-searches these, reads the block, binary-searches that, and then reads the
+range of each record.
 
 Of records with equal payloads the one with the largest page_id is a response and the others revisit it. Digests alone
 are grouped; what they tell is sorted in front of the payloads, which are shuffled once, by key.
@@ -39,6 +41,8 @@ from factloom.llm._shared import scratch_path, small_batches, written
 BLOCK = 512
 #: Records of about so many bytes are read at once where they lie side by side.
 RANGE = 1 << 22
+#: Bytes of a row group of the directory.
+GROUP_BYTES = 1 << 18
 LEVEL = 3
 _DIRECTORY = "first string, first_page long, last string, last_page long, path string, offset long, length long, n long"
 
@@ -159,9 +163,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, directory: DataFrame) -> str:
-    """The directory as one sorted Parquet table in the shared folder: a row for each BLOCK records."""
+    """The directory as one sorted Parquet table in the shared folder, in row groups of GROUP_BYTES: a row for each BLOCK records."""
     path = scratch_path(spark, "sparse")
-    directory.orderBy("first", "first_page").write.parquet(path)
+    directory.orderBy("first", "first_page").write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return path
 
 
@@ -172,14 +176,17 @@ def lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
     key = F.udf(surt, "string", useArrow=True)
 
     def to_block(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
+        import pyarrow.dataset as ds
 
         where, root = fs.FileSystem.from_uri(path)
-        files = sorted(f.path for f in where.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
-        sparse = pa.concat_tables([pq.read_table(f, filesystem=where, columns=["first", "first_page", "last", "last_page", "path", "offset", "length"]) for f in files])
+        sparse_files = ds.dataset(sorted(f.path for f in where.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")), filesystem=where)
         page = lambda p: -1 if p is None else p
-        firsts, lasts = (list(zip(sparse.column(c).to_pylist(), map(page, sparse.column(f"{c}_page").to_pylist()), strict=True)) for c in ("first", "last"))
         for rows in it:
+            if not len(rows):
+                continue
+            reached = (ds.field("last") >= rows.column("key")[0].as_py()) & (ds.field("first") <= rows.column("key")[len(rows) - 1].as_py())
+            sparse = sparse_files.to_table(filter=reached, columns=["first", "first_page", "last", "last_page", "path", "offset", "length"])
+            firsts, lasts = (list(zip(sparse.column(c).to_pylist(), map(page, sparse.column(f"{c}_page").to_pylist()), strict=True)) for c in ("first", "last"))
             asked = list(zip(rows.column("key").to_pylist(), map(page, rows.column("page_id").to_pylist()), strict=True))
             at = []  # repeated keys may lie across blocks
             for i, k in enumerate(asked):
@@ -220,7 +227,9 @@ def lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.string()), "page_id": pa.array(out_page, pa.int64()), "record": pa.array(out_record, pa.binary())})
 
     asked = wanted.select(F.col("url").cast("string"), F.col("page_id").cast("long")).withColumn("key", key("url")).select("key", "page_id").distinct()
-    placed = asked.mapInArrow(to_block, "key string, page_id long, path string, offset long, length long")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = asked.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    placed = ranged.mapInArrow(to_block, "key string, page_id long, path string, offset long, length long")
     return placed.repartition("path", "offset").sortWithinPartitions("path", "offset", "key", "page_id").mapInArrow(read, "key string, page_id long, record binary")
 
 

@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import dataclasses
 import hashlib
 import re
@@ -367,6 +368,7 @@ def test_warc(spark):
     for r in got:
         payload = {i: h or "" for i, _, h in PAGES}[r["page_id"]]
         assert r["payload_bytes"] == len(payload.encode())
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
         if r["page_id"] != 6:
             assert r["record_type"] == ("response" if last[payload] == r["page_id"] else "revisit")
             assert r["refers_to"] == (None if r["record_type"] == "response" else last[payload])
@@ -376,6 +378,23 @@ def test_warc(spark):
     assert [warc.parse(bytes(r["record"]))["payload"] for r in found] == [b"<p>two"]
 
 
+def test_lookups_among_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    monkeypatch.setattr(warc, "GROUP_BYTES", 256)
+    rows = [(i, f"http://h{i % 7}.org/{i % 50}" if i % 11 else None, f"<p>{i % 120}") for i in range(400)]  # keys that run over blocks
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    directory = warc.write(pages)
+    assert directory.count() >= 100
+    wanted = [r for r in rows if r[0] % 3 == 0]
+    asked = spark.createDataFrame([(u, i) for i, u, _ in wanted] + [("http://h1.org/none", 1), ("http://zz.org/", 2), (None, 401)], "url string, page_id long")
+    found = {r["page_id"]: warc.parse(bytes(r["record"])) for r in warc.lookup(directory, asked).collect()}
+    assert found.keys() == {i for i, _, _ in wanted}
+    last = {h: i for i, _, h in rows}
+    for i, _, h in wanted:
+        assert found[i]["payload"] == (h.encode() if last[h] == i else None)
+        assert found[i]["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+
+
 def test_surt():
     assert [warc.surt(u) for u in ("http://www.a.org/x?b=1#c", "https://A.org:8080", None, "odd")] == ["org,a)/x?b=1", "org,a:8080)/", "-", "odd"]
 
