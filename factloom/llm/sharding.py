@@ -25,6 +25,8 @@ from factloom.llm._shared import written
 
 #: Places of the ring.
 CELLS = 1 << 16
+#: Copies of one repeated row that are made at a time.
+COPIES = 4096
 #: Virtual nodes of a shard.
 NODES = 128
 
@@ -83,7 +85,10 @@ def assign(docs: DataFrame, shards: int = 16, slack: float = 0.0, nodes: int = N
     share = spark.createDataFrame(table, "cell int, first long, until long, shard int, base long")
     before = Window.partitionBy("cell").orderBy("hash", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keys.withColumn("_before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
-    each = ranked.withColumn("rank", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("copies") - 1)))
+    # copies of a row that is repeated very often are made COPIES at a time, each time from a row of its own
+    last = F.col("_before") + F.col("copies") - 1
+    parts = ranked.withColumn("_first", F.explode(F.sequence(F.col("_before"), last, F.lit(COPIES).cast("long"))))
+    each = parts.withColumn("rank", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + COPIES - 1, last))))
     # a row for each cell, and for each shard that overflows into it: a bounded broadcast
     found = each.join(F.broadcast(share), (each["cell"] == share["cell"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until")))
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))

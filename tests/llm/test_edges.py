@@ -61,7 +61,8 @@ def test_sharding_moves_little_when_a_shard_is_added():
     assert sum(a[k] != b[k] for k in a) < 0.3 * n
 
 
-def test_sharding_repeated_rows_share_no_slot(spark):
+def test_sharding_repeated_rows_share_no_slot(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 3)
     got = sharding.digest(docs(spark, [(1, "same")] * 100)).collect()
     assert len({(r["shard"], r["slot"]) for r in got}) == 100
 
