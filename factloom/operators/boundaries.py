@@ -22,9 +22,9 @@ def layer_groups(modules: DataFrame) -> DataFrame:
 
 
 def external_usage(exports: DataFrame, refs: DataFrame) -> DataFrame:
-    """exports(module, symbol) with is_public: whether another file uses it. refs(symbol, file); a module's own file is the module."""
-    used = refs.join(exports, "symbol").filter("file <> module").select("symbol").distinct().withColumn("is_public", F.lit(True))
-    return exports.join(used, "symbol", "left").select("module", "symbol", F.coalesce("is_public", F.lit(False)).alias("is_public"))
+    """exports(module, symbol) with is_public: whether another file uses it. refs(module, symbol, file): file uses that module's symbol."""
+    used = refs.filter("file <> module").select("module", "symbol").distinct().withColumn("is_public", F.lit(True))
+    return exports.join(used, ["module", "symbol"], "left").select("module", "symbol", F.coalesce("is_public", F.lit(False)).alias("is_public"))
 
 
 def uncut(refs: DataFrame, layers: DataFrame) -> DataFrame:

@@ -38,27 +38,35 @@ def best_matches(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def evaluated(packages: DataFrame, overrides: DataFrame, built_in: DataFrame) -> DataFrame:
-    """packages(package): the override's (equivalent, level), else the registry's, else unknown; with effort and tags of risk."""
+    """packages(package): the override's (equivalent, level), else the registry's, else unknown; with effort and tags of risk.
+
+    A package that neither has is tagged unmapped, and nothing else."""
     pick = lambda df, x: df.select("package", F.struct("equivalent", "level", "tags", "guidance").alias(x))
     none = F.struct(F.lit(None).cast("string").alias("equivalent"), F.lit("unknown").alias("level"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("guidance"))
+    mapped = F.coalesce("o", "b").isNotNull()
     out = packages.select("package").distinct().join(pick(overrides, "o"), "package", "left").join(pick(built_in, "b"), "package", "left")
-    out = out.select("package", F.coalesce("o", "b", none).alias("e")).select("package", "e.*")
+    out = out.select("package", mapped.alias("_mapped"), F.coalesce("o", "b", none).alias("e")).select("package", "_mapped", "e.*")
     effort = default_effort(F.col("level"))
-    return out.withColumn("effort", effort).withColumn("risk_tags", risk_tags(effort, F.col("level"), F.col("tags"), F.col("guidance")))
+    return out.withColumn("effort", effort).withColumn("risk_tags", F.when(F.col("_mapped"), risk_tags(effort, F.col("level"), F.col("tags"), F.col("guidance"))).otherwise(F.array(F.lit("unmapped")))).drop("_mapped")
 
 
 def package_modules(module_deps: DataFrame) -> DataFrame:
     return module_deps.select("package", "module").distinct().groupBy("package").agg(F.count("*").alias("affected"), F.array_sort(F.collect_list("module")).alias("modules"))
 
 
+def touches_many() -> F.Column:
+    """Of rows with affected (modules) and level: more than five modules, and no known equivalent."""
+    return (F.col("affected") > 5) & F.col("level").isin("unknown", "none")
+
+
 def recommendations(evaluated_: DataFrame, modules: DataFrame) -> DataFrame:
-    """In order: high impact first, then by affected modules, then by name."""
+    """In order: high impact (many modules touched, without a known equivalent) first, then by affected modules, then by name."""
     out = evaluated_.join(modules, "package", "left").withColumn("affected", F.coalesce("affected", F.lit(0).cast("long")))
-    return out.withColumn("high_impact", is_high_impact(F.col("effort"))).orderBy(F.desc("high_impact"), F.desc("affected"), "package")
+    return out.withColumn("high_impact", touches_many()).orderBy(F.desc("high_impact"), F.desc("affected"), "package")
 
 
 def recommendation_counts(recommended: DataFrame) -> DataFrame:
-    return recommended.agg(F.count("*").alias("total"), F.count_if(F.col("equivalent").isNull()).alias("unmapped"), F.count_if(F.col("effort").isin("heavy", "rewrite")).alias("heavy"))
+    return recommended.agg(F.count("*").alias("total"), F.count_if(F.array_contains("risk_tags", "unmapped")).alias("unmapped"), F.count_if(is_high_impact(F.col("effort"))).alias("heavy"))
 
 
 def dependency_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def reviewed(changes: DataFrame, levels: DataFrame) -> DataFrame:
 def change_impact(changes: DataFrame, modules: DataFrame, shown: int = 20) -> DataFrame:
     """changes with the modules they touch, the first few of them, and whether many are touched without an equivalent."""
     out = changes.join(modules, "package", "left").withColumn("affected", F.coalesce("affected", F.lit(0).cast("long")))
-    return out.withColumn("modules", F.slice(F.coalesce("modules", F.array().cast("array<string>")), 1, shown)).withColumn("high_risk", (F.col("affected") > 5) & F.col("level").isin("unknown", "none"))
+    return out.withColumn("modules", F.slice(F.coalesce("modules", F.array().cast("array<string>")), 1, shown)).withColumn("high_risk", touches_many())
 
 
 def ordered_first(rows: DataFrame, key: list[str], by: list) -> DataFrame:

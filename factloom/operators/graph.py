@@ -34,9 +34,14 @@ def self_loops(edges: DataFrame) -> DataFrame:
     return edges.filter("src = dst").select(F.col("src").alias("id")).distinct()
 
 
+def importers(edges: DataFrame) -> DataFrame:
+    """id, importer: a row for each that depends on it."""
+    return edges.select(F.col("dst").alias("id"), F.col("src").alias("importer")).distinct()
+
+
 def reverse_dependencies(edges: DataFrame) -> DataFrame:
-    """dst and its importers, sorted."""
-    return edges.distinct().groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("importers"))
+    """id and its importers as one sorted list. A list holds all importers of an id in one row: for rows, see importers."""
+    return importers(edges).groupBy("id").agg(F.array_sort(F.collect_list("importer")).alias("importers"))
 
 
 def layers_topdown(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -41,16 +41,15 @@ def op_u4_node_set(spark, sf_dir):
     return graph.node_set(R.edges(spark, sf_dir))
 
 
-@registered(f"WITH {R.EDGES} SELECT n.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, split_part(n.id, '/', 1) AS top_dir, regexp_extract(n.id, '^(.*)/[^/]*$', 1) AS dir_path, FALSE AS in_cycle FROM nodes n LEFT JOIN (SELECT dst, count(*) AS n FROM all_edges GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS n FROM all_edges GROUP BY 1) o ON o.src = n.id")
+@registered(f"WITH RECURSIVE {R.FLOWS}, f AS (SELECT DISTINCT src, dst FROM flows WHERE src <> dst), reach AS (SELECT src AS a, dst AS b FROM f UNION SELECT r.a, f.dst FROM reach r JOIN f ON f.src = r.b), nodes AS (SELECT src AS id FROM flows UNION SELECT dst FROM flows) SELECT n.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, split_part(n.id, '/', 1) AS top_dir, regexp_extract(n.id, '^(.*)/[^/]*$', 1) AS dir_path, c.a IS NOT NULL AS in_cycle FROM nodes n LEFT JOIN (SELECT dst, count(*) AS n FROM flows GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS n FROM flows GROUP BY 1) o ON o.src = n.id LEFT JOIN (SELECT a FROM reach WHERE a = b) c ON c.a = n.id")
 def op_g1_build_graph(spark, sf_dir):
-    e = R.edges(spark, sf_dir)
-    return graph.build_graph(e, graph.node_set(e), graph.self_loops(e))
+    e = R.flows(spark, sf_dir)
+    return graph.build_graph(e, graph.node_set(e), graph.cyclic_components(e))
 
 
-@registered(f"WITH {R.EDGES} SELECT dst AS id, count(*) AS n_importers, string_agg(src, ',' ORDER BY src) AS importers FROM edges GROUP BY 1")
+@registered(f"WITH {R.EDGES} SELECT dst AS id, src AS importer FROM edges")
 def op_a21_reverse_dependencies(spark, sf_dir):
-    out = graph.reverse_dependencies(R.edges(spark, sf_dir))
-    return out.select("id", F.size("importers").cast("long").alias("n_importers"), F.array_join("importers", ",").alias("importers"))
+    return graph.importers(R.edges(spark, sf_dir))
 
 
 @registered(f"WITH {R.FLOWS} SELECT DISTINCT src AS id FROM flows WHERE src = dst")
@@ -98,10 +97,12 @@ def op_j22_uncut_surfaces(spark, sf_dir):
     return boundaries.uncut(refs, graph.layers_bottomup(e, graph.node_set(e)))
 
 
-@registered("SELECT p_brand AS module, CAST(p_partkey AS VARCHAR) AS symbol, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND 'Brand#' || (l_orderkey % 60) <> p_brand) AS is_public FROM part")
+@registered("WITH e AS (SELECT DISTINCT p_brand AS module, p_name AS symbol FROM part), u AS (SELECT DISTINCT p_brand AS module, p_name AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1 AND 'Brand#' || l_suppkey <> p_brand) SELECT e.*, u.symbol IS NOT NULL AS is_public FROM e LEFT JOIN u USING (module, symbol)")
 def op_j21_external_usage(spark, sf_dir):
-    exports = R.read(spark, sf_dir, "part").select(F.col("p_brand").alias("module"), F.col("p_partkey").cast("string").alias("symbol"))
-    refs = R.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.concat(F.lit("Brand#"), F.col("l_orderkey") % 60).alias("file"))
+    """Names stand in many modules, so a use counts for its own module's symbol alone."""
+    p = R.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("module"), F.col("p_name").alias("symbol"))
+    exports = p.select("module", "symbol").distinct()
+    refs = R.read(spark, sf_dir, "lineitem").filter("l_quantity = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select("module", "symbol", F.concat(F.lit("Brand#"), "l_suppkey").alias("file"))
     return boundaries.external_usage(exports, refs)
 
 
@@ -122,8 +123,8 @@ def op_a3_complexity(spark, sf_dir):
     return scoring.complexity(lines.select("module", "ordinal", (F.col("ordinal") + 1).alias("line_end"))).withColumn("complexity", levels.round2(F.col("complexity")))
 
 
-MODULE_COMPAT = """lv AS (SELECT 'supp/' || s_suppkey AS package, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 0.3 END AS s FROM supplier WHERE s_suppkey % 5 <> 0),
-md AS (SELECT DISTINCT 'Brand#' || (l_partkey % 60) AS module, 'supp/' || l_suppkey AS package FROM lineitem WHERE l_suppkey % 10 < 3 AND l_partkey % 60 > 9),
+MODULE_COMPAT = """lv AS (SELECT 'supp/' || s_suppkey AS package, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 0.3 END AS s FROM supplier WHERE s_acctbal > 1000),
+md AS (SELECT DISTINCT 'Brand#' || (l_partkey % 60) AS module, 'supp/' || l_suppkey AS package FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08),
 ms AS (SELECT DISTINCT CASE WHEN p_partkey % 60 < 5 THEN 'test/' ELSE '' END || 'Brand#' || (p_partkey % 60) AS module FROM part),
 mc AS (SELECT ms.module, CASE WHEN k.n IS NULL THEN CASE WHEN regexp_matches(lower(ms.module), 'test|spec') THEN least((SELECT avg(s) FROM lv) + 0.15, 1.0) ELSE (SELECT avg(s) FROM lv) END ELSE coalesce(least(greatest(k.mean, 0.0), 1.0), (SELECT avg(s) FROM lv)) END AS c FROM ms LEFT JOIN (SELECT md.module, count(*) AS n, avg(s) AS mean FROM md LEFT JOIN lv USING (package) GROUP BY 1) k USING (module))"""
 
@@ -134,9 +135,9 @@ def op_a6_module_compatibility(spark, sf_dir):
 
 
 def _module_compat(spark, sf_dir):
-    s = R.read(spark, sf_dir, "supplier").filter("s_suppkey % 5 <> 0")
+    s = R.read(spark, sf_dir, "supplier").filter("s_acctbal > 1000")
     compat_ = s.select(F.concat(F.lit("supp/"), "s_suppkey").alias("package"), R.level(F.col("s_suppkey")).alias("level"))
-    deps = R.read(spark, sf_dir, "lineitem").filter("l_suppkey % 10 < 3 and l_partkey % 60 > 9").select(F.concat(F.lit("Brand#"), F.col("l_partkey") % 60).alias("module"), F.concat(F.lit("supp/"), "l_suppkey").alias("package"))
+    deps = R.read(spark, sf_dir, "lineitem").filter("l_discount = 0.1 and l_tax = 0.08").select(F.concat(F.lit("Brand#"), F.col("l_partkey") % 60).alias("module"), F.concat(F.lit("supp/"), "l_suppkey").alias("package"))
     modules = R.read(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 60 < 5, "test/").otherwise(""), F.lit("Brand#"), F.col("p_partkey") % 60).alias("module")).distinct()
     return scoring.module_compatibility(modules, deps, compat_)
 
@@ -145,8 +146,8 @@ def _module_compat(spark, sf_dir):
 c AS (SELECT p_brand AS module, count(*) * ln(greatest(max_by(p_size, p_partkey), 1)) AS c FROM part WHERE p_size > 3 GROUP BY 1),
 lv AS (SELECT p_type AS package, CASE length(p_type) % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 0.3 END AS s FROM (SELECT DISTINCT p_type FROM part)),
 e AS (SELECT p_brand AS module, avg(s) AS s FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 4) JOIN lv ON package = p_type GROUP BY 1),
-y AS (SELECT p_brand AS module, count(*) AS n FROM (SELECT DISTINCT p_size, p_brand FROM part WHERE p_size % 10 = 0 AND p_partkey % 40 = 0) GROUP BY 1),
-t AS (SELECT DISTINCT p_brand AS module FROM part WHERE p_partkey % 37 = 0),
+y AS (SELECT p_brand AS module, count(*) AS n FROM (SELECT DISTINCT p_size, p_brand FROM part WHERE p_size > 45 AND p_retailprice > 950) GROUP BY 1),
+t AS (SELECT DISTINCT p_brand AS module FROM part WHERE p_name LIKE 'small%' AND p_size = 7),
 f AS (SELECT m.module, coalesce(d.n, 0) AS i, coalesce(c.c, 1.0) AS c, coalesce(e.s, (SELECT avg(s) FROM lv)) AS e, coalesce(y.n, 0) AS y, t.module IS NOT NULL AS has_tests FROM (SELECT DISTINCT p_brand AS module FROM part) m LEFT JOIN d USING (module) LEFT JOIN c USING (module) LEFT JOIN e USING (module) LEFT JOIN y USING (module) LEFT JOIN t ON t.module = m.module),
 p AS (SELECT *, 30.0 * i / (SELECT greatest(max(i), 1) FROM f) AS p1, 25.0 * greatest(0.0, 1 - c / (SELECT greatest(max(c), 1) FROM f)) AS p2, 20.0 * e AS p3, 15.0 * greatest(0.0, 1 - y / (SELECT greatest(max(y), 1) FROM f)) AS p4, CASE WHEN has_tests THEN 10.0 ELSE 0.0 END AS p5 FROM f),
 r AS (SELECT *, p1::DOUBLE + p2 + p3 + p4 + p5 AS raw FROM p),
@@ -160,8 +161,8 @@ def op_a8_readiness(spark, sf_dir):
     types = part.select(F.col("p_type").alias("package")).distinct()
     levels_ = types.select("package", R.level(F.length("package")).alias("level"))
     deps = part.filter("p_size < 4").select(F.col("p_brand").alias("module"), F.col("p_type").alias("package"))
-    cycles = part.filter("p_size % 10 = 0 and p_partkey % 40 = 0").groupBy("p_size").agg(F.collect_set("p_brand").alias("members"))
-    tests = part.filter("p_partkey % 37 = 0").select(F.col("p_brand").alias("module"))
+    cycles = part.filter("p_size > 45 and p_retailprice > 950").groupBy("p_size").agg(F.collect_set("p_brand").alias("members"))
+    tests = part.filter("p_name like 'small%' and p_size = 7").select(F.col("p_brand").alias("module"))
     return scoring.readiness(modules, scoring.reference_degree(_refs(spark, sf_dir)), complex_, scoring.module_compatibility(modules, deps, levels_), scoring.cycle_counts(cycles), tests)
 
 
@@ -186,26 +187,26 @@ def op_a10_similarity(spark, sf_dir):
     return out.select("part", *[(F.round(F.col(c) * 10000) / 10000).alias(c) for c in ("jaccard", "similarity")])
 
 
-EVALUATED = """lvl AS (SELECT 'supp/' || s_suppkey AS package, CASE WHEN s_suppkey % 7 = 0 THEN 'over' WHEN s_suppkey % 3 = 0 THEN 'nat' || s_nationkey END AS equivalent,
-  CASE WHEN s_suppkey % 7 = 0 THEN ['full','partial','none','unknown'][1 + s_suppkey % 4] WHEN s_suppkey % 3 = 0 THEN ['full','partial','none','unknown'][1 + s_nationkey % 4] ELSE 'unknown' END AS level FROM supplier),
+EVALUATED = """lvl AS (SELECT 'supp/' || s_suppkey AS package, s_acctbal > 8000 OR s_nationkey < 12 AS mapped, CASE WHEN s_acctbal > 8000 THEN 'over' WHEN s_nationkey < 12 THEN 'nat' || s_nationkey END AS equivalent,
+  CASE WHEN s_acctbal > 8000 THEN ['full','partial','none','unknown'][1 + s_suppkey % 4] WHEN s_nationkey < 12 THEN ['full','partial','none','unknown'][1 + s_nationkey % 4] ELSE 'unknown' END AS level FROM supplier),
 ev AS (SELECT *, CASE level WHEN 'full' THEN 'trivial' WHEN 'partial' THEN 'moderate' WHEN 'none' THEN 'rewrite' ELSE 'unknown' END AS effort FROM lvl),
-pm AS (SELECT 'supp/' || l_suppkey AS package, count(DISTINCT l_partkey % 40) AS affected FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)"""
+pm AS (SELECT 'supp/' || l_suppkey AS package, count(DISTINCT l_partkey % 40) AS affected FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 GROUP BY 1)"""
 
 
 def _evaluated(spark, sf_dir):
     s = R.read(spark, sf_dir, "supplier").withColumn("package", F.concat(F.lit("supp/"), "s_suppkey"))
     extra = [F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("guidance")]
-    over = s.filter("s_suppkey % 7 = 0").select("package", F.lit("over").alias("equivalent"), R.level(F.col("s_suppkey")).alias("level"), *extra)
-    built = s.filter("s_suppkey % 3 = 0").select("package", F.concat(F.lit("nat"), "s_nationkey").alias("equivalent"), R.level(F.col("s_nationkey")).alias("level"), *extra)
+    over = s.filter("s_acctbal > 8000").select("package", F.lit("over").alias("equivalent"), R.level(F.col("s_suppkey")).alias("level"), *extra)
+    built = s.filter("s_nationkey < 12").select("package", F.concat(F.lit("nat"), "s_nationkey").alias("equivalent"), R.level(F.col("s_nationkey")).alias("level"), *extra)
     return compat.evaluated(s, over, built)
 
 
 def _package_modules(spark, sf_dir):
-    li = R.read(spark, sf_dir, "lineitem").filter("l_suppkey % 2 = 0")
+    li = R.read(spark, sf_dir, "lineitem").filter("l_discount = 0.1 and l_tax = 0.08")
     return compat.package_modules(li.select(F.concat(F.lit("supp/"), "l_suppkey").alias("package"), (F.col("l_partkey") % 40).cast("string").alias("module")))
 
 
-@registered(f"WITH {EVALUATED} SELECT package, equivalent, level, effort, CASE level WHEN 'none' THEN 'rewrite,no-equivalent' WHEN 'unknown' THEN 'unverified' ELSE '' END AS risk_tags FROM ev")
+@registered(f"WITH {EVALUATED} SELECT package, equivalent, level, effort, CASE WHEN NOT mapped THEN 'unmapped' WHEN level = 'none' THEN 'rewrite,no-equivalent' WHEN level = 'unknown' THEN 'unverified' ELSE '' END AS risk_tags FROM ev")
 def op_j8_evaluate_packages(spark, sf_dir):
     return _evaluated(spark, sf_dir).select("package", "equivalent", "level", "effort", F.array_join("risk_tags", ",").alias("risk_tags"))
 
@@ -215,12 +216,12 @@ def op_j11_package_modules(spark, sf_dir):
     return _package_modules(spark, sf_dir).select("package", "affected")
 
 
-@registered(f"WITH {EVALUATED} SELECT ev.package, ev.level, ev.effort, coalesce(pm.affected, 0) AS affected, ev.effort IN ('heavy', 'rewrite') AS high_impact FROM ev LEFT JOIN pm USING (package)")
+@registered(f"WITH {EVALUATED} SELECT ev.package, ev.level, ev.effort, coalesce(pm.affected, 0) AS affected, coalesce(pm.affected, 0) > 5 AND ev.level IN ('unknown', 'none') AS high_impact FROM ev LEFT JOIN pm USING (package)")
 def op_t4_recommendations(spark, sf_dir):
     return compat.recommendations(_evaluated(spark, sf_dir), _package_modules(spark, sf_dir)).select("package", "level", "effort", "affected", "high_impact")
 
 
-@registered(f"WITH {EVALUATED} SELECT count(*) AS total, count(*) FILTER (WHERE equivalent IS NULL) AS unmapped, count(*) FILTER (WHERE effort IN ('heavy', 'rewrite')) AS heavy FROM ev")
+@registered(f"WITH {EVALUATED} SELECT count(*) AS total, count(*) FILTER (WHERE NOT mapped) AS unmapped, count(*) FILTER (WHERE effort IN ('heavy', 'rewrite')) AS heavy FROM ev")
 def op_a17_recommendation_counts(spark, sf_dir):
     return compat.recommendation_counts(_evaluated(spark, sf_dir))
 
@@ -385,16 +386,16 @@ def op_f28_json_columns(spark, sf_dir):
     return R.read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.array("event_type", F.col("user_id").cast("string"))).alias("members"))
 
 
-@registered("""WITH s AS (SELECT o_custkey % 200 AS f, o_orderkey AS k, o_orderstatus AS r, o_totalprice > 200000 AS a, length(o_orderpriority) AS n FROM orders WHERE o_orderkey % 3 = 0),
-m AS (SELECT k, CASE WHEN x.n < 4 THEN 'struct' ELSE 'fn' END AS kind, x.s AS r, n FROM (SELECT l_orderkey AS k, min({'p': l_partkey, 'n': l_linenumber, 's': l_linestatus}) AS x, count(*) AS n FROM lineitem WHERE l_orderkey % 6 = 0 GROUP BY 1)),
+@registered("""WITH s AS (SELECT o_custkey % 200 AS f, o_orderkey AS k, o_orderstatus AS r, o_totalprice > 200000 AS a, length(o_orderpriority) AS n FROM orders),
+m AS (SELECT k, CASE WHEN x.n < 4 THEN 'struct' ELSE 'fn' END AS kind, x.s AS r, n FROM (SELECT l_orderkey AS k, min({'p': l_partkey, 'n': l_linenumber, 's': l_linestatus}) AS x, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)),
 c AS (SELECT s.f, m.k IS NOT NULL AS found, coalesce(m.kind = 'struct', FALSE) AS kind_ok, coalesce(s.n % 4 + 1 = m.n, FALSE) AS p, m.k IS NOT NULL AND s.r = m.r AS r, m.k IS NOT NULL AND NOT s.a AS a FROM s LEFT JOIN m ON m.k = s.k),
 g AS (SELECT 'file/' || f AS file, count(*) AS n_symbols, sum(found::INT)::DOUBLE / count(*) AS names, sum((kind_ok::INT + p::INT + r::INT + a::INT) / 4.0::DOUBLE) / count(*) AS st, sum((NOT found OR NOT kind_ok)::INT) AS errors FROM c GROUP BY 1)
 SELECT file, n_symbols, round((names * 0.6::DOUBLE + st * 0.4::DOUBLE) * 10000) / 10000 AS similarity, CAST(errors AS BIGINT) AS errors, names * 0.6::DOUBLE + st * 0.4::DOUBLE >= 0.85 AND errors = 0 AS passed FROM g""")
 def op_a23_verification(spark, sf_dir):
-    o = R.read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    o = R.read(spark, sf_dir, "orders")
     file = F.concat(F.lit("file/"), F.col("o_custkey") % 200)
     spec = o.select(file.alias("file"), F.concat(F.lit("get_Order_"), "o_orderkey").alias("target_name"), F.lit("interface").alias("kind"), (F.length("o_orderpriority") % 4 + 1).cast("long").alias("n_params"), F.col("o_orderstatus").alias("return_type"), (F.col("o_totalprice") > 200000).alias("is_async"))
-    first = R.read(spark, sf_dir, "lineitem").filter("l_orderkey % 6 = 0").groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_linenumber", "l_linestatus")).alias("x"), F.count("*").alias("n_params"))
+    first = R.read(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_linenumber", "l_linestatus")).alias("x"), F.count("*").alias("n_params"))
     made = first.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(file.alias("file"), F.concat(F.lit("getOrder"), "l_orderkey").alias("name"), F.when(F.col("x.l_linenumber") < 4, "struct").otherwise("fn").alias("kind"), "n_params", F.col("x.l_linestatus").alias("return_type"), F.lit(False).alias("is_async"), F.col("x.l_partkey").alias("line"))
     out = tasks.verdicts(tasks.verification(spec, made))
     return out.withColumn("similarity", F.round(F.col("similarity") * 10000) / 10000)
@@ -412,7 +413,7 @@ def op_j20_coverage(spark, sf_dir):
 
 
 @registered("""WITH s AS (SELECT DISTINCT 'src/n' || c_nationkey || '.ts' AS file, 'getSeg' || substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) AS name, c_nationkey AS k, c_mktsegment AS seg FROM customer),
-t AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS seg FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey % 2 = 0),
+t AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS seg FROM customer WHERE c_acctbal > 9000),
 f AS (SELECT DISTINCT k FROM t),
 m AS (SELECT s.file, s.name, min(CASE WHEN f.k IS NOT NULL THEN 'src/n' || s.k || '.rs' ELSE 'src/n' || t.k || '.rs' END) AS at FROM s LEFT JOIN f ON f.k = s.k JOIN t ON t.seg = s.seg AND (f.k IS NULL OR t.k = s.k) GROUP BY 1, 2)
 SELECT s.file, s.name, coalesce(m.at, replace(s.file, '.ts', '.rs')) AS target_file, CASE WHEN m.at IS NOT NULL THEN 'get_seg_' || lower(s.seg) END AS target_name, CASE WHEN m.at IS NOT NULL THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM s LEFT JOIN m USING (file, name)""")
@@ -420,7 +421,7 @@ def op_j17_match_by_name(spark, sf_dir):
     c = R.read(spark, sf_dir, "customer")
     seg = F.concat(F.substring("c_mktsegment", 1, 1), F.lower(F.col("c_mktsegment").substr(F.lit(2), F.length("c_mktsegment"))))
     source = c.select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".ts")).alias("file"), F.concat(F.lit("getSeg"), seg).alias("name")).distinct()
-    target = c.filter("c_nationkey % 2 = 0 and c_custkey % 2 = 0").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("ordinal")).select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".rs")).alias("file"), F.concat(F.lit("get_seg_"), F.lower("c_mktsegment")).alias("name"), "ordinal")
+    target = c.filter("c_acctbal > 9000").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("ordinal")).select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".rs")).alias("file"), F.concat(F.lit("get_seg_"), F.lower("c_mktsegment")).alias("name"), "ordinal")
     return align.match_by_name(source, target)
 
 

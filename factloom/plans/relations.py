@@ -41,20 +41,19 @@ nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"""
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph with cycles: the event type of a user's event leads to that of the next, at one hour of the day."""
+    """A graph with cycles, loops and chains: the type of a user's event leads to that of the user's next event of the hour."""
     from pyspark.sql import Window
 
     e = read(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
     following = F.lead("event_type").over(Window.partitionBy("user_id", "hour").orderBy("ts", "event_id"))
-    pairs = e.select("user_id", "hour", "event_type", following.alias("then")).filter("then is not null")
-    name = lambda c: F.concat(F.col(c), F.lit("/"), F.pmod(F.col("user_id") + F.when(F.lit(c == "then"), F.col("hour")).otherwise(0), F.lit(40)).cast("string"))
-    return pairs.select(name("event_type").alias("src"), name("then").alias("dst"), "user_id").filter("user_id % 7 < 2").select("src", "dst")
+    pairs = e.select("user_id", "event_type", following.alias("then")).filter("then is not null")
+    return pairs.select(F.concat_ws("/", "event_type", "user_id").alias("src"), F.concat_ws("/", "then", "user_id").alias("dst"))
 
 
 FLOWS = """flows AS (
-  SELECT event_type || '/' || (user_id % 40) AS src, following || '/' || ((user_id + hour) % 40) AS dst FROM (
-    SELECT user_id, hour(ts) AS hour, event_type, lead(event_type) OVER (PARTITION BY user_id, hour(ts) ORDER BY ts, event_id) AS following FROM events)
-  WHERE following IS NOT NULL AND user_id % 7 < 2)"""
+  SELECT event_type || '/' || user_id AS src, following || '/' || user_id AS dst FROM (
+    SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id, hour(ts) ORDER BY ts, event_id) AS following FROM events)
+  WHERE following IS NOT NULL)"""
 
 
 def libraries(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
@@ -94,19 +93,19 @@ SYMBOLS = _symbols_sql("old", "o_orderdate < '1998-01-01'") + ",\n" + _symbols_s
 
 
 def packages(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
-    """Two lists of versioned packages: suppliers by their shipments before and after a day."""
-    li = read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < "1997-01-01" if version == 0 else F.col("l_shipdate") >= "1998-06-01").filter("l_suppkey % 3 = 0 or l_linenumber > 2")
+    """Two lists of versioned packages: suppliers by what was returned of their single pieces, and by what was accepted."""
+    li = read(spark, sf_dir, "lineitem").filter("l_quantity = 1").filter(F.col("l_returnflag") == ("R" if version == 0 else "A"))
     by = li.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m"))
-    return by.select(F.concat(F.lit("supp/"), "l_suppkey").alias("package"), F.concat(F.lit("v"), F.floor(F.col("n") / 50), F.lit("."), F.col("n") % 5, F.lit("."), "m").alias("version"))
+    return by.select(F.concat(F.lit("supp/"), "l_suppkey").alias("package"), F.concat(F.lit("v"), F.floor(F.col("n") / 3), F.lit("."), F.col("n") % 3, F.lit("."), "m").alias("version"))
 
 
 def _packages_sql(name: str, where: str) -> str:
     return f"""{name} AS (
-  SELECT 'supp/' || l_suppkey AS package, n // 50 AS major, n % 5 AS minor, 'v' || (n // 50) || '.' || (n % 5) || '.' || m AS version FROM (
-    SELECT l_suppkey, count(*) AS n, max(l_linenumber) AS m FROM lineitem WHERE {where} AND (l_suppkey % 3 = 0 OR l_linenumber > 2) GROUP BY 1))"""
+  SELECT 'supp/' || l_suppkey AS package, n // 3 AS major, n % 3 AS minor, 'v' || (n // 3) || '.' || (n % 3) || '.' || m AS version FROM (
+    SELECT l_suppkey, count(*) AS n, max(l_linenumber) AS m FROM lineitem WHERE l_quantity = 1 AND {where} GROUP BY 1))"""
 
 
-PACKAGES = _packages_sql("po", "l_shipdate < '1997-01-01'") + ",\n" + _packages_sql("pn", "l_shipdate >= '1998-06-01'")
+PACKAGES = _packages_sql("po", "l_returnflag = 'R'") + ",\n" + _packages_sql("pn", "l_returnflag = 'A'")
 
 
 def level(number: F.Column) -> F.Column:

@@ -45,11 +45,16 @@ def selected(files: DataFrame, wanted: str | None = None, ignored: tuple[str, ..
 
 
 def scan(spark: SparkSession, root: str, wanted: str | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """path (below root), source and language of a tree's files, read by Spark."""
+    """path (below root), source and language of a tree's files, read by Spark; source is null where a file isn't UTF-8 (see unreadable)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^[a-z]+:/+|^/+", "", root).rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), f"^{re.escape(base)}/", "")
-    return selected(found.select(path.alias("path"), F.decode("content", "UTF-8").alias("source")), wanted, ignored)
+    return selected(found.select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("source")), wanted, ignored)
+
+
+def unreadable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files of a scan that could be read, and the paths of those that couldn't."""
+    return files.filter("source is not null"), files.filter("source is null").select("path")
 
 
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
