@@ -1,7 +1,6 @@
-"""Facts of source text: imports, bindings, top-level symbols, uses. files(path, source, language).
+"""Facts of source text: imports, bindings, top-level symbols, uses, and the files that imports stand for. files(path, source, language).
 
-Line by line, with built-in functions: comments and string contents are blanked first, and only declarations that
-begin a line are symbols."""
+With built-in functions: imports by patterns over the text without comments, the rest over its tokens (operators.tokens)."""
 
 from __future__ import annotations
 
@@ -9,42 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.texts import normalised
+from factloom.operators import tokens as T
 
-#: What begins a declaration: groups are the modifiers, the keyword and the name.
-_SCRIPT = r"^((?:export\s+|default\s+|declare\s+|abstract\s+|async\s+)*)(function\*?|class|interface|type|enum|const|let|var|namespace)\s+([A-Za-z_$][\w$]*)"
-_RUST = r"^((?:pub(?:\([^)]*\))?\s+|async\s+|unsafe\s+|const\s+(?=fn)|extern\s+(?:\"[^\"]*\"\s+)?)*)(fn|struct|enum|trait|type|const|static|mod)\s+(?:mut\s+)?([A-Za-z_]\w*)"
-#: What the keywords are called.
-KINDS = {"function": "function", "function*": "function", "class": "class", "interface": "interface", "type": "type_alias", "enum": "enum", "const": "variable", "let": "variable", "var": "variable", "namespace": "namespace", "fn": "function", "struct": "struct", "trait": "trait", "static": "static", "mod": "module"}
-#: Endings that a relative import may stand for, in order.
-ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx")
+#: What an import of each language may stand for, in order. An ending of its own is replaced, as a path's is.
+CANDIDATES = {
+    "typescript": (("", ".ts", ".tsx", ".js"), ("index.ts", "index.tsx", "index.js")),
+    "javascript": (("", ".js", ".jsx", ".mjs", ".cjs"), ("index.js", "index.jsx", "index.mjs", "index.cjs")),
+}
+#: Strings, which stay, and comments, which go.
+_KEPT = r"""('(?:[^'\\\n]|\\.)*+'|"(?:[^"\\]|\\.)*+"|`(?:[^`\\]|\\.)*+`)|/\*(?s:.*?)\*/|//[^\n]*"""
+_KEPT_RUST = r"""('(?:\\[^'\n]+|[^'\\\n])'|"(?:[^"\\]|\\.)*+")|/\*(?s:.*?)\*/|//[^\n]*"""
 
 
-def without_comments(source: Column) -> Column:
-    """Block and line comments as spaces; line breaks stay."""
-    blocks = F.regexp_replace(source, r"/\*(?:[^*\n]|\*(?!/))*\*/", " ")
-    return F.regexp_replace(blocks, r"(?m)(^|[\s;{}(),])//[^\n]*", "$1")
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """path, language, line (from 1) and text of each line."""
-    split = F.posexplode(F.split(without_comments(F.col("source")), "\n")).alias("at", "text")
-    return files.select("path", "language", split).select("path", "language", (F.col("at") + 1).alias("line"), "text")
+def without_comments(source: Column, language: Column | None = None) -> Column:
+    """Without block comments, over however many lines, and line comments; what stands in strings is no comment."""
+    script = F.regexp_replace(source, _KEPT, "$1 ")
+    return script if language is None else F.when(language == "rust", F.regexp_replace(source, _KEPT_RUST, "$1 ")).otherwise(script)
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """module, name, kind, line, ordinal, is_public, is_async and parameters' text of top-level declarations."""
-    rust = F.col("language") == "rust"
-    pick = lambda g: F.when(rust, F.regexp_extract("text", _RUST, g)).otherwise(F.regexp_extract("text", _SCRIPT, g))
-    found = lines(files).select("path", "language", "line", "text", pick(1).alias("modifiers"), pick(2).alias("keyword"), pick(3).alias("name")).filter("name <> ''")
-    kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("keyword")]
-    kind = F.when(rust & F.col("keyword").isin("const"), "const").otherwise(kind)
-    public = F.when(rust, F.col("modifiers").contains("pub")).otherwise(F.col("modifiers").contains("export"))
-    return found.select(F.col("path").alias("module"), "name", kind.alias("kind"), "line", F.col("line").cast("long").alias("ordinal"), public.alias("is_public"), F.col("modifiers").contains("async").alias("is_async"), F.regexp_extract("text", r"\(([^)]*)\)", 1).alias("params"))
+    """module, name, kind, line, line_end, ordinal, is_public, is_async and parameters' text of top-level declarations."""
+    stmts = T.statements(T.tokens(files))
+    made = T.declarations(stmts).filter("word <> 'impl'")
+    close = stmts.filter("text = ')' and depth = 0 and paren = 0").select("path", "stmt", F.col("offset").alias("close"))
+    closed = made.select("path", "stmt", "open").join(close, ["path", "stmt"]).filter("close > open").groupBy("path", "stmt").agg(F.min("close").alias("close"))
+    out = made.join(closed, ["path", "stmt"], "left").join(files.select("path", "source"), "path")
+    params = F.coalesce(F.substring("source", F.col("open") + 2, F.col("close") - F.col("open") - 1), F.lit(""))
+    return out.select(F.col("path").alias("module"), "name", "kind", "line", "line_end", F.col("i").cast("long").alias("ordinal"), "is_public", "is_async", params.alias("params"))
+
+
+def reexports(files: DataFrame) -> DataFrame:
+    """module, name (as others see it), original, specifier of what scripts export from other modules; * where all of it is."""
+    clean = without_comments(F.col("source"))
+    found = files.filter("language <> 'rust'").select(F.col("path").alias("module"), F.explode(F.regexp_extract_all(clean, F.lit(r"(?m)^\s*export\s+((?:type\s+)?(?:\{[^}]*\}|\*(?:\s*as\s+[\w$]+)?)\s*from\s*['\"][^'\"]+['\"])"), F.lit(1))).alias("e"))
+    found = found.select("module", F.regexp_extract("e", r"['\"]([^'\"]+)['\"]$", 1).alias("specifier"), F.regexp_extract("e", r"\{([^}]*)\}", 1).alias("named"), F.regexp_extract("e", r"^\*\s*as\s+([\w$]+)", 1).alias("space"), F.col("e").startswith("*").alias("all"))
+    part = found.filter("named <> ''").select("module", "specifier", F.explode(F.split("named", ",")).alias("n")).withColumn("n", F.trim(F.regexp_replace("n", r"^\s*type\s+", ""))).filter("n <> ''")
+    some = part.select("module", F.regexp_extract("n", r"([\w$]+)\s*$", 1).alias("name"), F.regexp_extract("n", r"^([\w$]+)", 1).alias("original"), "specifier")
+    return some.unionByName(found.filter("all").select("module", F.when(F.col("space") != "", F.col("space")).otherwise("*").alias("name"), F.lit("*").alias("original"), "specifier"))
 
 
 def imports(files: DataFrame) -> DataFrame:
     """module, specifier, is_external of imports and re-exports, each once."""
-    clean = without_comments(F.col("source"))
+    clean = without_comments(F.col("source"), F.col("language"))
     script = F.array_distinct(F.concat(F.regexp_extract_all(clean, F.lit(r"(?m)^\s*(?:import|export)\b[^;'\"]*?\bfrom\s*['\"]([^'\"]+)['\"]"), F.lit(1)), F.regexp_extract_all(clean, F.lit(r"(?m)^\s*import\s*['\"]([^'\"]+)['\"]"), F.lit(1))))
     modules = F.transform(F.regexp_extract_all(clean, F.lit(r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;"), F.lit(1)), lambda m: F.concat(F.lit("self::"), m))
     rust = F.array_distinct(F.concat(F.regexp_extract_all(clean, F.lit(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+?)(?:::\{|::\*|\s+as\b|;)"), F.lit(1)), modules))
@@ -63,34 +68,52 @@ def module_packages(found: DataFrame) -> DataFrame:
     return found.filter("is_external").select("module", package_of(F.col("specifier")).alias("package")).distinct()
 
 
-def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
-    """module, specifier, target: the first file that a relative import may stand for. Self-imports fall away."""
-    base = normalised(F.concat(F.regexp_extract("module", "^(.*/)?[^/]*$", 1), F.col("specifier")), keep_leading=False)
-    asked = found.filter("specifier like '.%'").withColumn("base", base)
-    tried = asked.select("module", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("at", "target"))
-    hit = tried.join(files.select(F.col("path").alias("target")).distinct(), "target")
+def resolved(found: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """module, specifier, target: the first file that an import may stand for. Self-imports fall away.
+
+    files(path), with language where modules are of several. aliases(prefix, target, at): prefixes that end with a slash
+    (or are whole specifiers) and what they stand for, the first by `at` that an import begins with."""
+    language = F.when(F.col("module").endswith(".rs"), "rust").when(F.col("module").rlike(r"\.(js|jsx|mjs|cjs)$"), "javascript").otherwise("typescript")
+    folder = F.regexp_extract("module", "^(.*/)?[^/]*$", 1)
+    asked = found.select("module", "specifier", language.alias("language"))
+    relative = asked.filter("language <> 'rust' and specifier like '.%'").withColumn("base", normalised(F.concat(folder, F.col("specifier")), keep_leading=False))
+    if aliases is not None:
+        parts = F.split("specifier", "/")
+        prefixes = F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))), F.array("specifier"))
+        open_ = asked.filter("language <> 'rust' and specifier not like '.%'").withColumn("prefix", F.explode(prefixes)).join(aliases.select("prefix", F.col("target").alias("stands_for"), "at"), "prefix")
+        first = open_.groupBy("module", "specifier", "language").agg(F.min_by(F.concat("stands_for", F.col("specifier").substr(F.length("prefix") + 1, F.length("specifier"))), "at").alias("base"))
+        relative = relative.unionByName(first.withColumn("base", normalised(F.col("base"), keep_leading=False)))
+    bare = F.regexp_replace("base", r"\.[^./]+$", "")
+    names = lambda lang: F.array(*[F.concat(bare if e else F.col("base"), F.lit(e)) for e in CANDIDATES[lang][0]], *[F.concat("base", F.lit(f"/{e}")) for e in CANDIDATES[lang][1]])
+    tried = relative.select("module", "specifier", F.when(F.col("language") == "javascript", names("javascript")).otherwise(names("typescript")).alias("names"))
+    tried = tried.unionByName(_rust_candidates(asked.filter("language = 'rust'"), folder))
+    each = tried.select("module", "specifier", F.posexplode("names").alias("at", "target"))
+    hit = each.join(files.select(F.col("path").alias("target")).distinct(), "target")
     return hit.groupBy("module", "specifier").agg(F.min_by("target", "at").alias("target")).filter("target <> module")
 
 
+def _rust_candidates(asked: DataFrame, folder: Column) -> DataFrame:
+    """The files of a crate-local path: crate and self from the module's own folder, super from one folder up for each."""
+    ups = F.size(F.regexp_extract_all("specifier", F.lit("(super)(?:::|$)"), F.lit(1)))
+    rest = F.replace(F.regexp_replace("specifier", "^(crate::|self::|(super::)+)", ""), F.lit("::"), F.lit("/"))
+    base = normalised(F.concat(folder, F.repeat(F.lit("../"), ups), rest), keep_leading=False)
+    inside = asked.filter(F.col("specifier").rlike("^(crate|self|super)(::|$)"))
+    root = F.array(F.lit("src/lib.rs"), F.lit("src/main.rs"))
+    return inside.select("module", "specifier", F.when(F.col("specifier") == "crate", root).otherwise(F.array(F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/mod.rs")))).alias("names"))
+
+
 def bindings(files: DataFrame) -> DataFrame:
-    """module, local_name, exported_name, specifier of named and default imports of scripts; namespaces are left out."""
+    """module, local_name, exported_name, specifier of named and default imports of scripts, and of use trees of Rust; namespaces are left out."""
     clean = without_comments(F.col("source"))
     whole = F.regexp_extract_all(clean, F.lit(r"(?m)^\s*import\s+((?:type\s+)?[^;'\"]*?\bfrom\s*['\"][^'\"]+['\"])"), F.lit(1))
     each = files.filter("language <> 'rust'").select(F.col("path").alias("module"), F.explode(whole).alias("i"))
     each = each.select("module", F.regexp_extract("i", r"['\"]([^'\"]+)['\"]$", 1).alias("specifier"), F.regexp_extract("i", r"\{([^}]*)\}", 1).alias("named"), F.regexp_extract("i", r"^(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|from)", 1).alias("default"))
     part = each.select("module", "specifier", F.explode(F.split("named", ",")).alias("n")).withColumn("n", F.trim(F.regexp_replace("n", r"^\s*type\s+", ""))).filter("n <> ''")
     named = part.select("module", F.regexp_extract("n", r"([\w$]+)\s*$", 1).alias("local_name"), F.regexp_extract("n", r"^([\w$]+)", 1).alias("exported_name"), "specifier")
-    return named.unionByName(each.filter("default <> '' and default <> 'from'").select("module", F.col("default").alias("local_name"), F.lit("default").alias("exported_name"), "specifier"))
+    default = each.filter("default <> '' and default <> 'from'").select("module", F.col("default").alias("local_name"), F.lit("default").alias("exported_name"), "specifier")
+    return named.unionByName(default).unionByName(T.rust_bindings(files, without_comments(F.col("source"), F.col("language"))))
 
 
 def references(files: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:
-    """target_symbol, source_symbol, file, line, col, kind of every use of a bound name; targets(module, specifier, target).
-
-    A use inside a string is none; kinds go by what stands around the name."""
-    blank = F.regexp_replace("text", r"'[^']*'|\"[^\"]*\"", "''")
-    body = lines(files.filter("language <> 'rust'")).filter(~F.col("text").rlike(r"^\s*(import\b|export\b[^=({]*\bfrom\b)")).select(F.col("path").alias("module"), "line", blank.alias("text"))
-    words = body.select("module", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)))).alias("local_name"))
-    used = words.join(bound.join(targets, ["module", "specifier"]), ["module", "local_name"])
-    near = lambda before, after: F.regexp_like("text", F.concat(F.lit(before + r"(?<![\w$])\Q"), "local_name", F.lit(r"\E(?![\w$])" + after)))
-    kind = F.when(near(r"\bnew\s+", ""), "New").when(near(r"\bextends\s+", ""), "Extends").when(near(r"\bimplements\s+", ""), "Implements").when(near("", r"\s*\("), "Call").when(near("", r"\s*\."), "PropertyAccess").when(near(r":\s*", ""), "TypeReference").otherwise("Usage")
-    return used.select(F.concat_ws(":", "target", "exported_name").alias("target_symbol"), F.concat_ws(":", "module", "local_name").alias("source_symbol"), F.col("module").alias("file"), "line", (F.expr("instr(text, local_name)") - 1).alias("col"), kind.alias("kind"))
+    """target_symbol, source_symbol, file, line, col, kind of every use of a bound name; targets(module, specifier, target)."""
+    return T.uses(T.tokens(files), bound, targets)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import levels, naming, texts
-from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, scoring, tasks
+from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, reports, scoring, tasks, tokens
 from factloom.plans import relations as R
 from factloom.sources import trees
 
@@ -425,9 +425,9 @@ def op_j17_match_by_name(spark, sf_dir):
     return align.match_by_name(source, target)
 
 
-@registered(f"WITH {R.SOURCES} SELECT f.path AS module, CASE WHEN p % 2 = 0 THEN 'f' ELSE 'c' END || p AS name, CASE WHEN p % 2 = 0 THEN 'function' ELSE 'variable' END AS kind, p % 2 = 0 AS is_public, p % 2 = 0 AS is_async, CASE WHEN p % 2 = 0 THEN 'a: string' ELSE '' END AS params, CAST(6 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS INTEGER) AS line FROM files f JOIN shipped USING (s)")
+@registered(f"WITH {R.SOURCES} SELECT f.path AS module, CASE WHEN p % 2 = 0 THEN 'f' ELSE 'c' END || p AS name, CASE WHEN p % 2 = 0 THEN 'function' ELSE 'variable' END AS kind, p % 2 = 0 AS is_public, p % 2 = 0 AS is_async, CASE WHEN p % 2 = 0 THEN 'a: string' ELSE '' END AS params, CAST(7 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS INTEGER) AS line, CAST(7 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) + CASE WHEN p % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS line_end FROM files f JOIN shipped USING (s)")
 def op_p2_symbols(spark, sf_dir):
-    return extract_facts.symbols(R.source_files(spark, sf_dir)).select("module", "name", "kind", "is_public", "is_async", "params", "line")
+    return extract_facts.symbols(R.source_files(spark, sf_dir)).select("module", "name", "kind", "is_public", "is_async", "params", "line", "line_end")
 
 
 @registered(f"WITH {R.SOURCES} SELECT module, specifier, FALSE AS is_external FROM imported UNION SELECT path, '@scope/pkg' || (s % 5) || '/lib', TRUE FROM files")
@@ -451,11 +451,11 @@ def op_p9_bindings(spark, sf_dir):
     return extract_facts.bindings(R.source_files(spark, sf_dir))
 
 
-@registered(f"WITH {R.SOURCES}, uses AS (SELECT path AS module, 7 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS line FROM files f JOIN shipped USING (s) WHERE p % 2 = 0) SELECT target || ':f' || i AS target_symbol, module || ':g' || i AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CASE WHEN i = 0 THEN 'Call' ELSE 'New' END AS kind FROM imported JOIN uses USING (module) WHERE i < 2 AND target <> module AND target IN (SELECT path FROM files)")
+@registered(f"WITH {R.SOURCES}, uses AS (SELECT path AS module, 8 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS line FROM files f JOIN shipped USING (s) WHERE p % 2 = 0) SELECT target || ':f' || i AS target_symbol, module || ':g' || i AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CASE WHEN i = 0 THEN 9 ELSE 21 END AS col, CASE WHEN i = 0 THEN 'Call' ELSE 'New' END AS kind FROM imported JOIN uses USING (module) WHERE i < 2 AND target <> module AND target IN (SELECT path FROM files)")
 def op_p12_references(spark, sf_dir):
     files = R.source_files(spark, sf_dir)
     targets = extract_facts.resolved(extract_facts.imports(files), files)
-    return extract_facts.references(files, extract_facts.bindings(files), targets).select("target_symbol", "source_symbol", "file", "line", "kind")
+    return extract_facts.references(files, extract_facts.bindings(files), targets).select("target_symbol", "source_symbol", "file", "line", "col", "kind")
 
 
 @registered("WITH o AS (SELECT conv_id || '/' || turn AS path, text FROM conversations), n AS (SELECT conv_id || '/' || (turn - 1) AS path, text FROM conversations), b AS (SELECT coalesce(o.path, n.path) AS path, o.text AS o, n.text AS n FROM o FULL JOIN n ON o.path = n.path WHERE o.text IS DISTINCT FROM n.text), lo AS (SELECT path, line, count(*) AS k FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM o) GROUP BY 1, 2), ln AS (SELECT path, line, count(*) AS k FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM n) GROUP BY 1, 2), c AS (SELECT coalesce(lo.path, ln.path) AS path, CAST(sum(greatest(coalesce(ln.k, 0) - coalesce(lo.k, 0), 0)) AS BIGINT) AS added, CAST(sum(greatest(coalesce(lo.k, 0) - coalesce(ln.k, 0), 0)) AS BIGINT) AS removed FROM lo FULL JOIN ln ON lo.path = ln.path AND lo.line = ln.line GROUP BY 1) SELECT path, CASE WHEN o IS NULL THEN 'A' WHEN n IS NULL THEN 'D' ELSE 'M' END AS status, added, removed FROM b JOIN c USING (path)")
@@ -463,3 +463,241 @@ def op_s12_changed_files(spark, sf_dir):
     c = R.read(spark, sf_dir, "conversations")
     path = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
     return trees.changed_files(c.select(path(F.col("turn")).alias("path"), F.col("text").alias("source")), c.select(path(F.col("turn") - 1).alias("path"), F.col("text").alias("source")))
+
+
+def _scanned(files):
+    stmts = tokens.statements(tokens.tokens(files))
+    declared = tokens.declarations(stmts)
+    return stmts, declared, tokens.members(stmts, declared)
+
+
+@registered(f"WITH {R.CLASSES} SELECT module, NULL AS parent, b AS name, 'class' AS kind, 2 AS line FROM classes UNION ALL SELECT module, b, 'name', 'property', 3 FROM classes UNION ALL SELECT 'src/' || b || '.ts', b, 'size' || n, 'method', CAST(line AS INTEGER) FROM methods UNION ALL SELECT module, x.parent, x.name, x.kind, CAST(last + x.line AS INTEGER) FROM classes, (VALUES (NULL, 'Kind', 'enum', 1), ('Kind', 'A', 'member', 1), ('Kind', 'C', 'member', 1), (NULL, 'make', 'function', 2), (NULL, 'build', 'function', 3)) x(parent, name, kind, line)")
+def op_p19_all_symbols(spark, sf_dir):
+    _, declared, members = _scanned(R.class_files(spark, sf_dir))
+    return tokens.flattened(declared, members).drop("at")
+
+
+@registered(f"WITH {R.CLASSES} SELECT module, b AS caller, 'u' AS callee FROM classes UNION ALL SELECT 'src/' || b || '.ts', b, 'other' || n FROM methods UNION ALL SELECT module, 'build', 'u' FROM classes")
+def op_p15_calls(spark, sf_dir):
+    return tokens.calls(*_scanned(R.class_files(spark, sf_dir)))
+
+
+@registered(f"WITH {R.CLASSES} SELECT module, 'build' AS name, 'export function build(p: string, q: unknown, r: Map<string, number>) -> Promise<void>' AS signature FROM classes")
+def op_p18_signatures(spark, sf_dir):
+    files = R.class_files(spark, sf_dir)
+    stmts, declared, _ = _scanned(files)
+    return tokens.signatures(files, stmts, declared)
+
+
+@registered(f"WITH {R.CLASSES} SELECT module, 'y' AS name, 'x' AS original, './x' AS specifier FROM classes")
+def op_p4_reexports(spark, sf_dir):
+    return extract_facts.reexports(R.class_files(spark, sf_dir))
+
+
+@registered(f"WITH {R.RUST} SELECT module, 'N' || n AS parent, 'supp' || k AS name, 'method' AS kind, CAST(line AS INTEGER) AS line FROM supps UNION ALL SELECT module, 'N' || n, x.name, 'field', 2 FROM owners, (VALUES ('id'), ('name')) x(name) UNION ALL SELECT module, 'E', x.name, 'variant', CAST((SELECT max(line) FROM supps WHERE supps.n = owners.n) + 2 AS INTEGER) FROM owners, (VALUES ('A'), ('B')) x(name)")
+def op_p5_rust_members(spark, sf_dir):
+    _, _, members = _scanned(R.rust_files(spark, sf_dir))
+    return members.select(F.col("path").alias("module"), "parent", "name", "kind", "line")
+
+
+@registered(f"WITH {R.RUST} SELECT module, x.* FROM owners, (VALUES ('Item', 'Item', 'crate::shared'), ('Part', 'Thing', 'crate::shared::other')) x(local_name, exported_name, specifier)")
+def op_p11_rust_bindings(spark, sf_dir):
+    return extract_facts.bindings(R.rust_files(spark, sf_dir))
+
+
+def _rust_targets(files):
+    bound = extract_facts.bindings(files)
+    return bound, extract_facts.resolved(bound.select("module", "specifier").distinct(), files)
+
+
+@registered(f"WITH {R.RUST} SELECT module, x.* FROM owners, (VALUES ('crate::shared', 'src/shared.rs'), ('crate::shared::other', 'src/shared/other.rs')) x(specifier, target)")
+def op_j4_rust_targets(spark, sf_dir):
+    return _rust_targets(R.rust_files(spark, sf_dir))[1]
+
+
+@registered(f"WITH {R.RUST} SELECT x.target_symbol, module || ':' || x.name AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CAST(x.col + length('supp' || k) AS INTEGER) AS col, x.kind FROM supps, (VALUES ('src/shared/other.rs:Thing', 'Part', 22, 'TypeReference'), ('src/shared.rs:Item', 'Item', 31, 'TypeReference'), ('src/shared.rs:Item', 'Item', 38, 'Call'), ('src/shared.rs:Item', 'Item', 38, 'Usage')) x(target_symbol, name, col, kind)")
+def op_p13_rust_references(spark, sf_dir):
+    files = R.rust_files(spark, sf_dir)
+    return extract_facts.references(files, *_rust_targets(files))
+
+
+@registered("SELECT DISTINCT 'src/' || replace(p_brand, '#', '') || '.ts' AS module, CASE WHEN p_size % 2 = 0 THEN '@/' ELSE '#lib/' END || 's' || p_size AS specifier, CASE WHEN p_size % 2 = 0 THEN 'app/' ELSE 'vendor/lib/' END || 's' || p_size || '.ts' AS target FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_type = 'ECONOMY')")
+def op_j3_alias_targets(spark, sf_dir):
+    """Sizes that some economy part has are files; aliases stand for folders, a longer one comes too late."""
+    p = R.read(spark, sf_dir, "part")
+    even = F.col("p_size") % 2 == 0
+    found = p.select(F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".ts")).alias("module"), F.concat(F.when(even, "@/").otherwise("#lib/"), F.lit("s"), "p_size").alias("specifier")).distinct()
+    files = p.filter("p_type = 'ECONOMY'").select(F.concat(F.when(even, "app/").otherwise("vendor/lib/"), F.lit("s"), "p_size", F.lit(".ts")).alias("path")).distinct()
+    aliases = spark.createDataFrame([("@/", "./app/", 0), ("#lib/", "vendor/lib/", 1), ("#lib/s1", "none", 2)], "prefix string, target string, at int")
+    return extract_facts.resolved(found, files, aliases)
+
+
+def _customers(spark, sf_dir):
+    return R.read(spark, sf_dir, "customer").withColumn("module", F.concat(F.lit("cust/"), "c_custkey"))
+
+
+def _specifications(spark, sf_dir):
+    c = _customers(spark, sf_dir)
+    used = R.read(spark, sf_dir, "orders").groupBy(F.concat(F.lit("cust/"), "o_custkey").alias("module")).agg(F.count("*").alias("n_users"))
+    return reports.specifications(c.select("module"), used, c.filter("c_acctbal > 0").select(F.col("module").alias("id"), F.col("c_nationkey").alias("layer")), c.filter("c_acctbal > 5000").select("module", F.col("c_acctbal").alias("score"), F.col("c_custkey").alias("rank")))
+
+
+SPECIFICATIONS = "spec AS (SELECT 'cust/' || c_custkey AS module, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_users, CASE WHEN c_acctbal > 0 THEN c_nationkey ELSE 0 END AS layer, CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS score, CASE WHEN c_acctbal > 5000 THEN c_custkey END AS rank FROM customer)"
+
+
+@registered(f"WITH {SPECIFICATIONS} SELECT * FROM spec")
+def op_j12_specifications(spark, sf_dir):
+    return _specifications(spark, sf_dir)
+
+
+@registered(f"""WITH {SPECIFICATIONS} SELECT 'cust' AS directory, module AS path, '{{"n_users":' || n_users || ',"layer":' || layer || ',"symbols":[' || coalesce((SELECT string_agg('{{"name":"' || o_orderpriority || '","kind":"' || o_orderstatus || '"}}', ',' ORDER BY o_orderkey) FROM orders WHERE 'cust/' || o_custkey = module), '') || ']}}' AS document FROM spec""")
+def op_k8_documents(spark, sf_dir):
+    symbols = R.read(spark, sf_dir, "orders").select(F.concat(F.lit("cust/"), "o_custkey").alias("module"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("at"))
+    return reports.documents(_specifications(spark, sf_dir).select("module", "n_users", "layer"), symbols)
+
+
+@registered("SELECT c_custkey, c_name AS path FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def op_s16_in_directory(spark, sf_dir):
+    return reports.in_directory(R.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("path")), "Customer#00000001")
+
+
+@registered("SELECT 'cust/' || o_custkey || ':' || o_orderpriority AS key, o_orderpriority AS name, o_orderkey AS line FROM orders")
+def op_s9_symbol_keys(spark, sf_dir):
+    shards = R.read(spark, sf_dir, "orders").groupBy(F.concat(F.lit("cust/"), "o_custkey").alias("path")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("line"))).alias("symbols"))
+    return reports.symbol_keys(shards)
+
+
+STATES = f"{R.TASKS}, states AS (SELECT t.module, t.layer, t.in_degree, CASE WHEN bool_or(e.status = 'verified') THEN 'verified' ELSE max_by(e.status, e.at) END AS status, count(*) FILTER (WHERE e.status = 'in_progress') AS attempts FROM tasks t JOIN task_events e USING (module) GROUP BY 1, 2, 3)"
+
+
+@registered(f"WITH {STATES} SELECT DISTINCT module, module AS target, states.status, event_type AS source, upper(event_type) AS target_name, 'function' AS kind, CASE states.status WHEN 'verified' THEN TRUE WHEN 'failed' THEN FALSE END AS present FROM states JOIN events ON module = 'user/' || user_id WHERE event_type <> 'signup'")
+def op_j27_checklist(spark, sf_dir):
+    e = R.read(spark, sf_dir, "events").filter("event_type <> 'signup'")
+    symbols = e.select(F.concat(F.lit("user/"), "user_id").alias("module"), F.col("event_type").alias("name"), F.upper("event_type").alias("target_name"), F.lit("function").alias("kind")).distinct()
+    return reports.checklist(_states(spark, sf_dir), symbols)
+
+
+@registered(f"WITH {STATES} SELECT module, status FROM states WHERE status <> 'verified'")
+def op_k9_todo(spark, sf_dir):
+    return reports.todo(_states(spark, sf_dir)).select("module", "status")
+
+
+@registered(f"WITH {STATES} SELECT module, layer, in_degree, 'in_progress' AS status, attempts, (SELECT count(*) FILTER (WHERE status = 'pending') > 1 OR count(*) FILTER (WHERE status = 'verified') > 0 FROM states) AS has_next FROM states WHERE status = 'pending' ORDER BY layer, in_degree DESC, module LIMIT 1")
+def op_k5_next_response(spark, sf_dir):
+    return reports.next_response(_states(spark, sf_dir))
+
+
+@registered(f"WITH {STATES} SELECT module, layer, in_degree, status, attempts FROM states WHERE status = 'failed'")
+def op_t3_listed_tasks(spark, sf_dir):
+    return tasks.listed(_states(spark, sf_dir), "failed")
+
+
+@registered(f"WITH {R.TASKS} SELECT * FROM tasks")
+def op_t5_layer_members(spark, sf_dir):
+    return reports.layer_members(R.tasks(spark, sf_dir))
+
+
+@registered("SELECT 'cust/' || o_custkey AS module, count(*) AS n_symbols FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def op_t6_largest_modules(spark, sf_dir):
+    return reports.largest_modules(R.read(spark, sf_dir, "orders").select(F.concat(F.lit("cust/"), "o_custkey").alias("module")))
+
+
+@registered("WITH ch AS (SELECT DISTINCT p_brand AS path FROM part), d AS (SELECT DISTINCT p_brand AS path, p_type AS package FROM part WHERE p_size > 45), r AS (SELECT DISTINCT p_type AS package, lower(p_type) AS effort FROM part WHERE p_type < 'P') SELECT path, package, effort FROM ch LEFT JOIN (SELECT d.path, package, effort FROM d JOIN r USING (package)) USING (path)")
+def op_j23_changed_recommendations(spark, sf_dir):
+    p = R.read(spark, sf_dir, "part")
+    recommended = p.filter("p_type < 'P'").select(F.col("p_type").alias("package"), F.lower("p_type").alias("effort")).distinct()
+    return reports.changed_recommendations(p.select(F.col("p_brand").alias("path")).distinct(), p.filter("p_size > 45").select(F.col("p_brand").alias("module"), F.col("p_type").alias("package")), recommended)
+
+
+def _dependency_notes(spark, sf_dir):
+    s = R.read(spark, sf_dir, "supplier")
+    none = F.array().cast("array<string>")
+    changes = s.select(F.concat(F.lit("Supp"), "s_suppkey").alias("package"), F.when(F.col("s_acctbal") < 3000, "unknown").otherwise("heavy").alias("effort"), F.when(F.col("s_nationkey") > 12, "own").alias("guidance"), F.when(F.col("s_acctbal") > 6000, F.array(F.lit("own"), F.lit("ffi"))).otherwise(none).alias("risk_tags"), (F.col("s_nationkey") < 3).alias("needs_review"))
+    known = s.filter("s_nationkey > 4").select(F.concat(F.lit("SUPP"), "s_suppkey").alias("package"), F.lit("moderate").alias("effort"), F.lit("read on").alias("guidance"), F.array(F.lit("ssr")).alias("risk_tags"))
+    return reports.enriched(changes, known)
+
+
+NOTES = "notes AS (SELECT 'Supp' || s_suppkey AS package, CASE WHEN s_acctbal >= 3000 THEN 'heavy' WHEN s_nationkey > 4 THEN 'moderate' ELSE 'unknown' END AS effort, CASE WHEN s_nationkey > 12 THEN 'own' WHEN s_nationkey > 4 THEN 'read on' END AS guidance, CASE WHEN s_acctbal > 6000 THEN 'own,ffi' WHEN s_nationkey > 4 THEN 'ssr' ELSE '' END AS risk_tags, s_nationkey < 3 AS needs_review FROM supplier)"
+
+
+@registered(f"WITH {NOTES} SELECT * FROM notes")
+def op_j24_enriched_changes(spark, sf_dir):
+    return _dependency_notes(spark, sf_dir).withColumn("risk_tags", F.array_join("risk_tags", ","))
+
+
+@registered(f"WITH {NOTES} SELECT risk, count(*) AS n FROM (SELECT unnest(string_split(risk_tags, ',')) AS risk FROM notes) WHERE risk <> '' GROUP BY 1")
+def op_a25_risks(spark, sf_dir):
+    return reports.risks(_dependency_notes(spark, sf_dir))
+
+
+@registered(f"WITH {NOTES} SELECT package, effort, needs_review FROM notes WHERE effort IN ('heavy', 'rewrite') OR needs_review")
+def op_a25_to_review(spark, sf_dir):
+    return reports.to_review(_dependency_notes(spark, sf_dir)).select("package", "effort", "needs_review")
+
+
+@registered(f"WITH {CHANGES}, {EVALUATED}, x AS (SELECT ch.*, coalesce(ev.level, 'unknown') AS level FROM ch LEFT JOIN ev USING (package)), y AS (SELECT *, CASE change_type WHEN 'added' THEN level IN ('unknown', 'none') WHEN 'removed' THEN level IN ('full', 'partial') ELSE level IN ('partial', 'unknown') END AS needs_review FROM x) SELECT * FROM (SELECT count(*) AS total_changed_files, count(*) FILTER (WHERE p_size > 2) AS source_files_changed, count(*) FILTER (WHERE p_size <= 2) AS dep_files_changed FROM part), (SELECT count(*) FILTER (WHERE change_type = 'added') AS deps_added, count(*) FILTER (WHERE change_type = 'removed') AS deps_removed, count(*) FILTER (WHERE change_type IN ('upgraded', 'downgraded')) AS deps_modified, count(*) FILTER (WHERE needs_review) AS deps_needing_review FROM y)")
+def op_a16_update_summary(spark, sf_dir):
+    name = F.when(F.col("p_size") == 1, "package.json").when(F.col("p_size") == 2, "Cargo.lock").otherwise("package.json.ts")
+    files = R.read(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("src"), "p_partkey", name).alias("path"))
+    return reports.update_summary(files, compat.reviewed(_changes(spark, sf_dir), _evaluated(spark, sf_dir)))
+
+
+@registered(f"WITH v AS ({ORACLE_SQL['op_a23_verification']}) SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS verified, count(*) FILTER (WHERE NOT passed) AS failed, 'Batch verification: ' || count(*) FILTER (WHERE passed) || '/' || count(*) || ' verified, ' || count(*) FILTER (WHERE NOT passed) || '/' || count(*) || ' failed' AS summary FROM v")
+def op_a24_batch_totals(spark, sf_dir):
+    return reports.batch_totals(op_a23_verification(spark, sf_dir))
+
+
+@registered("SELECT count(*) AS total, count(*) FILTER (WHERE s_nationkey < 5) AS available, count(*) FILTER (WHERE s_nationkey BETWEEN 5 AND 9) AS partial, count(*) FILTER (WHERE s_nationkey > 9) AS unavailable FROM supplier")
+def op_a22_availability(spark, sf_dir):
+    s = R.read(spark, sf_dir, "supplier").withColumn("package", F.col("s_suppkey").cast("string"))
+    status = F.when(F.col("s_nationkey") < 5, "available").when(F.col("s_nationkey") < 10, "partial").otherwise("gone")
+    return reports.availability(s.select("package"), s.filter("s_nationkey < 20").select("package", status.alias("status")))
+
+
+@registered(f"WITH f AS ({ORACLE_SQL['op_j15_file_versions']}), c AS (SELECT conv_id || '/' || turn AS path, role AS name, 'function' AS kind FROM conversations UNION SELECT conv_id || '/' || (turn - 1), role, 'function' FROM conversations) SELECT path, name, kind, status AS change_type, CASE status WHEN 'removed' THEN 'high' ELSE 'low' END AS severity FROM f JOIN c USING (path) WHERE status IN ('added', 'removed')")
+def op_d12_whole_files(spark, sf_dir):
+    c = R.read(spark, sf_dir, "conversations")
+    of = lambda turn: c.select(F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string")).alias("path"), F.col("role").alias("name"), F.lit("function").alias("kind"))
+    symbols = of(F.col("turn")).union(of(F.col("turn") - 1)).distinct()
+    return reports.whole_file_changes(op_j15_file_versions(spark, sf_dir), symbols)
+
+
+@registered("SELECT o.conv_id || '/' || o.turn AS path, array_to_string(string_split(o.text, chr(10))[1:1], chr(10)) AS old_snippet, CASE WHEN n.text IS NOT NULL AND len(string_split(n.text, chr(10))) >= 2 THEN array_to_string(string_split(n.text, chr(10))[1:2], chr(10)) ELSE '' END AS new_snippet FROM conversations o LEFT JOIN conversations n ON n.conv_id = o.conv_id AND n.turn = o.turn + 1")
+def op_d14_snippets(spark, sf_dir):
+    c = R.read(spark, sf_dir, "conversations")
+    of = lambda turn: c.select(F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string")).alias("path"), F.col("text").alias("source"))
+    old = of(F.col("turn"))
+    places = {"old_start": 1, "old_end": 1, "new_start": 1, "new_end": 2}
+    changes = old.select("path", *[F.lit(v).alias(k) for k, v in places.items()])
+    return reports.with_snippets(changes, old, of(F.col("turn") - 1)).select("path", "old_snippet", "new_snippet")
+
+
+@registered("SELECT 'p' || p_partkey AS root, CASE WHEN p_size < 10 THEN 'error' WHEN p_size < 20 THEN 'typescript' WHEN p_size < 30 THEN 'javascript' WHEN p_size < 40 THEN 'rust' ELSE 'unknown' END AS language FROM part")
+def op_s15_languages(spark, sf_dir):
+    n = F.col("p_size")
+    names = F.when(n < 10, F.array(F.lit("package.json"), F.lit("Cargo.toml"))).when(n < 20, F.array(F.lit("package.json"), F.lit("tsconfig.json"))).when(n < 30, F.array(F.lit("package.json"))).when(n < 40, F.array(F.lit("Cargo.toml"))).otherwise(F.array(F.lit("README.md")))
+    return reports.languages(R.read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("root"), F.explode(names).alias("name")))
+
+
+@registered("SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'unknown' ELSE 'full' END AS level, p_size * 1.0::DOUBLE / 50 * 100 AS share, p_size = 1 AS is_dependency, p_size > 40 AS is_script, p_size < 5 AS todo, FALSE AS deprecated, p_size >= 45 AS unsafe FROM part")
+def op_f16_scalar_rules(spark, sf_dir):
+    p, n = R.read(spark, sf_dir, "part"), F.col("p_size")
+    path = F.when(n == 1, "a/Cargo.lock").when(n > 40, "a/xCargo.lock.tsx").otherwise("a/Cargo.lock.md")
+    flags = texts.doc_flags(F.when(n < 5, "see FIXME").when(n >= 45, "SAFETY: none").when(n < 20, "plain"), F.array(F.lit("test")))
+    written = F.when(F.col("p_type").isin("PROMO", "STANDARD"), F.col("p_type")).otherwise("  FULL ")
+    return p.select("p_partkey", levels.parsed(written, levels.LEVEL_SCORE).alias("level"), levels.percent(n, F.lit(50), 0.0).alias("share"), texts.is_dependency_file(path).alias("is_dependency"), texts.has_extension(path, ["ts", "tsx"]).alias("is_script"), *[flags[k].alias(k) for k in ("todo", "deprecated", "unsafe")])
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE p_brand END AS value FROM part")
+def op_k2_upsert(spark, sf_dir):
+    p = R.read(spark, sf_dir, "part")
+    return tasks.upsert(p.select("p_partkey", F.col("p_brand").alias("value")), p.filter("p_size > 25").select("p_partkey", F.lit("new").alias("value")), "p_partkey")
+
+
+@registered("SELECT p_partkey, 0.4::DOUBLE + CASE WHEN p_size < 10 THEN 0.3 WHEN p_size < 30 THEN 0.15 ELSE 0.0 END + CASE WHEN p_size < 10 THEN 0.2 WHEN p_size < 30 THEN 0.2 / 3 ELSE 0.0 END + CASE WHEN p_brand < 'Brand#2' THEN 0.1 ELSE 0.0 END AS similarity FROM part")
+def op_a13_signature_similarity(spark, sf_dir):
+    p, n = R.read(spark, sf_dir, "part"), F.col("p_size")
+    types = F.when(n < 10, F.array(*map(F.lit, ("string", "number", "boolean")))).when(n < 30, F.array(F.lit("string"))).otherwise(F.array().cast("array<string>"))
+    a = {"name": F.concat(F.lit("getPart"), "p_partkey"), "types": types, "returns": F.when(F.col("p_brand") < "Brand#2", "string").otherwise("number")}
+    b = {"name": naming.snake_case(F.concat(F.lit("getPart"), "p_partkey")), "types": F.array(*map(F.lit, ("String", "i32", "bool"))), "returns": F.lit("String")}
+    return p.select("p_partkey", align.signature_similarity(a, b).alias("similarity"))

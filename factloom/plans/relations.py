@@ -136,7 +136,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     imported = [F.concat(F.lit(f"import {{ f{i} as g{i}, helper{i} }} from './"), F.when(F.lit(i == 2), "../lib/").otherwise(""), F.lit("s"), other(i), F.lit("';")) for i in range(3)]
     external = F.concat(F.lit("import pkg from '@scope/pkg"), F.col("s_suppkey") % 5, F.lit("/lib';"))
     declared = lambda x: F.when(x % 2 == 0, F.concat(F.lit("export async function f"), x, F.lit("(a: string) {\n  return g0(a) + new g1('helper0'); // helper1()\n}"))).otherwise(F.concat(F.lit("const c"), x, F.lit(" = 1;")))
-    text = F.concat_ws("\n", F.lit("/* import { no } from './s1'; */"), *imported, external, F.transform("ps", declared))
+    text = F.concat_ws("\n", F.lit("/* import { no } from './s1';"), F.lit("export function no() {} */"), *imported, external, F.transform("ps", declared))
     return s.join(p, "s_suppkey").select(F.concat(F.lit("src/s"), "s_suppkey", F.lit(".ts")).alias("path"), text.alias("source"), F.lit("typescript").alias("language"))
 
 
@@ -144,3 +144,32 @@ SOURCES = """shipped AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 50 AS p FRO
 files AS (SELECT DISTINCT s, 'src/s' || s || '.ts' AS path FROM shipped JOIN supplier ON s_suppkey = s),
 three AS (SELECT unnest([0, 1, 2]) AS i),
 imported AS (SELECT s, path AS module, i, CASE WHEN i = 2 THEN './../lib/s' ELSE './s' END || ((s * 7 + i) % 10 + 1) AS specifier, 'src/s' || ((s * 7 + i) % 10 + 1) || '.ts' AS target FROM files, three)"""
+
+
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script files, one for each brand: a class with a method for each size, an enum, an arrow function, a function, a re-export."""
+    sizes = read(spark, sf_dir, "part").groupBy(F.replace("p_brand", F.lit("rand#"), F.lit("")).alias("b")).agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
+    method = lambda n: F.concat(F.lit("  size"), n, F.lit("(a: number, b?: string): boolean { return u(a) || this.other"), n, F.lit("(b); } // u(0)"))
+    head = [F.lit("import { util as u } from './util';"), F.concat(F.lit("export class "), "b", F.lit(" extends Base {")), F.lit('  private name: string = "n(1)";')]
+    tail = [F.lit("}"), F.lit("enum Kind { A, C = 2 }"), F.concat(F.lit("export const make = async (x: number) => new "), "b", F.lit("(x);")), F.lit("export function build(p: string, q, r: Map<string, number>): Promise<void> { u(p); }"), F.lit("export { x as y } from './x';")]
+    return sizes.select(F.concat(F.lit("src/"), "b", F.lit(".ts")).alias("path"), F.concat_ws("\n", *head, F.transform("sizes", method), *tail).alias("source"), F.lit("typescript").alias("language"))
+
+
+CLASSES = """brands AS (SELECT DISTINCT replace(p_brand, 'rand#', '') AS b, p_size AS n FROM part),
+methods AS (SELECT b, n, 3 + row_number() OVER (PARTITION BY b ORDER BY n) AS line FROM brands),
+classes AS (SELECT b, 'src/' || b || '.ts' AS module, 4 + count(*) AS last FROM brands GROUP BY 1)"""
+
+
+def rust_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rust files: one for each nation with suppliers, with a struct and a method for each supplier; and shared ones by region."""
+    s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("ks"))
+    method = lambda k: F.concat(F.lit("    pub fn supp"), k, F.lit("(&self, x: Part) -> Item { Item::new(x) }"))
+    lines = [F.lit("use crate::shared::{Item, other::Thing as Part, r2::*};"), F.concat(F.lit("pub struct N"), "n", F.lit(" { pub id: u32, name: String }")), F.concat(F.lit("impl N"), "n", F.lit(" {")), F.transform("ks", method), F.lit("}"), F.lit("pub enum E { A, B(u32) }")]
+    own = s.select(F.concat(F.lit("src/n"), "n", F.lit(".rs")).alias("path"), F.concat_ws("\n", *lines).alias("source"))
+    k = F.col("r_regionkey")
+    shared = read(spark, sf_dir, "region").select(F.concat(F.lit("src/shared"), F.when(k == 0, ".rs").when(k == 1, "/other.rs").otherwise(F.concat(F.lit("/r"), k, F.lit(".rs")))).alias("path"), F.concat(F.lit("pub struct Shared"), k, F.lit(";")).alias("source"))
+    return own.unionByName(shared).withColumn("language", F.lit("rust"))
+
+
+RUST = """supps AS (SELECT s_nationkey AS n, s_suppkey AS k, 'src/n' || s_nationkey || '.rs' AS module, 3 + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS line FROM supplier),
+owners AS (SELECT DISTINCT n, module FROM supps)"""

@@ -49,7 +49,7 @@ def test_facts(spark):
     targets = extract_facts.resolved(found, f)
     assert {(r["module"], r["target"]) for r in targets.collect()} == {("src/utils.ts", "src/types.ts"), ("src/index.ts", "src/utils.ts"), ("src/index.ts", "src/types.ts")}
     bound = extract_facts.bindings(f)
-    assert {(r["module"], r["local_name"], r["exported_name"], r["specifier"]) for r in bound.collect()} == {("src/utils.ts", "CalcOptions", "CalcOptions", "./types"), ("src/utils.ts", "Op", "Operation", "./types"), ("src/index.ts", "calculate", "calculate", "./utils"), ("src/index.ts", "def", "default", "pkg/sub"), ("src/index.ts", "x", "x", "pkg/sub")}
+    assert {(r["module"], r["local_name"], r["exported_name"], r["specifier"]) for r in bound.collect()} == {("src/utils.ts", "CalcOptions", "CalcOptions", "./types"), ("src/utils.ts", "Op", "Operation", "./types"), ("src/index.ts", "calculate", "calculate", "./utils"), ("src/index.ts", "def", "default", "pkg/sub"), ("src/index.ts", "x", "x", "pkg/sub"), ("src/lib.rs", "B", "B", "crate::a")}
     uses = {(r["file"], r["target_symbol"], r["line"], r["kind"]) for r in extract_facts.references(f, bound, targets).collect()}
     assert uses == {("src/index.ts", "src/utils.ts:calculate", 7, "Call"), ("src/index.ts", "src/utils.ts:calculate", 8, "Extends"), ("src/utils.ts", "src/types.ts:Operation", 3, "TypeReference")}
 
