@@ -475,7 +475,7 @@ def test_extract(spark):
 def test_wrappers_merge_to_that_of_all_pages():
     pages = [f"<body><ul>{'<li>a</li>' * n}</ul>{'<p>x</p>' if n % 2 else ''}<div>t{n}</div></body>" for n in range(1, 5)]
     whole, parts = extract.learn(pages), extract.learn(pages[:2])
-    parts.merge(extract.learn(pages[2:]))
+    extract.align(parts, extract.learn(pages[2:]), True)
     assert parts.to_json() == whole.to_json()
     assert extract.expression(whole, whole.times) == "<body><ul>(<li>text</li>)+</ul>(<p>text</p>)?<div>#PCDATA</div></body>"
 
@@ -525,8 +525,8 @@ def test_text_around_marked_inline_elements_and_deep_marks():
     assert read_all([table.format(i) for i in range(4)]) == [f"{want} end {i}" for i in range(4)]
     nested = f"<body>{'<article><nav>' * 3000}x{'</nav></article>' * 3000}<article>y{{0}}</article></body>"
     assert read_all([nested.format(i) for i in range(4)]) == [f"y{i}" for i in range(4)]
-    wrapper = extract.learn([table.format(0)]).groups["body"].groups["article"].groups
-    assert list(wrapper["table"].groups) == ["tr"] and list(wrapper["table"].groups["tr"].groups) == ["td"]
+    wrapper = extract.learn([table.format(0)]).groups[0].groups[0].groups
+    assert [g.tag for g in wrapper[0].groups] == ["tr"] and [g.tag for g in wrapper[0].groups[0].groups] == ["td"]
 
 
 def test_words_are_hints_that_the_host_overrules():
@@ -650,3 +650,94 @@ def test_quality_keeps_columns_named_like_its_own(spark):
     df = spark.createDataFrame([(1, text, "s", "k", "n", "w", "h", "r", "d"), (2, "short", "s", "k", "n", "w", "h", "r", "d")], names)
     out = quality.kept_rows(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert out.columns == names and [tuple(r) for r in out.collect()] == [(1, text, "s", "k", "n", "w", "h", "r", "d")]
+
+
+def brute_anchors(known, runs):
+    """The best score of all pairings that keep both orders."""
+    if not known or not runs:
+        return 0.0
+    a, b = known[0], runs[0][0]
+    best = max(brute_anchors(known[1:], runs), brute_anchors(known, runs[1:]))
+    if extract._fits(a, b):
+        best = max(best, 4 + (a.same is not None and a.same == b.same) + extract._alike(a, b) + brute_anchors(known[1:], runs[1:]))
+    return best
+
+
+def test_alignment_against_brute_force():
+    rng = np.random.default_rng(10)
+
+    def groups(n):
+        out = []
+        for _ in range(n):
+            g = extract.Group(*[("div", "", ""), ("p", "", ""), ("ul", "m", ""), ("div", "x", "")][rng.integers(4)])
+            g.same = [None, 1, 2][rng.integers(3)]
+            g.groups = [extract.Group(t) for t in rng.choice(["li", "a"], rng.integers(0, 3))]
+            out.append(g)
+        return out
+
+    for _ in range(300):
+        known, runs = groups(rng.integers(0, 6)), extract._runs(groups(rng.integers(0, 6)))
+        pairs = extract._anchors(known, runs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+        score = sum(4 + (known[i].same is not None and known[i].same == runs[j][0].same) + extract._alike(known[i], runs[j][0]) for i, j in pairs)
+        assert all(extract._fits(known[i], runs[j][0]) for i, j in pairs)
+        want = brute_anchors(known, runs)
+        assert score == want or len(known) == len(runs) == len(pairs)
+
+
+def test_mismatches_become_optional_repeated_and_slots():
+    pages = ["<body><h2>Site</h2><div class=a><b>x</b><p>one</p></div></body>", "<body><h2>Site</h2><ul><li>1</li><li>2</li></ul><div class=b><p>two</p><p>three</p></div></body>", "<body><h2>Site</h2><ul><li>3</li></ul><div class=c><p>four</p></div></body>"]
+    wrapper = extract.learn(pages)
+    assert extract.expression(wrapper, 3) == "<body><h2>text</h2>(<ul>(<li>#PCDATA</li>)+</ul>)?<div.*>#PCDATA(<p>#PCDATA</p>)+</div.*></body>".replace("<div.*>#PCDATA", "<div.*>text")
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        root = extract.learn([pages[i] for i in order])
+        assert [g.tag for g in root.groups[0].groups] == ["h2", "ul", "div"] and root.groups[0].groups[1].parents == 2
+
+
+def test_wrappers_stay_small_where_every_page_has_names_of_its_own():
+    page = "<body><nav>n</nav><div class='post-{0}'><h1>t{0}</h1><p>text {0}</p></div><div id='end-{0}'>Imprint</div></body>"
+    words = ["".join(chr(97 + int(d)) for d in str(i * 7919)) for i in range(200)]
+    root = extract.learn([page.format(w) for w in words])
+    assert sum(1 for _ in root.preorder()) < 12
+    assert read_all([page.format(w) for w in words])[7] == f"t{words[7]} text {words[7]}"
+
+
+def test_containers_without_names_are_told_apart():
+    page = "<body><div><ul><li>Home</li><li>News {1}</li></ul></div><div><p>{0}</p></div><div>Imprint</div></body>"
+    texts = [" ".join(f"a text {i}" for _ in range(9)) for i in range(5)]
+    got = read_all([page.format(t, "") for t in texts])
+    assert got == texts
+
+
+def test_words_that_lie_around_the_article():
+    body = "<p>" + "text of the page {0} " * 9 + "</p>"
+    for around in ("text-widget-area", "share-your-views", "promo-free legal"):
+        for inner in (body, f"<h1>T {{0}}</h1>{body}", f"<article>{body}</article>"):
+            page = f"<body><div class=menu>Menu {{0}}</div><div class='{around}'>{inner}</div></body>"
+            want = [" ".join(re.sub("<[^>]*>", " ", inner).format(i).split()) for i in range(5)]
+            assert read_all([page.format(i) for i in range(5)]) == want, (around, inner)
+    page = f"<body><header><h1>Site</h1></header><article><header class=entry-header><h1>Title {{0}}</h1></header>{body}<div class=comments>rude {{0}}</div></article></body>"
+    assert read_all([page.format(0)])[0].startswith("Title 0 text of") and "rude" not in read_all([page.format(0)])[0]
+    deep = f"<body><article>{'<div>' * 70}<nav>Menu {{0}}</nav><p>Deep {{0}}</p>{'</div>' * 70}</article></body>"
+    assert read_all([deep.format(i) for i in range(3)]) == [f"Deep {i}" for i in range(3)]
+
+
+def test_no_group_is_merged_for_its_number_or_the_length_of_its_name():
+    long = "u " * 80
+    page = f"<body><div class='{long}a'>Same</div><div class='{long}b'>Text {{0}}</div></body>"
+    assert read_all([page.format(i) for i in range(4)]) == [f"Text {i}" for i in range(4)]
+    names = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(1000, 1600)]
+    page = "<body>" + "".join(f"<div class=k{n}>Same {n}</div>" if k % 2 else f"<div class=k{n}>Own {n} {{0}}</div>" for k, n in enumerate(names)) + "</body>"
+    want = " ".join(f"Own {n} {{0}}" for k, n in enumerate(names) if not k % 2)
+    assert read_all([page.format(i) for i in range(4)]) == [want.format(i) for i in range(4)]
+
+
+def test_many_wrappers_and_many_hosts(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 9}.org/{i}" if i % 10 else None, f"<body><div class=m{i % 3}>Same</div><p>Text {i}</p></body>") for i in range(120)] + [(5, "http://h5.org/5", "<p>again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    few = sorted(map(tuple, extract.digest(pages).collect()))
+    assert len(few) == len(rows) and (7, "http://h7.org/7", "Text 7", 6) in few
+    monkeypatch.setattr(extract, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(extract, "HOSTS", 3)
+    assert sorted(map(tuple, extract.digest(pages).collect())) == few
+    assert extract.digest(pages.filter("false")).collect() == []
