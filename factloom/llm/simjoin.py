@@ -10,10 +10,11 @@ two linked sets differ in at most H tokens; tokens are dealt by hash into H + 1
 
 First every class is indexed with v = 1 throughout. Subsets of at most COLD classes give their pairs. A subset held by
 more classes (a passage that many documents share, a large group of near copies) is hot. Classes with no more hot
-subsets than spare segments do without them. Others are compared with the best connected class of each hot subset, its
-hub, and where a hub has many, the allocation is chosen by cost: hot subsets get v = 0, the cheapest others v = 2.
-Classes of small hubs, and those that can't do without hot subsets, are compared by sketch in blocks, but only where
-they aren't yet connected. No pair is lost and no candidate is dropped by a cap.
+subsets than spare segments do without them. For all others the allocation is chosen by cost: hot subsets get v = 0, the
+cheapest others v = 2, which are probed by their one-deletion neighbourhoods. They are also compared with the best
+connected class of each hot subset, its hub. Classes that can't do without hot subsets, or whose probes are hot again,
+are compared by sketch in blocks with the others of their hub, but only where they aren't yet connected. No pair is lost
+and no candidate is dropped by a cap.
 
 Candidates are held against a sketch of token counts (its L1 distance never exceeds that of the sets), and those left
 are verified on the full sets. Components come from linked pairs alone.
@@ -375,10 +376,6 @@ def _hubs(hot: DataFrame) -> DataFrame:
     return hot.join(mass, "member").groupBy("sig").agg(F.max(F.struct("mass", "member")).alias("top")).select("sig", F.col("top.member").alias("hub"))
 
 
-def _large(by_hub: DataFrame) -> DataFrame:
-    return by_hub.groupBy("hub").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("hub")
-
-
 def _with_hubs(hot: DataFrame, hubs: DataFrame) -> DataFrame:
     return hot.join(hubs, "sig").select(*_ordered("member", "hub")).filter("a <> b")
 
@@ -386,11 +383,9 @@ def _with_hubs(hot: DataFrame, hubs: DataFrame) -> DataFrame:
 def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of stuck members of one hot subset that are not yet connected and whose sketches allow a link.
 
-    Of hubs with few members, all are compared. Subsets with one hub share most members, so members meet by hub. They
-    are dealt into blocks of about BLOCK, and each pair of blocks is compared in a task of its own; nothing larger than
-    two blocks is held."""
-    by_hub = hot.join(hubs, "sig").select("hub", "member").distinct()
-    met = by_hub.join(_large(by_hub), "hub", "left_anti").unionByName(by_hub.join(_large(by_hub), "hub", "left_semi").join(stuck, "member", "left_semi"))
+    Subsets with one hub share most members, so members meet by hub. They are dealt into blocks of about BLOCK, and each
+    pair of blocks is compared in a task of its own; nothing larger than two blocks is held."""
+    met = hot.join(stuck, "member", "left_semi").join(hubs, "sig").select("hub", "member").distinct()
     met = met.withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
     known = met.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).select("hub", "member", "cls", "c")
     size = known.groupBy("hub").agg(F.count("*").alias("n_members"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
@@ -433,9 +428,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = written(_sets_of(asked, classes, docs, k), "sets")
     links = written(_verified(pairs, sets, percent), "links")
     if not hot.isEmpty():
-        by_hub = hot.join(hubs, "sig").select("hub", "member").distinct()
-        crowded = by_hub.join(_large(by_hub), "hub", "left_semi").select("member").distinct()
-        more, stuck = _escapes(hot.join(crowded, "member", "left_semi"), sets, percent)
+        more, stuck = _escapes(hot, sets, percent)
         more = _near(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, percent)
         links = written(links.union(_verified(more, sets, percent)), "links")
         nodes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -263,10 +263,13 @@ def near_copies(seed, n, words, changes):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_join_against_brute_force(spark, k, percent, monkeypatch):
-    monkeypatch.setattr(simjoin, "COLD", 4)  # so that the small groups are hot
+@pytest.mark.parametrize(("k", "percent", "small"), [(3, 90, False), (5, 80, True)])
+def test_join_against_brute_force(spark, k, percent, small, monkeypatch):
+    monkeypatch.setattr(simjoin, "COLD", 2 if small else 4)  # so that the small groups are hot
     monkeypatch.setattr(simjoin, "BLOCK", 8)
+    if small:  # groups of candidates in blocks, representatives' ids shuffled
+        monkeypatch.setattr(simjoin, "GROUP_TOKENS", 200)
+        monkeypatch.setattr(simjoin, "BROADCAST_IDS", 0)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, t) for i, t in near_copies(1, 120, 60, 6)] + [(300 + i, t) for i, t in near_copies(2, 60, 14, 3)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in simjoin.jaccard_components(docs(spark, rows), k, percent).collect()}
     assert got == brute_join(rows, k, percent)
