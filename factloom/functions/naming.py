@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -26,13 +27,14 @@ TYPE_MAP = {
     "Buffer": "Vec<u8>",
     "RegExp": "regex::Regex",
 }
-#: Generic types with one hole; the hole's text is itself translated and holds no other generic.
-GENERICS = (
-    (r"^Promise<([^<>]*)>$", "Result<", ">"),
-    (r"^Array<([^<>]*)>$", "Vec<", ">"),
-    (r"^Record<string, ([^<>]*)>$", "HashMap<String, ", ">"),
-    (r"^Set<([^<>]*)>$", "HashSet<", ">"),
-)
+#: Generic types from TypeScript to Rust; what stands in a hole is itself translated and holds no other generic.
+GENERICS = {
+    "Promise<{T}>": "Result<{T}>",
+    "Array<{T}>": "Vec<{T}>",
+    "Record<string, {T}>": "HashMap<String, {T}>",
+    "Map<{K}, {V}>": "HashMap<{K}, {V}>",
+    "Set<{T}>": "HashSet<{T}>",
+}
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class Conventions:
 
     strip_prefixes: tuple[str, ...] = STRIP_PREFIXES
     types: dict[str, str] = field(default_factory=lambda: dict(TYPE_MAP))
+    generics: dict[str, str] = field(default_factory=lambda: dict(GENERICS))
     calls: dict[str, str] = field(default_factory=dict)
     to_snake: bool = True
 
@@ -83,11 +86,14 @@ def _mapped(value: Column, table: dict[str, str]) -> Column:
 
 
 def translate_type(name: Column, rules: Conventions = Conventions()) -> Column:
-    """Exact, or a generic with one hole; others stay."""
+    """Exact, or a generic of the rules, the first that fits; others stay."""
     plain = lambda x: F.coalesce(_mapped(x, rules.types), x)
     out = plain(name)
-    for pattern, before, after in reversed(GENERICS):
-        out = F.when(name.rlike(pattern), F.concat(F.lit(before), plain(F.regexp_extract(name, pattern, 1)), F.lit(after))).otherwise(out)
+    for source, target in reversed(rules.generics.items()):
+        parts, holes = re.split(r"\{\w+\}", source), re.findall(r"\{\w+\}", source)
+        pattern = "^" + r"([^<>]*?)".join(map(re.escape, parts)) + "$"
+        made = [plain(F.regexp_extract(name, pattern, holes.index(x) + 1)) if x in holes else F.lit(x) for x in re.split(r"(\{\w+\})", target) if x]
+        out = F.when(name.rlike(pattern), F.concat(*made)).otherwise(out)
     return out
 
 

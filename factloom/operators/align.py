@@ -41,3 +41,27 @@ def match_by_name(source: DataFrame, target: DataFrame, rules: Conventions = Con
     best = hit.groupBy("file", "name").agg(F.min(F.struct("at_file", "ordinal", "key")).alias("m"))
     out = source.join(best, ["file", "name"], "left")
     return out.select("file", "name", F.coalesce("m.at_file", default_target(F.col("file"))).alias("target_file"), F.col("m.key").alias("target_name"), F.when(F.col("m").isNotNull(), BY_NAME).otherwise(0.0).alias("confidence"))
+
+
+def match_by_signature(source: DataFrame, target: DataFrame, rules: Conventions = Conventions()) -> DataFrame:
+    """source, target (file, name, types, returns) -> file, name, target_file, target_name, confidence: of the symbols in the
+    source's default target file the one whose signature is most alike, if it is by more than LEAST; ties go to the smaller name."""
+    other = target.select(F.col("file").alias("target_file"), F.col("name").alias("target_name"), F.col("types").alias("_types"), F.col("returns").alias("_returns"))
+    near = source.withColumn("target_file", default_target(F.col("file"))).join(other, "target_file")
+    score = signature_similarity({c: F.col(c) for c in ("name", "types", "returns")}, {"name": F.col("target_name"), "types": F.col("_types"), "returns": F.col("_returns")}, rules)
+    best = near.withColumn("s", score).filter(F.col("s") > LEAST).groupBy("file", "name").agg(F.min(F.struct((-F.col("s")).alias("s"), "target_name", "target_file")).alias("m"))
+    return best.select("file", "name", F.col("m.target_file").alias("target_file"), F.col("m.target_name").alias("target_name"), (-F.col("m.s")).alias("confidence"))
+
+
+def child_context(matched: DataFrame, changes: DataFrame, children: DataFrame, rules: Conventions = Conventions()) -> DataFrame:
+    """file, name, target_child, line, line_end of matched symbols (file, name, target_file, target_name) with changes within.
+
+    changes(file, name, at, aspect, new_value, old_value): the first that is a member's, method's or property's counts.
+    children(file, parent, name, line, line_end, parent_line, parent_line_end): those of the targets. A child that isn't
+    there is named as it would be, with its parent's lines."""
+    inner = changes.filter("aspect in ('member', 'method', 'property')").groupBy("file", "name").agg(F.min_by(F.coalesce("new_value", "old_value"), "at").alias("child")).filter("child <> ''")
+    asked = matched.filter("target_name is not null").join(inner, ["file", "name"]).withColumn("target_child", translate_name(F.col("child"), rules))
+    there = children.select(F.col("file").alias("target_file"), F.col("parent").alias("target_name"), F.col("name").alias("target_child"), "line", "line_end")
+    parents = children.groupBy(F.col("file").alias("target_file"), F.col("parent").alias("target_name")).agg(F.min("parent_line").alias("parent_line"), F.max("parent_line_end").alias("parent_line_end"))
+    out = asked.join(parents, ["target_file", "target_name"], "left").join(there, ["target_file", "target_name", "target_child"], "left")
+    return out.select("file", "name", "target_child", F.coalesce("line", "parent_line").alias("line"), F.coalesce("line_end", "parent_line_end").alias("line_end"))

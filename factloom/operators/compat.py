@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.levels import default_effort, is_high_impact, level_of, risk_tags, version_change
+from factloom.operators.rounds import settled
 
 #: What tags and an equal type weigh.
 TAG_WEIGHT, TYPE_WEIGHT = 0.8, 0.2
@@ -24,17 +25,28 @@ def similarity(tags_a, tags_b, same_type) -> F.Column:
 def best_matches(source: DataFrame, target: DataFrame) -> DataFrame:
     """source, target (name, lib_type, tags) -> name, equivalent, similarity, level; ties go to the smaller name.
 
-    Libraries meet by shared tags, never as a cross product: the shared tags of a pair are counted, and the union's size
-    follows from the tags' numbers. Where no tag is shared, the first library of the same type is the best."""
-    sides = [df.select("name", "lib_type", F.array_distinct("tags").alias("tags")).withColumn("n", F.size("tags")) for df in (source, target)]
-    a, b = (s.select(F.col("name").alias(f"{x}_name"), F.col("lib_type").alias(f"{x}_type"), F.col("n").alias(f"{x}_n"), F.explode_outer("tags").alias("tag")) for s, x in zip(sides, "ab", strict=True))
-    met = a.filter("tag is not null").join(b.filter("tag is not null"), "tag").groupBy("a_name", "a_type", "a_n", "b_name", "b_type", "b_n").agg(F.count("*").alias("shared"))
-    tagged = met.select("a_name", "b_name", (TAG_WEIGHT * (F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))) + F.when(F.col("a_type") == F.col("b_type"), TYPE_WEIGHT).otherwise(0.0)).alias("s"))
+    Libraries meet by shared tags, never as a cross product. A library's tags are tried from the rarest in the target up,
+    one a round, and only as long as a library that shares none of those tried could still be as good as the best so far:
+    it shares the others at most. Where no tag is shared, the first library of the same type is the best."""
+    sides = [df.select("name", "lib_type", F.array_distinct("tags").alias("tags")) for df in (source, target)]
+    b = settled(sides[1].select(F.col("name").alias("b_name"), F.col("lib_type").alias("b_type"), F.col("tags").alias("b_tags"), F.explode_outer("tags").alias("tag")))
+    often = b.filter("tag is not null").groupBy("tag").agg(F.count("*").alias("often"))
+    tagged = sides[0].withColumn("tag", F.explode_outer("tags")).join(often, "tag", "left")
+    ranked = tagged.groupBy("name", "lib_type", "tags").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct(F.coalesce("often", F.lit(0).cast("long")).alias("often"), "tag")))), lambda x: x["tag"]).alias("order"))
     by_type = sides[1].groupBy("lib_type").agg(F.min("name").alias("b_name"))
-    typed = sides[0].join(by_type, "lib_type").select(F.col("name").alias("a_name"), "b_name", F.lit(TYPE_WEIGHT).alias("s"))
-    best = tagged.unionByName(typed).groupBy("a_name").agg(F.min(F.struct((-F.col("s")).alias("s"), "b_name")).alias("best"))
-    out = sides[0].select("name").join(best.select(F.col("a_name").alias("name"), F.col("best.b_name").alias("equivalent"), (-F.col("best.s")).alias("similarity")), "name", "left")
-    return out.select("name", "equivalent", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), level_of(F.coalesce("similarity", F.lit(0.0))).alias("level"))
+    first = F.when(F.col("b_name").isNotNull(), F.struct(F.lit(-TYPE_WEIGHT).alias("s"), "b_name"))
+    now = settled(ranked.join(by_type, "lib_type", "left").select("name", "lib_type", "tags", "order", first.alias("best")))
+    for k in range(now.agg(F.max(F.size("order"))).first()[0] or 0):
+        most = TAG_WEIGHT * (F.size("tags") - k) / F.size("tags") + TYPE_WEIGHT
+        asked = now.filter((F.size("order") > k) & (F.col("best").isNull() | (most >= -F.col("best.s"))))
+        if asked.isEmpty():
+            break
+        met = asked.withColumn("tag", F.get("order", F.lit(k))).join(b, "tag")
+        score = similarity(F.col("tags"), F.col("b_tags"), F.col("lib_type") == F.col("b_type"))
+        found = met.groupBy("name", "lib_type", "tags").agg(F.min(F.struct((-score).alias("s"), "b_name")).alias("new"))
+        now = settled(now.join(found, ["name", "lib_type", "tags"], "left").select("name", "lib_type", "tags", "order", F.least("best", "new").alias("best")))
+    out = F.coalesce(-F.col("best.s"), F.lit(0.0))
+    return now.select("name", F.col("best.b_name").alias("equivalent"), out.alias("similarity"), level_of(out).alias("level"))
 
 
 def evaluated(packages: DataFrame, overrides: DataFrame, built_in: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,40 @@ def libraries(spark: SparkSession, folder: str, ecosystem: str) -> DataFrame:
 
 
 def conventions(folder: str) -> Conventions:
-    """A language pair's prefixes, case style, type map and call map; what a file lacks stays empty."""
+    """A language pair's prefixes, case style, types (those with holes are generics) and calls; what a file lacks stays empty."""
     found: dict = {}
     for x in _tables(folder):
         found |= x
     rule = found.get("convention", {})
-    types = {k: v for k, v in found.get("type_mapping", {}).items() if "{" not in k}
-    return Conventions(tuple(rule.get("strip_prefixes", ())), types, dict(found.get("api_mapping", {})), rule.get("case") != "SnakeToCamel")
+    types = found.get("type_mapping", {})
+    plain, generics = ({k: v for k, v in types.items() if ("{" in k) == hole} for hole in (False, True))
+    return Conventions(tuple(rule.get("strip_prefixes", ())), plain, generics, dict(found.get("api_mapping", {})), rule.get("case") != "SnakeToCamel")
+
+
+#: Fixed value: languages that a project may have.
+LANGUAGES = ("typescript", "rust", "javascript")
+
+
+@dataclass(frozen=True)
+class Project:
+    """A project's settings; a source language that isn't given is to be found out."""
+
+    target_language: str = "rust"
+    source_language: str | None = None
+    ignored: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        for what, language in (("source", self.source_language), ("target", self.target_language)):
+            if language is not None and language not in LANGUAGES:
+                raise ValueError(f"{what} language {language!r} is none of {', '.join(LANGUAGES)}")
+
+
+def project(path: str) -> Project:
+    """The settings of a TOML file's [project] (source_lang, target_lang) and [ignore] (patterns)."""
+    with Path(path).open("rb") as f:
+        found = tomllib.load(f)
+    of = found.get("project", {})
+    return Project(of.get("target_lang", "rust"), of.get("source_lang"), tuple(found.get("ignore", {}).get("patterns", ())))
 
 
 def overrides(spark: SparkSession, path: str, target: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tomllib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +14,32 @@ SKIPPED = ("node_modules", "target", ".git", "dist", "build")
 EXTENSIONS = {"typescript": ("ts", "tsx"), "rust": ("rs",), "javascript": ("js", "jsx", "mjs", "cjs")}
 
 
+#: Packages of frameworks, which are left out on request.
+FRAMEWORK_PATTERNS = (
+    "packages/vue/**",
+    "packages/svelte/**",
+    "packages/solid/**",
+    "packages/react/**",
+    "packages/next/**",
+    "packages/ink/**",
+    "packages/remotion/**",
+    "packages/image/**",
+    "packages/react-email/**",
+    "packages/react-native/**",
+    "packages/react-pdf/**",
+    "packages/react-three-fiber/**",
+    "packages/react-state/**",
+    "packages/devtools-react/**",
+    "packages/devtools-solid/**",
+    "packages/devtools-svelte/**",
+    "packages/devtools-vue/**",
+    "packages/shadcn/**",
+    "packages/shadcn-svelte/**",
+    "packages/ui/**",
+    "**/components/ui/*",
+)
+
+
 def language(path: Column) -> Column:
     ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
     out = F.lit(None).cast("string")
@@ -73,26 +99,56 @@ def latest_tag(tags: DataFrame) -> DataFrame:
     return tags.agg(F.max_by("tag", F.struct(numbers.alias("numbers"), F.size(numbers).alias("n"), F.col("tag").alias("tag"))).alias("tag"))
 
 
-def manifest(text: str, kind: str) -> list[tuple[str, str, str]]:
-    """(package, version, section) of a package.json or Cargo.toml."""
-    if kind == "package.json":
-        found = json.loads(text)
-        return [(p, str(v), s) for s in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies") for p, v in (found.get(s) or {}).items()]
-    found = tomllib.loads(text)
+#: Sections of manifests that list packages.
+SECTIONS = {"package.json": ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"), "Cargo.toml": ("dependencies", "dev-dependencies", "build-dependencies")}
+_LISTED = "array<struct<package:string,version:string,section:string>>"
+
+
+def _toml_packages(text: str) -> list[dict[str, str]]:
     version = lambda v: str(v.get("version", "*")) if isinstance(v, dict) else str(v)
-    return [(p, version(v), s) for s in ("dependencies", "dev-dependencies", "build-dependencies") for p, v in (found.get(s) or {}).items()]
+    try:
+        found = tomllib.loads(text)
+    except tomllib.TOMLDecodeError:
+        return []
+    return [{"package": p, "version": version(v), "section": s} for s in SECTIONS["Cargo.toml"] for p, v in (found.get(s) or {}).items()]
 
 
 def packages(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """package, version, section of all manifests among files(path, source); a broken one has none."""
+    """package, version, section of all manifests among files(path, source); a broken one has none.
+
+    JSON is read by built-in functions; TOML, which Spark doesn't read, a batch of files at a time."""
+    name = F.substring_index("path", "/", -1)
+    found = files.filter(name.isin(*SECTIONS)).select("path", "source", name.alias("kind"))
+    read = F.from_json("source", ", ".join(f"`{s}` map<string,string>" for s in SECTIONS["package.json"]))
+    listed = lambda s: F.transform(F.map_entries(F.coalesce(read[s], F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("package"), e["value"].alias("version"), F.lit(s).alias("section")))
+    scripts = found.filter("kind = 'package.json'").select("path", F.explode(F.concat(*map(listed, SECTIONS["package.json"]))).alias("d"))
+
+    @F.arrow_udf(_LISTED)
+    def toml(sources: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(c, pa.string()) for c in ("package", "version", "section")]))
+        return pa.array([_toml_packages(x or "") for x in sources.to_pylist()], kind)
+
+    crates = found.filter("kind = 'Cargo.toml'").select("path", F.explode(toml("source")).alias("d"))
+    return scripts.unionByName(crates).select("path", "d.*")
+
+
+#: Of what an import's conditions stand for, the first that is there counts.
+CONDITIONS = ("eve-source", "development", "source", "default")
+
 
-    @F.udf("array<struct<package:string,version:string,section:string>>")
-    def read(text: str, kind: str):
-        try:
-            return manifest(text, kind)
-        except ValueError:
-            return []
+def aliases(files: DataFrame) -> DataFrame:
+    """prefix, target, at of path aliases in the package.json (imports) and tsconfig.json (paths) among files(path, source).
 
+    Files nearer to the root come first, package.json before tsconfig.json, then by name."""
+    text = lambda c: F.regexp_replace(c, r"\*$", "")
     name = F.substring_index("path", "/", -1)
-    found = files.filter(name.isin("package.json", "Cargo.toml"))
-    return found.select("path", F.explode(read("source", name)).alias("d")).select("path", "d.*")
+    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
+    base = files.filter(name.isin("package.json", "tsconfig.json")).select("path", "source", name.alias("name"), folder.alias("folder"), F.size(F.split("path", "/")).alias("depth"))
+    imports = base.filter("name = 'package.json'").select("*", F.explode(F.from_json("source", "imports map<string,string>")["imports"]).alias("key", "value"))
+    chosen = F.coalesce(*[F.from_json("value", "map<string,string>")[c] for c in CONDITIONS])
+    imports = imports.select("name", "depth", "folder", "key", F.when(F.col("value").startswith("{"), chosen).otherwise(F.col("value")).alias("value"))
+    config = F.from_json("source", "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>", {"allowComments": "true"})["compilerOptions"]
+    paths = base.filter("name = 'tsconfig.json'").select("*", config["baseUrl"].alias("base"), F.explode(config["paths"]).alias("key", "values"))
+    paths = paths.select("name", "depth", F.concat("folder", F.coalesce(F.concat("base", F.lit("/")), F.lit(""))).alias("folder"), "key", F.get("values", F.lit(0)).alias("value"))
+    out = imports.unionByName(paths).filter("value is not null")
+    return out.select(text("key").alias("prefix"), F.concat("folder", text("value")).alias("target"), F.struct("depth", "name", "folder", "key").alias("at"))

@@ -2,7 +2,11 @@
 
 import json
 
-from factloom.operators import extract_facts
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.functions import naming
+from factloom.operators import align, extract_facts, tokens
 from factloom.sources import registry, trees
 from factloom.streaming import progress
 
@@ -32,6 +36,9 @@ def test_scan_reads_a_tree(spark, tmp_path):
     (tmp_path / "dist").mkdir()
     (tmp_path / "dist" / "b.ts").write_text("no")
     assert [(r["path"], r["source"]) for r in trees.scan(spark, f"file://{tmp_path}").collect()] == [("src/a.ts", "const é = 1;")]
+    (tmp_path / "src" / "bad.ts").write_bytes(b"const \xff\xfe = 1;")
+    good, bad = trees.unreadable(trees.scan(spark, f"file://{tmp_path}"))
+    assert [r["path"] for r in good.collect()] == ["src/a.ts"] and [r["path"] for r in bad.collect()] == ["src/bad.ts"]
 
 
 def test_facts(spark):
@@ -79,3 +86,82 @@ def test_streamed_states(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM states").collect()) == [("m", "verified", 1), ("n", "failed", 1)]
+
+
+SCRIPT = """/* head
+ export function hidden() {}
+*/
+import def, { a, b as c } from './lib';
+import type { Q } from '@/q/types';
+export { z as y } from './z';
+export class Foo extends a implements Q {
+  private name: string = "x(1)";
+  constructor(readonly k: number) { super(); }
+  run(x: c, y?: Map<string, number>): boolean {
+    return a(x) || this.run(c.b, y) || new c(a);
+  }
+}
+export const go = async (n: number) => {
+  const u = 'http://x'; a(1); a(2);
+};
+export default function main(p: string, q) : Promise<void> { go(1); /* b() */ helper({ a: 1 }); }
+type U = { k: a } | string;
+const last = 1
+"""
+
+
+def test_facts_over_lines_and_strings(spark):
+    f = spark.createDataFrame([("src/a.ts", SCRIPT, "typescript")], "path string, source string, language string")
+    got = [(r["name"], r["kind"], r["line"], r["line_end"], r["is_public"], r["params"]) for r in extract_facts.symbols(f).orderBy("ordinal").collect()]
+    assert got == [("Foo", "class", 7, 13, True, ""), ("go", "function", 14, 16, True, "n: number"), ("main", "function", 17, 17, True, "p: string, q"), ("U", "type_alias", 18, 18, False, ""), ("last", "variable", 19, 19, False, "")]
+    stmts = tokens.statements(tokens.tokens(f))
+    declared = tokens.declarations(stmts)
+    within = tokens.members(stmts, declared)
+    assert [(r["name"], r["kind"], r["line"]) for r in within.orderBy("i").collect()] == [("name", "property", 8), ("constructor", "constructor", 9), ("run", "method", 10)]
+    assert {(r["caller"], r["callee"]) for r in tokens.calls(stmts, declared, within).collect()} == {("Foo", "a"), ("Foo", "run"), ("go", "a"), ("main", "go"), ("main", "helper")}
+    assert [r["signature"] for r in tokens.signatures(f, stmts, declared).collect()] == ["export function main(p: string, q: unknown) -> Promise<void>"]
+    assert [tuple(r) for r in extract_facts.reexports(f).collect()] == [("src/a.ts", "y", "z", "./z")]
+    targets = spark.createDataFrame([("src/a.ts", "./lib", "L"), ("src/a.ts", "@/q/types", "Q")], "module string, specifier string, target string")
+    uses = [(r["line"], r["col"], r["target_symbol"], r["kind"]) for r in extract_facts.references(f, extract_facts.bindings(f), targets).collect()]
+    assert sorted(uses) == [
+        (7, 25, "L:a", "Extends"), (7, 38, "Q:Q", "Implements"), (10, 9, "L:b", "TypeReference"), (11, 11, "L:a", "Call"), (11, 28, "L:b", "PropertyAccess"),
+        (11, 43, "L:b", "New"), (11, 45, "L:a", "Usage"), (15, 24, "L:a", "Call"), (15, 30, "L:a", "Call"), (18, 14, "L:a", "TypeReference"),
+    ]
+
+
+def test_aliases(spark):
+    rows = [("package.json", json.dumps({"imports": {"#x/*": "./lib/*", "#y": {"default": "./d.ts", "source": "./s.ts"}}})), ("tsconfig.json", '{ // a comment\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*", "no/*"]}}}'), ("p/package.json", "broken"), ("p/q/tsconfig.json", "{}")]
+    got = trees.aliases(spark.createDataFrame(rows, "path string, source string"))
+    assert [(r["prefix"], r["target"]) for r in got.orderBy("at").collect()] == [("#x/", "./lib/"), ("#y", "./s.ts"), ("@/", "./src/")]
+    found = spark.createDataFrame([("src/a.ts", "@/b"), ("src/a.ts", "#x/c"), ("src/a.ts", "#y"), ("src/a.ts", "none")], "module string, specifier string")
+    files_ = spark.createDataFrame([("src/b.ts",), ("lib/c/index.ts",), ("s.ts",)], "path string")
+    assert {(r["specifier"], r["target"]) for r in extract_facts.resolved(found, files_, got).collect()} == {("@/b", "src/b.ts"), ("#x/c", "lib/c/index.ts"), ("#y", "s.ts")}
+
+
+def test_generics_are_those_of_the_pair(spark, tmp_path):
+    (tmp_path / "type_map.toml").write_text('[type_mapping]\n"String" = "string"\n"Option<{T}>" = "{T} | null"\n"HashMap<{K}, {V}>" = "Map<{K}, {V}>"\n')
+    rules = registry.conventions(str(tmp_path))
+    names = spark.createDataFrame([("Option<String>",), ("HashMap<String, u8>",), ("Promise<string>",)], "t string")
+    assert [r[0] for r in names.select(naming.translate_type(F.col("t"), rules)).collect()] == ["string | null", "Map<string, u8>", "Promise<string>"]
+    assert [r[0] for r in names.select(naming.translate_type(F.col("t"))).collect()] == ["Option<String>", "HashMap<String, u8>", "Result<String>"]
+
+
+def test_projects(tmp_path):
+    (tmp_path / "a.toml").write_text('[project]\nsource_lang = "typescript"\ntarget_lang = "rust"\n[ignore]\npatterns = ["x/**"]\n')
+    assert registry.project(str(tmp_path / "a.toml")) == registry.Project("rust", "typescript", ("x/**",))
+    with pytest.raises(ValueError, match="cobol"):
+        registry.Project("cobol")
+
+
+def test_matches_by_signature_and_children(spark):
+    kind = "file string, name string, types array<string>, returns string"
+    source = spark.createDataFrame([("a.ts", "getItem", ["string", "number"], "boolean"), ("a.ts", "lone", [], None)], kind)
+    target = spark.createDataFrame([("a.rs", "get_item", ["String"], "bool"), ("a.rs", "get_items", ["String", "i32"], "bool"), ("b.rs", "get_item", ["String", "i32"], "bool")], kind)
+    got = [tuple(r) for r in align.match_by_signature(source, target).collect()]
+    assert [(r[:4], round(r[4], 6)) for r in got] == [(("a.ts", "getItem", "a.rs", "get_item"), 0.75)]
+    matched = align.match_by_signature(source, target)
+    changes = spark.createDataFrame([("a.ts", "getItem", 2, "method", "theSize", None), ("a.ts", "getItem", 1, "value", "x", None), ("a.ts", "getItem", 3, "member", "late", None)], "file string, name string, at int, aspect string, new_value string, old_value string")
+    children = spark.createDataFrame([("a.rs", "get_item", "the_size", 5, 6, 1, 9)], "file string, parent string, name string, line int, line_end int, parent_line int, parent_line_end int")
+    assert [tuple(r) for r in align.child_context(matched, changes, children).collect()] == [("a.ts", "getItem", "the_size", 5, 6)]
+    none = children.withColumn("name", F.lit("other"))
+    assert [tuple(r) for r in align.child_context(matched, changes, none).collect()] == [("a.ts", "getItem", "the_size", 1, 9)]
