@@ -15,14 +15,18 @@ BATCH = 512
 BATCH_BYTES = 8 << 20
 
 
+#: The temporary folders of applications with a local master.
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, a local master gets a temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext._conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

@@ -388,7 +388,9 @@ def _rest(hot: DataFrame, hubs: DataFrame, stuck: DataFrame, nodes: DataFrame, c
     met = hot.join(stuck, "member", "left_semi").join(hubs, "sig").select("hub", "member").distinct()
     met = met.withColumn("cls", F.col("member").bitwiseAND(F.lit(-2)))
     known = met.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).select("hub", "member", "cls", "c")
+    known = written(known, "known")
     size = known.groupBy("hub").agg(F.count("*").alias("n_members"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    size = written(size, "sizes")  # so that members of a large hub aren't held together by the sum
     rows = known.join(size, "hub").join(classes.select("cls", "n", "sketch"), "cls").withColumn("blocks", F.ceil(F.col("n_members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rows.select("hub", "member", "c", "n", "sketch", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
