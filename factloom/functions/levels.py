@@ -81,3 +81,8 @@ def version_change(old: Column, new: Column) -> Column:
     a = F.struct(version_part(old, 0).alias("major"), version_part(old, 1).alias("minor"))
     b = F.struct(version_part(new, 0).alias("major"), version_part(new, 1).alias("minor"))
     return F.when(b > a, "upgraded").when(b < a, "downgraded").otherwise("patch")
+
+
+def is_major(old: Column, new: Column) -> Column:
+    """Whether the first number rose; false where a version is missing."""
+    return F.coalesce(version_part(new, 0) > version_part(old, 0), F.lit(False)) & old.isNotNull() & new.isNotNull()

@@ -701,3 +701,40 @@ def op_a13_signature_similarity(spark, sf_dir):
     a = {"name": F.concat(F.lit("getPart"), "p_partkey"), "types": types, "returns": F.when(F.col("p_brand") < "Brand#2", "string").otherwise("number")}
     b = {"name": naming.snake_case(F.concat(F.lit("getPart"), "p_partkey")), "types": F.array(*map(F.lit, ("String", "i32", "bool"))), "returns": F.lit("String")}
     return p.select("p_partkey", align.signature_similarity(a, b).alias("similarity"))
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size < 20 THEN 2.0::DOUBLE / 3 ELSE 1.0::DOUBLE / 3 END AS share FROM part")
+def op_a14_children_similarity(spark, sf_dir):
+    source = F.array(F.lit("getSize"), F.lit("name"), F.col("p_type"))
+    target = F.when(F.col("p_size") < 20, F.array(F.lit("get_size"), F.lower("p_type"))).otherwise(F.array(F.lit("name")))
+    return R.read(spark, sf_dir, "part").select("p_partkey", align.children_similarity(source, target).alias("share"))
+
+
+@registered("SELECT * FROM (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS added, count(*) FILTER (WHERE o_orderstatus = 'O') AS removed, count(*) FILTER (WHERE o_orderstatus = 'P') AS modified, 0::BIGINT AS renamed, count(*) FILTER (WHERE o_totalprice > 200000) AS breaking FROM orders), (SELECT count(*) FILTER (WHERE n_regionkey < 2) AS imports_added, count(*) FILTER (WHERE n_regionkey >= 2) AS imports_removed FROM nation)")
+def op_a15_diff_summary(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "added").when(F.col("o_orderstatus") == "O", "removed").otherwise("modified")
+    changes = R.read(spark, sf_dir, "orders").select(kind.alias("change_type"), F.when(F.col("o_totalprice") > 200000, "breaking").otherwise("compatible").alias("severity"))
+    return diff.summary(changes, R.read(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") < 2, "added").otherwise("removed").alias("change_type")))
+
+
+@registered("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'iter_map,unwrap,eco' ELSE 'iter_map,unwrap,' || p_type END AS calls FROM part")
+def op_f9_api_calls(spark, sf_dir):
+    rules = naming.Conventions(calls={"map": "iter_map", "ECONOMY": "eco"})
+    return R.read(spark, sf_dir, "part").select("p_partkey", F.array_join(naming.translate_calls(F.array(F.lit("map"), F.lit("unwrap"), F.col("p_type")), rules), ",").alias("calls"))
+
+
+@registered("SELECT p_partkey, array_to_string(list_transform(['.test.rs', '.test.ts', '.spec.ts'], lambda e: 'src/' || CASE WHEN p_size = 1 THEN 'index' ELSE 'p' || p_partkey END || e), ',') || CASE WHEN p_size = 1 THEN ',src/mod.test.rs,src/mod.spec.ts,src/index.test.ts,src/index.spec.ts' ELSE '' END AS names FROM part")
+def op_f26_test_names(spark, sf_dir):
+    path = F.concat(F.lit("src/"), F.when(F.col("p_size") == 1, "index").otherwise(F.concat(F.lit("p"), "p_partkey")), F.lit(".ts"))
+    return R.read(spark, sf_dir, "part").select("p_partkey", F.array_join(texts.test_candidates(path), ",").alias("names"))
+
+
+@registered("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 0.15 WHEN 1 THEN 0.45 WHEN 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS effort_score, s_suppkey % 4 = 2 AS heavy FROM supplier")
+def op_f15_effort_scores(spark, sf_dir):
+    effort = levels.default_effort(R.level(F.col("s_suppkey")))
+    return R.read(spark, sf_dir, "supplier").select("s_suppkey", levels.effort_score(effort).alias("effort_score"), levels.is_high_impact(effort).alias("heavy"))
+
+
+@registered(f"WITH {CHANGES} SELECT package, coalesce(change_type = 'upgraded' AND CAST(regexp_extract(new_version, 'v([0-9]+)', 1) AS INTEGER) > CAST(regexp_extract(old_version, 'v([0-9]+)', 1) AS INTEGER), FALSE) AS major FROM ch")
+def op_f18_major_upgrades(spark, sf_dir):
+    return _changes(spark, sf_dir).select("package", levels.is_major(F.col("old_version"), F.col("new_version")).alias("major"))
