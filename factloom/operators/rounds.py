@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -18,3 +19,14 @@ def settled(df: DataFrame) -> DataFrame:
             folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, order: tuple[Column, ...], name: str) -> DataFrame:
+    """df with its rows' places (int, from 1) in this order: within ranges of the order, after the counts of the ranges before, so
+    that no task holds all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settled(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # a row for each range
+    before = F.array(*[F.lit(sum(counts.get(j, 0) for j in range(i))) for i in range(max(counts, default=0) + 1)])
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.get(before, F.col("_range")).cast("int")
+    return placed.withColumn(name, place).drop("_range")

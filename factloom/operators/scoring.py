@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.levels import effort_label, level_score, round2
+from factloom.operators.rounds import numbered
 
 #: The weights of the five parts.
 WEIGHTS = {"in_degree": 30.0, "complexity": 25.0, "compatibility": 20.0, "cycles": 15.0, "tests": 10.0}
@@ -62,5 +63,5 @@ def readiness(modules: DataFrame, degree: DataFrame, complex_: DataFrame, compat
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """With rank, from 1, by score and then module. Ranks are rows' places over all modules, of which a project has thousands, not the rows of facts."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "module")))
+    """With rank, from 1, by score and then module."""
+    return numbered(scores, (F.desc("score"), F.col("module")), "rank")

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.levels import acceptable
 from factloom.functions.naming import loose
-from factloom.operators.rounds import settled
+from factloom.operators.rounds import numbered
 
 
 def queue(modules: DataFrame) -> DataFrame:
-    """modules(module, layer, in_degree) as pending tasks, numbered in the order of work: within ranges of that order, after
-    the counts of the ranges before."""
-    order = (F.col("layer"), F.desc("in_degree"), F.col("module"))
-    n = int(modules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = settled(modules.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # a row for each range
-    before = F.array(*[F.lit(sum(counts.get(j, 0) for j in range(i))) for i in range(max(counts, default=0) + 1)])
-    task = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.get(before, F.col("_range")).cast("int")
-    return placed.withColumn("task", task).drop("_range").withColumn("status", F.lit("pending"))
+    """modules(module, layer, in_degree) as pending tasks, numbered in the order of work."""
+    return numbered(modules, (F.col("layer"), F.desc("in_degree"), F.col("module")), "task").withColumn("status", F.lit("pending"))
 
 
 def next_task(tasks: DataFrame) -> DataFrame:
