@@ -299,10 +299,10 @@ def op_d8_doc_changes(spark, sf_dir):
     return _pairs(spark, sf_dir).select("module", "name", diff.doc_change(F.col("o.doc"), F.col("n.doc")).alias("change")).filter("change is not null")
 
 
-@registered("WITH o AS (SELECT DISTINCT url_host AS m, spec AS s FROM (SELECT split_part(url, '/', 3) AS url_host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec, page_id FROM pages) WHERE page_id % 3 < 2), n AS (SELECT DISTINCT url_host AS m, spec AS s FROM (SELECT split_part(url, '/', 3) AS url_host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec, page_id FROM pages) WHERE page_id % 3 > 0) SELECT m AS module, s AS specifier, 'removed' AS change_type FROM o WHERE (m, s) NOT IN (SELECT m, s FROM n) UNION ALL SELECT m, s, 'added' FROM n WHERE (m, s) NOT IN (SELECT m, s FROM o)")
+@registered("WITH o AS (SELECT DISTINCT url_host AS m, spec AS s FROM (SELECT split_part(url, '/', 3) AS url_host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec, length(html) AS n FROM pages) WHERE n < 6000), n AS (SELECT DISTINCT url_host AS m, spec AS s FROM (SELECT split_part(url, '/', 3) AS url_host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec, length(html) AS n FROM pages) WHERE n > 2000) SELECT m AS module, s AS specifier, 'removed' AS change_type FROM o WHERE (m, s) NOT IN (SELECT m, s FROM n) UNION ALL SELECT m, s, 'added' FROM n WHERE (m, s) NOT IN (SELECT m, s FROM o)")
 def op_d10_import_changes(spark, sf_dir):
-    links = R.read(spark, sf_dir, "pages").select(F.split("url", "/")[2].alias("module"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("specifier"), "page_id")
-    return diff.set_changes(links.filter("page_id % 3 < 2"), links.filter("page_id % 3 > 0"), ["module", "specifier"])
+    links = R.read(spark, sf_dir, "pages").select(F.split("url", "/")[2].alias("module"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("specifier"), F.length("html").alias("n"))
+    return diff.set_changes(links.filter("n < 6000"), links.filter("n > 2000"), ["module", "specifier"])
 
 
 @registered("SELECT split_part(url, '/', 3) AS module, specifier, NOT regexp_matches(specifier, '^[./]') AS is_external FROM (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS specifier FROM pages) GROUP BY ALL")
