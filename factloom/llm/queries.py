@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ann, extract, mixing, packing, pii, quality, secrets, sharding, simjoin, unigram, warc
+from factloom.llm import ann, extract, mixing, packing, phrases, pii, quality, secrets, sharding, simjoin, unigram, variants, warc
 from factloom.llm._shared import table
 
 
@@ -54,10 +54,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.digest(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -69,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_source_mix": op12_source_mix,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_source_mix": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": variants.ORACLE_SQL, "op12_source_mix": mixing.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
