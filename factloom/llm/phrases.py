@@ -1,6 +1,6 @@
 """Phrase collocations by relational mining (SETM): occurrence relations sorted by piece and position, joined by adjacency.
 
-The relation of a length holds the occurrences that may still be phrases of that length, a row for a run of documents: the words
+The relation of a length holds the occurrences that may still be phrases of that length, in rows of about ROW words: the words
 in their order as 64-bit hashes of language and word, and a flag at each word that ends an occurrence. Relations are persisted
 in that order, so the merge join of an occurrence with the one beside it in the same piece reads two neighbouring flags and
 needs no shuffle. Groups are counted within each task first, then by Spark, by the words themselves, which is exact. Before the
@@ -39,6 +39,8 @@ COVERS = 80
 PIECES, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Groups that a task holds before it sends them on.
 HELD = 1 << 20
+#: Words of a relation's row, as Spark reads thousands of rows at a time.
+ROW = 1 << 10
 #: Bits of a filter at most.
 MOST_BITS = 1 << 27
 #: Parts of a language that are ranked apart first.
@@ -217,20 +219,25 @@ def _left(words: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return words[keep], ends[keep]
 
 
-def _relation(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for words, ends in rows:
-        if ends.any():
-            offsets = pa.array([0, len(words)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(ends))], ["words", "ends"])
+def _relation(words: np.ndarray, ends: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The relation's rows of about ROW words, cut where no occurrence goes on."""
+    if not len(words):
+        return
+    inside = ends.copy()
+    for j in range(1, k - 1):
+        inside[:-j] |= ends[j:]
+    free = np.flatnonzero(~inside)
+    at = np.searchsorted(free, np.arange(0, len(words), ROW))
+    offsets = pa.array(np.append(np.unique(free[at[at < len(free)]]), len(words)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(ends))], ["words", "ends"])
 
 
 _OCCURRENCES = "words array<long>, ends array<boolean>"
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    words, ends = batch.column(0), batch.column(1)
-    for i in range(batch.num_rows):
-        yield words[i].values.to_numpy().view(_U), ends[i].values.to_numpy(zero_copy_only=False)
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words and flags of a relation's rows, end to end: a row begins with an occurrence, so none goes on from the row before."""
+    return batch.column(0).flatten().to_numpy().view(_U), batch.column(1).flatten().to_numpy(zero_copy_only=False)
 
 
 def _pairs(docs: DataFrame, frequent: Filter) -> DataFrame:
@@ -246,7 +253,7 @@ def _pairs(docs: DataFrame, frequent: Filter) -> DataFrame:
                 if len(words):
                     passed = known.has(phrase_hashes(words[:, None]))
                     follows[1:] &= passed[1:] & passed[:-1]
-                    yield from _relation([_left(words, follows, 2)])
+                    yield from _relation(*_left(words, follows, 2), 2)
 
     return docs.mapInArrow(made, _OCCURRENCES)
 
@@ -258,13 +265,13 @@ def _extended(relation: DataFrame, frequent: Filter, k: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = spread.value
         for batch in batches:
-            for words, ends in _rows(batch):
-                at = np.flatnonzero(ends)
-                left = np.zeros(len(ends), bool)
-                left[at[known.has(phrase_hashes(ending(words, at, k)))]] = True
-                left[1:] &= left[:-1].copy()
-                left[:1] = False
-                yield from _relation([_left(words, left, k + 1)])
+            words, ends = _read(batch)
+            at = np.flatnonzero(ends)
+            left = np.zeros(len(ends), bool)
+            left[at[known.has(phrase_hashes(ending(words, at, k)))]] = True
+            left[1:] &= left[:-1].copy()
+            left[:1] = False
+            yield from _relation(*_left(words, left, k + 1), k + 1)
 
     return relation.mapInArrow(made, _OCCURRENCES)
 
@@ -275,8 +282,8 @@ def _counted(relation: DataFrame, k: int, least: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(k)
         for batch in batches:
-            for words, ends in _rows(batch):
-                yield from tally.add(ending(words, np.flatnonzero(ends), k))
+            words, ends = _read(batch)
+            yield from tally.add(ending(words, np.flatnonzero(ends), k))
         yield from tally.rest()
 
     keys = [f"w{j}" for j in range(k)]
