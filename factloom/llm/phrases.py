@@ -38,7 +38,7 @@ COVERS = 80
 #: What separates pieces, and the words of one.
 PIECES, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Groups that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Words of a relation's row, as Spark reads thousands of rows at a time.
 ROW = 1 << 10
 #: Bits of a filter at most.
@@ -175,7 +175,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known[2] += f
             for at, f in zip(*(x.tolist() for x in np.unique(text, return_counts=True)), strict=True):
                 totals[names[lo + at]] = totals.get(names[lo + at], 0) + f
-        if len(found) > HELD // 2:
+        if len(found) > HELD:
             yield from rows()
     yield from rows()
 
