@@ -1,19 +1,15 @@
 """Source text as a relation of tokens, and the facts that follow from it by windows and groups over one file's tokens.
 
-files(path, source, language). A source is cut into tokens by one pattern, with built-in functions: comments, strings,
-names, numbers, signs. Windows in a file's order give places and nesting, so a name in a comment or in a string is no
-use, however many lines it runs over. What stands inside a template string is part of the string."""
+files(path, source, language). operators.lexer cuts sources into tokens: comments, strings, names, numbers, signs; a name in a
+comment or in a string is no use, however many lines it runs over, but one in a template's `${}` is. Windows in a file's order,
+joins and groups over the rows give the rest; what a name stands for and how it is used is told by operators.scopes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_QUOTED = r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+\""""
-_REST = r"|[A-Za-z_$][\w$]*|[0-9][\w.]*|=>|->|::|\n|[^\S\n]+|(?s:.)"
-_COMMENT = r"/\*(?s:.*?)\*/|//[^\n]*|"
-SCRIPT = _COMMENT + _QUOTED + r"|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`" + _REST
-RUST = _COMMENT + r"""'(?:\\[^'\n]+|[^'\\\n])'|'[A-Za-z_]\w*|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+\"""" + _REST
+from factloom.operators.lexer import lexed
 
 #: Words that begin a declaration, that stand before it, and what a declaration of each is called.
 KINDS = {"function": "function", "class": "class", "interface": "interface", "type": "type_alias", "enum": "enum", "const": "variable", "let": "variable", "var": "variable", "namespace": "namespace", "fn": "function", "struct": "struct", "trait": "trait", "static": "static", "mod": "module", "impl": "impl"}
@@ -24,34 +20,13 @@ NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "typeof", "functi
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """path, language, i, text, type, offset, line (from 1), col (from 0), depth and paren (open braces and brackets around it),
-    and text and line of the code tokens beside it. Comments and white space are left out."""
-    cut = F.when(F.col("language") == "rust", F.regexp_extract_all("source", F.lit(RUST), F.lit(0))).otherwise(F.regexp_extract_all("source", F.lit(SCRIPT), F.lit(0)))
-    rows = files.select("path", "language", F.posexplode(cut).alias("i", "text"))
-    t = F.col("text")
-    kind = (
-        F.when(t.rlike(r"^(/\*(?s:.)|//)"), "comment")
-        .when(t.rlike("^[A-Za-z_$]"), "name")
-        .when(t.rlike(r"^\s"), "space")
-        .when(t.rlike("^[\"`]") | t.rlike("^'.*'$"), "string")
-        .when(t.rlike("^[0-9]"), "number")
-        .otherwise("sign")
-    )
+    """A row for each token of code: path, language, i, text, type, offset, line (from 1), col (from 0), last_line, depth and paren (open braces
+    and brackets around it), outer (the bracket around it), pair (a bracket's partner), within (all brackets around it), and text and line of
+    the tokens beside it. Comments and white space are left out."""
+    code = lexed(files).filter("type <> 'comment'")
     order = Window.partitionBy("path").orderBy("i")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
-    nest = lambda opens, closes: F.when(F.col("type") != "sign", 0).when(t.isin(*opens), 1).when(t.isin(*closes), -1).otherwise(0)
-    breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("type", kind).withColumn("offset", count(F.length(t), before))
-    line_start = F.when(t.contains("\n"), F.col("offset") + F.length(t) - F.length(F.substring_index(t, "\n", -1)))
-    closing = lambda signs: F.when((F.col("type") == "sign") & t.isin(*signs), -1).otherwise(0)
-    rows = rows.select(
-        "path", "language", "i", "text", "type", "offset", (count(breaks, before) + 1).cast("int").alias("line"), (F.col("offset") - F.coalesce(F.max(line_start).over(before), F.lit(0))).cast("int").alias("col"),
-        (count(nest("{", "}"), before) + closing("}")).alias("depth"), (count(nest(("(", "["), (")", "]")), before) + closing((")", "]"))).alias("paren"), (count(breaks, upto) + 1).alias("last_line"),
-    )
-    code = rows.filter("type not in ('comment', 'space')")
     near = {f"{name}{k if k > 1 else ''}": f("text", k).over(order) for name, f in (("prev", F.lag), ("next", F.lead)) for k in (1, 2, 3)}
-    return code.withColumns(near | {"prev_line": F.lag("last_line").over(order)})
+    return code.withColumns(near | {"prev_line": F.lag("last_line").over(order), "prev_type": F.lag("type").over(order)})
 
 
 def statements(code: DataFrame) -> DataFrame:
