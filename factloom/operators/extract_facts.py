@@ -116,4 +116,11 @@ def bindings(files: DataFrame) -> DataFrame:
 
 def references(files: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:
     """target_symbol, source_symbol, file, line, col, kind of every use of a bound name; targets(module, specifier, target)."""
-    return T.uses(T.tokens(files), bound, targets)
+    return T.uses(files, bound, targets)
+
+
+def reference_index(found: DataFrame) -> DataFrame:
+    """symbol, direction, other, kind, n, first_line: references looked up from either end, by what is used and by what uses it."""
+    ends = F.array(F.struct(F.col("target_symbol").alias("symbol"), F.lit("used by").alias("direction"), F.col("source_symbol").alias("other")), F.struct(F.col("source_symbol").alias("symbol"), F.lit("uses").alias("direction"), F.col("target_symbol").alias("other")))
+    both = found.groupBy("target_symbol", "source_symbol", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    return both.select(F.explode(ends).alias("e"), "kind", "n", "first_line").select("e.*", "kind", "n", "first_line")

@@ -33,7 +33,8 @@ def _scan(source: str, tags: bool) -> Iterator[tuple[int, str, str]]:
         if mode == "template":
             found = _TEMPLATE.match(source, at)
             if found["end"] == "${":
-                yield at, found[0][:-2], "string"
+                if len(found[0]) > 2:
+                    yield at, found[0][:-2], "string"
                 yield found.end() - 2, "${", "template"
                 modes.append(("part", 0))
                 last = ("${", "template")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.lexer import lexed
+from factloom.operators.scopes import script_uses
 
 #: Words that begin a declaration, that stand before it, and what a declaration of each is called.
 KINDS = {"function": "function", "class": "class", "interface": "interface", "type": "type_alias", "enum": "enum", "const": "variable", "let": "variable", "var": "variable", "namespace": "namespace", "fn": "function", "struct": "struct", "trait": "trait", "static": "static", "mod": "module", "impl": "impl"}
@@ -116,29 +117,29 @@ def signatures(files: DataFrame, stmts: DataFrame, declared: DataFrame) -> DataF
     return out.select(F.col("path").alias("module"), "name", text.alias("signature"))
 
 
-def uses(code: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:
+def uses(files: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:
     """target_symbol, source_symbol, file, line, col, kind of every use of a bound name.
 
     bound(module, local_name, exported_name, specifier), targets(module, specifier, target). Import clauses and re-exports
     are no uses, nor are properties, keys and declarations of the same name. In Rust a call counts as a use besides."""
-    order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    t, prev, after, rust = F.col("text"), F.coalesce("prev", F.lit("")), F.coalesce("next", F.lit("")), F.col("language") == "rust"
-    begins = (F.col("depth") == 0) & F.when(rust, t == "use").otherwise((t == "import") & ~after.isin("(", ".") | (t == "export") & after.isin("{", "*"))
-    ends = F.when(rust, t == ";").otherwise((F.col("type") == "string") | (t == ";") | (t == "}") & (after != "from"))
-    last = lambda c: F.coalesce(F.max(F.when(c, F.col("i"))).over(order), F.lit(-1))
-    named = code.withColumn("_clause", last(begins) > last(ends)).filter("type = 'name' and not _clause")
-    declared = prev.isin("const", "let", "var", "function", "class", "interface", "type", "enum", "fn", "struct", "trait", "mod")
-    key = prev.isin("{", ",") & (after == ":")
-    named = named.filter(~declared & ~prev.isin(".", "::") & ~key)
-    called = (after == "(") | rust & (after == "::") & (F.coalesce("next3", F.lit("")) == "(")
-    typed = prev.isin(":", "->", "<") | rust & (prev == "&") & F.coalesce(F.col("prev2").isin(":", "->", "<"), F.lit(False))
-    script = F.when(prev == "new", "New").when(prev == "extends", "Extends").when(prev == "implements", "Implements").when(called, "Call").when(after == ".", "PropertyAccess").when(typed, "TypeReference").otherwise("Usage")
-    kinds = F.when(rust, F.when(called, F.array(F.lit("Call"), F.lit("Usage"))).when(typed, F.array(F.lit("TypeReference"))).otherwise(F.array(F.lit("Usage")))).otherwise(F.array(script))
-    found = named.select(F.col("path").alias("module"), F.col("text").alias("local_name"), "line", "col", F.explode(kinds).alias("kind"))
+    found = script_uses(tokens(files.filter("language <> 'rust'")), bound).unionByName(_rust_uses(tokens(files.filter("language = 'rust'"))))
     out = found.join(bound.join(targets, ["module", "specifier"]), ["module", "local_name"])
     return out.select(F.concat_ws(":", "target", "exported_name").alias("target_symbol"), F.concat_ws(":", "module", "local_name").alias("source_symbol"), F.col("module").alias("file"), "line", "col", "kind")
 
 
+def _rust_uses(code: DataFrame) -> DataFrame:
+    order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    t, prev, after = F.col("text"), F.coalesce("prev", F.lit("")), F.coalesce("next", F.lit(""))
+    last = lambda c: F.coalesce(F.max(F.when(c, F.col("i"))).over(order), F.lit(-1))
+    named = code.withColumn("_clause", last((F.col("depth") == 0) & (t == "use")) > last(t == ";")).filter("type = 'name' and not _clause")
+    declared = prev.isin("const", "let", "fn", "struct", "trait", "enum", "type", "mod")
+    named = named.filter(~declared & ~prev.isin(".", "::") & ~(prev.isin("{", ",") & (after == ":")))
+    called = (after == "(") | (after == "::") & (F.coalesce("next3", F.lit("")) == "(")
+    typed = prev.isin(":", "->", "<") | (prev == "&") & F.coalesce(F.col("prev2").isin(":", "->", "<"), F.lit(False))
+    kinds = F.when(called, F.array(F.lit("Call"), F.lit("Usage"))).when(typed, F.array(F.lit("TypeReference"))).otherwise(F.array(F.lit("Usage")))
+    return named.select(F.col("path").alias("module"), F.col("text").alias("local_name"), "line", "col", F.explode(kinds).alias("kind"))
+
+
 def rust_bindings(files: DataFrame, clean: Column) -> DataFrame:
     """module, local_name, exported_name, specifier of crate-local use trees; globs and self are left out."""
     group = r"([\w:]*)\{([^{}]*)\}"

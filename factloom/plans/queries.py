@@ -458,6 +458,18 @@ def op_p12_references(spark, sf_dir):
     return extract_facts.references(files, extract_facts.bindings(files), targets).select("target_symbol", "source_symbol", "file", "line", "col", "kind")
 
 
+@registered(f"WITH {R.SCOPED} SELECT * FROM scoped_uses")
+def op_p14_scoped_references(spark, sf_dir):
+    files = R.scoped_files(spark, sf_dir)
+    targets = extract_facts.resolved(extract_facts.imports(files), files)
+    return extract_facts.references(files, extract_facts.bindings(files), targets)
+
+
+@registered(f"WITH {R.SCOPED} SELECT target_symbol AS symbol, 'used by' AS direction, source_symbol AS other, kind, count(*) AS n, min(line) AS first_line FROM scoped_uses GROUP BY ALL UNION ALL SELECT source_symbol, 'uses', target_symbol, kind, count(*), min(line) FROM scoped_uses GROUP BY ALL")
+def op_j5_reference_index(spark, sf_dir):
+    return extract_facts.reference_index(op_p14_scoped_references(spark, sf_dir))
+
+
 @registered("WITH o AS (SELECT conv_id || '/' || turn AS path, text FROM conversations), n AS (SELECT conv_id || '/' || (turn - 1) AS path, text FROM conversations), b AS (SELECT coalesce(o.path, n.path) AS path, o.text AS o, n.text AS n FROM o FULL JOIN n ON o.path = n.path WHERE o.text IS DISTINCT FROM n.text), lo AS (SELECT path, line, count(*) AS k FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM o) GROUP BY 1, 2), ln AS (SELECT path, line, count(*) AS k FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM n) GROUP BY 1, 2), c AS (SELECT coalesce(lo.path, ln.path) AS path, CAST(sum(greatest(coalesce(ln.k, 0) - coalesce(lo.k, 0), 0)) AS BIGINT) AS added, CAST(sum(greatest(coalesce(lo.k, 0) - coalesce(ln.k, 0), 0)) AS BIGINT) AS removed FROM lo FULL JOIN ln ON lo.path = ln.path AND lo.line = ln.line GROUP BY 1) SELECT path, CASE WHEN o IS NULL THEN 'A' WHEN n IS NULL THEN 'D' ELSE 'M' END AS status, added, removed FROM b JOIN c USING (path)")
 def op_s12_changed_files(spark, sf_dir):
     c = R.read(spark, sf_dir, "conversations")

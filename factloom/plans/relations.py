@@ -173,3 +173,27 @@ def rust_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUST = """supps AS (SELECT s_nationkey AS n, s_suppkey AS k, 'src/n' || s_nationkey || '.rs' AS module, 3 + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS line FROM supplier),
 owners AS (SELECT DISTINCT n, module FROM supps)"""
+
+
+def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script files, one for each nation, with a line for each customer: names hidden by parameters, patterns and blocks, uses in templates, types
+    and classes. They import from two further files."""
+    k = F.col("c_custkey").cast("string")
+    line = (
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.concat(F.lit("const v"), k, F.lit(" = `n ${a(B)} `;")))
+        .when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("function f"), k, F.lit("(a) { return a(B); }")))
+        .when(F.col("c_mktsegment") == "FURNITURE", F.lit("{ let { a, z: [c] } = B; a(c); }"))
+        .when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit("const w"), k, F.lit(" = (x: c) => a.k;")))
+        .otherwise(F.concat(F.lit("class D"), k, F.lit(" extends a { m() { return B[c]; } }")))
+    )
+    own = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), line.alias("line")))).alias("lines"))
+    text = F.concat_ws("\n", F.lit("import { a, c } from './lib';"), F.lit("import B from './b';"), F.transform("lines", lambda x: x["line"]))
+    own = own.select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".ts")).alias("path"), text.alias("source"))
+    shared = read(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "src/lib.ts").otherwise("src/b.ts").alias("path"), F.concat(F.lit("export const k = "), "r_regionkey", F.lit(";")).alias("source"))
+    return own.unionByName(shared).withColumn("language", F.lit("typescript"))
+
+
+SCOPED = """scoped AS (SELECT c_mktsegment AS segment, length(c_custkey::VARCHAR) AS l, 'src/n' || c_nationkey || '.ts' AS module, 2 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line FROM customer),
+forms(segment, name, col, shifts, kind) AS (VALUES ('AUTOMOBILE', 'a', 15, 1, 'Call'), ('AUTOMOBILE', 'B', 17, 1, 'Call'), ('BUILDING', 'B', 25, 1, 'Call'), ('FURNITURE', 'B', 22, 0, 'Usage'),
+  ('HOUSEHOLD', 'c', 14, 1, 'TypeReference'), ('HOUSEHOLD', 'a', 20, 1, 'PropertyAccess'), ('MACHINERY', 'a', 16, 1, 'Extends'), ('MACHINERY', 'B', 33, 1, 'Extends'), ('MACHINERY', 'c', 35, 1, 'Extends')),
+scoped_uses AS (SELECT CASE name WHEN 'B' THEN 'src/b.ts:default' ELSE 'src/lib.ts:' || name END AS target_symbol, module || ':' || name AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CAST(col + shifts * l AS INTEGER) AS col, kind FROM scoped JOIN forms USING (segment))"""

@@ -124,8 +124,8 @@ def test_facts_over_lines_and_strings(spark):
     targets = spark.createDataFrame([("src/a.ts", "./lib", "L"), ("src/a.ts", "@/q/types", "Q")], "module string, specifier string, target string")
     uses = [(r["line"], r["col"], r["target_symbol"], r["kind"]) for r in extract_facts.references(f, extract_facts.bindings(f), targets).collect()]
     assert sorted(uses) == [
-        (7, 25, "L:a", "Extends"), (7, 38, "Q:Q", "Implements"), (10, 9, "L:b", "TypeReference"), (11, 11, "L:a", "Call"), (11, 28, "L:b", "PropertyAccess"),
-        (11, 43, "L:b", "New"), (11, 45, "L:a", "Usage"), (15, 24, "L:a", "Call"), (15, 30, "L:a", "Call"), (18, 14, "L:a", "TypeReference"),
+        (7, 25, "L:a", "Extends"), (7, 38, "Q:Q", "Implements"), (10, 9, "L:b", "Extends"), (11, 11, "L:a", "Call"), (11, 28, "L:b", "Call"),
+        (11, 43, "L:b", "New"), (11, 45, "L:a", "New"), (15, 24, "L:a", "Call"), (15, 30, "L:a", "Call"), (18, 14, "L:a", "TypeReference"),
     ]
 
 
