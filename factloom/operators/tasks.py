@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.levels import acceptable
@@ -66,6 +66,71 @@ def verdicts(checks: DataFrame, threshold: float = 0.85, deep: bool = True) -> D
     return checks.groupBy("file").agg(F.count("*").alias("n_symbols"), score.alias("similarity"), wrong.alias("errors")).withColumn("passed", (F.col("similarity") >= threshold) & (F.col("errors") == 0))
 
 
+def deep_checks(spec: DataFrame, made: DataFrame, broken: DataFrame) -> DataFrame:
+    """A row for each symbol of spec(file, at, name, target_name, kind, params, return_type, is_async, target_signature): found, and severity, message,
+    expected, actual, line_hint of what is wrong with it (null where nothing is).
+
+    made: rust_items.items with file; items of the top level alone, the first of a name counts. broken(file): files that can't be read, all of
+    whose symbols are missing. Parameters are compared place by place, the receiver apart, names without case and underscores, types without
+    blanks; an expected type or result that is empty is not compared."""
+    top = made.filter("owner is null and name is not null").join(broken.select("file"), "file", "left_anti")
+    item = F.struct("kind", "line", "params", "result", "is_async", "fields", "variants")
+    first = top.groupBy("file", loose(F.col("name")).alias("key")).agg(F.min_by(item, "at").alias("m"))
+    out = spec.withColumn("key", loose(F.col("target_name"))).join(first, ["file", "key"], "left")
+    m, found = F.col("m"), F.col("m").isNotNull()
+    quote = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    none = F.lit(None).cast("string")
+    wrong_kind = F.when(~acceptable(F.col("kind"), m["kind"]), quote("kind mismatch: expected '", F.col("kind"), "', got '", m["kind"], "'"))
+    expected = F.coalesce("params", F.array().cast(spec.schema["params"].dataType))
+    number = F.when(F.size(m["params"]) != F.size(expected), quote("parameter count: expected ", F.size(expected).cast("string"), ", got ", F.size(m["params"]).cast("string")))
+
+    def place(p: Column, i: Column) -> Column:
+        got = F.get(m["params"], i)
+        name = F.when(loose(got["name"]) != loose(p["name"]), quote("param[", i.cast("string"), "] name: expected '", p["name"], "', got '", got["name"], "'"))
+        kind = F.when((bare(p["type"]) != "") & (bare(got["type"]) != bare(p["type"])), quote("param[", i.cast("string"), "] '", p["name"], "' type: expected '", p["type"], "', got '", got["type"], "'"))
+        return F.array(name, kind)
+
+    asked, result = F.col("return_type"), m["result"]
+    returned = (
+        F.when(result.isNotNull() & asked.isNotNull(), F.when((bare(asked) != "") & (bare(result) != bare(asked)), quote("return type: expected '", asked, "', got '", result, "'")))
+        .when(asked.isNotNull(), quote("return type: expected '", asked, "', got unit ()"))
+        .when(result.isNotNull(), F.lit("unexpected return type (spec has none)"))
+    )
+    waits = F.when(F.col("is_async") != m["is_async"], quote("async: expected ", F.col("is_async").cast("string"), ", got ", m["is_async"].cast("string")))
+    fields = F.filter(F.transform(F.split(F.coalesce("target_signature", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    field_number = F.when(m["fields"].isNotNull() & (F.size(fields) > 0) & (F.size(m["fields"]) != F.size(fields)), quote("field count: expected ", F.size(fields).cast("string"), ", got ", F.size(m["fields"]).cast("string")))
+    of_function = F.concat(F.array(wrong_kind, number), F.flatten(F.transform(expected, place)), F.array(returned, waits))
+    both = lambda kind: (F.col("kind") == kind) & (m["kind"] == kind)
+    every = F.when(both("function"), of_function).when(both("struct"), F.array(wrong_kind, field_number)).when(both("enum"), F.array(wrong_kind, F.when(F.size(m["variants"]) == 0, F.lit("enum has no variants")))).otherwise(F.array(wrong_kind, none))
+    details = F.array_compact(every)
+    names = quote("'", F.col("name"), "' (target: '", F.col("target_name"), "')")
+    bad = found & (F.size(details) > 0)
+    return out.select(
+        "file", "at", "name", found.alias("found"), F.when(~found, "error").when(bad, "warning").alias("severity"),
+        F.when(~found, quote("Exported symbol ", names, " not found in generated Rust code")).when(bad, quote("Symbol ", names, " has structural mismatches: ", F.array_join(details, "; "))).alias("message"),
+        F.when(~found, quote(F.col("kind"), " named '", F.col("target_name"), "'")).when(bad, F.concat_ws(" ", "kind", "target_name")).alias("expected"),
+        F.when(bad, quote(m["kind"], " at line ", m["line"].cast("string"))).alias("actual"), F.when(bad, m["line"]).alias("line_hint"),
+    )
+
+
+def deep_verdicts(checks: DataFrame, broken: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """file, n_symbols, matched, correct, similarity (.6 by names, .4 by the part of those found that is right), status, instruction. A missing symbol fails
+    a file whatever its similarity; so do files that can't be read."""
+    sums = checks.groupBy("file").agg(
+        F.count("*").alias("n_symbols"), F.count_if("found").alias("matched"), F.count_if(F.col("found") & F.col("severity").isNull()).alias("correct"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("at", "message")))), lambda x: x["message"]).alias("messages"),
+    )
+    sums = sums.join(broken.select("file", F.lit(True).alias("unread")).distinct(), "file", "left")
+    score = F.col("matched") / F.col("n_symbols") * 0.6 + F.when(F.col("matched") > 0, F.col("correct") / F.col("matched")).otherwise(0.0) * 0.4
+    passed = (score >= threshold) & (F.col("matched") == F.col("n_symbols"))
+    of = lambda a, b: F.concat(a.cast("string"), F.lit("/"), b.cast("string"))
+    good = F.concat(F.lit("File '"), "file", F.lit("' deep-verified — "), of(F.col("correct"), F.col("n_symbols")), F.lit(" symbols match structurally."))
+    bad = F.concat(F.lit("File '"), "file", F.lit("' needs revision — "), of(F.col("matched"), F.col("n_symbols")), F.lit(" symbols found, "), of(F.col("correct"), F.greatest("matched", F.lit(1))), F.lit(" structurally correct. Issues: "), F.array_join("messages", "; "))
+    text = F.when(F.col("unread"), "Fix the Rust syntax errors and try again.").when(passed, good).otherwise(bad)
+    return sums.select("file", "n_symbols", "matched", "correct", F.when(F.col("unread"), 0.0).otherwise(score).alias("similarity"), F.when(passed & F.col("unread").isNull(), "verified").otherwise("needs_revision").alias("status"), text.alias("instruction"))
+
+
 def coverage(source: DataFrame, target: DataFrame) -> DataFrame:
     """source(stem, name, translated, change_type) with covered: target(stem, name, change_type) has it by any of three names."""
     keys = F.array_distinct(F.array(F.concat(F.lit("="), "translated"), F.concat(F.lit("="), "name"), F.concat(F.lit("~"), F.lower("translated"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import levels, naming, texts
-from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, reports, scoring, tasks, tokens
+from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, reports, rust_items, scoring, tasks, tokens
 from factloom.plans import relations as R
 from factloom.sources import trees
 
@@ -659,6 +659,34 @@ def op_a24_batch_totals(spark, sf_dir):
     return reports.batch_totals(op_a23_verification(spark, sf_dir))
 
 
+def _deep_checks(spark, sf_dir):
+    files = R.generated_files(spark, sf_dir)
+    broken = rust_items.unbalanced(files).withColumnRenamed("path", "file")
+    return tasks.deep_checks(R.specifications(spark, sf_dir), rust_items.items(files).withColumnRenamed("path", "file"), broken), broken
+
+
+@registered(f"WITH {R.GENERATED} SELECT file, name, found, severity, message, expected, actual, line_hint FROM checked")
+def op_j26_deep_checks(spark, sf_dir):
+    return _deep_checks(spark, sf_dir)[0].drop("at")
+
+
+@registered(f"""WITH {R.GENERATED}, sums AS (SELECT file, count(*) AS n_symbols, count(*) FILTER (WHERE found) AS matched, count(*) FILTER (WHERE found AND severity IS NULL) AS correct, string_agg(message, '; ' ORDER BY at_) AS messages FROM checked GROUP BY file),
+v AS (SELECT *, matched / n_symbols * 0.6::DOUBLE + CASE WHEN matched > 0 THEN correct / matched ELSE 0 END * 0.4::DOUBLE AS similarity FROM sums)
+SELECT file, n_symbols, matched, correct, round(similarity * 10000) / 10000 AS similarity, CASE WHEN similarity >= 0.5 AND matched = n_symbols THEN 'verified' ELSE 'needs_revision' END AS status,
+  CASE WHEN similarity >= 0.5 AND matched = n_symbols THEN 'File ''' || file || ''' deep-verified — ' || correct || '/' || n_symbols || ' symbols match structurally.'
+  ELSE 'File ''' || file || ''' needs revision — ' || matched || '/' || n_symbols || ' symbols found, ' || correct || '/' || greatest(matched, 1) || ' structurally correct. Issues: ' || messages END AS instruction FROM v""")
+def op_k14_deep_verdicts(spark, sf_dir):
+    out = tasks.deep_verdicts(*_deep_checks(spark, sf_dir), threshold=0.5)
+    return out.withColumn("similarity", F.round(F.col("similarity") * 10000) / 10000)
+
+
+@registered(f"""WITH {R.GENERATED} SELECT file AS path, CASE segment WHEN 'MACHINERY' THEN 'GetCust' ELSE 'get_cust_' END || k AS name, CASE segment WHEN 'MACHINERY' THEN 'struct' ELSE 'function' END AS kind,
+  CASE segment WHEN 'AUTOMOBILE' THEN 'pub fn get_cust_' || k || '(acc_bal: f64, seg: Vec < String >) -> Result < u32 , E >' WHEN 'BUILDING' THEN 'pub fn get_cust_' || k || '(acc_bal: f64) -> Result < u32 , E >' ELSE 'pub struct GetCust' || k || '<T> {{ ... }}' END AS signature,
+  CASE segment WHEN 'AUTOMOBILE' THEN 'Customer ' || k || '.' END AS doc FROM asked WHERE segment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')""")
+def op_p18_rust_signatures(spark, sf_dir):
+    return rust_items.signatures(rust_items.items(R.generated_files(spark, sf_dir))).drop("owner")
+
+
 @registered("SELECT count(*) AS total, count(*) FILTER (WHERE s_nationkey < 5) AS available, count(*) FILTER (WHERE s_nationkey BETWEEN 5 AND 9) AS partial, count(*) FILTER (WHERE s_nationkey > 9) AS unavailable FROM supplier")
 def op_a22_availability(spark, sf_dir):
     s = R.read(spark, sf_dir, "supplier").withColumn("package", F.col("s_suppkey").cast("string"))

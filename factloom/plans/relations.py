@@ -197,3 +197,43 @@ SCOPED = """scoped AS (SELECT c_mktsegment AS segment, length(c_custkey::VARCHAR
 forms(segment, name, col, shifts, kind) AS (VALUES ('AUTOMOBILE', 'a', 15, 1, 'Call'), ('AUTOMOBILE', 'B', 17, 1, 'Call'), ('BUILDING', 'B', 25, 1, 'Call'), ('FURNITURE', 'B', 22, 0, 'Usage'),
   ('HOUSEHOLD', 'c', 14, 1, 'TypeReference'), ('HOUSEHOLD', 'a', 20, 1, 'PropertyAccess'), ('MACHINERY', 'a', 16, 1, 'Extends'), ('MACHINERY', 'B', 33, 1, 'Extends'), ('MACHINERY', 'c', 35, 1, 'Extends')),
 scoped_uses AS (SELECT CASE name WHEN 'B' THEN 'src/b.ts:default' ELSE 'src/lib.ts:' || name END AS target_symbol, module || ':' || name AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CAST(col + shifts * l AS INTEGER) AS col, kind FROM scoped JOIN forms USING (segment))"""
+
+
+def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rust files, one for each nation, with an item for each customer: as its specification asks, or with parameters, types, result, kind or the item
+    itself otherwise."""
+    k = F.col("c_custkey").cast("string")
+    forms = {
+        "AUTOMOBILE": ("/// Customer ", k, ".\npub async fn get_cust_", k, "(acc_bal: f64, seg: Vec<String>) -> Result<u32, E> { a(b) }"),
+        "BUILDING": ("/* no */\npub async fn get_cust_", k, "(acc_bal: f64) -> Result<u32, E> { a(b) }"),
+        "FURNITURE": ("// no\nfn GetCust", k, "(bal: f32, mut seg: Vec<Str>) {}"),
+        "HOUSEHOLD": ("// fn get_cust_", k, "() {}\n// no"),
+        "MACHINERY": ("#[derive(Debug)]\npub struct GetCust", k, "<T> { a: T, pub b: Map<K, V> }"),
+    }
+    line = F.lit("")
+    for segment, parts in forms.items():
+        line = F.when(F.col("c_mktsegment") == segment, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(line)
+    own = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), line.alias("line")))).alias("lines"))
+    return own.select(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".rs")).alias("path"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"])).alias("source"), F.lit("rust").alias("language"))
+
+
+def specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What generated_files are asked to hold: a function for each customer."""
+    k = F.col("c_custkey").cast("string")
+    params = F.array(F.struct(F.lit("accBal").alias("name"), F.lit("f64").alias("type")), F.struct(F.lit("seg").alias("name"), F.lit("Vec<String>").alias("type")))
+    return read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("src/n"), "c_nationkey", F.lit(".rs")).alias("file"), F.col("c_custkey").alias("at"), F.concat(F.lit("getCust"), k).alias("name"), F.concat(F.lit("get_cust_"), k).alias("target_name"),
+        F.lit("function").alias("kind"), params.alias("params"), F.lit("Result<u32, E>").alias("return_type"), F.lit(True).alias("is_async"), F.lit(None).cast("string").alias("target_signature"),
+    )
+
+
+GENERATED = """asked AS (SELECT 'src/n' || c_nationkey || '.rs' AS file, c_custkey AS at_, c_custkey::VARCHAR AS k, c_mktsegment AS segment, CAST(2 * row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS line FROM customer),
+details(segment, text) AS (VALUES ('BUILDING', 'parameter count: expected 2, got 1'), ('MACHINERY', 'kind mismatch: expected ''function'', got ''struct'''),
+  ('FURNITURE', 'param[0] name: expected ''accBal'', got ''bal''; param[0] ''accBal'' type: expected ''f64'', got ''f32''; param[1] ''seg'' type: expected ''Vec<String>'', got ''Vec < Str >''; return type: expected ''Result<u32, E>'', got unit (); async: expected true, got false')),
+checked AS (
+  SELECT file, at_, 'getCust' || k AS name, segment <> 'HOUSEHOLD' AS found, CASE WHEN segment = 'HOUSEHOLD' THEN 'error' WHEN text IS NOT NULL THEN 'warning' END AS severity,
+    CASE WHEN segment = 'HOUSEHOLD' THEN 'Exported symbol ''getCust' || k || ''' (target: ''get_cust_' || k || ''') not found in generated Rust code'
+      WHEN text IS NOT NULL THEN 'Symbol ''getCust' || k || ''' (target: ''get_cust_' || k || ''') has structural mismatches: ' || text END AS message,
+    CASE WHEN segment = 'HOUSEHOLD' THEN 'function named ''get_cust_' || k || '''' WHEN text IS NOT NULL THEN 'function get_cust_' || k END AS expected,
+    CASE WHEN text IS NOT NULL THEN CASE segment WHEN 'MACHINERY' THEN 'struct' ELSE 'function' END || ' at line ' || line END AS actual, CASE WHEN text IS NOT NULL THEN line END AS line_hint
+  FROM asked LEFT JOIN details USING (segment))"""
