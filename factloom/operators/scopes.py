@@ -30,60 +30,67 @@ FUNCTIONS = ("arrow", "named", "anonymous", "catch")
 MODIFIERS = ("abstract", "async", "declare", "get", "override", "private", "protected", "public", "readonly", "set", "static", "*")
 
 
+#: What the rest needs of levels.
+KEPT = (
+    "path", "i", "text", "type", "line", "col", "paren", "outer", "pair", "within", "prev", "prev2", "prev_type", "next", "next2", "before", "before2", "spread", "starts", "stmt", "first", "variable", "comma", "arrow", "asks", "equals",
+    "class", "interface", "braced", "parent", "implements", "types", "bracket", "until", "called", "taken_of", "made", "earlier", "stops", "single_end", "method", "pattern",
+)
+
+
 def _is(x: Column, *values: str) -> Column:
     return F.coalesce(x.isin(*values), F.lit(False))
 
 
 def levels(code: DataFrame) -> DataFrame:
-    """tokens with what their level tells: before (the token before on the level) and after (that behind a bracket), stmt, chain, bracket (what it
-    is), until (where what is declared in it ends) and more."""
-    t, named = F.col("text"), F.col("type") == "name"
+    """tokens with what their level tells: before (the token before on the level) and after (that behind a bracket), stmt, bracket (what it is),
+    until (where what is declared in it ends) and more.
+
+    All windows are over levels, forwards or backwards: what lies in the same statement or chain is told by comparing places, which needs no
+    further sort."""
+    t, i, named, sign = F.col("text"), F.col("i"), F.col("type") == "name", F.col("type") == "sign"
     level = Window.partitionBy("path", "outer").orderBy("i")
-    upto = level.rowsBetween(Window.unboundedPreceding, 0)
-    # what comes later is read backwards, since frames up to the end are counted anew for every row
-    back = lambda *by: Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    behind, rest, later = back("path", "outer"), back("path", "outer", "stmt"), back("path", "outer", "chain")
-    sign = F.col("type") == "sign"
-    on = code.withColumns({
-        "before": F.lag("text").over(level), "before2": F.lag("text", 2).over(level), "before_type": F.lag("type").over(level),
-        "after": F.lead("text", 2).over(level),
-    })
+    back = Window.partitionBy("path", "outer").orderBy(F.desc("i"))
+    upto, past = level.rowsBetween(Window.unboundedPreceding, 0), level.rowsBetween(Window.unboundedPreceding, -1)
+    behind = back.rowsBetween(Window.unboundedPreceding, -1)
+    never = F.lit(1 << 30)
+    last = lambda c: F.coalesce(F.max(F.when(c, i)).over(past), F.lit(-1))
+    next_ = lambda c: F.coalesce(F.min(F.when(c, i)).over(behind), never)
+    word = named & ~_is(F.col("prev"), ".")
+    own_name = F.coalesce(~F.col("next").isin("(", "*", "<") | (F.col("next") == "*") & (F.col("next2") != "("), F.lit(False))
     spread = F.coalesce((F.col("prev") == ".") & (F.col("prev2") == ".") & (F.col("prev3") == "."), F.lit(False))
     ended = _is(F.col("prev_type"), "number", "string") | (F.col("prev_type") == "name") & ~_is(F.col("prev"), *BEFORE) | _is(F.col("prev"), ")", "]", "}")
-    starts = F.col("before").isNull() | _is(F.col("before"), ";") | named & ~t.isin(*GOES_ON) & (_is(F.col("before"), "}") | (F.col("line") > F.col("prev_line")) & ended)
-    on = on.withColumns({"spread": spread, "starts": F.coalesce(starts, F.lit(False))})
-    on = on.withColumn("stmt", F.max(F.when(F.col("starts"), F.col("i"))).over(upto))
-    stmt = Window.partitionBy("path", "outer", "stmt").orderBy("i")
-    past = stmt.rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c: F.coalesce(F.max(F.when(c, F.col("i"))).over(past), F.lit(-1))
-    own_name = F.coalesce(~F.col("next").isin("(", "*", "<") | (F.col("next") == "*") & (F.col("next2") != "("), F.lit(False))
-    word = named & ~_is(F.col("prev"), ".")
-    arrow_end = F.when(t == "=>", F.when(F.col("next") == "{", F.lead("i", 2).over(level)).otherwise(F.coalesce(F.min(F.when(t.isin(",", ";"), F.col("i"))).over(behind), F.lit(1 << 30))))
-    on = on.withColumns({
-        "first": F.first("text").over(stmt.rowsBetween(Window.unboundedPreceding, 0)),
-        "variable": last(word & t.isin(*VARIABLES)), "comma": last(t == ","), "arrow": last(t == "=>"), "asks": last(t == "?"), "equals": last(t == "="),
-        "class": last(word & (t == "class")), "interface": last(word & (t == "interface")), "enum": last(word & (t == "enum")), "braced": last(t == "{"), "opened": last(t == "("),
-        "parent": last(word & (t == "extends")), "implements": last(word & (t == "implements")), "function": last(word & (t == "function")),
-        "types": last(word & (t == "type") & (F.col("starts") | _is(F.col("before"), "export", "declare"))),
-        "own_name": F.coalesce(F.max_by(own_name, F.when(word & (t == "function"), F.col("i"))).over(past), F.lit(False)),
-        "arrow_end": arrow_end, "has_arrow": F.max(t == "=>").over(rest),
+    on = code.withColumns({
+        "before": F.lag("text").over(level), "before2": F.lag("text", 2).over(level), "before3": F.lag("text", 3).over(level), "before_type": F.lag("type").over(level), "after": F.lead("text", 2).over(level),
+        "body_end": F.lead("i", 2).over(level), "spread": spread, "ended": ended,
     })
+    starts = F.col("before").isNull() | _is(F.col("before"), ";") | named & ~t.isin(*GOES_ON) & (_is(F.col("before"), "}") | (F.col("line") > F.col("prev_line")) & F.col("ended"))
+    on = on.withColumn("starts", F.coalesce(starts, F.lit(False)))
+    marks = {
+        "variable": word & t.isin(*VARIABLES), "comma": t == ",", "arrow": t == "=>", "asks": t == "?", "equals": t == "=", "class": word & (t == "class"), "interface": word & (t == "interface"), "enum": word & (t == "enum"),
+        "braced": t == "{", "opened": t == "(", "parent": word & (t == "extends"), "implements": word & (t == "implements"), "function": word & (t == "function"), "own_name": word & (t == "function") & own_name,
+        "types": word & (t == "type") & (F.col("starts") | _is(F.col("before"), "export", "declare")),
+    }
+    on = on.withColumns({name: last(c) for name, c in marks.items()} | {"stmt": F.max(F.when(F.col("starts"), i)).over(upto), "first": F.last(F.when(F.col("starts"), t), ignorenulls=True).over(upto)})
+    here = lambda name: F.when(F.col(name) >= F.col("stmt"), F.col(name)).otherwise(-1)
+    on = on.withColumns({name: here(name) for name in marks} | {"next_start": next_(F.col("starts")), "next_arrow": next_(t == "=>"), "next_end": next_(t.isin(",", ";"))})
+    on = on.withColumn("arrow_end", F.when(t == "=>", F.when(F.col("next") == "{", F.col("body_end")).otherwise(F.col("next_end"))))
     callee = (F.col("before_type") == "name") & ~_is(F.col("before"), *BEFORE, *CONTROL, "catch", "async", "function", *VARIABLES) | _is(F.col("before"), ")", "]") | (F.col("before") == "super")
-    callee = F.coalesce(callee | (F.col("before") == ".") & ~F.col("spread"), F.lit(False))
-    after_type = (F.col("after") == ":") & (F.col("asks") < 0) & ~F.col("first").isin("case", "default")
+    on = on.withColumn("callee", F.coalesce(callee | (F.col("before") == ".") & ~F.col("spread"), F.lit(False)))
+    on = on.withColumn("after_type", F.coalesce((F.col("after") == ":") & (F.col("asks") < 0) & ~F.col("first").isin("case", "default"), F.lit(False)))
     paren = (
         F.when(_is(F.col("before"), *CONTROL), "control")
         .when(_is(F.col("before"), "catch"), "catch")
-        .when(_is(F.col("after"), "=>") | F.coalesce(after_type & ~callee & F.col("has_arrow"), F.lit(False)), "arrow")
-        .when(F.col("function") > F.col("opened"), F.when(F.col("own_name"), "named").otherwise("anonymous"))
-        .when(_is(F.col("after"), "{") | F.coalesce(after_type & callee, F.lit(False)), "anonymous")
-        .when(callee | _is(F.col("before"), ">") & _is(F.lag("text", 3).over(level), "<"), "call")
+        .when(_is(F.col("after"), "=>") | F.col("after_type") & ~F.col("callee") & (F.col("next_arrow") < F.col("next_start")), "arrow")
+        .when(F.col("function") > F.col("opened"), F.when(F.col("own_name") == F.col("function"), "named").otherwise("anonymous"))
+        .when(_is(F.col("after"), "{") | F.col("after_type") & F.col("callee"), "anonymous")
+        .when(F.col("callee") | _is(F.col("before"), ">") & _is(F.col("before3"), "<"), "call")
         .otherwise("group")
     )
-    on = on.withColumn("bracket", F.when(sign & (t == "("), paren).when(sign & (t == "["), F.when(callee, "index").otherwise("array")))
+    on = on.withColumn("bracket", F.when(sign & (t == "("), paren).when(sign & (t == "["), F.when(F.col("callee"), "index").otherwise("array")))
     # the function that a body behind a result's type belongs to, if no body stands between
     typed = F.last(F.when(F.col("bracket").isin(*FUNCTIONS) & (F.col("after") == ":"), F.struct("i", "bracket")), ignorenulls=True).over(past)
-    owner = F.when(F.col("before") == ")", F.lag("bracket", 2).over(level)).otherwise(F.when(typed["i"] > F.col("braced"), typed["bracket"]))
+    on = on.withColumns({"typed": typed, "bracket2": F.lag("bracket", 2).over(level)})
+    owner = F.when(F.col("before") == ")", F.col("bracket2")).when(F.col("typed.i") > F.greatest("braced", F.col("stmt") - 1), F.col("typed.bracket"))
     header = lambda c: (F.col(c) >= 0) & (F.col(c) > F.col("braced"))
     brace = (
         F.when(_is(F.col("before"), "=>"), "arrow")
@@ -95,20 +102,20 @@ def levels(code: DataFrame) -> DataFrame:
         .otherwise("block")
     )
     on = on.withColumn("bracket", F.when(sign & (t == "{"), brace).otherwise(F.col("bracket")))
-    body = F.last(F.when(t == "{", F.col("pair")), ignorenulls=True).over(behind)
-    ends = F.last(F.col("arrow_end"), ignorenulls=True).over(rest)
-    until = F.when(t != "(", F.col("pair")).when(F.col("bracket") == "arrow", ends).when(F.col("bracket").isin("control", "catch", *FUNCTIONS), F.coalesce(body, F.col("pair"))).otherwise(F.col("pair"))
     member = (t == ".") & ~F.col("spread") & ~_is(F.col("next"), ".") & ~_is(F.col("prev"), ".") | (F.col("bracket") == "index")
     goes_on = member | (t == "?") & (F.col("next") == ".") | named & _is(F.col("before"), ".") & ~F.col("spread") | sign & t.isin(")", "]") | (F.col("bracket") == "call") | (t == "!") & _is(F.col("next"), ".", "(", "[")
-    on = on.withColumns({"until": F.when(F.col("bracket").isNotNull(), until), "member": F.coalesce(member, F.lit(False)), "goes_on": F.coalesce(goes_on, F.lit(False))})
-    on = on.withColumn("chain", F.sum((~F.col("goes_on")).cast("int")).over(upto))
-    chain = Window.partitionBy("path", "outer", "chain").orderBy("i")
+    on = on.withColumns({"member": F.coalesce(member, F.lit(False)), "goes_on": F.coalesce(goes_on, F.lit(False)), "call": F.coalesce(F.col("bracket") == "call", F.lit(False))})
+    on = on.withColumns({"chain": F.max(F.when(~F.col("goes_on"), i)).over(upto), "made": F.last(F.when(~F.col("goes_on"), F.coalesce(F.col("before") == "new", F.lit(False))), ignorenulls=True).over(upto), "last_call": last(F.col("call"))})
+    near = lambda c, x: F.last(F.when(c, x), ignorenulls=True).over(behind)
+    on = on.withColumns({
+        "next_chain": next_(~F.col("goes_on")), "next_call": next_(F.col("call")), "next_member": next_(F.col("member")), "body": near(t == "{", F.col("pair")), "single_end": near(F.col("arrow_end").isNotNull(), F.col("arrow_end")),
+        "next_bracket": F.lag("bracket").over(back),
+    })
+    ends = F.when(F.col("next_arrow") < F.col("next_start"), F.col("single_end"))
+    until = F.when(t != "(", F.col("pair")).when(F.col("bracket") == "arrow", ends).when(F.col("bracket").isin("control", "catch", *FUNCTIONS), F.coalesce("body", "pair")).otherwise(F.col("pair"))
     return on.withColumns({
-        "called": F.coalesce(F.max(F.col("bracket") == "call").over(later), F.lit(False)), "taken_of": F.coalesce(F.max(F.col("member")).over(later), F.lit(False)),
-        "made": F.coalesce(F.first("before").over(chain.rowsBetween(Window.unboundedPreceding, 0)) == "new", F.lit(False)),
-        "earlier": F.coalesce(F.max(F.col("bracket") == "call").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)),
-        "stops": (F.col("variable") >= 0) | (F.col("arrow") > F.col("comma")),
-        "single_end": F.last("arrow_end", ignorenulls=True).over(behind), "method": F.coalesce((F.lead("bracket").over(level) == "anonymous") & (F.col("next") == "("), F.lit(False)),
+        "until": F.when(F.col("bracket").isNotNull(), until), "called": F.col("next_call") < F.col("next_chain"), "taken_of": F.col("next_member") < F.col("next_chain"), "earlier": F.col("last_call") >= F.col("chain"),
+        "stops": (F.col("variable") >= 0) | (F.col("arrow") > F.col("comma")), "method": F.coalesce((F.col("next_bracket") == "anonymous") & (F.col("next") == "("), F.lit(False)),
         "pattern": F.col("bracket").isin("object", "array", "block", "index") & (_is(F.col("before"), *VARIABLES) | _is(F.col("before"), ",") & (F.col("variable") >= 0) & _is(F.col("after"), "=")),
     })
 
@@ -175,7 +182,7 @@ def _is_paren(x: Column) -> Column:
 def script_uses(code: DataFrame, bound: DataFrame) -> DataFrame:
     """module, local_name, line, col, kind of every use of a bound(module, local_name) name in scripts; clauses of imports and re-exports, keys,
     members and attributes are no uses, nor are names that a closer declaration hides."""
-    on = stored(levels(code).drop("language", "offset", "last_line", "depth", "prev3", "next3", "arrow_end", "has_arrow", "goes_on", "chain", "opened", "function", "own_name"), "levels")
+    on = stored(levels(code).select(*KEPT), "levels")
     asked = bound.select(F.col("module").alias("path"), F.col("local_name").alias("text")).distinct()
     uses = stored(around(on, asked), "uses")  # both the uses and what hides them are found among these
     prev, after, before = F.coalesce("prev", F.lit("")), F.coalesce("next", F.lit("")), F.coalesce("before", F.lit(""))
