@@ -29,10 +29,10 @@ def without_comments(source: Column, language: Column | None = None) -> Column:
 def symbols(files: DataFrame) -> DataFrame:
     """module, name, kind, line, line_end, ordinal, is_public, is_async and parameters' text of top-level declarations."""
     stmts = T.statements(T.tokens(files))
-    made = T.declarations(stmts).filter("word <> 'impl'")
+    made = T.declarations(stmts).filter("word <> 'impl' and (language = 'rust' or word not in ('const', 'let', 'var'))").unionByName(T.declarators(stmts))
     close = stmts.filter("text = ')' and depth = 0 and paren = 0").select("path", "stmt", F.col("offset").alias("close"))
-    closed = made.select("path", "stmt", "open").join(close, ["path", "stmt"]).filter("close > open").groupBy("path", "stmt").agg(F.min("close").alias("close"))
-    out = made.join(closed, ["path", "stmt"], "left").join(files.select("path", "source"), "path")
+    closed = made.select("path", "stmt", "i", "open").join(close, ["path", "stmt"]).filter("close > open").groupBy("path", "stmt", "i").agg(F.min("close").alias("close"))
+    out = made.join(closed, ["path", "stmt", "i"], "left").join(files.select("path", "source"), "path")
     params = F.coalesce(F.substring("source", F.col("open") + 2, F.col("close") - F.col("open") - 1), F.lit(""))
     return out.select(F.col("path").alias("module"), "name", "kind", "line", "line_end", F.col("i").cast("long").alias("ordinal"), "is_public", "is_async", params.alias("params"))
 

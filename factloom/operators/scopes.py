@@ -128,7 +128,7 @@ def brackets(on: DataFrame) -> DataFrame:
     ends = b.isin("arrow", "named")
     what = F.struct(
         F.col("i").alias("place"), b.alias("what"), returns.alias("returns"), F.when(~ends, sets).alias("sets"), ends.alias("ends"), "stops", (F.col("types") >= 0).alias("types"),
-        F.coalesce("pattern", F.lit(False)).alias("pattern"), "outer", F.when(F.col("until") >= (1 << 30), F.lit(1 << 30)).otherwise(F.col("until")).alias("until"), "before", "pair",
+        F.coalesce("pattern", F.lit(False)).alias("pattern"), "outer", F.when(F.col("until") >= (1 << 30), F.lit(1 << 30)).otherwise(F.col("until")).alias("until"), "before", "pair", "stmt",
     )
     return on.filter("bracket is not null or text = '${' or (text = '{' and type = 'tag')").select("path", F.col("i").alias("place"), what.alias("b"))
 
@@ -182,7 +182,8 @@ def _is_paren(x: Column) -> Column:
 def script_uses(code: DataFrame, bound: DataFrame) -> DataFrame:
     """module, local_name, line, col, kind of every use of a bound(module, local_name) name in scripts; clauses of imports and re-exports, keys,
     members and attributes are no uses, nor are names that a closer declaration hides."""
-    on = stored(levels(code).select(*KEPT), "levels")
+    kept = (F.col("type") == "name") | F.col("bracket").isNotNull() | (F.col("text") == "${") | (F.col("text") == "{")
+    on = stored(levels(code).filter(kept).select(*KEPT), "levels")
     asked = bound.select(F.col("module").alias("path"), F.col("local_name").alias("text")).distinct()
     uses = stored(around(on, asked), "uses")  # both the uses and what hides them are found among these
     prev, after, before = F.coalesce("prev", F.lit("")), F.coalesce("next", F.lit("")), F.coalesce("before", F.lit(""))
@@ -194,9 +195,9 @@ def script_uses(code: DataFrame, bound: DataFrame) -> DataFrame:
     begins = F.col("starts") | before.isin(*MODIFIERS) | (what == "object") & (before == ",")
     own = member_of & begins & (F.col("method") | what.isin("class", "child", "interface") & after.isin(":", "=", ";", "?", "!", "}"))
     froms = on.filter("outer < 0 and (first = 'import' and i = stmt and next not in ('(', '.') or first = 'export' and text = 'from')").groupBy("path", "stmt").agg(F.lit(True).alias("imports"))
-    top = on.filter("outer < 0").select("path", F.col("i").alias("_top"), F.col("stmt").alias("_stmt"))
-    uses = uses.withColumn("_top", F.when(F.size("within") > 0, F.get("within", F.lit(0))).otherwise(F.col("i")))
-    uses = uses.join(top, ["path", "_top"], "left").join(froms.withColumnRenamed("stmt", "_stmt"), ["path", "_stmt"], "left")
+    # the statement of the top level that a use stands in
+    uses = uses.withColumn("_stmt", F.when(F.size("within") > 0, F.get("b", F.lit(0))["stmt"]).otherwise(F.col("stmt")))
+    uses = uses.join(froms.withColumnRenamed("stmt", "_stmt"), ["path", "_stmt"], "left")
     skipped = F.coalesce("imports", F.lit(False)) & (F.size("within") <= 1) | _is(F.col("prev"), "as") & F.coalesce(inner["before"] == "export", F.lit(False))
     property_ = (before == ".") & ~F.col("spread") | (prev == ".") & ~F.col("spread")
     found = uses.filter(~skipped & ~property_ & ~key & ~own & ~_is(F.col("before"), *NAMED))

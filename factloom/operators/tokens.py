@@ -43,8 +43,12 @@ def declarations(stmts: DataFrame) -> DataFrame:
     """path, stmt, kind, name, is_public, is_async, line, line_end, i (its order) and places of the parts of top-level declarations."""
     top = stmts.filter("depth = 0 and paren = 0")
     t, rust = F.col("text"), F.col("language") == "rust"
-    keyword = t.isin(*KINDS) & ~(F.col("next").isin("<") & (t != "impl")) & ~((t == "const") & F.col("next").isin("fn", "enum", "unsafe", "async")) & ~F.col("next").isin("=", ".", ",", ";", ":", "(", "{", "}")
-    name = F.when(F.col("next").isin("*", "mut"), F.col("next2")).otherwise(F.col("next"))
+    keyword = t.isin(*KINDS) & ~(F.col("next").isin("<") & (t != "impl")) & ~((t == "const") & F.col("next").isin("fn", "enum", "unsafe", "async")) & ~F.col("next").isin("=", ".", ",", ";", ":", "(", "{", "}", "[")
+    by_default = (F.col("prev") == "default") | (F.col("prev") == "async") & (F.col("prev2") == "default")
+    unnamed = by_default & ((t == "function") & (F.col("next").isin("(") | F.col("next").isin("*") & (F.col("next2") == "(")) | (t == "class") & F.col("next").isin("{", "extends"))
+    unnamed = F.coalesce(unnamed, F.lit(False))
+    keyword = keyword | unnamed
+    name = F.when(unnamed, "default").when(F.col("next").isin("*", "mut"), F.col("next2")).otherwise(F.col("next"))
     at = lambda condition: F.min(F.when(condition, F.col("offset")))
     out = top.groupBy("path", "language", "stmt").agg(
         F.min_by(F.when(keyword, F.struct(t.alias("word"), name.alias("name"), F.col("i"))), F.when(keyword, F.col("i"))).alias("k"),
@@ -72,6 +76,34 @@ def declarations(stmts: DataFrame) -> DataFrame:
     return out.filter("k is not null and head not in ('import', 'use')").select("path", "language", "stmt", F.col("k.i").alias("i"), word.alias("word"), kind.alias("kind"), named.alias("name"), "is_public", "is_async", F.col("first.line").alias("line"), F.coalesce(end["line"], F.col("last")).cast("int").alias("line_end"), "open", F.col("body.offset").alias("body"))
 
 
+def declarators(stmts: DataFrame) -> DataFrame:
+    """Rows like those of declarations for each name that a top-level const, let or var of a script declares, with what belongs to that name alone. A
+    name follows the word, or a comma outside of brackets, and of angles if nothing is assigned to it; patterns have no name of their own."""
+    t = F.col("text")
+    top = stmts.filter("depth = 0 and paren = 0 and language <> 'rust'")
+    order = Window.partitionBy("path", "stmt").orderBy("i")
+    upto, past = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    angle = F.when(t == "<", 1).when(t == ">", -1).otherwise(0)
+    last = lambda c: F.max(F.when(c, F.col("i"))).over(past)
+    on = top.withColumns({
+        "word_at": F.max(F.when((F.col("type") == "name") & t.isin("const", "let", "var"), F.struct("i", t.alias("word")))).over(upto), "semicolon": last(t == ";"), "angles": F.coalesce(F.sum(angle).over(past), F.lit(0)),
+        "is_public": F.coalesce(F.max(t == "export").over(past), F.lit(False)),
+    })
+    on = on.filter("word_at is not null and coalesce(semicolon, -1) < word_at.i")
+    follows = F.coalesce(F.col("prev").isin("const", "let", "var"), F.lit(False)) & (t != "enum")
+    named = (F.col("type") == "name") & follows | (F.col("type") == "name") & (F.col("prev") == ",") & (F.col("next").isin("=", ":", "!") | (F.col("angles") == 0) & (F.coalesce("next", F.lit(";")).isin(",", ";") | (F.col("next").isNull())))
+    pattern = t.isin("{", "[") & (follows | (F.col("prev") == ","))
+    on = on.withColumn("at", F.max(F.when(named | pattern, F.col("i"))).over(upto)).filter("at is not null")
+    head = F.col("i") == F.col("at")
+    own = on.groupBy("path", "language", "stmt", "at").agg(
+        F.max(F.when(head & named, t)).alias("name"), F.max(F.when(head, F.col("line"))).alias("line"), F.max("word_at.word").alias("word"), F.max("is_public").alias("is_public"), F.max("last_line").alias("line_end"),
+        F.max((t == "=>") | (t == "function") & F.coalesce(F.col("prev").isin("=", "async"), F.lit(False))).alias("makes"), F.max((t == "async") & F.coalesce(F.col("prev") == "=", F.lit(False))).alias("is_async"),
+        F.min(F.when((t == "(") & F.coalesce(F.col("prev").isin("=", "async", "function", ">"), F.lit(False)), F.col("offset"))).alias("open"), F.min(F.when(t == "{", F.col("offset"))).alias("body"),
+    )
+    kind = F.when(F.col("makes"), F.when((F.col("language") == "javascript") & F.col("is_async"), "async_function").otherwise("function")).otherwise("variable")
+    return own.filter("name is not null").select("path", "language", "stmt", F.col("at").alias("i"), "word", kind.alias("kind"), "name", "is_public", "is_async", "line", F.col("line_end").cast("int").alias("line_end"), F.when(F.col("makes"), F.col("open")).alias("open"), "body")
+
+
 def members(stmts: DataFrame, declared: DataFrame) -> DataFrame:
     """path, stmt, parent, name, kind, line, i of the members of classes, interfaces, enums, structs, traits and impls."""
     t, prev, after = F.col("text"), F.col("prev"), F.col("next")

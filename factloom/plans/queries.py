@@ -430,6 +430,13 @@ def op_p2_symbols(spark, sf_dir):
     return extract_facts.symbols(R.source_files(spark, sf_dir)).select("module", "name", "kind", "is_public", "is_async", "params", "line", "line_end")
 
 
+@registered(f"""WITH {R.LISTED} SELECT module, x.name || CASE WHEN x.name < 'd' THEN k ELSE '' END AS name, x.kind, x.is_public, x.is_async, x.params, CAST(x.line AS INTEGER) AS line
+FROM listed, (VALUES ('a', 'variable', TRUE, FALSE, '', 1), ('b', 'function', TRUE, TRUE, 'x: number', 1), ('c', 'variable', TRUE, FALSE, '', 2), ('d', 'variable', TRUE, FALSE, '', 2)) x(name, kind, is_public, is_async, params, line)
+UNION ALL SELECT module, 'default', CASE WHEN even THEN 'function' ELSE 'class' END, TRUE, FALSE, CASE WHEN even THEN 'a: string' ELSE '' END, 4 FROM listed""")
+def op_p3_declarators(spark, sf_dir):
+    return extract_facts.symbols(R.listed_files(spark, sf_dir)).select("module", "name", "kind", "is_public", "is_async", "params", "line")
+
+
 @registered(f"WITH {R.SOURCES} SELECT module, specifier, FALSE AS is_external FROM imported UNION SELECT path, '@scope/pkg' || (s % 5) || '/lib', TRUE FROM files")
 def op_p7_source_imports(spark, sf_dir):
     return extract_facts.imports(R.source_files(spark, sf_dir))

@@ -237,3 +237,16 @@ checked AS (
     CASE WHEN segment = 'HOUSEHOLD' THEN 'function named ''get_cust_' || k || '''' WHEN text IS NOT NULL THEN 'function get_cust_' || k END AS expected,
     CASE WHEN text IS NOT NULL THEN CASE segment WHEN 'MACHINERY' THEN 'struct' ELSE 'function' END || ' at line ' || line END AS actual, CASE WHEN text IS NOT NULL THEN line END AS line_hint
   FROM asked LEFT JOIN details USING (segment))"""
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script files, one for each supplier, whose declarations list several names, patterns among them, and whose default export has none."""
+    k = F.col("s_suppkey").cast("string")
+    lines = [
+        F.concat(F.lit("export const a"), k, F.lit(" = f(1, 2), b"), k, F.lit(" = async (x: number) => x,")), F.concat(F.lit("  c"), k, F.lit(": Map<string, number> = y, { p, q } = z, d;")),
+        F.lit("let [r, s] = t;"), F.when(F.col("s_nationkey") % 2 == 0, "export default function (a: string) { const n = 1, m = 2; }").otherwise("export default class extends B { k = 1; }"),
+    ]
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".ts")).alias("path"), F.concat_ws("\n", *lines).alias("source"), F.lit("typescript").alias("language"))
+
+
+LISTED = """listed AS (SELECT 'src/s' || s_suppkey || '.ts' AS module, s_suppkey::VARCHAR AS k, s_nationkey % 2 = 0 AS even FROM supplier)"""
