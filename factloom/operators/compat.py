@@ -62,8 +62,12 @@ def evaluated(packages: DataFrame, overrides: DataFrame, built_in: DataFrame) ->
     return out.withColumn("effort", effort).withColumn("risk_tags", F.when(F.col("_mapped"), risk_tags(effort, F.col("level"), F.col("tags"), F.col("guidance"))).otherwise(F.array(F.lit("unmapped")))).drop("_mapped")
 
 
-def package_modules(module_deps: DataFrame) -> DataFrame:
-    return module_deps.select("package", "module").distinct().groupBy("package").agg(F.count("*").alias("affected"), F.array_sort(F.collect_list("module")).alias("modules"))
+def package_modules(module_deps: DataFrame, shown: int = 20) -> DataFrame:
+    """package, affected (its number of modules), modules (the first `shown`): each task keeps the first ones before the shuffle."""
+    each = module_deps.select("package", "module").distinct()
+    first = each.withColumn("_place", F.row_number().over(Window.partitionBy("package").orderBy("module"))).filter(F.col("_place") <= shown)
+    lists = first.groupBy("package").agg(F.array_sort(F.collect_list("module")).alias("modules"))
+    return each.groupBy("package").agg(F.count("*").alias("affected")).join(lists, "package")
 
 
 def touches_many() -> F.Column:

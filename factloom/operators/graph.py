@@ -5,11 +5,11 @@ the edges touched and neither paths nor neighbourhoods are collected."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.texts import dir_path, top_dir
-from factloom.operators.rounds import settled
+from factloom.operators.rounds import numbered, settled
 
 
 def node_set(edges: DataFrame) -> DataFrame:
@@ -83,6 +83,37 @@ def impact(references: DataFrame, seeds: DataFrame) -> DataFrame:
     return seen
 
 
+def impact_links(references: DataFrame, seeds: DataFrame) -> DataFrame:
+    """references(target_symbol, source_symbol, kind, file), seeds(symbol) -> from_symbol, to_symbol, kind, depth, file: how each symbol that a change of
+    the seeds reaches was first reached; of several links of the same length, the smallest. file is that of the symbol, or of the use
+    where the symbol names none. Each round joins the references with the symbols found last."""
+    references = settled(references.groupBy("target_symbol", "source_symbol").agg(F.min("kind").alias("kind"), F.min("file").alias("file")))
+    frontier = settled(seeds.select(F.col("symbol").alias("to_symbol")).distinct())
+    seen, links, depth = frontier, None, 0
+    while not frontier.isEmpty():
+        depth += 1
+        met = references.join(frontier.select(F.col("to_symbol").alias("target_symbol")), "target_symbol")
+        first = met.groupBy(F.col("source_symbol").alias("to_symbol")).agg(F.min(F.struct("target_symbol", "kind", "file")).alias("v"))
+        new = first.join(seen, "to_symbol", "left_anti").select(F.col("v.target_symbol").alias("from_symbol"), "to_symbol", F.col("v.kind").alias("kind"), F.lit(depth).cast("long").alias("depth"), F.col("v.file").alias("file"))
+        new = settled(new)
+        frontier = new.select("to_symbol")
+        seen, links = seen.unionByName(frontier), new if links is None else links.unionByName(new)
+    if links is None:
+        return references.select(F.col("target_symbol").alias("from_symbol"), F.col("source_symbol").alias("to_symbol"), "kind", F.lit(0).cast("long").alias("depth"), "file").limit(0)
+    return links.withColumn("file", F.coalesce(_file_of("to_symbol"), "file"))
+
+
+def _file_of(symbol: str) -> Column:
+    """What stands before the last colon; null without one."""
+    return F.when(F.col(symbol).contains(":"), F.regexp_extract(symbol, "^(?s:(.*)):", 1))
+
+
+def affected_files(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """file, place: the files of what is reached and of the seeds, in order."""
+    files = links.select("file").union(seeds.select(_file_of("symbol"))).filter("file is not null").distinct()
+    return numbered(files, (F.col("file"),), "place")
+
+
 def cyclic_components(edges: DataFrame) -> DataFrame:
     """id, component of all ids on a cycle of two or more; component is the smallest id of it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.levels import is_high_impact
@@ -113,6 +113,21 @@ def largest_modules(symbols: DataFrame, shown: int = 100) -> DataFrame:
     return symbols.groupBy("module").agg(F.count("*").alias("n_symbols")).orderBy(F.desc("n_symbols"), "module").limit(shown)
 
 
+def api_surface(exports: DataFrame, modules: int = 20, shown: int = 30) -> DataFrame:
+    """exports(module, name, kind, at) -> module, module_place, n_symbols, name, kind, place: the first `shown` of each of the modules that have most.
+
+    The modules are a bounded top list; of their exports, each task keeps the first ones before the shuffle, so no task holds a module's."""
+    top = numbered_few(exports.groupBy("module").agg(F.count("*").alias("n_symbols")).orderBy(F.desc("n_symbols"), "module").limit(modules), (F.desc("n_symbols"), F.asc("module")), "module_place")
+    each = exports.join(F.broadcast(top), "module")  # `modules` rows
+    place = F.row_number().over(Window.partitionBy("module").orderBy("at"))
+    return each.withColumn("place", place).filter(F.col("place") <= shown).select("module", "module_place", "n_symbols", "name", "kind", "place")
+
+
+def numbered_few(rows: DataFrame, order: tuple, name: str) -> DataFrame:
+    """The places (from 1) of a top list's rows, which one task holds anyway."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
 def layer_members(modules: DataFrame) -> DataFrame:
     """modules(module, layer, in_degree) by layer, the most used first."""
     return modules.orderBy("layer", F.desc("in_degree"), "module")

@@ -80,6 +80,29 @@ def op_g7_impact(spark, sf_dir):
     return graph.impact(e.select(F.col("dst").alias("target"), F.col("src").alias("source")), e.filter("dst = 'region/1'").select(F.col("dst").alias("id")).distinct())
 
 
+IMPACT = f"""WITH RECURSIVE {R.EDGES}, refs AS (SELECT dst || ':n' AS target_symbol, src || ':n' AS symbol, CASE WHEN length(src) % 2 = 0 THEN 'Call' ELSE 'Usage' END AS kind FROM edges),
+bfs AS (SELECT 'region/1:n' AS id, 0 AS depth UNION SELECT r.symbol, b.depth + 1 FROM bfs b JOIN refs r ON r.target_symbol = b.id), least AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY 1),
+links AS (SELECT min({{'f': r.target_symbol, 'k': r.kind}}) AS v, l.id AS to_symbol, l.depth FROM least l JOIN refs r ON r.symbol = l.id JOIN least p ON p.id = r.target_symbol AND p.depth = l.depth - 1 GROUP BY l.id, l.depth)"""
+
+
+def _links(spark, sf_dir):
+    e = R.edges(spark, sf_dir)
+    kind = F.when(F.length("src") % 2 == 0, "Call").otherwise("Usage")
+    refs = e.select(F.concat("dst", F.lit(":n")).alias("target_symbol"), F.concat("src", F.lit(":n")).alias("source_symbol"), kind.alias("kind"), F.col("src").alias("file"))
+    seeds = R.read(spark, sf_dir, "region").filter("r_regionkey = 1").select(F.lit("region/1:n").alias("symbol"))
+    return graph.impact_links(refs, seeds), seeds
+
+
+@registered(f"{IMPACT} SELECT v.f AS from_symbol, to_symbol, v.k AS kind, CAST(depth AS BIGINT) AS depth FROM links")
+def op_g7_impact_links(spark, sf_dir):
+    return _links(spark, sf_dir)[0].drop("file")
+
+
+@registered(f"{IMPACT}, files AS (SELECT DISTINCT split_part(to_symbol, ':', 1) AS file FROM links UNION SELECT 'region/1') SELECT file, CAST(row_number() OVER (ORDER BY file) AS INTEGER) AS place FROM files")
+def op_g7_affected_files(spark, sf_dir):
+    return graph.affected_files(*_links(spark, sf_dir))
+
+
 @registered(f"WITH RECURSIVE {R.EDGES}, {LONGEST}, deg AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1), m AS (SELECT l.id, (SELECT max(layer) FROM layers) - l.layer AS layer, coalesce(d.n, 0) AS n FROM layers l LEFT JOIN deg d USING (id)) SELECT CAST(layer AS BIGINT) AS layer, count(*) AS n_modules, CAST(sum(n) AS BIGINT) AS public_symbols, CASE layer WHEN 0 THEN 'Foundation: zero external dependencies, migrate first' WHEN 1 THEN 'Core logic: depends on foundation only' WHEN 2 THEN 'Feature modules: core + cross-cutting' ELSE 'Higher-level composition' END AS label FROM m GROUP BY layer")
 def op_a20_layer_groups(spark, sf_dir):
     e = R.edges(spark, sf_dir)
@@ -97,12 +120,12 @@ def op_j22_uncut_surfaces(spark, sf_dir):
     return boundaries.uncut(refs, graph.layers_bottomup(e, graph.node_set(e)))
 
 
-@registered("WITH e AS (SELECT DISTINCT p_brand AS module, p_name AS symbol FROM part), u AS (SELECT DISTINCT p_brand AS module, p_name AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1 AND 'Brand#' || l_suppkey <> p_brand) SELECT e.*, u.symbol IS NOT NULL AS is_public FROM e LEFT JOIN u USING (module, symbol)")
+@registered("WITH e AS (SELECT p_brand AS module, p_partkey || '/' || q AS symbol FROM part, range(1, 51) r(q)), u AS (SELECT DISTINCT p_brand AS module, p_partkey || '/' || CAST(l_quantity AS INTEGER) AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey WHERE 'Brand#' || l_suppkey <> p_brand) SELECT e.*, u.symbol IS NOT NULL AS is_public FROM e LEFT JOIN u USING (module, symbol)")
 def op_j21_external_usage(spark, sf_dir):
-    """Names stand in many modules, so a use counts for its own module's symbol alone."""
-    p = R.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("module"), F.col("p_name").alias("symbol"))
-    exports = p.select("module", "symbol").distinct()
-    refs = R.read(spark, sf_dir, "lineitem").filter("l_quantity = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select("module", "symbol", F.concat(F.lit("Brand#"), "l_suppkey").alias("file"))
+    """A symbol for each part and quantity, which lines of that quantity use."""
+    p = R.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("module"))
+    exports = p.select("module", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("q"), "p_partkey").select("module", F.concat_ws("/", "p_partkey", "q").alias("symbol"))
+    refs = R.read(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("module", F.concat_ws("/", "p_partkey", F.col("l_quantity").cast("int")).alias("symbol"), F.concat(F.lit("Brand#"), "l_suppkey").alias("file"))
     return boundaries.external_usage(exports, refs)
 
 
@@ -124,21 +147,22 @@ def op_a3_complexity(spark, sf_dir):
 
 
 MODULE_COMPAT = """lv AS (SELECT 'supp/' || s_suppkey AS package, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 0.3 END AS s FROM supplier WHERE s_acctbal > 1000),
-md AS (SELECT DISTINCT 'Brand#' || (l_partkey % 60) AS module, 'supp/' || l_suppkey AS package FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08),
-ms AS (SELECT DISTINCT CASE WHEN p_partkey % 60 < 5 THEN 'test/' ELSE '' END || 'Brand#' || (p_partkey % 60) AS module FROM part),
+md AS (SELECT DISTINCT 'order/' || l_orderkey AS module, 'supp/' || l_suppkey AS package FROM lineitem),
+ms AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'test/' ELSE '' END || 'order/' || o_orderkey AS module FROM orders),
 mc AS (SELECT ms.module, CASE WHEN k.n IS NULL THEN CASE WHEN regexp_matches(lower(ms.module), 'test|spec') THEN least((SELECT avg(s) FROM lv) + 0.15, 1.0) ELSE (SELECT avg(s) FROM lv) END ELSE coalesce(least(greatest(k.mean, 0.0), 1.0), (SELECT avg(s) FROM lv)) END AS c FROM ms LEFT JOIN (SELECT md.module, count(*) AS n, avg(s) AS mean FROM md LEFT JOIN lv USING (package) GROUP BY 1) k USING (module))"""
 
 
-@registered(f"WITH {MODULE_COMPAT} SELECT module, round(c * 100) / 100 AS external_compatibility FROM mc")
+@registered(f"WITH {MODULE_COMPAT} SELECT module, round(c * 1000000) / 1000000 AS external_compatibility FROM mc")
 def op_a6_module_compatibility(spark, sf_dir):
-    return _module_compat(spark, sf_dir).withColumn("external_compatibility", levels.round2(F.col("external_compatibility")))
+    """Six places: with two, halves of a hundredth would fall either way by the order in which a mean is summed."""
+    return _module_compat(spark, sf_dir).withColumn("external_compatibility", F.round(F.col("external_compatibility") * 1000000) / 1000000)
 
 
 def _module_compat(spark, sf_dir):
     s = R.read(spark, sf_dir, "supplier").filter("s_acctbal > 1000")
     compat_ = s.select(F.concat(F.lit("supp/"), "s_suppkey").alias("package"), R.level(F.col("s_suppkey")).alias("level"))
-    deps = R.read(spark, sf_dir, "lineitem").filter("l_discount = 0.1 and l_tax = 0.08").select(F.concat(F.lit("Brand#"), F.col("l_partkey") % 60).alias("module"), F.concat(F.lit("supp/"), "l_suppkey").alias("package"))
-    modules = R.read(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 60 < 5, "test/").otherwise(""), F.lit("Brand#"), F.col("p_partkey") % 60).alias("module")).distinct()
+    deps = R.read(spark, sf_dir, "lineitem").select(F.concat(F.lit("order/"), "l_orderkey").alias("module"), F.concat(F.lit("supp/"), "l_suppkey").alias("package"))
+    modules = R.read(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_orderpriority") == "5-LOW", "test/").otherwise(""), F.lit("order/"), "o_orderkey").alias("module"))
     return scoring.module_compatibility(modules, deps, compat_)
 
 
@@ -190,7 +214,7 @@ def op_a10_similarity(spark, sf_dir):
 EVALUATED = """lvl AS (SELECT 'supp/' || s_suppkey AS package, s_acctbal > 8000 OR s_nationkey < 12 AS mapped, CASE WHEN s_acctbal > 8000 THEN 'over' WHEN s_nationkey < 12 THEN 'nat' || s_nationkey END AS equivalent,
   CASE WHEN s_acctbal > 8000 THEN ['full','partial','none','unknown'][1 + s_suppkey % 4] WHEN s_nationkey < 12 THEN ['full','partial','none','unknown'][1 + s_nationkey % 4] ELSE 'unknown' END AS level FROM supplier),
 ev AS (SELECT *, CASE level WHEN 'full' THEN 'trivial' WHEN 'partial' THEN 'moderate' WHEN 'none' THEN 'rewrite' ELSE 'unknown' END AS effort FROM lvl),
-pm AS (SELECT 'supp/' || l_suppkey AS package, count(DISTINCT l_partkey % 40) AS affected FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 GROUP BY 1)"""
+pm AS (SELECT 'supp/' || l_suppkey AS package, count(*) AS affected FROM (SELECT l_suppkey, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 2) GROUP BY 1)"""
 
 
 def _evaluated(spark, sf_dir):
@@ -202,8 +226,9 @@ def _evaluated(spark, sf_dir):
 
 
 def _package_modules(spark, sf_dir):
-    li = R.read(spark, sf_dir, "lineitem").filter("l_discount = 0.1 and l_tax = 0.08")
-    return compat.package_modules(li.select(F.concat(F.lit("supp/"), "l_suppkey").alias("package"), (F.col("l_partkey") % 40).cast("string").alias("module")))
+    """Parts are the modules of the suppliers that ship them three times or more."""
+    li = R.read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").count().filter("count > 2")
+    return compat.package_modules(li.select(F.concat(F.lit("supp/"), "l_suppkey").alias("package"), F.col("l_partkey").cast("string").alias("module")))
 
 
 @registered(f"WITH {EVALUATED} SELECT package, equivalent, level, effort, CASE WHEN NOT mapped THEN 'unmapped' WHEN level = 'none' THEN 'rewrite,no-equivalent' WHEN level = 'unknown' THEN 'unverified' ELSE '' END AS risk_tags FROM ev")
@@ -621,6 +646,14 @@ def op_t6_largest_modules(spark, sf_dir):
     return reports.largest_modules(R.read(spark, sf_dir, "orders").select(F.concat(F.lit("cust/"), "o_custkey").alias("module")))
 
 
+@registered("""WITH m AS (SELECT o_custkey, count(*) AS n_symbols FROM orders GROUP BY 1), top AS (SELECT 'cust/' || o_custkey AS module, o_custkey, n_symbols, row_number() OVER (ORDER BY n_symbols DESC, 'cust/' || o_custkey) AS module_place FROM m),
+x AS (SELECT t.module, module_place, n_symbols, o_orderkey AS name, o_orderstatus AS kind, row_number() OVER (PARTITION BY t.module ORDER BY o_orderdate, o_orderkey) AS place FROM top t JOIN orders o USING (o_custkey) WHERE module_place <= 20)
+SELECT module, CAST(module_place AS INTEGER) AS module_place, n_symbols, CAST(name AS VARCHAR) AS name, kind, CAST(place AS INTEGER) AS place FROM x WHERE place <= 30""")
+def op_t6_api_surface(spark, sf_dir):
+    o = R.read(spark, sf_dir, "orders").select(F.concat(F.lit("cust/"), "o_custkey").alias("module"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("kind"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return reports.api_surface(o)
+
+
 @registered("WITH ch AS (SELECT DISTINCT p_brand AS path FROM part), d AS (SELECT DISTINCT p_brand AS path, p_type AS package FROM part WHERE p_size > 45), r AS (SELECT DISTINCT p_type AS package, lower(p_type) AS effort FROM part WHERE p_type < 'P') SELECT path, package, effort FROM ch LEFT JOIN (SELECT d.path, package, effort FROM d JOIN r USING (package)) USING (path)")
 def op_j23_changed_recommendations(spark, sf_dir):
     p = R.read(spark, sf_dir, "part")

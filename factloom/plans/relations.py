@@ -93,19 +93,21 @@ SYMBOLS = _symbols_sql("old", "o_orderdate < '1998-01-01'") + ",\n" + _symbols_s
 
 
 def packages(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
-    """Two lists of versioned packages: suppliers by what was returned of their single pieces, and by what was accepted."""
-    li = read(spark, sf_dir, "lineitem").filter("l_quantity = 1").filter(F.col("l_returnflag") == ("R" if version == 0 else "A"))
-    by = li.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m"))
+    """Two lists of versioned packages: suppliers by what was returned of them, if their balance isn't negative, and by what was accepted, but for
+    those of one nation. The version counts the quantities and the seventh lines."""
+    s = read(spark, sf_dir, "supplier").filter("s_acctbal >= 0" if version == 0 else "s_nationkey <> 7").select(F.col("s_suppkey").alias("l_suppkey"))
+    li = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == ("R" if version == 0 else "A")).join(s, "l_suppkey")
+    by = li.groupBy("l_suppkey").agg(F.count_distinct("l_quantity").alias("n"), F.count_if(F.col("l_linenumber") == 7).alias("m"))
     return by.select(F.concat(F.lit("supp/"), "l_suppkey").alias("package"), F.concat(F.lit("v"), F.floor(F.col("n") / 3), F.lit("."), F.col("n") % 3, F.lit("."), "m").alias("version"))
 
 
 def _packages_sql(name: str, where: str) -> str:
     return f"""{name} AS (
   SELECT 'supp/' || l_suppkey AS package, n // 3 AS major, n % 3 AS minor, 'v' || (n // 3) || '.' || (n % 3) || '.' || m AS version FROM (
-    SELECT l_suppkey, count(*) AS n, max(l_linenumber) AS m FROM lineitem WHERE l_quantity = 1 AND {where} GROUP BY 1))"""
+    SELECT l_suppkey, count(DISTINCT l_quantity) AS n, count(*) FILTER (WHERE l_linenumber = 7) AS m FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE {where} GROUP BY 1))"""
 
 
-PACKAGES = _packages_sql("po", "l_returnflag = 'R'") + ",\n" + _packages_sql("pn", "l_returnflag = 'A'")
+PACKAGES = _packages_sql("po", "l_returnflag = 'R' AND s_acctbal >= 0") + ",\n" + _packages_sql("pn", "l_returnflag = 'A' AND s_nationkey <> 7")
 
 
 def level(number: F.Column) -> F.Column:
