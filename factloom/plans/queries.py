@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import levels, naming, texts
 from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, reports, rust_items, scoring, tasks, tokens
 from factloom.plans import relations as R
-from factloom.sources import trees
+from factloom.sources import renames, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -509,6 +509,12 @@ def op_s12_changed_files(spark, sf_dir):
     return trees.changed_files(c.select(path(F.col("turn")).alias("path"), F.col("text").alias("source")), c.select(path(F.col("turn") - 1).alias("path"), F.col("text").alias("source")))
 
 
+@registered(f"""WITH {R.MOVED} SELECT 'new/c' || k AS path, 'old/c' || k AS old_path, 'R' AS status, 'M' AS normalised FROM moved WHERE segment = 'AUTOMOBILE' OR segment = 'BUILDING' AND shared >= 0.5 * (shared + more)
+UNION ALL SELECT 'old/c' || k, NULL, 'D', 'D' FROM moved WHERE segment IN ('HOUSEHOLD', 'MACHINERY') UNION ALL SELECT 'new/c' || k, NULL, 'A', 'A' FROM moved WHERE segment = 'MACHINERY'""")
+def op_s12_renames(spark, sf_dir):
+    return renames.changes(R.moved_files(spark, sf_dir, 0), R.moved_files(spark, sf_dir, 1))
+
+
 def _scanned(files):
     stmts = tokens.statements(tokens.tokens(files))
     declared = tokens.declarations(stmts)

@@ -252,3 +252,22 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LISTED = """listed AS (SELECT 'src/s' || s_suppkey || '.ts' AS module, s_suppkey::VARCHAR AS k, s_nationkey % 2 = 0 AS even FROM supplier)"""
+
+
+def moved_files(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    """A file for each customer with orders, a line for each order. In the second version those of one segment stand elsewhere, of one elsewhere and
+    with lines for a third of their orders written twice, of one elsewhere with all lines changed; those of one are gone."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    segment, line = F.col("c_mktsegment"), F.concat(F.lit("order "), "o_orderkey")
+    lines = F.array(line)
+    if version:
+        o = o.filter("c_mktsegment <> 'HOUSEHOLD'")
+        twice = F.when((segment == "BUILDING") & (F.col("o_orderkey") % 3 == 0), F.array(line, F.concat(F.lit("again "), "o_orderkey")))
+        lines = twice.when(segment == "MACHINERY", F.array(F.concat(F.lit("other "), "o_orderkey"))).otherwise(lines)
+    folder = F.when(segment == "FURNITURE", "old/c").otherwise("new/c" if version else "old/c")
+    each = o.select(F.concat(folder, F.col("c_custkey").cast("string")).alias("path"), F.col("o_orderkey").alias("k"), lines.alias("lines"))
+    return each.groupBy("path").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "lines"))), lambda x: x["lines"])), "\n").alias("source"))
+
+
+MOVED = """moved AS (SELECT c_custkey AS k, c_mktsegment AS segment, sum(length('order ' || o_orderkey) + 1) AS shared, sum(CASE WHEN o_orderkey % 3 = 0 THEN length('again ' || o_orderkey) + 1 ELSE 0 END) AS more
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"""
