@@ -450,6 +450,22 @@ def op_j17_match_by_name(spark, sf_dir):
     return align.match_by_name(source, target)
 
 
+@registered("""WITH n AS (SELECT DISTINCT c_nationkey AS k FROM customer), t AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900), makes AS (SELECT k FROM t WHERE k % 5 < 2), first AS (SELECT min({'n': 'make_' || k, 'f': 'src/n' || k || '.rs'}) AS m FROM makes),
+asked AS (SELECT n.k, 'src/n' || n.k AS stem, t.k IS NOT NULL AS there, makes.k IS NOT NULL AS made FROM n LEFT JOIN t ON t.k = n.k LEFT JOIN makes ON makes.k = n.k)
+SELECT stem || '.ts' AS file, 'getOwn' || k AS name, stem || '.rs' AS target_file, CASE WHEN there THEN 'get_own' || k END AS target_name, CASE WHEN there THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN there THEN 'name' ELSE 'none' END AS match_level FROM asked
+UNION ALL SELECT stem || '.ts', 'lone' || k, CASE WHEN there THEN stem || '.rs' ELSE coalesce(m.f, stem || '.rs') END, CASE WHEN made THEN 'make_' || k WHEN NOT there THEN m.n END,
+  CASE WHEN made OR NOT there AND m.n IS NOT NULL THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN made OR NOT there AND m.n IS NOT NULL THEN 'signature' ELSE 'none' END FROM asked, first""")
+def op_d16_aligned(spark, sf_dir):
+    c, k = R.read(spark, sf_dir, "customer"), F.col("c_nationkey")
+    text = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    none = F.lit(None).cast("string")
+    of = lambda df, end, name, types, returns: df.select(F.concat(F.lit("src/n"), k, F.lit(end)).alias("file"), F.concat(F.lit(name), k).alias("name"), F.lit(1).alias("ordinal"), types.alias("types"), returns.alias("returns"))
+    all_, some = c.select(k).distinct(), c.filter("c_acctbal > 9900").select(k).distinct()
+    source = of(all_, ".ts", "getOwn", text(), none).unionByName(of(all_, ".ts", "lone", text("string", "string"), F.lit("boolean"))).drop("ordinal")
+    target = of(some, ".rs", "get_own", text(), none).unionByName(of(some.filter(k % 5 < 2), ".rs", "make_", text("String", "String"), F.lit("bool")))
+    return align.aligned(source, target)
+
+
 @registered(f"WITH {R.SOURCES} SELECT f.path AS module, CASE WHEN p % 2 = 0 THEN 'f' ELSE 'c' END || p AS name, CASE WHEN p % 2 = 0 THEN 'function' ELSE 'variable' END AS kind, p % 2 = 0 AS is_public, p % 2 = 0 AS is_async, CASE WHEN p % 2 = 0 THEN 'a: string' ELSE '' END AS params, CAST(7 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS INTEGER) AS line, CAST(7 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) + CASE WHEN p % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS line_end FROM files f JOIN shipped USING (s)")
 def op_p2_symbols(spark, sf_dir):
     return extract_facts.symbols(R.source_files(spark, sf_dir)).select("module", "name", "kind", "is_public", "is_async", "params", "line", "line_end")
