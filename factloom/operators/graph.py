@@ -151,3 +151,34 @@ def _least(ids: DataFrame, edges: DataFrame, of: str, by: str) -> DataFrame:
         if after.filter("moved").isEmpty():
             return after.select("id", "least")
         now = after.select("id", "least")
+
+
+def witness_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """edges(src, dst), members(id, component) of cyclic_components -> component, place, id: for each component a shortest closed path through its smallest
+    id, which stands at both ends; of equal ones that with the smaller ids towards the end.
+
+    A frontier goes out from the smallest ids of all components at once, with the id through which each was first reached; a component
+    rests once it has come back. Paths are then read backwards, a round for each place, so no path is held in one row."""
+    of = lambda name: members.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
+    inner = edges.filter("src <> dst").select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst")
+    inner = settled(inner.select(F.col("_src").alias("component"), "src", "dst"))
+    frontier = settled(members.select("component").distinct().withColumn("id", F.col("component")))
+    seen, came, closed, depth = frontier, None, None, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = inner.join(frontier.withColumnRenamed("id", "src"), ["component", "src"]).groupBy("component", F.col("dst").alias("id")).agg(F.min("src").alias("before"))
+        step = settled(step.join(seen.filter("id <> component"), ["component", "id"], "left_anti"))
+        back = step.filter("id = component").select("component", F.col("before").alias("id"), F.lit(depth).alias("place"))
+        new = step.filter("id <> component").join(back.select("component"), "component", "left_anti")
+        came, closed = new if came is None else came.unionByName(new), back if closed is None else closed.unionByName(back)
+        frontier = settled(new.select("component", "id"))
+        seen = seen.unionByName(frontier)
+    if closed is None:
+        return members.select("component", F.lit(0).alias("place"), "id").limit(0)
+    closed, came = settled(closed), settled(came)
+    out = closed.select("component", (F.col("place") + 1).alias("place"), F.col("component").alias("id")).unionByName(members.select("component").distinct().select("component", F.lit(1).alias("place"), F.col("component").alias("id")))
+    here = closed.filter("id <> component")
+    while not here.isEmpty():
+        out = out.unionByName(here.select("component", "place", "id"))
+        here = settled(here.join(came, ["component", "id"]).select("component", F.col("before").alias("id"), (F.col("place") - 1).alias("place")).filter("id <> component"))
+    return out

@@ -62,6 +62,17 @@ def op_g4_cyclic_components(spark, sf_dir):
     return graph.cyclic_components(R.flows(spark, sf_dir))
 
 
+@registered(f"""WITH RECURSIVE {R.FLOWS}, f AS (SELECT DISTINCT src, dst FROM flows WHERE src <> dst), reach AS (SELECT src AS a, dst AS b FROM f UNION SELECT r.a, f.dst FROM reach r JOIN f ON f.src = r.b),
+members AS (SELECT r.a AS id, least(r.a, min(r.b)) AS component FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a WHERE r.a <> r.b GROUP BY r.a),
+inside AS (SELECT m.component, src, dst FROM f JOIN members m ON m.id = src JOIN members n ON n.id = dst AND n.component = m.component),
+walk AS (SELECT component, dst AS id, 1 AS d FROM inside WHERE src = component UNION SELECT w.component, i.dst, w.d + 1 FROM walk w JOIN inside i ON i.component = w.component AND i.src = w.id WHERE w.id <> w.component AND w.d < (SELECT count(*) FROM members))
+SELECT component, component AS first, component AS last, min(d) AS links FROM walk WHERE id = component GROUP BY component""")
+def op_g3_witness_cycles(spark, sf_dir):
+    e = R.flows(spark, sf_dir)
+    found = graph.witness_cycles(e, graph.cyclic_components(e))
+    return found.groupBy("component").agg(F.min_by("id", "place").alias("first"), F.max_by("id", "place").alias("last"), (F.max("place") - 1).alias("links"))
+
+
 @registered(f"WITH RECURSIVE {R.EDGES}, {LONGEST} SELECT id, CAST(layer AS BIGINT) AS layer FROM layers")
 def op_g5_layers_topdown(spark, sf_dir):
     e = R.edges(spark, sf_dir)

@@ -1,5 +1,7 @@
 """Impact with its links, affected files, bounded top lists, declarators."""
 
+import random
+
 import pytest
 
 from factloom.operators import compat, extract_facts, graph, reports
@@ -49,3 +51,30 @@ def test_package_modules_shows_the_first(spark):
 def test_declarators(spark, line, want):
     f = spark.createDataFrame([("m.ts", line, "typescript")], "path string, source string, language string")
     assert [(r["name"], r["kind"], r["params"]) for r in extract_facts.symbols(f).orderBy("ordinal").collect()] == want
+
+
+def test_witness_cycles(spark):
+    draw = random.Random(5)
+    edges = {(draw.randrange(40), draw.randrange(40)) for _ in range(60)} | {(100 + i, 100 + (i + 1) % 12) for i in range(12)} | {(200, 201), (201, 200), (200, 200), (300, 300), (301, 302)}
+    df = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in edges], "src string, dst string")
+    members = graph.cyclic_components(df)
+    of = {r["id"]: r["component"] for r in members.collect()}
+    paths = {}
+    for r in graph.witness_cycles(df, members).orderBy("component", "place").collect():
+        paths.setdefault(r["component"], []).append((r["place"], r["id"]))
+    assert set(paths) == set(of.values()) and "100" in paths and "200" in paths
+    out = {}
+    for a, b in edges:
+        if a != b:
+            out.setdefault(f"{a:03}", set()).add(f"{b:03}")
+    for component, rows in paths.items():
+        ids = [x for _, x in rows]
+        assert [p for p, _ in rows] == list(range(1, len(rows) + 1)) and ids[0] == ids[-1] == component and len(set(ids[:-1])) == len(ids) - 1
+        assert all(b in out[a] for a, b in zip(ids, ids[1:], strict=False))
+        level, depth, reached = {component}, 0, set()
+        while component not in reached:
+            level = {b for a in level for b in out.get(a, ()) if of.get(b) == component} - reached
+            reached |= level
+            depth += 1
+        assert len(ids) - 1 == depth
+    assert graph.witness_cycles(df.filter("src > '300'"), members.limit(0)).collect() == []
