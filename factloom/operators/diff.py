@@ -98,6 +98,21 @@ def doc_change(old: Column, new: Column) -> Column:
     return F.when(old.isNull() & new.isNotNull(), "added").when(old.isNotNull() & new.isNull(), "removed").when(old != new, "changed")
 
 
+def doc_notes(doc: Column, attributes: Column) -> Column:
+    """What a symbol's documentation tells besides: is_deprecated, has_todo, has_safety_note."""
+    says = lambda *words: F.coalesce(F.reduce(F.array(*[F.lit(w) for w in words]), F.lit(False), lambda acc, w: acc | doc.contains(w)), F.lit(False))
+    old = F.coalesce(F.arrays_overlap(attributes, F.array(F.lit("#[deprecated]"), F.lit("@deprecated"))), F.lit(False))
+    return F.struct(old.alias("is_deprecated"), says("TODO", "FIXME", "HACK").alias("has_todo"), says("SAFETY", "unsafe").alias("has_safety_note"))
+
+
+def doc_changes(pairs: DataFrame) -> DataFrame:
+    """pairs(module, name, o, n), the versions as structs with doc and attributes -> module, name, change, the later version's notes, old_doc,
+    new_doc: where the text or a note differs."""
+    noted = pairs.select("module", "name", F.col("o.doc").alias("old_doc"), F.col("n.doc").alias("new_doc"), doc_notes(F.col("o.doc"), F.col("o.attributes")).alias("a"), doc_notes(F.col("n.doc"), F.col("n.attributes")).alias("b"))
+    change = F.coalesce(doc_change(F.col("old_doc"), F.col("new_doc")), F.lit("changed"))
+    return noted.filter((F.col("a") != F.col("b")) | ~F.col("old_doc").eqNullSafe(F.col("new_doc"))).select("module", "name", change.alias("change"), "b.*", "old_doc", "new_doc")
+
+
 def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """module, name, change_type, aspect, severity, detail of all symbols that changed, came or went."""
     mapping = symbol_mapping(old, new)

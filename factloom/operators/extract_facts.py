@@ -102,16 +102,24 @@ def _rust_candidates(asked: DataFrame, folder: Column) -> DataFrame:
     return inside.select("module", "specifier", F.when(F.col("specifier") == "crate", root).otherwise(F.array(F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/mod.rs")))).alias("names"))
 
 
-def bindings(files: DataFrame) -> DataFrame:
-    """module, local_name, exported_name, specifier of named and default imports of scripts, and of use trees of Rust; namespaces are left out."""
+def bindings(files: DataFrame, reexported: bool = False) -> DataFrame:
+    """module, local_name, exported_name, specifier of named and default imports of scripts, and of use trees of Rust.
+
+    TypeScript: only of what may be a file of the project (relative, with a hash or a slash), no namespaces; with reexported, names
+    that are exported from elsewhere besides, by the name that others see. JavaScript: of every import, a namespace as *."""
     clean = without_comments(F.col("source"))
     whole = F.regexp_extract_all(clean, F.lit(r"(?m)^\s*import\s+((?:type\s+)?[^;'\"]*?\bfrom\s*['\"][^'\"]+['\"])"), F.lit(1))
-    each = files.filter("language <> 'rust'").select(F.col("path").alias("module"), F.explode(whole).alias("i"))
-    each = each.select("module", F.regexp_extract("i", r"['\"]([^'\"]+)['\"]$", 1).alias("specifier"), F.regexp_extract("i", r"\{([^}]*)\}", 1).alias("named"), F.regexp_extract("i", r"^(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|from)", 1).alias("default"))
-    part = each.select("module", "specifier", F.explode(F.split("named", ",")).alias("n")).withColumn("n", F.trim(F.regexp_replace("n", r"^\s*type\s+", ""))).filter("n <> ''")
-    named = part.select("module", F.regexp_extract("n", r"([\w$]+)\s*$", 1).alias("local_name"), F.regexp_extract("n", r"^([\w$]+)", 1).alias("exported_name"), "specifier")
-    default = each.filter("default <> '' and default <> 'from'").select("module", F.col("default").alias("local_name"), F.lit("default").alias("exported_name"), "specifier")
-    return named.unionByName(default).unionByName(T.rust_bindings(files, without_comments(F.col("source"), F.col("language"))))
+    each = files.filter("language <> 'rust'").select(F.col("path").alias("module"), "language", F.explode(whole).alias("i"))
+    each = each.select("module", "language", F.regexp_extract("i", r"['\"]([^'\"]+)['\"]$", 1).alias("specifier"), F.regexp_extract("i", r"\{([^}]*)\}", 1).alias("named"), F.regexp_extract("i", r"^(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|from)", 1).alias("default"), F.regexp_extract("i", r"\*\s*as\s+([\w$]+)", 1).alias("space"))
+    part = each.select("module", "language", "specifier", F.explode(F.split("named", ",")).alias("n")).withColumn("n", F.trim(F.regexp_replace("n", r"^\s*type\s+", ""))).filter("n <> ''")
+    named = part.select("module", "language", F.regexp_extract("n", r"([\w$]+)\s*$", 1).alias("local_name"), F.regexp_extract("n", r"^([\w$]+)", 1).alias("exported_name"), "specifier")
+    default = each.filter("default <> '' and default <> 'from'").select("module", "language", F.col("default").alias("local_name"), F.lit("default").alias("exported_name"), "specifier")
+    space = each.filter("language = 'javascript' and space <> ''").select("module", "language", F.col("space").alias("local_name"), F.lit("*").alias("exported_name"), "specifier")
+    again = reexports(files.filter("language = 'typescript'")).filter("original <> '*'").select("module", F.lit("typescript").alias("language"), F.col("name").alias("local_name"), F.col("original").alias("exported_name"), "specifier")
+    scripts = named.unionByName(default).unionByName(space)
+    scripts = scripts.unionByName(again) if reexported else scripts
+    scripts = scripts.filter((F.col("language") == "javascript") | F.col("specifier").rlike("^[./]|^#.|/")).drop("language")
+    return scripts.unionByName(T.rust_bindings(files, without_comments(F.col("source"), F.col("language"))))
 
 
 def references(files: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:

@@ -109,6 +109,7 @@ def members(stmts: DataFrame, declared: DataFrame) -> DataFrame:
     t, prev, after = F.col("text"), F.col("prev"), F.col("next")
     inside = stmts.filter("depth = 1 and paren = 0 and type = 'name'").join(declared.filter(F.col("word").isin(*WITH_MEMBERS)).select("path", "stmt", F.col("name").alias("parent"), "word"), ["path", "stmt"])
     begins = prev.isin("{", ";", ",", "}", *MEMBER_MODIFIERS) | ((F.col("line") > F.col("prev_line")) & ~prev.isin(".", ":", "|", "&", "=", "=>", "->", "?", "+", "-", "<", "extends", "new"))
+    begins = begins | (prev == "*") & F.coalesce(F.col("prev2").isin("{", ";", "}", *MEMBER_MODIFIERS), F.lit(False))
     named = ~t.isin(*MEMBER_MODIFIERS) | after.isin("(", ":", "=", ";", ",")
     ends = after.isin("(", ":", "?", "=", ";", ",", "}", "<", "!", "{") | after.isNull() | (F.col("word") == "enum")
     method = after.isin("(", "<") & (F.col("word") != "enum") | (prev == "fn")
@@ -140,13 +141,44 @@ def signatures(files: DataFrame, stmts: DataFrame, declared: DataFrame) -> DataF
     angles = F.sum(F.when(F.col("text") == "<", 1).when(F.col("text") == ">", -1).otherwise(0)).over(Window.partitionBy("path", "stmt").orderBy("i"))
     cut = params.withColumn("angles", angles).filter("text = ',' and angles = 0").groupBy("path", "stmt").agg(F.array_sort(F.collect_list("offset")).alias("commas"))
     out = f.join(cut, ["path", "stmt"], "left").join(files.select("path", "source"), "path")
+    text = F.concat(F.lit("export function "), "name", _printed())
+    return out.select(F.col("path").alias("module"), "name", text.alias("signature"))
+
+
+def _printed() -> Column:
+    """Parameters and result between open and close and up to body (offsets in source), with commas between parameters (null: none). Defaults, modifiers
+    and rest parameters are left out."""
     piece = lambda a, b: F.trim(F.regexp_replace(F.substring("source", a + 1, b - a), r"\s+", " "))
     ends = F.concat(F.array("open"), F.coalesce("commas", F.array().cast("array<bigint>")), F.array("close"))
-    each = F.filter(F.transform(F.slice(ends, F.lit(2), F.size(ends) - 1), lambda e, k: piece(F.get(ends, k) + 1, e)), lambda p: p != "")
-    shown = F.transform(each, lambda p: F.when(p.contains(":"), F.concat(F.trim(F.regexp_replace(F.substring_index(p, ":", 1), r"\?", "")), F.lit(": "), F.trim(F.regexp_replace(p, "^[^:]*:", "")))).otherwise(F.concat(p, F.lit(": unknown"))))
+    each = F.transform(F.slice(ends, F.lit(2), F.size(ends) - 1), lambda e, k: piece(F.get(ends, k) + 1, e))
+    each = F.transform(F.filter(each, lambda p: (p != "") & ~p.startswith("...")), lambda p: F.regexp_replace(F.regexp_replace(p, r"\s*=(?!>).*$", ""), r"^((public|private|protected|readonly|override) )+", ""))
+    shown = F.transform(each, lambda p: F.when(p.contains(":"), F.concat(F.trim(F.regexp_replace(F.substring_index(p, ":", 1), r"\?", "")), F.lit(": "), F.trim(F.regexp_replace(p, "^[^:]*:", "")))).otherwise(F.concat(F.regexp_replace(p, r"\?$", ""), F.lit(": unknown"))))
     result = F.regexp_extract(piece(F.col("close") + 1, F.col("body")), "^:(.*)$", 1)
-    text = F.concat(F.lit("export function "), "name", F.lit("("), F.array_join(shown, ", "), F.lit(") -> "), F.when(result == "", "void").otherwise(F.trim(result)))
-    return out.select(F.col("path").alias("module"), "name", text.alias("signature"))
+    return F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(") -> "), F.when(result == "", "void").otherwise(F.trim(result)))
+
+
+def method_signatures(files: DataFrame, stmts: DataFrame, declared: DataFrame, within: DataFrame) -> DataFrame:
+    """module, owner, name, signature, line of the methods and constructors of classes of scripts: the class, then as for functions.
+
+    A method's parameters are the tokens whose nearest bracket is its own, so a class's tokens are joined once, whatever it holds. The
+    body begins with the first brace that doesn't stand in a type; without a body the result ends with the member's semicolon."""
+    owners = declared.filter("word = 'class' and language <> 'rust'").select("path", "stmt")
+    inside = stmts.join(owners, ["path", "stmt"]).filter("depth = 1 and paren = 0")
+    t, after = F.col("text"), Window.partitionBy("path", "stmt").orderBy("i")
+    ahead = after.rowsBetween(1, Window.unboundedFollowing)
+    typed = F.coalesce(F.col("prev").isin(":", "|", "&", "=>", "<", ",", "is", "extends"), F.lit(False))
+    stop = inside.withColumn("stops", F.min(F.when((t == ";") | (t == "{") & ~typed, F.struct("i", "offset"))).over(ahead))
+    stop = stop.withColumn("paren_at", F.min(F.when(t == "(", F.struct("i", "offset", "pair"))).over(ahead))
+    m = within.filter("kind in ('method', 'constructor')").select("path", "i", F.col("parent").alias("owner"), "name", "line")
+    m = m.join(stop.select("path", "stmt", "i", "paren_at"), ["path", "i"]).filter("paren_at.pair >= 0").select("path", "stmt", "owner", "name", "line", F.col("paren_at.i").alias("at"), F.col("paren_at.offset").alias("open"), F.col("paren_at.pair").alias("pair"))
+    closes = stop.filter("text = ')'").select("path", F.col("i").alias("pair"), F.col("offset").alias("close"), F.coalesce("stops.offset", F.col("offset") + 1).alias("body"))
+    m = m.join(closes, ["path", "pair"])
+    order = Window.partitionBy("path", "outer").orderBy("i")
+    params = stmts.join(m.select("path", F.col("at").alias("outer")), ["path", "outer"]).select("path", "outer", "i", "text", "offset")
+    angles = F.sum(F.when(F.col("text") == "<", 1).when(F.col("text") == ">", -1).otherwise(0)).over(order)
+    cut = params.withColumn("angles", angles).filter("text = ',' and angles = 0").groupBy("path", F.col("outer").alias("at")).agg(F.array_sort(F.collect_list("offset")).alias("commas"))
+    out = m.join(cut, ["path", "at"], "left").join(files.select("path", "source"), "path")
+    return out.select(F.col("path").alias("module"), "owner", "name", F.concat("owner", F.lit("::"), "name", _printed()).alias("signature"), "line")
 
 
 def uses(files: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:

@@ -335,6 +335,16 @@ def op_d8_doc_changes(spark, sf_dir):
     return _pairs(spark, sf_dir).select("module", "name", diff.doc_change(F.col("o.doc"), F.col("n.doc")).alias("change")).filter("change is not null")
 
 
+@registered(f"""WITH {R.SYMBOLS}, noted AS (SELECT o.module, o.name, o.n AS a, n.n AS b, o.return_type = 'P' AS da, n.return_type = 'P' AS db FROM old o JOIN new n USING (module, name)),
+texts AS (SELECT *, CASE WHEN a > 1 THEN 'doc ' || a || CASE WHEN a % 3 = 0 THEN ' TODO' ELSE '' END || CASE WHEN a % 2 = 0 THEN ' SAFETY' ELSE '' END END AS old_doc, CASE WHEN b > 1 THEN 'doc ' || b || CASE WHEN b % 3 = 0 THEN ' TODO' ELSE '' END || CASE WHEN b % 2 = 0 THEN ' SAFETY' ELSE '' END END AS new_doc FROM noted)
+SELECT module, name, CASE WHEN old_doc IS NULL AND new_doc IS NOT NULL THEN 'added' WHEN old_doc IS NOT NULL AND new_doc IS NULL THEN 'removed' ELSE 'changed' END AS change, db AS is_deprecated, b > 1 AND b % 3 = 0 AS has_todo, b > 1 AND b % 2 = 0 AS has_safety_note, old_doc, new_doc FROM texts WHERE old_doc IS DISTINCT FROM new_doc OR da <> db""")
+def op_d8_doc_notes(spark, sf_dir):
+    n = lambda s: F.col(f"{s}.line_end")
+    doc = lambda s: F.when(n(s) > 1, F.concat(F.lit("doc "), n(s), F.when(n(s) % 3 == 0, " TODO").otherwise(""), F.when(n(s) % 2 == 0, " SAFETY").otherwise("")))
+    side = lambda s: F.struct(doc(s).alias("doc"), F.when(F.col(f"{s}.return_type") == "P", F.array(F.lit("@deprecated"))).alias("attributes")).alias(s)
+    return diff.doc_changes(_pairs(spark, sf_dir).select("module", "name", side("o"), side("n")))
+
+
 @registered("WITH o AS (SELECT DISTINCT url_host AS m, spec AS s FROM (SELECT split_part(url, '/', 3) AS url_host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec, length(html) AS n FROM pages) WHERE n < 6000), n AS (SELECT DISTINCT url_host AS m, spec AS s FROM (SELECT split_part(url, '/', 3) AS url_host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec, length(html) AS n FROM pages) WHERE n > 2000) SELECT m AS module, s AS specifier, 'removed' AS change_type FROM o WHERE (m, s) NOT IN (SELECT m, s FROM n) UNION ALL SELECT m, s, 'added' FROM n WHERE (m, s) NOT IN (SELECT m, s FROM o)")
 def op_d10_import_changes(spark, sf_dir):
     links = R.read(spark, sf_dir, "pages").select(F.split("url", "/")[2].alias("module"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("specifier"), F.length("html").alias("n"))
@@ -566,6 +576,23 @@ def op_p18_signatures(spark, sf_dir):
     return tokens.signatures(files, stmts, declared)
 
 
+@registered(f"WITH {R.CLASSES} SELECT 'src/' || b || '.ts' AS module, b AS owner, 'size' || n AS name, b || '::size' || n || '(a: number, b: string) -> boolean' AS signature, CAST(line AS INTEGER) AS line FROM methods")
+def op_p18_method_signatures(spark, sf_dir):
+    files = R.class_files(spark, sf_dir)
+    return tokens.method_signatures(files, *_scanned(files))
+
+
+@registered("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_acctbal < 0 AS js FROM supplier)
+SELECT 'src/s' || k || '.js' AS module, x.local_name, x.exported_name, x.specifier FROM s, (VALUES ('ns', '*', './n'), ('g', 'f', 'lib')) y(local_name, exported_name, specifier), LATERAL (SELECT y.local_name, CASE WHEN y.exported_name = 'f' THEN 'f' || n ELSE '*' END AS exported_name, y.specifier || n AS specifier) x WHERE js
+UNION ALL SELECT 'src/s' || k || '.ts', 'h' || n, 'f', './n' || n FROM s WHERE NOT js""")
+def op_p10_bindings_by_language(spark, sf_dir):
+    n, js = F.col("s_nationkey"), F.col("s_acctbal") < 0
+    lines = [F.concat(F.lit("import * as ns from './n"), n, F.lit("';")), F.concat(F.lit("import { f"), n, F.lit(" as g } from 'lib"), n, F.lit("';")), F.concat(F.lit("export { f as h"), n, F.lit(" } from './n"), n, F.lit("';"))]
+    path = F.concat(F.lit("src/s"), "s_suppkey", F.when(js, ".js").otherwise(".ts"))
+    files = R.read(spark, sf_dir, "supplier").select(path.alias("path"), F.concat_ws("\n", *lines).alias("source"), F.when(js, "javascript").otherwise("typescript").alias("language"))
+    return extract_facts.bindings(files, reexported=True)
+
+
 @registered(f"WITH {R.CLASSES} SELECT module, 'y' AS name, 'x' AS original, './x' AS specifier FROM classes")
 def op_p4_reexports(spark, sf_dir):
     return extract_facts.reexports(R.class_files(spark, sf_dir))
