@@ -19,7 +19,7 @@ Lists are split by hash into parts of LIST_PART vectors, and the queries of a li
 task holds more than one of each, however large a list grows.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
-length isn't the sample's most common one; rows alike in id and vector are one candidate; ties go to the smaller id; fewer
+length isn't the table's most common one (the smaller of two); rows alike in id and vector are one candidate; ties go to the smaller id; fewer
 candidates than k give fewer rows; an empty table gives none.
 """
 
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm._shared import written
 
-#: Vectors that the index is fitted on, at most and where there are few lists.
+#: Vectors that the index is fitted on, at most and where there are few lists; and their bytes, at most.
 SAMPLE, LEAST_SAMPLE = 65_536, 16_384
+SAMPLE_BYTES = 128 << 20
 SHARE = 0.97
 LIST_SIZE = 512
 LIST_PART = 8192
@@ -75,17 +76,19 @@ def _vectors(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.
 
 def fit(vectors: DataFrame, k: int) -> Index | None:
     """The index of vectors (vec_id, embedding); None where no vector takes part."""
-    n = vectors.count()
-    lists_n = max(1, min(n // LIST_SIZE, math.isqrt(n), SAMPLE // 4))
-    found = vectors.filter("embedding is not null and vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, max(LEAST_SAMPLE, 16 * lists_n))).collect()
-    lists = [(r["vec_id"], r["embedding"]) for r in found if None not in r["embedding"]]
-    dims = Counter(len(v) for _, v in lists if v).most_common(1)
-    if not dims:
+    size = F.size("embedding")
+    n, dims = vectors.agg(F.count("*"), F.mode(F.when(size > 0, size), True)).first()
+    if dims is None:
         return None
-    kept = [(i, v) for i, v in lists if len(v) == dims[0][0]]
-    x = np.array([v for _, v in kept], np.float64)
-    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-    x, ids = x[ok], np.array([i for i, _ in kept], np.int64)[ok]
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
+    lists_n = max(1, min(n // LIST_SIZE, math.isqrt(n), most // 4))
+    # Arrow batches of doubles: no vector becomes a Python list
+    found = vectors.filter((size == dims) & F.col("vec_id").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(most, max(LEAST_SAMPLE, 16 * lists_n))).toArrow().combine_chunks()
+    if not len(found):
+        return None
+    x, at = _vectors(found.column("embedding").combine_chunks(), dims)
+    ids = found.column("vec_id").to_numpy()[at]
+    del found
     if not len(x):
         return None
     rng = np.random.default_rng(0)
@@ -93,10 +96,10 @@ def fit(vectors: DataFrame, k: int) -> Index | None:
     c = x[rng.permutation(len(x))[:lists_n]].copy()
     for _ in range(8):
         of = _nearest(x, c)
-        for j in range(lists_n):
-            own = x[of == j]
-            if len(own):
-                c[j] = own.mean(axis=0)
+        order = np.argsort(of, kind="stable")
+        lists, first, counts = np.unique(of[order], return_index=True, return_counts=True)
+        for j, start, n_own in zip(lists, first, counts):
+            c[j] = x[order[start : start + n_own]].mean(axis=0)
     of = _nearest(x, c)
     # how far down a query's order of lists its true neighbours lie, within the sample
     q = x[rng.permutation(len(x))[:512]]
@@ -178,25 +181,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     index = fit(vectors, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(index)  # SAMPLE vectors and a quarter as many centroids at most
+    # apart, so that a task loads what it needs: SAMPLE_BYTES of vectors, a quarter as many centroids, and one matrix at most
+    dims, probes = index.sample.shape[1], index.probes
+    centroids, rotation, members = (spark.sparkContext.broadcast(part) for part in (index.centroids, index.rotation, (index.sample_ids, index.sample, index.sample_lists)))
+    del index
 
     def to_list(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
-            x, at = _vectors(rows.column("embedding"), shared.value.sample.shape[1])
-            yield pa.RecordBatch.from_pydict({"list": pa.array(_nearest(x, shared.value.centroids) if len(x) else [], pa.int64()), "vec_id": rows.column("vec_id").take(pa.array(at)), "vector": _as_bytes(x)})
+            x, at = _vectors(rows.column("embedding"), dims)
+            yield pa.RecordBatch.from_pydict({"list": pa.array(_nearest(x, centroids.value) if len(x) else [], pa.int64()), "vec_id": rows.column("vec_id").take(pa.array(at)), "vector": _as_bytes(x)})
 
     def to_queries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        c, (sample_ids, sample, sample_lists) = centroids.value, members.value
         for all_rows in it:
             for lo in range(0, len(all_rows), 512):
                 rows = all_rows.slice(lo, 512)
-                q, at = _vectors(rows.column("embedding"), ix.sample.shape[1])
+                q, at = _vectors(rows.column("embedding"), dims)
                 ids = rows.column("vec_id").take(pa.array(at)).to_numpy()
-                lists = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
-                probed = np.zeros((len(q), len(ix.centroids)), bool)
+                lists = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes]
+                probed = np.zeros((len(q), len(c)), bool)
                 np.put_along_axis(probed, lists, True, axis=1)
-                inside = q @ ix.sample.T
-                inside[(ids[:, None] == ix.sample_ids[None, :]) | ~probed[:, ix.sample_lists]] = -np.inf
+                inside = q @ sample.T
+                inside[(ids[:, None] == sample_ids[None, :]) | ~probed[:, sample_lists]] = -np.inf
                 floor = np.partition(inside, -k, axis=1)[:, -k] if inside.shape[1] >= k else np.full(len(q), -np.inf)
                 floor = np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), NO_FLOOR)
                 yield pa.RecordBatch.from_pydict({
@@ -220,7 +226,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def scan(q: pa.Table, x: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if len(q) and len(x):
-            found = _scan(q.column("query_id").to_numpy(), _as_matrix(q.column("vector")), q.column("floor").to_numpy(), x.column("vec_id").to_numpy(), _as_matrix(x.column("vector")), shared.value.rotation, k)
+            found = _scan(q.column("query_id").to_numpy(), _as_matrix(q.column("vector")), q.column("floor").to_numpy(), x.column("vec_id").to_numpy(), _as_matrix(x.column("vector")), rotation.value, k)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     keys = ("list", "xp", "qp")
