@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.lexer import GOES_ON
 from factloom.operators.rounds import stored
 
-#: Words that go on with a statement on a new line, before an expression, before a bracket that is no call.
-GOES_ON = ("as", "catch", "else", "extends", "finally", "from", "implements", "in", "instanceof", "of", "satisfies", "while")
+#: Words before an expression, before a bracket that is no call.
 BEFORE = ("await", "case", "default", "delete", "do", "else", "export", "extends", "in", "instanceof", "new", "of", "return", "throw", "typeof", "void", "yield")
 CONTROL = ("for", "if", "switch", "while", "with")
 VARIABLES = ("const", "let", "var")

@@ -20,14 +20,11 @@ WITH_MEMBERS = ("class", "interface", "enum", "struct", "trait", "impl")
 NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "typeof", "function", "fn", "match", "await", "loop", "super", "import", "constructor")
 
 
-def tokens(files: DataFrame) -> DataFrame:
+def tokens(files: DataFrame, n: int | None = None) -> DataFrame:
     """A row for each token of code: path, language, i, text, type, offset, line (from 1), col (from 0), last_line, depth and paren (open braces
-    and brackets around it), outer (the bracket around it), pair (a bracket's partner), within (all brackets around it), and text and line of
-    the tokens beside it. Comments and white space are left out."""
-    code = lexed(files).filter("type <> 'comment'")
-    order = Window.partitionBy("path").orderBy("i")
-    near = {f"{name}{k if k > 1 else ''}": f("text", k).over(order) for name, f in (("prev", F.lag), ("next", F.lead)) for k in (1, 2, 3)}
-    return code.withColumns(near | {"prev_line": F.lag("last_line").over(order), "prev_type": F.lag("type").over(order)})
+    and brackets around it), outer (the bracket around it), pair (a bracket's partner), within (all brackets around it), part (of the file), and
+    text, type and line of the tokens beside it. Comments and white space are left out."""
+    return lexed(files, n).filter("type <> 'comment'")
 
 
 def statements(code: DataFrame) -> DataFrame:
