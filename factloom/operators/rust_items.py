@@ -2,50 +2,78 @@
 
 files(path, source, language). An item begins at its keyword and its header ends at the first brace or semicolon outside of angles, which
 a running sum of opening and closing ones tells. What stands in its parentheses or braces is split at the commas outside of angles and
-of further brackets. Types are shown as their tokens with blanks between."""
+of further brackets. Types are shown as their tokens with blanks between.
+
+Windows are over CHUNK tokens of a file or over an item, never over a file, so that no task holds a large one. Tables read again are joined by
+merging: rows of tokens take far less room in a file than in memory, by which Spark would take them for small and send them to all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import tokens as T
-from factloom.operators.lexer import lexed
+from factloom.operators.lexer import lexed, pieces
 from factloom.operators.rounds import stored
 
 #: What the keywords of items are called.
 KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "const": "const", "static": "static", "type": "type", "impl": "impl"}
 
 
+#: Tokens of a file that one window holds.
+CHUNK = 1 << 12
+
+
 def _shown(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-def items(files: DataFrame) -> DataFrame:
+def read(files: DataFrame) -> DataFrame:
+    """The tokens of the Rust files, comments among them, as a table: for items and unbalanced, where both are asked of the same files."""
+    files = files.filter("language = 'rust'")
+    return stored(lexed(files).select("path", "i", "text", "type", "line", "depth", "paren", "outer", "pair", "prev", "prev2", "prev3", "next", "next_type"), "rust-tokens")
+
+
+def _latest(code: DataFrame, n: int, marks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """code with, for each name of marks(condition, value), the value at the last token up to here for which the condition holds: the last of its chunk,
+    else the last of the chunks before. A file has one row for each chunk there."""
+    code = code.withColumn("chunk", F.floor(F.col("i") / CHUNK))
+    ends = code.groupBy("path", "chunk").agg(*[F.max(F.when(c, F.struct("i", v.alias("v")))).alias(f"_{name}") for name, (c, v) in marks.items()])
+    past = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("path", "chunk", *[F.last(f"_{name}", ignorenulls=True).over(past)["v"].alias(f"_{name}") for name in marks])
+    upto = Window.partitionBy("path", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    code = code.repartition(n, "path", "chunk").withColumns({name: F.last(F.when(c, v), ignorenulls=True).over(upto) for name, (c, v) in marks.items()})
+    return code.join(ends.hint("merge"), ["path", "chunk"]).withColumns({name: F.coalesce(name, f"_{name}") for name in marks}).drop("chunk", *[f"_{name}" for name in marks])
+
+
+def items(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """path, at (its place), kind, name, line, owner (the impl's type that a method stands in), is_public, is_async, generics, params (name, type; the
     receiver apart), receiver, result, fields, variants, aliased (what a type, constant or static is), doc. One row for each item at the top level and
-    for each function in an impl block."""
-    code = T.tokens(files.filter("language = 'rust'"))
-    t, order = F.col("text"), Window.partitionBy("path").orderBy("i")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    for each function in an impl block. every: read(files), if that is there already."""
+    n = pieces(files.filter("language = 'rust'"))
+    every = read(files) if every is None else every
+    t = F.col("text")
     follows = ~F.coalesce(F.col("prev").isin(".", "::", ":", "&", "->", "<", ",", "*", "=", "+", "(", "dyn"), F.lit(False))
     named = (F.col("next_type") == "name") | (t == "impl")
     keyword = (F.col("type") == "name") & t.isin(*KINDS) & follows & named & ~((t == "const") & F.col("next").isin("fn", "unsafe", "async", "extern"))
-    inside = F.max(F.when((t == "impl") & (F.col("depth") == 0), F.col("i"))).over(upto)
-    code = code.withColumn("next_type", F.lead("type").over(order))
-    code = code.withColumn("is_item", F.coalesce(keyword & (F.col("paren") == 0) & ((F.col("depth") == 0) | (F.col("depth") == 1) & (t == "fn")), F.lit(False)))
-    code = code.withColumn("item", F.max(F.when(F.col("is_item"), F.col("i"))).over(upto)).filter("item is not null")
-    code = code.withColumns({"impl": inside, "base": F.last(F.when(F.col("is_item"), F.col("outer")), ignorenulls=True).over(upto)})
-    on = F.col("outer") == F.col("base")
+    doc = (F.col("type") == "comment") & t.rlike("^///(?!/)|^/\\*\\*(?![*/])")
+    every = every.withColumn("is_item", F.coalesce(keyword & (F.col("paren") == 0) & ((F.col("depth") == 0) | (F.col("depth") == 1) & (t == "fn")), F.lit(False)))
+    every = _latest(every.filter(doc | (F.col("type") != "comment")), n, {
+        "item": (F.col("is_item"), F.col("i")), "base": (F.col("is_item"), F.col("outer")), "impl": ((t == "impl") & (F.col("depth") == 0) & (F.col("type") != "comment"), F.col("i")),
+        "since": ((F.col("type") == "sign") & t.isin(";", "{", "}"), F.col("i")),
+    })
+    # comments before the first item go on with none
+    every = every.filter("item is not null or type = 'comment'").repartition(n, "path", "item")
+    on = (F.col("outer") == F.col("base")) & (F.col("type") != "comment")
     level = Window.partitionBy("path", "item").orderBy("i")
     angle = lambda where: F.when(where & (t == "<"), 1).when(where & (t == ">"), -1).otherwise(0)
-    code = code.withColumn("angles", F.sum(angle(on)).over(level.rowsBetween(Window.unboundedPreceding, -1)))
-    code = stored(code.withColumn("angles", F.coalesce("angles", F.lit(0)) - F.when(on & (t == ">"), 1).otherwise(0)).select("path", "i", "text", "type", "line", "outer", "pair", "within", "depth", "prev", "prev2", "prev3", "next", "item", "impl", "base", "is_item", "angles"), "rust-code")
+    every = every.withColumn("angles", F.sum(angle(on)).over(level.rowsBetween(Window.unboundedPreceding, -1)))
+    every = stored(every.withColumn("angles", F.coalesce("angles", F.lit(0)) - F.when(on & (t == ">"), 1).otherwise(0)).select("path", "i", "text", "type", "line", "outer", "pair", "depth", "prev", "prev2", "prev3", "next", "item", "impl", "base", "since", "is_item", "angles"), "rust-code")
+    code = every.filter("type <> 'comment'")
     on, head = F.col("outer") == F.col("base"), F.col("i") == F.col("item")
     plain = on & (F.col("angles") == 0)
     at = lambda c: F.min(F.when(c, F.col("i")))
     heads = code.groupBy("path", "item").agg(
-        F.first(F.when(head, F.struct("text", "next", "line", "impl", "depth", "prev", "prev2", "prev3", "within")), ignorenulls=True).alias("h"),
+        F.first(F.when(head, F.struct("text", "next", "line", "impl", "depth", "prev", "prev2", "prev3")), ignorenulls=True).alias("h"),
         at(plain & (t == "(")).alias("open"), at(plain & (t == "{")).alias("body"), at(plain & (t == ";")).alias("semicolon"), at(plain & (t == "=")).alias("equals"), at(plain & (t == ":")).alias("colon"), at(plain & (t == "where")).alias("where"),
         at(on & (t == "<")).alias("angle"), F.max(F.when(on & (t == ">") & (F.col("angles") == 0), F.col("i"))).alias("angle_end"),
     )
@@ -54,19 +82,19 @@ def items(files: DataFrame) -> DataFrame:
     heads = heads.withColumns({"end": F.coalesce(end, F.lit(1 << 30)), "open": F.when((word == "fn") & (F.col("open") < F.coalesce(end, F.lit(1 << 30))), F.col("open"))})
     heads = heads.withColumn("block", F.coalesce("open", F.when(word.isin("struct", "enum") & (F.col("body") == F.col("end")), F.col("body"))))
     pairs = code.filter("text in ('(', '{')").select("path", F.col("i").alias("block"), F.col("pair").alias("close"))
-    heads = stored(heads.join(pairs, ["path", "block"], "left"), "rust-heads")
-    joined = code.join(heads, ["path", "item"])
+    heads = stored(heads.join(pairs.hint("merge"), ["path", "block"], "left"), "rust-heads")
+    joined = code.repartition(n, "path", "item").join(heads.repartition(n, "path", "item").hint("merge"), ["path", "item"])
     between = lambda since, until: (F.col("i") > since) & (F.col("i") < until)
     stop = F.least("end", F.coalesce("where", F.lit(1 << 30)))
     held = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("i", "text")))), lambda x: x["text"])
     arrow = F.col("open").isNotNull() & between(F.col("close") + 1, stop)
     first_angle = (F.col("angle") == F.col("item") + 2) | (word == "impl") & (F.col("angle") == F.col("item") + 1)
     limit = F.least(F.coalesce("open", F.lit(1 << 30)), stop, F.coalesce("equals", F.lit(1 << 30)))
-    generic_end = F.min(F.when(on & (t == ">") & (F.col("angles") == 0) & (F.col("i") < limit), F.col("i")))
-    ends = joined.filter(first_angle).groupBy("path", "item").agg(generic_end.alias("generic_end"))
-    joined = joined.join(ends, ["path", "item"], "left")
-    for_at = joined.filter(plain & (t == "for") & (word == "impl") & (F.col("i") < stop)).groupBy("path", "item").agg(F.min("i").alias("for_at"))
-    joined = joined.join(for_at, ["path", "item"], "left")
+    whole = Window.partitionBy("path", "item")
+    joined = joined.withColumns({
+        "generic_end": F.min(F.when(first_angle & on & (t == ">") & (F.col("angles") == 0) & (F.col("i") < limit), F.col("i"))).over(whole),
+        "for_at": F.min(F.when(plain & (t == "for") & (word == "impl") & (F.col("i") < stop), F.col("i"))).over(whole),
+    })
     own = plain & (F.col("type") == "name") & between(F.coalesce("for_at", "generic_end", "item"), stop) & ~t.isin("dyn", "mut")
     parts = joined.groupBy("path", "item").agg(
         held(arrow).alias("result"),
@@ -74,9 +102,10 @@ def items(files: DataFrame) -> DataFrame:
         F.max_by("text", F.when(own, F.col("i"))).alias("self_type"),
         held(word.isin("type", "const", "static") & between(F.when(word == "type", F.col("equals")).otherwise(F.col("colon")), F.when(word == "type", F.col("semicolon")).otherwise(F.coalesce("equals", "semicolon")))).alias("aliased"),
     )
-    out = heads.join(parts, ["path", "item"]).join(_split(joined), ["path", "item"], "left").join(_docs(files, code), ["path", "item"], "left")
+    out = heads.join(parts.hint("merge"), ["path", "item"]).join(_split(joined).hint("merge"), ["path", "item"], "left").join(_docs(every).hint("merge"), ["path", "item"], "left")
     owners = out.filter(word == "impl").select("path", F.col("item").alias("_impl"), F.col("self_type").alias("owner"))
-    out = out.withColumn("_impl", F.when((F.col("h.depth") == 1), F.col("h.impl"))).join(owners, ["path", "_impl"], "left")
+    # what stands in no block has a key of its own, which none has
+    out = out.withColumn("_impl", F.when((F.col("h.depth") == 1) & F.col("h.impl").isNotNull(), F.col("h.impl")).otherwise(-1 - F.col("item"))).join(owners.hint("merge"), ["path", "_impl"], "left")
     seen = lambda w: F.array_contains(F.array(*[F.coalesce(F.col(f"h.{p}"), F.lit("")) for p in ("prev", "prev2", "prev3")]), w)
     name = F.when(word == "impl", F.col("self_type")).when(word.isin("static", "const") & (F.col("h.next") == "mut"), F.lit(None)).otherwise(F.col("h.next"))
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[word]
@@ -117,21 +146,19 @@ def _split(joined: DataFrame) -> DataFrame:
     return rows.groupBy("path", "item").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["p"]).alias("parts"))
 
 
-def _docs(files: DataFrame, code: DataFrame) -> DataFrame:
+def _docs(every: DataFrame) -> DataFrame:
     """path, item, doc: the doc comments since the last brace or semicolon before an item, in one line."""
-    every = lexed(files.filter("language = 'rust'"))
-    order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    every = every.withColumn("since", F.coalesce(F.sum(((F.col("type") == "sign") & F.col("text").isin(";", "{", "}")).cast("int")).over(order), F.lit(0)))
-    doc = F.col("text").rlike("^///(?!/)|^/\\*\\*(?![*/])")
     text = F.trim(F.regexp_replace("text", r"^///|^/\*\*|\*/$", ""))
-    docs = every.filter((F.col("type") == "comment") & doc).groupBy("path", "since").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("line")))), lambda x: x["line"]), " ").alias("doc"))
-    first = code.filter("is_item").select("path", F.col("i").alias("item")).join(every.select("path", F.col("i").alias("item"), "since"), ["path", "item"])
-    return first.groupBy("path", "since").agg(F.min("item").alias("item")).join(docs, ["path", "since"]).select("path", "item", "doc")
+    since = F.coalesce("since", F.lit(-1)).alias("since")
+    docs = every.filter("type = 'comment'").groupBy("path", since).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("line")))), lambda x: x["line"]), " ").alias("doc"))
+    first = every.filter("is_item").groupBy("path", since).agg(F.min("item").alias("item"))
+    return first.join(docs.hint("merge"), ["path", "since"]).select("path", "item", "doc")
 
 
-def unbalanced(files: DataFrame) -> DataFrame:
-    """path of files with a bracket that has no partner."""
-    return lexed(files.filter("language = 'rust'")).filter("type = 'sign' and text in ('(', ')', '[', ']', '{', '}') and pair < 0").select("path").distinct()
+def unbalanced(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """path of files with a bracket that has no partner. every: read(files), if that is there already."""
+    every = lexed(files.filter("language = 'rust'")) if every is None else every
+    return every.filter("type = 'sign' and text in ('(', ')', '[', ']', '{', '}') and pair < 0").select("path").distinct()
 
 
 def signatures(found: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def deep_checks(spec: DataFrame, made: DataFrame, broken: DataFrame) -> DataFram
     top = made.filter("owner is null and name is not null").join(broken.select("file"), "file", "left_anti")
     item = F.struct("kind", "line", "params", "result", "is_async", "fields", "variants")
     first = top.groupBy("file", loose(F.col("name")).alias("key")).agg(F.min_by(item, "at").alias("m"))
-    out = spec.withColumn("key", loose(F.col("target_name"))).join(first, ["file", "key"], "left")
+    out = spec.withColumn("key", loose(F.col("target_name"))).join(first.hint("merge"), ["file", "key"], "left")
     m, found = F.col("m"), F.col("m").isNotNull()
     quote = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
