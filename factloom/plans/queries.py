@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import levels, naming, texts
 from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, reports, rust_items, scoring, tasks, tokens
+from factloom.operators.rounds import settled
 from factloom.plans import relations as R
 from factloom.sources import renames, trees
 
@@ -761,8 +762,9 @@ def op_a24_batch_totals(spark, sf_dir):
 
 def _deep_checks(spark, sf_dir):
     files = R.generated_files(spark, sf_dir)
-    broken = rust_items.unbalanced(files).withColumnRenamed("path", "file")
-    return tasks.deep_checks(R.specifications(spark, sf_dir), rust_items.items(files).withColumnRenamed("path", "file"), broken), broken
+    every = rust_items.read(files)
+    broken = settled(rust_items.unbalanced(files, every).withColumnRenamed("path", "file"))
+    return tasks.deep_checks(R.specifications(spark, sf_dir), rust_items.items(files, every).withColumnRenamed("path", "file"), broken), broken
 
 
 @registered(f"WITH {R.GENERATED} SELECT file, name, found, severity, message, expected, actual, line_hint FROM checked")
