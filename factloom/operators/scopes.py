@@ -30,9 +30,11 @@ FUNCTIONS = ("arrow", "named", "anonymous", "catch")
 MODIFIERS = ("abstract", "async", "declare", "get", "override", "private", "protected", "public", "readonly", "set", "static", "*")
 
 
+#: What levels need of tokens.
+NEEDED = ("path", "part", "i", "text", "type", "line", "col", "paren", "outer", "pair", "within", "prev", "prev2", "prev3", "prev_line", "prev_type", "next", "next2")
 #: What the rest needs of levels.
 KEPT = (
-    "path", "i", "text", "type", "line", "col", "paren", "outer", "pair", "within", "prev", "prev2", "prev_type", "next", "next2", "before", "before2", "spread", "starts", "stmt", "first", "variable", "comma", "arrow", "asks", "equals",
+    "path", "part", "i", "text", "type", "line", "col", "paren", "outer", "pair", "within", "prev", "prev2", "prev_type", "next", "next2", "before", "before2", "spread", "starts", "stmt", "first", "variable", "comma", "arrow", "asks", "equals",
     "class", "interface", "braced", "parent", "implements", "types", "bracket", "until", "called", "taken_of", "made", "earlier", "stops", "single_end", "method", "pattern",
 )
 
@@ -45,11 +47,11 @@ def levels(code: DataFrame) -> DataFrame:
     """tokens with what their level tells: before (the token before on the level) and after (that behind a bracket), stmt, bracket (what it is),
     until (where what is declared in it ends) and more.
 
-    All windows are over levels, forwards or backwards: what lies in the same statement or chain is told by comparing places, which needs no
+    All windows are over levels (the top level by parts, see lexer._cuts), forwards or backwards: what lies in the same statement or chain is told by comparing places, which needs no
     further sort."""
     t, i, named, sign = F.col("text"), F.col("i"), F.col("type") == "name", F.col("type") == "sign"
-    level = Window.partitionBy("path", "outer").orderBy("i")
-    back = Window.partitionBy("path", "outer").orderBy(F.desc("i"))
+    level = Window.partitionBy("path", "part", "outer").orderBy("i")
+    back = Window.partitionBy("path", "part", "outer").orderBy(F.desc("i"))
     upto, past = level.rowsBetween(Window.unboundedPreceding, 0), level.rowsBetween(Window.unboundedPreceding, -1)
     behind = back.rowsBetween(Window.unboundedPreceding, -1)
     never = F.lit(1 << 30)
@@ -142,7 +144,7 @@ def around(on: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def locals_(uses: DataFrame) -> DataFrame:
-    """path, text, since, until: what is declared below the top level under an asked name, and the places where it holds."""
+    """path, part, text, since, until: what is declared below the top level under an asked name, and the places where it holds."""
     b, n = F.col("b"), F.coalesce(F.size("b"), F.lit(0))
     inner = F.try_element_at(b, F.lit(-1))
     prev, after, before = F.col("prev"), F.col("next"), F.col("before")
@@ -172,17 +174,33 @@ def locals_(uses: DataFrame) -> DataFrame:
         .when(is_single, hold(F.col("i"), F.coalesce(F.col("single_end"), end)))
     )
     # at the top level a name is declared beside the import only where it is no import: such a file has no use of the import
-    return uses.withColumn("span", span).filter("span is not null").filter((n > 0) | is_single).select("path", "text", "span.since", "span.until")
+    return uses.withColumn("span", span).filter("span is not null").filter((n > 0) | is_single).select("path", "part", "text", "span.since", "span.until")
 
 
 def _is_paren(x: Column) -> Column:
     return x["before"].isNull() | (x["before"] != "=>")
 
 
-def script_uses(code: DataFrame, bound: DataFrame) -> DataFrame:
+def _visible(found: DataFrame, hidden: DataFrame) -> DataFrame:
+    """found without what stands within a span of hidden of its name. Spans that end do so within their part: there a running count of those that are
+    open tells, in the order of places, so that no use meets each span. Of spans without an end the first of a file counts."""
+    never = F.lit(1 << 30)
+    ends = hidden.filter((F.col("until") < never) & (F.col("since") <= F.col("until")))
+    sides = F.array(F.struct(F.col("since").alias("i"), F.lit(1).alias("_opens")), F.struct((F.col("until") + 1).alias("i"), F.lit(-1).alias("_opens")))
+    sides = ends.select("path", "part", "text", F.explode(sides).alias("e")).select("path", "part", "text", "e.*")
+    upto = Window.partitionBy("path", "part", "text").orderBy("i", F.col("_opens") == 0)
+    open_ = F.sum("_opens").over(upto)
+    left = found.withColumn("_opens", F.lit(0)).unionByName(sides, allowMissingColumns=True).withColumn("_open", open_).filter("_opens = 0 and _open = 0").drop("_opens", "_open")
+    lasting = hidden.filter(F.col("until") >= never).groupBy("path", "text").agg(F.min("since").alias("_from"))
+    return left.join(lasting, ["path", "text"], "left").filter("_from is null or i < _from").drop("_from")
+
+
+def script_uses(code: DataFrame, bound: DataFrame, n: int | None = None) -> DataFrame:
     """module, local_name, line, col, kind of every use of a bound(module, local_name) name in scripts; clauses of imports and re-exports, keys,
     members and attributes are no uses, nor are names that a closer declaration hides."""
     kept = (F.col("type") == "name") | F.col("bracket").isNotNull() | (F.col("text") == "${") | (F.col("text") == "{")
+    code = code.select(*NEEDED)
+    code = code if n is None else code.repartition(n, "path", "part")
     on = stored(levels(code).filter(kept).select(*KEPT), "levels")
     asked = bound.select(F.col("module").alias("path"), F.col("local_name").alias("text")).distinct()
     uses = stored(around(on, asked), "uses")  # both the uses and what hides them are found among these
@@ -202,7 +220,6 @@ def script_uses(code: DataFrame, bound: DataFrame) -> DataFrame:
     property_ = (before == ".") & ~F.col("spread") | (prev == ".") & ~F.col("spread")
     found = uses.filter(~skipped & ~property_ & ~key & ~own & ~_is(F.col("before"), *NAMED))
     hidden = locals_(uses)
-    found = found.join(hidden, (found["path"] == hidden["path"]) & (found["text"] == hidden["text"]) & (found["i"] >= hidden["since"]) & (found["i"] <= hidden["until"]), "left_anti")
 
     asks = (F.col("asks") < 0) | _is(F.col("prev2"), "?")
     annotated = (prev == ":") & (_is(F.col("prev2"), ")") | asks & ~what.isin("object", "call", "group", "array", "index") & ~F.col("first").isin("case", "default"))
@@ -227,4 +244,5 @@ def script_uses(code: DataFrame, bound: DataFrame) -> DataFrame:
         return F.when(s["done"], s).otherwise(inward)
 
     kind = F.aggregate(F.reverse(F.coalesce("b", F.array().cast(found.schema["b"].dataType))), first, step)["kind"]
-    return found.select(F.col("path").alias("module"), F.col("text").alias("local_name"), "line", "col", kind.alias("kind"))
+    found = _visible(found.select("path", "part", "text", "i", "line", "col", kind.alias("kind")), hidden)
+    return found.select(F.col("path").alias("module"), F.col("text").alias("local_name"), "line", "col", "kind")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.lexer import lexed
+from factloom.operators.lexer import lexed, pieces
 from factloom.operators.scopes import script_uses
 
 #: Words that begin a declaration, that stand before it, and what a declaration of each is called.
@@ -183,7 +183,9 @@ def uses(files: DataFrame, bound: DataFrame, targets: DataFrame) -> DataFrame:
 
     bound(module, local_name, exported_name, specifier), targets(module, specifier, target). Import clauses and re-exports
     are no uses, nor are properties, keys and declarations of the same name. In Rust a call counts as a use besides."""
-    found = script_uses(tokens(files.filter("language <> 'rust'")), bound).unionByName(_rust_uses(tokens(files.filter("language = 'rust'"))))
+    scripts = files.filter("language <> 'rust'")
+    n = pieces(scripts)
+    found = script_uses(tokens(scripts, n), bound, n).unionByName(_rust_uses(tokens(files.filter("language = 'rust'"))))
     out = found.join(bound.join(targets, ["module", "specifier"]), ["module", "local_name"])
     return out.select(F.concat_ws(":", "target", "exported_name").alias("target_symbol"), F.concat_ws(":", "module", "local_name").alias("source_symbol"), F.col("module").alias("file"), "line", "col", "kind")
 
