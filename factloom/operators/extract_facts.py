@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.texts import normalised
 from factloom.operators import tokens as T
+from factloom.operators.rounds import stored
 
 #: What an import of each language may stand for, in order. An ending of its own is replaced, as a path's is.
 CANDIDATES = {
@@ -28,11 +29,14 @@ def without_comments(source: Column, language: Column | None = None) -> Column:
 
 def symbols(files: DataFrame) -> DataFrame:
     """module, name, kind, line, line_end, ordinal, is_public, is_async and parameters' text of top-level declarations."""
-    stmts = T.statements(T.tokens(files))
+    files = stored(files.select("path", "source", "language"), "sources")
+    # declarations are told by the tokens outside of brackets, which are cut and numbered once
+    stmts = T.statements(T.tokens(files).filter("depth = 0 and paren = 0"))
+    stmts = stored(stmts.select("path", "language", "stmt", "i", "text", "type", "offset", "line", "last_line", "depth", "paren", "prev", "prev2", "next", "next2"), "statements")
     made = T.declarations(stmts).filter("word <> 'impl' and (language = 'rust' or word not in ('const', 'let', 'var'))").unionByName(T.declarators(stmts))
     close = stmts.filter("text = ')' and depth = 0 and paren = 0").select("path", "stmt", F.col("offset").alias("close"))
     closed = made.select("path", "stmt", "i", "open").join(close, ["path", "stmt"]).filter("close > open").groupBy("path", "stmt", "i").agg(F.min("close").alias("close"))
-    out = made.join(closed, ["path", "stmt", "i"], "left").join(files.select("path", "source"), "path")
+    out = made.join(closed.hint("merge"), ["path", "stmt", "i"], "left").join(files.select("path", "source").hint("merge"), "path")
     params = F.coalesce(F.substring("source", F.col("open") + 2, F.col("close") - F.col("open") - 1), F.lit(""))
     return out.select(F.col("path").alias("module"), "name", "kind", "line", "line_end", F.col("i").cast("long").alias("ordinal"), "is_public", "is_async", params.alias("params"))
 
