@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import levels, naming, texts
 from factloom.operators import align, boundaries, compat, diff, extract_facts, graph, reports, rust_items, scoring, tasks, tokens
-from factloom.operators.rounds import settled
+from factloom.operators.rounds import settled, stored
 from factloom.plans import relations as R
 from factloom.sources import renames, trees
 
@@ -523,14 +523,14 @@ def op_p9_bindings(spark, sf_dir):
 
 @registered(f"WITH {R.SOURCES}, uses AS (SELECT path AS module, 8 + (SELECT coalesce(sum(CASE WHEN q.p % 2 = 0 THEN 3 ELSE 1 END), 0) FROM shipped q WHERE q.s = f.s AND q.p < shipped.p) AS line FROM files f JOIN shipped USING (s) WHERE p % 2 = 0) SELECT target || ':f' || i AS target_symbol, module || ':g' || i AS source_symbol, module AS file, CAST(line AS INTEGER) AS line, CASE WHEN i = 0 THEN 9 ELSE 21 END AS col, CASE WHEN i = 0 THEN 'Call' ELSE 'New' END AS kind FROM imported JOIN uses USING (module) WHERE i < 2 AND target <> module AND target IN (SELECT path FROM files)")
 def op_p12_references(spark, sf_dir):
-    files = R.source_files(spark, sf_dir)
+    files = stored(R.source_files(spark, sf_dir), "sources")
     targets = extract_facts.resolved(extract_facts.imports(files), files)
     return extract_facts.references(files, extract_facts.bindings(files), targets).select("target_symbol", "source_symbol", "file", "line", "col", "kind")
 
 
 @registered(f"WITH {R.SCOPED} SELECT * FROM scoped_uses")
 def op_p14_scoped_references(spark, sf_dir):
-    files = R.scoped_files(spark, sf_dir)
+    files = stored(R.scoped_files(spark, sf_dir), "sources")
     targets = extract_facts.resolved(extract_facts.imports(files), files)
     return extract_facts.references(files, extract_facts.bindings(files), targets)
 
