@@ -29,7 +29,8 @@ def external_usage(exports: DataFrame, refs: DataFrame) -> DataFrame:
 
 def uncut(refs: DataFrame, layers: DataFrame) -> DataFrame:
     """refs(consumer, provider, symbol, kind) from a higher layer to a lower, once each, of the smallest kind; no layer counts as 0."""
-    of = lambda x: layers.select(F.col("id").alias(x), F.col("layer").alias(f"{x}_layer"))
-    out = refs.join(of("consumer"), "consumer", "left").join(of("provider"), "provider", "left").fillna(0, ["consumer_layer", "provider_layer"])
+    of = lambda x: layers.select(F.col("id").alias(x), F.col("layer").alias(f"{x}_layer")).hint("shuffle_hash")
+    # consumers last: rows then lie by consumer, as the groups need them, and the one sort is that of the groups
+    out = refs.join(of("provider"), "provider", "left").join(of("consumer"), "consumer", "left").fillna(0, ["consumer_layer", "provider_layer"])
     out = out.filter("consumer_layer > provider_layer").groupBy("consumer", "provider", "symbol", "consumer_layer", "provider_layer").agg(F.min("kind").alias("kind"))
     return out.withColumn("direction", F.concat(F.lit("L"), "consumer_layer", F.lit("->L"), "provider_layer"))

@@ -119,7 +119,7 @@ def op_g7_affected_files(spark, sf_dir):
 def op_a20_layer_groups(spark, sf_dir):
     e = R.edges(spark, sf_dir)
     used = e.distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    modules = graph.layers_bottomup(e, graph.node_set(e)).join(used, "id", "left")
+    modules = graph.layers_bottomup(e, graph.node_set(e)).join(used.hint("shuffle_hash"), "id", "left")
     return boundaries.layer_groups(modules.select(F.col("id").alias("module"), "layer", F.coalesce("n", F.lit(0).cast("long")).alias("public_symbols")))
 
 
