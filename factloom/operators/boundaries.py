@@ -32,5 +32,7 @@ def uncut(refs: DataFrame, layers: DataFrame) -> DataFrame:
     of = lambda x: layers.select(F.col("id").alias(x), F.col("layer").alias(f"{x}_layer")).hint("shuffle_hash")
     # consumers last: rows then lie by consumer, as the groups need them, and the one sort is that of the groups
     out = refs.join(of("provider"), "provider", "left").join(of("consumer"), "consumer", "left").fillna(0, ["consumer_layer", "provider_layer"])
-    out = out.filter("consumer_layer > provider_layer").groupBy("consumer", "provider", "symbol", "consumer_layer", "provider_layer").agg(F.min("kind").alias("kind"))
-    return out.withColumn("direction", F.concat(F.lit("L"), "consumer_layer", F.lit("->L"), "provider_layer"))
+    out = out.filter("consumer_layer > provider_layer")
+    # the smallest text needs sorted groups: by a number first, as that is quick to compare
+    out = out.groupBy(F.xxhash64("consumer", "provider", "symbol").alias("_order"), "consumer", "provider", "symbol", "consumer_layer", "provider_layer").agg(F.min("kind").alias("kind"))
+    return out.drop("_order").withColumn("direction", F.concat(F.lit("L"), "consumer_layer", F.lit("->L"), "provider_layer"))

@@ -77,13 +77,13 @@ def op_g3_witness_cycles(spark, sf_dir):
 @registered(f"WITH RECURSIVE {R.EDGES}, {LONGEST} SELECT id, CAST(layer AS BIGINT) AS layer FROM layers")
 def op_g5_layers_topdown(spark, sf_dir):
     e = R.edges(spark, sf_dir)
-    return graph.layers_topdown(e, graph.node_set(e))
+    return graph.layers_topdown(e)
 
 
 @registered(f"WITH RECURSIVE {R.EDGES}, {LONGEST} SELECT id, CAST((SELECT max(layer) FROM layers) - layer AS BIGINT) AS layer FROM layers")
 def op_g6_layers_bottomup(spark, sf_dir):
     e = R.edges(spark, sf_dir)
-    return graph.layers_bottomup(e, graph.node_set(e))
+    return graph.layers_bottomup(e)
 
 
 @registered(f"WITH RECURSIVE {R.EDGES}, bfs AS (SELECT 'region/1' AS id, 0 AS depth UNION SELECT e.src, b.depth + 1 FROM bfs b JOIN edges e ON e.dst = b.id), least AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY 1) SELECT l.id, CAST(l.depth AS BIGINT) AS depth, (SELECT min(e.dst) FROM edges e JOIN least p ON p.id = e.dst AND p.depth = l.depth - 1 WHERE e.src = l.id) AS via FROM least l")
@@ -119,7 +119,7 @@ def op_g7_affected_files(spark, sf_dir):
 def op_a20_layer_groups(spark, sf_dir):
     e = R.edges(spark, sf_dir)
     used = e.distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    modules = graph.layers_bottomup(e, graph.node_set(e)).join(used.hint("shuffle_hash"), "id", "left")
+    modules = graph.layers_bottomup(e).join(used.hint("shuffle_hash"), "id", "left")
     return boundaries.layer_groups(modules.select(F.col("id").alias("module"), "layer", F.coalesce("n", F.lit(0).cast("long")).alias("public_symbols")))
 
 
@@ -129,7 +129,7 @@ def op_j22_uncut_surfaces(spark, sf_dir):
     li, n = R.read(spark, sf_dir, "lineitem"), R.read(spark, sf_dir, "nation")
     refs = li.select(F.concat(F.lit("order/"), "l_orderkey").alias("consumer"), F.concat(F.lit("supp/"), "l_suppkey").alias("provider"), F.concat(F.lit("part/"), F.col("l_partkey") % 50).alias("symbol"), F.col("l_returnflag").alias("kind"))
     refs = refs.unionByName(n.select(F.concat(F.lit("nation/"), "n_nationkey").alias("consumer"), F.concat(F.lit("order/"), "n_nationkey").alias("provider"), F.col("n_name").alias("symbol"), F.lit("X").alias("kind")))
-    return boundaries.uncut(refs, graph.layers_bottomup(e, graph.node_set(e)))
+    return boundaries.uncut(refs, graph.layers_bottomup(e))
 
 
 @registered("WITH e AS (SELECT p_brand AS module, p_partkey || '/' || q AS symbol FROM part, range(1, 51) r(q)), u AS (SELECT DISTINCT p_brand AS module, p_partkey || '/' || CAST(l_quantity AS INTEGER) AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey WHERE 'Brand#' || l_suppkey <> p_brand) SELECT e.*, u.symbol IS NOT NULL AS is_public FROM e LEFT JOIN u USING (module, symbol)")
