@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.rounds import settled, stored
-from factloom.sources.trees import changed_files
 
 #: The part of the larger file that two files share at least.
 ALIKE = 0.5
@@ -22,9 +21,9 @@ ALIKE = 0.5
 
 def _lines(files: DataFrame) -> DataFrame:
     """path, line (its hash), weight (bytes of all its occurrences, with their breaks), bytes (of the file)."""
-    each = files.select("path", F.explode(F.split(F.coalesce("source", F.lit("")), "\n")).alias("line"))
-    counted = each.groupBy("path", F.xxhash64("line").alias("line")).agg(F.sum(F.octet_length("line") + 1).alias("weight"))
-    return counted.withColumn("bytes", F.sum("weight").over(Window.partitionBy("path")))
+    source = F.coalesce("source", F.lit(""))
+    each = files.select("path", (F.octet_length(source) + 1).cast("long").alias("bytes"), F.explode(F.split(source, "\n")).alias("line"))
+    return each.groupBy("path", F.xxhash64("line").alias("line")).agg(F.sum(F.octet_length("line") + 1).alias("weight"), F.max("bytes").alias("bytes"))
 
 
 def _rarest(lines: DataFrame, common: DataFrame, alike: float) -> DataFrame:
@@ -55,9 +54,24 @@ def _moved(removed: DataFrame, added: DataFrame) -> DataFrame:
     return nth(removed, "old_path").join(nth(added, "path"), ["key", "n"]).select("old_path", "path")
 
 
+def _differing(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """path, status A, D or M of all files that differ; path, source of those that are gone, and of those that are new. The snapshots are met
+    once and what differs is stored, as all that follows reads it several times."""
+    plain = lambda df, name: df.select("path", F.coalesce("source", F.lit("")).alias(name))
+    both = plain(old, "o").join(plain(new, "n"), "path", "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")))
+    both = stored(both, "differing-files")
+    status = F.when(F.col("o").isNull(), "A").when(F.col("n").isNull(), "D").otherwise("M")
+    one = lambda name, other: both.filter(f"{other} is null").select("path", F.col(name).alias("source"))
+    return both.select("path", status.alias("status")), one("o", "n"), one("n", "o")
+
+
 def renames(old: DataFrame, new: DataFrame, least: float = ALIKE, copies: bool = False) -> DataFrame:
     """path, old_path, status (R, with copies also C), similarity of the files of new that were renamed, or copied from a file that stays."""
-    removed, added = old.join(new.select("path"), "path", "left_anti"), new.join(old.select("path"), "path", "left_anti")
+    _, removed, added = _differing(old, new)
+    return _renamed(removed, added, old, least, copies)
+
+
+def _renamed(removed: DataFrame, added: DataFrame, old: DataFrame, least: float, copies: bool) -> DataFrame:
     exact = settled(_moved(removed, added))
     a = removed.filter("source <> ''").join(exact.select(F.col("old_path").alias("path")), "path", "left_anti")
     b = added.filter("source <> ''").join(exact.select("path"), "path", "left_anti")
@@ -81,9 +95,8 @@ def renames(old: DataFrame, new: DataFrame, least: float = ALIKE, copies: bool =
 
 def changes(old: DataFrame, new: DataFrame, least: float = ALIKE, copies: bool = False) -> DataFrame:
     """path, old_path, status (A, C, D, M, R), normalised (a rename is a change, a copy an addition) of all files that differ."""
-    old, new = (df.select("path", F.coalesce("source", F.lit("")).alias("source")) for df in (old, new))
-    found = settled(renames(old, new, least, copies))
-    plain = changed_files(old, new).select("path", "status")
+    plain, removed, added = _differing(old, new)
+    found = settled(_renamed(removed, added, old, least, copies))
     gone = found.filter("status = 'R'").select(F.col("old_path").alias("path"))
     plain = plain.join(found.select("path"), "path", "left_anti").join(gone, "path", "left_anti")
     out = plain.select("path", F.lit(None).cast("string").alias("old_path"), "status").unionByName(found.select("path", "old_path", "status"))

@@ -64,3 +64,24 @@ def test_nothing_to_compare(spark):
     none, one = spark.createDataFrame([], FILES), spark.createDataFrame([("a", "x"), ("b", None)], FILES)
     assert R.renames(none, one).collect() == R.renames(one, none, copies=True).collect() == R.changes(one, one).collect() == []
     assert sorted(tuple(r) for r in R.changes(none, one).collect()) == [("a", None, "A", "A"), ("b", None, "A", "A")]
+
+
+def test_snapshots_are_read_once(spark):
+    """Building a snapshot may cost as much as all that follows: neither may be computed again for each part of the job."""
+    read = {"old": spark.sparkContext.accumulator(0), "new": spark.sparkContext.accumulator(0)}
+
+    def counted(name, rows):
+        seen = read[name]
+
+        def tell(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, FILES).mapInArrow(tell, FILES)
+
+    old = [(f"o{i}", "\n".join(f"line {i} {j}" for j in range(6))) for i in range(10)] + [("same", "x"), ("mod", "a\nb"), ("gone", None)]
+    new = [(f"n{i}", "\n".join(f"line {i} {j}" for j in range(6 - i % 2))) for i in range(10)] + [("same", "x"), ("mod", "a\nc"), ("e", "")]
+    rows = {r["path"]: (r["old_path"], r["status"]) for r in R.changes(counted("old", old), counted("new", new)).collect()}
+    assert rows == {f"n{i}": (f"o{i}", "R") for i in range(10)} | {"mod": (None, "M"), "gone": (None, "D"), "e": (None, "A")}
+    assert {name: seen.value for name, seen in read.items()} == {"old": len(old), "new": len(new)}
