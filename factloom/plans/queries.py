@@ -44,8 +44,8 @@ def op_u4_node_set(spark, sf_dir):
 
 @registered(f"WITH RECURSIVE {R.FLOWS}, f AS (SELECT DISTINCT src, dst FROM flows WHERE src <> dst), reach AS (SELECT src AS a, dst AS b FROM f UNION SELECT r.a, f.dst FROM reach r JOIN f ON f.src = r.b), nodes AS (SELECT src AS id FROM flows UNION SELECT dst FROM flows) SELECT n.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, split_part(n.id, '/', 1) AS top_dir, regexp_extract(n.id, '^(.*)/[^/]*$', 1) AS dir_path, c.a IS NOT NULL AS in_cycle FROM nodes n LEFT JOIN (SELECT dst, count(*) AS n FROM flows GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS n FROM flows GROUP BY 1) o ON o.src = n.id LEFT JOIN (SELECT a FROM reach WHERE a = b) c ON c.a = n.id")
 def op_g1_build_graph(spark, sf_dir):
-    e = R.flows(spark, sf_dir)
-    return graph.build_graph(e, graph.node_set(e), graph.cyclic_components(e))
+    e = stored(R.flows(spark, sf_dir), "flows")
+    return graph.build_graph(e, None, graph.cyclic_components(e))
 
 
 @registered(f"WITH {R.EDGES} SELECT dst AS id, src AS importer FROM edges")
